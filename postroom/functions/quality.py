@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Sequence
 from functools import reduce
 from operator import add
@@ -17,6 +18,7 @@ from postroom.functions.text import strip
 C1_CONTROLS = r"[\u0080-\u009f]"
 PRIVATE_USE = r"[\ue000-\uf8ff]"
 HANGUL = r"[\uac00-\ud7af]"
+ASCII_TEXT = string.ascii_letters + string.digits + " .,;:/-_@<>"
 LATIN1_UPPER = r"[\u0080-\u00ff]"
 
 
@@ -68,13 +70,13 @@ def decode_score(text: Column, common: str = lx.COMMON_HANZI, english=lx.COMMON_
     common_count = count_marks(text, list(common))
     latin1 = count_of(text, LATIN1_UPPER)
     pairs = count_of(text, f"[{_ascii_pair_class()}]")
-    printable = F.length(F.regexp_replace(text, r"[\p{C}\p{Zl}\p{Zp}\p{Zs}&&[^ \r\n\t]]", ""))
+    printable = F.length(F.regexp_replace(text, r"[\p{C}\p{Z}&&[^ \r\n\t]]", ""))
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), F.lit(0))
     english_words = F.size(F.filter(words, lambda word: word.isin(*english)))
     bonus = (
         printable
         + common_count * 4
-        + count_of(text, "[A-Za-z0-9 .,;:/\\-_@<>]") * 2
+        + count_marks(text, ASCII_TEXT) * 2
         + english_words * 6
         + count_of(text, r"(?U)https?://|[\w.+-]+@[\w.-]+") * 12
     )

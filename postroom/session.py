@@ -57,3 +57,13 @@ def estimated_bytes(df: DataFrame) -> int:
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Broadcast hint below a checked size; beyond it the join stays with the planner."""
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give an input of a few files to all cores; a large input is left as it is read.
+
+    Only for work that is heavy per row. The scan has at least one partition per
+    core at scale, and then nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
