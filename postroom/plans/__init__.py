@@ -7,6 +7,8 @@ from types import ModuleType
 
 MODULES = (
     "triage_queries",
+    "lifecycle_queries",
+    "corpus_queries",
 )
 
 
