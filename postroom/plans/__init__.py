@@ -9,6 +9,7 @@ MODULES = (
     "triage_queries",
     "lifecycle_queries",
     "corpus_queries",
+    "retrieval_queries",
 )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postroom.functions import quality as ql
 from postroom.functions import text as tx
+from postroom.functions.lexicon import PROTECTED_TOKEN
 from postroom.operators import corpus as cp
 from postroom.operators import dedup as dd
 from postroom.plans import rules as ru
@@ -241,14 +242,28 @@ def upload_precheck(spark: SparkSession, sf: str) -> DataFrame:
     return dd.precheck(docs, key="doc_id", text="text", title="title", source="source")
 
 
-@query()
+def _fold(column: str) -> str:
+    """The checker's word class is ASCII only, so other letters become a word character there."""
+    return f"regexp_replace({column}, '[^\\x00-\\x7f¥￥€£年月日]', '_', 'g')"
+
+
+def _tokens_sql(column: str) -> str:
+    return f"regexp_extract_all({_fold(column)}, {sql.text('(?i)' + PROTECTED_TOKEN)})"
+
+
+@query(
+    f"""WITH {_CLEAN_SQL}, found AS (SELECT *, {_tokens_sql('text')} AS a, {_tokens_sql('clean')} AS b FROM cleaned)
+    SELECT doc_id, len(a) AS token_count, sha256(array_to_string(a, ' ')) AS token_hash,
+      clean <> '' AND a = b AND abs(length(clean) - length(text)) / greatest(length(text), 1) <= 0.22 AS edit_is_safe
+    FROM found"""
+)
 def protected_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Protected tokens of every document, and whether cleaning it is a safe edit."""
     cleaned = cp.clean_documents(Tables(spark, sf).spread("documents", "doc_id", "text"), "text")
     return cleaned.select(
         "doc_id",
         F.size(ql.protected_tokens(F.col("text"))).cast("long").alias("token_count"),
-        F.array_join(ql.protected_tokens(F.col("text")), " ").alias("tokens"),
+        F.sha2(F.regexp_replace(F.array_join(ql.protected_tokens(F.col("text")), " "), "[^\\x00-\\x7f¥￥€£年月日]", "_"), 256).alias("token_hash"),
         ql.edit_is_safe(F.col("text"), F.col("clean_text")).alias("edit_is_safe"),
     )
 
