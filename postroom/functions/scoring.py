@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postroom.functions import lexicon as lx
@@ -27,22 +27,34 @@ def token_ngrams(tokens: Column, size: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def search_terms(
-    text: Column,
+def with_search_terms(
+    df: DataFrame,
+    text: str,
+    name: str = "terms",
+    *,
     stop_words: Sequence[str] = lx.STOP_WORDS,
     cjk_stop_words: Sequence[str] = lx.CJK_STOP_WORDS,
     short_terms: Sequence[str] = lx.SHORT_SEARCH_TERMS,
-) -> Column:
-    """Distinct words, word pairs and triples, and CJK 2-4-grams."""
-    lowered = F.lower(text)
+) -> DataFrame:
+    """Add the distinct words, word pairs and triples, and CJK 2-4-grams of a text.
+
+    The words are a column of their own: inside the n-gram lambda they would be
+    extracted again for every position.
+    """
     words = F.filter(
-        F.regexp_extract_all(lowered, F.lit("[a-z0-9_]+"), F.lit(0)),
+        F.regexp_extract_all(F.col("_lowered"), F.lit("[a-z0-9_]+"), F.lit(0)),
         lambda word: ((F.length(word) >= 3) | word.isin(*short_terms)) & ~word.isin(*stop_words),
     )
-    runs = F.regexp_extract_all(lowered, F.lit("[一-鿿]+"), F.lit(0))
+    runs = F.regexp_extract_all(F.col("_lowered"), F.lit("[一-鿿]+"), F.lit(0))
     cjk = F.flatten(F.transform(runs, lambda run: F.concat(*[char_ngrams(run, size) for size in (2, 3, 4)])))
     cjk = F.array_except(cjk, F.array(*[F.lit(word) for word in cjk_stop_words]))
-    return F.array_distinct(F.concat(words, token_ngrams(words, 2), token_ngrams(words, 3), cjk))
+    held = F.col("_words")
+    return (
+        df.withColumn("_lowered", F.lower(text))
+        .withColumn("_words", words)
+        .withColumn(name, F.array_distinct(F.concat(held, token_ngrams(held, 2), token_ngrams(held, 3), cjk)))
+        .drop("_lowered", "_words")
+    )
 
 
 def _terms_literal(terms: Sequence[str]) -> Column:

@@ -32,12 +32,20 @@ BREAK_AFTER_TAGS = "p|div|tr|li|table|section|article|h1|h2|h3"
 HTML_HINT = r"(?is)</?(html|body|div|table|style|p|br|span|a|meta|head)\b"
 
 
+# FIXED VALUES: the white space that Unicode knows.
+WHITE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Trim all Unicode white space; only the ends of the text are looked at."""
+    return F.btrim(text, F.lit(WHITE))
 
 
 def strip_chars(text: Column, chars: str) -> Column:
-    return F.regexp_replace(text, f"^[{chars}]+|[{chars}]+$", "")
+    return F.btrim(text, F.lit(chars))
 
 
 def collapse_space(text: Column) -> Column:
@@ -108,10 +116,11 @@ def lines(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
+    """Sentences with their stop; empty for a text of stops only."""
     found = F.filter(
         F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), strip), lambda piece: piece != ""
     )
-    return F.when(F.size(found) > 0, found).otherwise(F.array(strip(text)))
+    return found
 
 
 def fixed_width(text: Column, width: int) -> Column:
@@ -131,7 +140,7 @@ def tail_overlap(text: Column, chars: int) -> Column:
 
 def snippet(text: Column, limit: int = 260) -> Column:
     flat = collapse_space(text)
-    cut = F.concat(F.regexp_replace(F.left(flat, F.lit(limit)), r"(?U)\s+$", ""), F.lit("..."))
+    cut = F.concat(F.rtrim(F.left(flat, F.lit(limit))), F.lit("..."))
     return F.when(F.length(flat) <= limit, flat).otherwise(cut)
 
 
@@ -171,10 +180,10 @@ def section_heading(block: Column) -> Column:
     markdown = F.regexp_extract(first, MARKDOWN_HEADING, 1)
     alone = _is_single_line(block) & (F.length(first) <= 80)
     marked = first.rlike(NUMBERED_HEADING) | first.rlike("[:：]$")
-    return (
-        F.when(markdown != "", F.left(strip(markdown), F.lit(120)))
-        .when(alone & marked, F.left(strip_chars(first, ":："), F.lit(120)))
-        .otherwise(F.lit(""))
+    return F.coalesce(
+        F.left(strip(F.nullif(markdown, F.lit(""))), F.lit(120)),
+        F.when(alone & marked, F.left(strip_chars(first, ":："), F.lit(120))),
+        F.lit(""),
     )
 
 
@@ -184,10 +193,10 @@ def loose_heading(block: Column) -> Column:
     markdown = F.regexp_extract(first, MARKDOWN_HEADING, 1)
     short = (F.length(first) <= 60) & first.rlike(LEAD_HEADING)
     alone = _is_single_line(block) | first.rlike("[:：]$")
-    return (
-        F.when(markdown != "", F.left(strip(markdown), F.lit(120)))
-        .when(short & alone, F.left(strip_chars(first, ":："), F.lit(120)))
-        .otherwise(F.lit(""))
+    return F.coalesce(
+        F.left(strip(F.nullif(markdown, F.lit(""))), F.lit(120)),
+        F.when(short & alone, F.left(strip_chars(first, ":："), F.lit(120))),
+        F.lit(""),
     )
 
 
@@ -236,7 +245,7 @@ def safe_source_name(value: Column, suffixes=lx.CORPUS_SUFFIXES) -> Column:
 
 
 def safe_asset_name(value: Column) -> Column:
-    kept = F.left(strip_chars(F.regexp_replace(value, "[^0-9A-Za-z一-鿿._-]+", "-"), "\\-._"), F.lit(80))
+    kept = F.left(strip_chars(F.regexp_replace(value, "[^0-9A-Za-z一-鿿._-]+", "-"), "-._"), F.lit(80))
     return F.when(kept == "", F.lit("pdf")).otherwise(kept)
 
 

@@ -198,10 +198,10 @@ def retrieve(
         limit=max(limit * lx.RECALL_FACTOR, lx.RECALL_MINIMUM),
         group="_recall_group",
     )
-    asked = queries.select(
+    asked = sc.with_search_terms(queries.select(query_key, category, text), text, "_found", stop_words=stop_words).select(
         F.col(query_key).alias("query_id"),
         F.col(category).alias("_query_category"),
-        sc.expand_terms(sc.search_terms(F.col(text), stop_words), synonyms).alias("_terms"),
+        sc.expand_terms(F.col("_found"), synonyms).alias("_terms"),
     )
     searched = indexed.select(
         F.col(chunk_key).alias("row_id"),

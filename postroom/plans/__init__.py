@@ -10,6 +10,7 @@ MODULES = (
     "lifecycle_queries",
     "corpus_queries",
     "retrieval_queries",
+    "evaluation_queries",
 )
 
 

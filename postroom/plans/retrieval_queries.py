@@ -89,7 +89,7 @@ def vector_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""WITH {_weights_sql('w', 'documents', 'doc_id', 'text')},
     stored AS (SELECT doc_id, CASE WHEN label < 5 THEN len(embedding) END AS d FROM documents JOIN embeddings ON doc_id = vec_id),
-    filled AS (SELECT id, count(*) AS n, round(sum(weight), 4) AS total FROM w GROUP BY id)
+    filled AS (SELECT id, count(*) AS n, round(sum(weight) * 1000000)::BIGINT AS total FROM w GROUP BY id)
     SELECT doc_id, {DIM} AS dimensions, coalesce(n, 0) AS non_zero, coalesce(total, 0) AS total
     FROM stored LEFT JOIN filled ON doc_id = id"""
 )
@@ -105,7 +105,7 @@ def vector_repair(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id",
         F.size("embedding").alias("dimensions"),
         F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("non_zero"),
-        F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total"),
+        F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x) * 1000000).cast("long").alias("total"),
     )
 
 
@@ -134,7 +134,7 @@ def _expand_sql(terms: str) -> str:
 def term_expansion(spark: SparkSession, sf: str) -> DataFrame:
     """Search terms of every document and what the synonym groups add."""
     docs = Tables(spark, sf).spread("documents", "doc_id", "text")
-    terms = docs.select("doc_id", sc.search_terms(F.col("text")).alias("terms"))
+    terms = sc.with_search_terms(docs, "text").drop("text")
     expanded = terms.withColumn("expanded", sc.expand_terms(F.col("terms"), ru.SYNONYMS))
     return expanded.select(
         "doc_id",
