@@ -348,20 +348,25 @@ def sanitize_reply(text: Column, prefixes=lx.INTERNAL_LINE_PREFIXES) -> Column:
     return strip(out)
 
 
+def _fixed(value: Column, pattern: str) -> Column:
+    """Decimal text, rounded on the exact binary value."""
+    return F.call_function("format_number", value, F.lit(pattern))
+
+
 def display_bytes(value: Column) -> Column:
     return (
         F.when(F.coalesce(value, F.lit(0)) == 0, F.lit("0 B"))
         .when(value < 1024, F.format_string("%d B", value.cast("long")))
-        .when(value < 1024 * 1024, F.format_string("%.1f KB", value / 1024.0))
-        .otherwise(F.format_string("%.1f MB", value / 1024.0 / 1024.0))
+        .when(value < 1024 * 1024, F.concat(_fixed(value / 1024.0, "0.0"), F.lit(" KB")))
+        .otherwise(F.concat(_fixed(value / 1024.0 / 1024.0, "0.0"), F.lit(" MB")))
     )
 
 
 def display_latency(milliseconds: Column) -> Column:
     return (
         F.when(F.coalesce(milliseconds, F.lit(0)) == 0, F.lit("0 ms"))
-        .when(milliseconds >= 10000, F.format_string("%.1f s", milliseconds / 1000.0))
-        .when(milliseconds >= 1000, F.format_string("%.2f s", milliseconds / 1000.0))
+        .when(milliseconds >= 10000, F.concat(_fixed(milliseconds / 1000.0, "0.0"), F.lit(" s")))
+        .when(milliseconds >= 1000, F.concat(_fixed(milliseconds / 1000.0, "0.00"), F.lit(" s")))
         .otherwise(F.format_string("%d ms", milliseconds.cast("long")))
     )
 
@@ -370,6 +375,6 @@ def display_cost(cost: Column) -> Column:
     return (
         F.when(F.coalesce(cost, F.lit(0.0)) == 0, F.lit("¥0"))
         .when(cost < 0.000001, F.lit("<¥0.000001"))
-        .when(cost < 0.01, F.format_string("¥%.6f", cost))
-        .otherwise(F.format_string("¥%.4f", cost))
+        .when(cost < 0.01, F.concat(F.lit("¥"), _fixed(cost, "0.000000")))
+        .otherwise(F.concat(F.lit("¥"), _fixed(cost, "0.0000")))
     )

@@ -11,6 +11,8 @@ MODULES = (
     "corpus_queries",
     "retrieval_queries",
     "evaluation_queries",
+    "reporting_queries",
+    "stream_queries",
 )
 
 

@@ -115,9 +115,10 @@ def entity_state(stream: DataFrame, key: str, moment: str, sequence: str, action
         F.col(sequence).cast("long").alias("seq"),
         F.col(action).alias("action"),
     )
-    return rows.groupBy("entity").transformWithStateInPandas(
+    state = rows.groupBy("entity").transformWithStateInPandas(
         statefulProcessor=ticket_processor(statuses),
-        outputStructType=f"{key} {key_type}, status string, events bigint",
+        outputStructType=f"entity {key_type}, status string, events bigint",
         outputMode="Update",
         timeMode="None",
     )
+    return state.withColumnRenamed("entity", key)
