@@ -1,7 +1,9 @@
 """Documents to sections to chunks, and reports over them.
 
 Sectioning and packing work inside one document row with array functions, so a
-corpus is chunked in the scan stage; rows are exploded only at the end.
+corpus is chunked in the scan stage; rows are exploded only at the end. Computed
+arrays go through the *outer* generators: for the plain ones the optimizer adds a
+filter on the array's size, which computes the whole array a second time.
 """
 
 from __future__ import annotations
@@ -168,7 +170,8 @@ def chunk_documents(
     rows = (
         with_sections(documents, text, separator=separator, heading=heading, standalone=standalone, name="_sections")
         .withColumn("_chunks", F.flatten(F.transform("_sections", packed)))
-        .select(key, title, source, F.posexplode("_chunks").alias("position", "_chunk"))
+        .select(key, title, source, F.posexplode_outer("_chunks").alias("position", "_chunk"))
+        .filter(F.col("position").isNotNull())
     )
     category_text = F.lower(F.concat_ws("\n", F.col(source), F.col(title), F.col("_chunk.content")))
     return rows.select(

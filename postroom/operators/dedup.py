@@ -58,7 +58,7 @@ def _prefixes(bodies: DataFrame, hot: list[int], numerator: int, denominator: in
     needed = F.expr(f"(n * {numerator} + {denominator - 1}) div {denominator}")
     lacking = F.expr(f"(chars * {denominator - numerator}) div {denominator}")
     length = F.least(F.col("n"), F.greatest(F.col("n") - needed + 1, lacking + 1)).cast("int")
-    return bodies.select("id", "n", "chars", F.explode(F.slice(ordered, F.lit(1), length)).alias("token"))
+    return bodies.select("id", "n", "chars", F.explode_outer(F.slice(ordered, F.lit(1), length)).alias("token"))
 
 
 def _hot_tokens(entries: DataFrame) -> list[int]:
@@ -118,7 +118,7 @@ def _short_containments(bodies: DataFrame, size: int, numerator: int, denominato
             )
         )
     )
-    holders = small.select(F.col("id").alias("holder"), F.explode(parts).alias("body"))
+    holders = small.select(F.col("id").alias("holder"), F.explode_outer(parts).alias("body")).filter(F.col("body").isNotNull())
     found = holders.join(small.select("id", "body"), "body")
     return found.select(F.least("id", "holder").alias("earlier"), F.greatest("id", "holder").alias("later"))
 
@@ -233,7 +233,7 @@ def similar_titles(documents: DataFrame, key: str, title: str) -> DataFrame:
         start = F.when(F.length("_title") >= size, F.left("_title", F.lit(size))).otherwise(start)
     grams = F.array_distinct(F.flatten(F.array(*[char_ngrams(F.col("_title"), size) for size in TITLE_GRAMS])))
     inner = distinct.select(start.alias("_gram"), F.col("_title").alias("_short"), F.col("_id").alias("_short_id"))
-    outer = distinct.select(F.explode(grams).alias("_gram"), F.col("_title").alias("_long"), F.col("_id").alias("_long_id"))
+    outer = distinct.select(F.explode_outer(grams).alias("_gram"), F.col("_title").alias("_long"), F.col("_id").alias("_long_id"))
     related = inner.join(outer, "_gram").filter(F.col("_long").contains(F.col("_short")))
     both = related.select(F.col("_short").alias("_title"), F.col("_long_id").alias("_other")).unionByName(
         related.select(F.col("_long").alias("_title"), F.col("_short_id").alias("_other"))

@@ -63,7 +63,7 @@ def _label_counts(results: DataFrame, expected: str, predicted: str, labels: Seq
             for i, label in enumerate(labels)
         ]
     )
-    return counted.select(*by, "cases", "_correct", F.inline(rows))
+    return counted.select(*by, "cases", "_correct", F.inline_outer(rows))
 
 
 def label_metrics(
@@ -129,7 +129,7 @@ def dataset_profile(cases: DataFrame, *, support: str, language: str, tags: str)
         ),
         F.transform(tags, lambda tag: F.struct(F.lit("tag").alias("dimension"), tag.alias("value"))),
     )
-    return cases.select(F.inline(counters)).groupBy("dimension", "value").agg(F.count("*").alias("cases"))
+    return cases.select(F.inline_outer(counters)).groupBy("dimension", "value").agg(F.count("*").alias("cases"))
 
 
 def source_matches(actual: Column, expected: Column) -> Column:

@@ -23,7 +23,7 @@ def hashed_weights(
     The first sum combines on the map side, where all tokens of a text are, so at
     most ``dimensions`` numbers per text are shuffled.
     """
-    tokens = texts.select(key, F.explode(sc.hash_tokens(F.col(text))).alias("_token"))
+    tokens = texts.select(key, F.explode_outer(sc.hash_tokens(F.col(text))).alias("_token")).filter(F.col("_token").isNotNull())
     counted = tokens.groupBy(key, "_token").agg(F.count("*").alias("_n"))
     summed = (
         counted.groupBy(key, sc.hash_bucket(F.col("_token"), dimensions).cast("int").alias("bucket"))
@@ -33,7 +33,7 @@ def hashed_weights(
     packed = summed.groupBy(key).agg(
         F.collect_list(F.struct("bucket", "_sum")).alias("_entries"), F.sqrt(F.sum(F.col("_sum") * F.col("_sum"))).alias("_norm")
     )
-    return packed.select(key, "_norm", F.inline("_entries")).select(
+    return packed.select(key, "_norm", F.inline_outer("_entries")).select(
         key, "bucket", F.round(F.col("_sum") / F.col("_norm"), 6).alias("weight")
     )
 
@@ -132,7 +132,7 @@ def vector_recall(
     c_counts = right.select("_group", "_cblocks").distinct()
 
     def copies(upper: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(upper) - 1))
+        return F.explode_outer(F.sequence(F.lit(0), F.col(upper) - 1))
 
     left = left.join(c_counts, "_group").withColumn("_cblock", copies("_cblocks"))
     right = right.join(q_counts, "_group").withColumn("_qblock", copies("_qblocks"))
@@ -164,7 +164,7 @@ def recall_groups(queries: DataFrame, corpus: DataFrame, category: str = "catego
         .drop("_present")
     )
     groups = F.array_distinct(F.array(F.coalesce(F.col(category), F.lit(ANY)), F.lit(ANY)))
-    return routed, corpus.withColumn("_recall_group", F.explode(groups))
+    return routed, corpus.withColumn("_recall_group", F.explode_outer(groups))
 
 
 def retrieve(

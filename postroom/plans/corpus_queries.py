@@ -73,7 +73,7 @@ def doc_section_rows(t: Tables) -> DataFrame:
     docs = cp.with_sections(
         t.spread("documents", "doc_id", "text"), "text", separator="\n", heading=_heading, standalone=_standalone
     )
-    return docs.select("doc_id", F.posexplode("sections").alias("position", "s")).select(
+    return docs.select("doc_id", F.posexplode_outer("sections").alias("position", "s")).filter("position IS NOT NULL").select(
         "doc_id",
         F.col("position").cast("long").alias("position"),
         F.col("s.section_title").alias("section_title"),

@@ -221,7 +221,7 @@ def display_units(spark: SparkSession, sf: str) -> DataFrame:
 
 def page_words(t: Tables) -> DataFrame:
     """Benchmark texts set as two-column pages: six words per block, three per line."""
-    words = t.benchmark.select(F.col("item_id").alias("doc_id"), F.posexplode(F.split("text", "[ \n]+")).alias("i", "text"))
+    words = t.benchmark.select(F.col("item_id").alias("doc_id"), F.posexplode_outer(F.split("text", "[ \n]+")).alias("i", "text"))
     block = F.floor(F.col("i") / 6).cast("int")
     column = block % 2
     line = F.floor((F.col("i") % 6) / 3).cast("int")

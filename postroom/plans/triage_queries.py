@@ -405,7 +405,7 @@ def best_alternative(spark: SparkSession, sf: str) -> DataFrame:
     wrong = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
     parts = docs.select(
         "doc_id",
-        F.posexplode(
+        F.posexplode_outer(
             F.array(
                 F.struct(wrong.alias("text"), F.lit("text/plain").alias("content_type"), F.lit("latin1").alias("name")),
                 F.struct(F.col("text"), F.lit("text/html").alias("content_type"), F.lit("utf8").alias("name")),

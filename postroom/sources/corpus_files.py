@@ -77,7 +77,7 @@ def expand_scenarios(scenarios: DataFrame, languages=("zh", "en"), prefix: str =
             for tag in languages
         ]
     )
-    rows = scenarios.select("category", "number", "slug", "risk", "sources", "support", F.inline(versions))
+    rows = scenarios.select("category", "number", "slug", "risk", "sources", "support", F.inline_outer(versions))
     group = F.when(F.col("support"), F.col("category")).otherwise(F.lit("nonsupport"))
     label = F.when(F.col("support"), F.col("category")).otherwise(F.lit("non_support"))
     return rows.select(
