@@ -16,7 +16,6 @@ from postroom.session import cut_lineage
 
 HOT_BUCKET = 64
 HOT_TOKENS = 2000
-HOT_ROUNDS = 2
 
 
 def exact_duplicates(documents: DataFrame, key: str, content: Column) -> DataFrame:
@@ -36,7 +35,7 @@ def _bodies(documents: DataFrame, key: str, text: str, size: int) -> DataFrame:
     first = keyed.groupBy(F.sha2("body", 256).alias("_hash")).agg(F.min("id").alias("id")).select("id")
     distinct = keyed.join(first, "id", "left_semi")
     pieces = F.when(F.length("body") <= size, F.array("body")).otherwise(char_ngrams(F.col("body"), size))
-    hashed = F.array_sort(F.array_distinct(F.transform(pieces, lambda piece: F.xxhash64(piece))))
+    hashed = F.sort_array(F.array_distinct(F.transform(pieces, lambda piece: F.xxhash64(piece))))
     return (
         distinct.withColumn("shingles", hashed)
         .withColumns({"n": F.size("shingles").cast("long"), "chars": F.length("body").cast("long")})
@@ -44,21 +43,32 @@ def _bodies(documents: DataFrame, key: str, text: str, size: int) -> DataFrame:
 
 
 def _prefixes(bodies: DataFrame, hot: list[int], numerator: int, denominator: int) -> DataFrame:
-    """Index entries (token, id, n, chars) that every similar pair is bound to share.
+    """Index entries (token, id, n, chars, rest, last) that every similar pair is bound to share.
 
     Tokens are ordered by hash, hot ones last. Two sets with Jaccard >= t share a
     token among their first ``n - ceil(t n) + 1``. A text inside a longer one lacks
     at most ``(1 - t) chars`` of its tokens, so the longer text's first
-    ``floor((1 - t) chars) + 1`` hold the shorter text's first.
+    ``floor((1 - t) chars) + 1`` hold the shorter text's first. ``rest`` counts the
+    tokens behind the prefix, ``last`` is the prefix's last token in that order.
     """
+    hot_tokens = F.array(*[F.lit(token).cast("long") for token in hot]).cast("array<bigint>")
     ordered = F.col("shingles")
     if hot:
-        hot_tokens = F.array(*[F.lit(token).cast("long") for token in hot])
         ordered = F.concat(F.array_except(ordered, hot_tokens), F.array_intersect(ordered, hot_tokens))
     needed = F.expr(f"(n * {numerator} + {denominator - 1}) div {denominator}")
     lacking = F.expr(f"(chars * {denominator - numerator}) div {denominator}")
     length = F.least(F.col("n"), F.greatest(F.col("n") - needed + 1, lacking + 1)).cast("int")
-    return bodies.select("id", "n", "chars", F.explode_outer(F.slice(ordered, F.lit(1), length)).alias("token"))
+    last = F.element_at("_prefix", -1)
+    return (
+        bodies.withColumn("_prefix", F.slice(ordered, F.lit(1), length))
+        .withColumns(
+            {
+                "rest": F.col("n") - F.size("_prefix"),
+                "last": F.struct(F.array_contains(hot_tokens, last).alias("hot"), last.alias("token")),
+            }
+        )
+        .select("id", "n", "chars", "rest", "last", F.explode_outer("_prefix").alias("token"))
+    )
 
 
 def _hot_tokens(entries: DataFrame) -> list[int]:
@@ -90,14 +100,28 @@ def _verified(pairs: DataFrame, bodies: DataFrame, numerator: int, denominator:
     )
 
 
-def _sizes_allow(numerator: int, denominator: int) -> Column:
-    """Could a pair reach the threshold, judged by set sizes (Jaccard) or lengths (containment)?"""
+def _side(prefix: str) -> list[Column]:
+    return [F.col(name).alias(f"{prefix}_{name}") for name in ("id", "n", "chars", "rest", "last")]
+
+
+def _sizes_allow(numerator: int, denominator: int, shared: Column | None = None) -> Column:
+    """Could the pair (a, b) reach the threshold?
 
-    def close(x: str, y: str) -> Column:
-        low, high = F.least(F.col(x), F.col(y)), F.greatest(F.col(x), F.col(y))
+    By set sizes for Jaccard, by lengths for containment. With ``shared``, the
+    number of common prefix tokens, also by overlap: behind the prefix that ends
+    first there are ``rest`` tokens at most to share.
+    """
+
+    def close(what: str) -> Column:
+        low, high = F.least(f"a_{what}", f"b_{what}"), F.greatest(f"a_{what}", f"b_{what}")
         return low * denominator >= high * numerator
 
-    return close("n", "other_n") | close("chars", "other_chars")
+    jaccard, inside = close("n"), close("chars")
+    if shared is not None:
+        most = shared + F.when(F.col("a_last") <= F.col("b_last"), F.col("a_rest")).otherwise(F.col("b_rest"))
+        jaccard = jaccard & (most * (numerator + denominator) >= (F.col("a_n") + F.col("b_n")) * numerator)
+        inside = inside & (most >= F.least("a_n", "b_n"))
+    return jaccard | inside
 
 
 def _short_containments(bodies: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
@@ -136,56 +160,56 @@ def similar_bodies(
     Rows: id, similar_id, similarity; bodies without one are left out. Exact: the
     threshold is a fraction of integers and every candidate is verified.
 
-    Hot buckets stay linear: first every body meets only the earliest member of
-    each of its buckets. A body that is similar to it is done with that bucket, as
-    no earlier member exists there; so a large family of near copies costs one
+    Buckets of ordinary size list their pairs and drop those whose common tokens
+    cannot add up. Fuller buckets stay linear: first every body meets only the
+    earliest member. A body that is similar to it is done with that bucket, as no
+    earlier member exists there; so a large family of near copies costs one
     comparison per member. Only what is left meets the other members.
     """
     numerator, denominator = threshold
     bodies = cut_lineage(_bodies(documents, key, text, size))
-    hot: list[int] = []
-    for _ in range(HOT_ROUNDS):
-        found = _hot_tokens(_prefixes(bodies, hot, numerator, denominator))
-        fresh = [token for token in found if token not in set(hot)]
-        if not fresh:
-            break
-        hot = (hot + fresh)[:HOT_TOKENS]
-    entries = cut_lineage(_prefixes(bodies, hot, numerator, denominator))
-    allowed = _sizes_allow(numerator, denominator)
-
-    leaders = entries.groupBy("token").agg(
-        F.min(F.struct("id", "n", "chars")).alias("_lead"), F.count("*").alias("_rows")
-    ).filter(F.col("_rows") > 1)
-    led = entries.join(
-        leaders.select(
-            "token", F.col("_lead.id").alias("leader"), F.col("_lead.n").alias("other_n"), F.col("_lead.chars").alias("other_chars")
-        ),
-        "token",
-    ).filter(F.col("id") > F.col("leader"))
-    first_pairs = led.filter(allowed).select(F.col("leader").alias("earlier"), F.col("id").alias("later"))
-    short_pairs = _short_containments(bodies, size, numerator, denominator)
-    first = cut_lineage(
-        _verified(first_pairs.unionByName(short_pairs).distinct(), bodies, numerator, denominator)
+    hot = _hot_tokens(_prefixes(bodies, [], numerator, denominator))
+    entries = _prefixes(bodies, hot, numerator, denominator)
+    buckets = entries.groupBy("token").agg(
+        F.count("*").alias("rows"), F.min(F.struct("id", "n", "chars", "rest", "last")).alias("lead")
     )
-
-    best = first.groupBy(F.col("later").alias("id")).agg(F.min("earlier").alias("_best"))
-    settled = first.select(F.col("earlier").alias("leader"), F.col("later").alias("id"))
-    pending = (
-        led.select("token", "id", "n", "chars", "leader")
-        .join(settled, ["leader", "id"], "left_anti")
-        .join(best, "id", "left")
+    shared = cut_lineage(entries.join(buckets.filter("rows > 1"), "token"))
+    ordinary, full = shared.filter(F.col("rows") <= HOT_BUCKET), shared.filter(F.col("rows") > HOT_BUCKET)
+
+    unseen = full.groupBy("id").agg(F.count("*").alias("full"))
+    listed = (
+        ordinary.select("token", *_side("a"))
+        .join(ordinary.select("token", *_side("b")), "token")
+        .filter((F.col("a_id") < F.col("b_id")) & _sizes_allow(numerator, denominator))
+        .groupBy(*[f"{side}_{name}" for side in "ab" for name in ("id", "n", "chars", "rest", "last")])
+        .agg(F.count("*").alias("common"))
+        .join(unseen.select(F.col("id").alias("a_id"), F.col("full").alias("a_full")), "a_id", "left")
+        .join(unseen.select(F.col("id").alias("b_id"), F.col("full").alias("b_full")), "b_id", "left")
     )
-    others = entries.select(
-        "token", F.col("id").alias("other_id"), F.col("n").alias("other_n"), F.col("chars").alias("other_chars")
+    hidden = F.least(F.coalesce("a_full", F.lit(0)), F.coalesce("b_full", F.lit(0)))
+    listed = listed.filter(_sizes_allow(numerator, denominator, F.col("common") + hidden))
+    led = full.select("token", *_side("b"), *[F.col(f"lead.{n}").alias(f"a_{n}") for n in ("id", "n", "chars", "rest", "last")])
+    led = led.filter(F.col("a_id") < F.col("b_id"))
+    ids = [F.col("a_id").alias("earlier"), F.col("b_id").alias("later")]
+    candidates = (
+        listed.select(*ids)
+        .unionByName(led.filter(_sizes_allow(numerator, denominator)).select(*ids))
+        .unionByName(_short_containments(bodies, size, numerator, denominator))
     )
+    first = cut_lineage(_verified(candidates.distinct(), bodies, numerator, denominator))
+
+    best = first.groupBy(F.col("later").alias("b_id")).agg(F.min("earlier").alias("_best"))
+    settled = first.select(F.col("earlier").alias("a_id"), F.col("later").alias("b_id"))
+    pending = led.join(settled, ["a_id", "b_id"], "left_anti").join(best, "b_id", "left")
     rest = (
-        pending.join(others, "token")
+        pending.select("token", F.col("a_id").alias("_leader"), "_best", *[F.col(f"b_{n}") for n in ("id", "n", "chars", "rest", "last")])
+        .join(full.select("token", *_side("a")), "token")
         .filter(
-            (F.col("other_id") > F.col("leader"))
-            & (F.col("other_id") < F.least("id", F.coalesce("_best", "id")))
-            & allowed
+            (F.col("a_id") > F.col("_leader"))
+            & (F.col("a_id") < F.least("b_id", F.coalesce("_best", "b_id")))
+            & _sizes_allow(numerator, denominator)
         )
-        .select(F.col("other_id").alias("earlier"), F.col("id").alias("later"))
+        .select(*ids)
         .distinct()
     )
     every = first.unionByName(_verified(rest, bodies, numerator, denominator))
