@@ -229,7 +229,7 @@ def near_duplicates(
     similar = similar_bodies(documents, key=key, text=text, threshold=threshold)
     return (
         hashed.join(first, "_hash")
-        .join(similar, F.col("first_id") == F.col("id"), "left")
+        .join(similar.withColumnRenamed("id", "first_id"), "first_id", "left")
         .select(key, "first_id", "similar_id", "similarity")
     )
 
