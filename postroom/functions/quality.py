@@ -17,6 +17,7 @@ from postroom.functions.text import strip
 # FIXED VALUES: character ranges of damaged text.
 C1_CONTROLS = r"[\u0080-\u009f]"
 PRIVATE_USE = r"[\ue000-\uf8ff]"
+ABOVE_LATIN = r"[\u2000-\uffff]"
 HANGUL = r"[\uac00-\ud7af]"
 ASCII_TEXT = string.ascii_letters + string.digits + " .,;:/-_@<>"
 LATIN1_UPPER = r"[\u0080-\u00ff]"
@@ -38,8 +39,16 @@ def count_of(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def count_wide(text: Column, pattern: str) -> Column:
+    """Matches of a pattern that only holds characters above Latin scripts; most texts have none."""
+    return F.when(text.rlike(ABOVE_LATIN), count_of(text, pattern)).otherwise(0)
+
+
 def mojibake_score(text: Column) -> Column:
-    runs = [count_of(text, pattern) * weight for pattern, weight in lx.MOJIBAKE_RUNS]
+    runs = [
+        (count_wide(text, pattern) if "浣" in pattern else count_of(text, pattern)) * weight
+        for pattern, weight in lx.MOJIBAKE_RUNS
+    ]
     return (count_marks(text, lx.MOJIBAKE_MARKERS) + _total(runs)).cast("long")
 
 
@@ -69,7 +78,7 @@ def decode_score(text: Column, common: str = lx.COMMON_HANZI, english=lx.COMMON_
     hanzi = count_of(text, "[一-鿿]")
     common_count = count_marks(text, list(common))
     latin1 = count_of(text, LATIN1_UPPER)
-    pairs = count_of(text, f"[{_ascii_pair_class()}]")
+    pairs = count_wide(text, f"[{_ascii_pair_class()}]")
     printable = F.length(F.regexp_replace(text, r"[\p{C}\p{Z}&&[^ \r\n\t]]", ""))
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), F.lit(0))
     english_words = F.size(F.filter(words, lambda word: word.isin(*english)))

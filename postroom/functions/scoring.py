@@ -181,14 +181,18 @@ def hash_tokens(text: Column) -> Column:
     return F.concat(words, bigrams)
 
 
-def hash_bucket(value: Column, buckets: int) -> Column:
-    """First 32 bits of SHA-256 modulo ``buckets``."""
-    return F.conv(F.substring(F.sha2(value, 256), 1, 8), 16, 10).cast("long") % buckets
+def digest_bucket(digest: Column, buckets: int) -> Column:
+    """First 32 bits of a hexadecimal digest modulo ``buckets``."""
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % buckets
 
 
-def hash_sign(value: Column) -> Column:
+def digest_sign(digest: Column) -> Column:
     """Sign from the parity of the fifth digest byte: its last hex digit decides."""
-    return F.when(F.substring(F.sha2(value, 256), 10, 1).isin(*"02468ace"), F.lit(1.0)).otherwise(F.lit(-1.0))
+    return F.when(F.substring(digest, 10, 1).isin(*"02468ace"), F.lit(1.0)).otherwise(F.lit(-1.0))
+
+
+def hash_bucket(value: Column, buckets: int) -> Column:
+    return digest_bucket(F.sha2(value, 256), buckets)
 
 
 def evaluation_split(case_id: Column, calibration_buckets: int = 7) -> Column:

@@ -167,9 +167,15 @@ def document_status(valid: Column, reason: Column, message: str = "Indexed.") ->
     )
 
 
-def attach_children(parents: DataFrame, children: DataFrame, key: str, position: str) -> DataFrame:
-    """Parents with their children in long form; whole whatever the number of children."""
-    return parents.join(children, key, "left").withColumn("has_child", F.col(position).isNotNull())
+def attach_children(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
+    """Parents with their children in long form; whole whatever the number of children.
+
+    An inner join plus the childless parents: the children of a hot parent can be
+    split over tasks, which a left join does not allow for its right side.
+    """
+    joined = parents.join(children, key).withColumn("has_child", F.lit(True))
+    childless = parents.join(children.select(key), key, "left_anti").withColumn("has_child", F.lit(False))
+    return joined.unionByName(childless, allowMissingColumns=True)
 
 
 def nest_last_children(

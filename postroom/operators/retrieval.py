@@ -20,14 +20,14 @@ def hashed_weights(
 ) -> DataFrame:
     """Sparse hashed bag of tokens: (key, bucket, weight), L2-normalised, zeros left out.
 
-    The first sum combines on the map side, where all tokens of a text are, so at
-    most ``dimensions`` numbers per text are shuffled.
+    The sum combines on the map side, where all tokens of a text are, so at most
+    ``dimensions`` numbers per text are shuffled.
     """
-    tokens = texts.select(key, F.explode_outer(sc.hash_tokens(F.col(text))).alias("_token")).filter(F.col("_token").isNotNull())
-    counted = tokens.groupBy(key, "_token").agg(F.count("*").alias("_n"))
+    tokens = texts.select(key, F.explode_outer(sc.hash_tokens(F.col(text))).alias("_token"))
+    digests = tokens.filter(F.col("_token").isNotNull()).select(key, F.sha2("_token", 256).alias("_digest"))
     summed = (
-        counted.groupBy(key, sc.hash_bucket(F.col("_token"), dimensions).cast("int").alias("bucket"))
-        .agg(F.sum(F.col("_n") * sc.hash_sign(F.col("_token"))).alias("_sum"))
+        digests.groupBy(key, sc.digest_bucket(F.col("_digest"), dimensions).cast("int").alias("bucket"))
+        .agg(F.sum(sc.digest_sign(F.col("_digest"))).alias("_sum"))
         .filter(F.col("_sum") != 0)
     )
     packed = summed.groupBy(key).agg(

@@ -58,26 +58,20 @@ def preprocess(
     )
 
 
-def vote_category(messages: DataFrame, text: str, rules=lx.CATEGORY_VOTE) -> DataFrame:
+def vote_category(messages: DataFrame, text: str, rules=lx.CATEGORY_VOTE, default: str = "other") -> DataFrame:
     """Add ``category``, ``confidence`` and ``matched_terms``."""
-    vote = mt.keyword_vote(
-        F.col(text),
-        rules,
-        no_match=lx.VOTE_NO_MATCH_CONFIDENCE,
-        base=lx.VOTE_BASE_CONFIDENCE,
-        step=lx.VOTE_STEP_CONFIDENCE,
-        ceiling=lx.VOTE_MAX_CONFIDENCE,
-    )
+    won, votes = F.col("_best.votes") > 0, F.col("_best.votes")
+    grown = F.least(F.lit(lx.VOTE_MAX_CONFIDENCE), F.lit(lx.VOTE_BASE_CONFIDENCE) + votes * F.lit(lx.VOTE_STEP_CONFIDENCE))
     return (
-        messages.withColumn("_vote", vote)
+        messages.withColumn("_best", mt.best_ballot(F.col(text), rules))
         .withColumns(
             {
-                "category": F.col("_vote.category"),
-                "confidence": F.col("_vote.confidence"),
-                "matched_terms": F.col("_vote.matched"),
+                "category": F.when(won, F.col("_best.category")).otherwise(F.lit(default)),
+                "confidence": F.when(won, F.round(grown, 2)).otherwise(F.lit(lx.VOTE_NO_MATCH_CONFIDENCE)),
+                "matched_terms": F.when(won, F.col("_best.matched")).otherwise(_empty_strings()),
             }
         )
-        .drop("_vote")
+        .drop("_best")
     )
 
 

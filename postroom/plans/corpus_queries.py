@@ -215,7 +215,8 @@ def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    r"""WITH s AS (SELECT doc_id, lower(source) AS stem, regexp_replace(lower(left(text, 12)), '[^0-9a-z一-鿿]+', '', 'g') AS title
+    r"""WITH s AS (SELECT doc_id, lower(source) AS stem, regexp_replace(lower(left(trim(list_filter(list_transform(
+          string_split(text, chr(10)), lambda x: trim(x, '# ')), lambda x: x <> '')[1], '# '), 120)), '[^0-9a-z一-鿿]+', '', 'g') AS title
         FROM documents),
     n AS (SELECT s.doc_id, min(o.doc_id) AS same_name_id FROM s JOIN s o ON o.stem = s.stem AND o.doc_id < s.doc_id GROUP BY 1),
     t AS (SELECT s.doc_id, min(o.doc_id) AS similar_title_id FROM s JOIN s o ON o.doc_id < s.doc_id AND s.title <> ''
@@ -224,7 +225,8 @@ def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 )
 def blocking_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Earliest document with the same file stem, and with a title inside or around this one's."""
-    docs = Tables(spark, sf).documents.select("doc_id", "source", F.left("text", F.lit(12)).alias("title"))
+    title = tx.title(F.col("text"), F.col("source"), strict=False)
+    docs = Tables(spark, sf).documents.select("doc_id", "source", title.alias("title"))
     return (
         docs.select("doc_id")
         .join(dd.same_file_name(docs, "doc_id", "source"), "doc_id", "left")

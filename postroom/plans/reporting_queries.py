@@ -17,6 +17,7 @@ from postroom.plans import sql
 from postroom.plans.registry import Tables, query
 
 AS_OF = "2024-01-15 06:00:00"
+PAGE_WORDS = 240
 _TOKENS = r"""greatest(1, round_even((length(text) - length(o)) / 4.0::DOUBLE + length(o) / 1.6::DOUBLE, 0))::BIGINT"""
 
 
@@ -64,7 +65,7 @@ def queue_messages(t: Tables) -> DataFrame:
     order = ["ts", "event_id"]
     last_ticket = lc.seq.latest(lq.tickets(t).select("user_id", "ticket_number", "status"), ["user_id"], ["ticket_number"])
     facts = t.events.groupBy("user_id").agg(
-        F.max("value").alias("top"), (F.count("*") % 100 / 100.0).alias("confidence"), F.bool_or(F.col("value") > 60).alias("strong_grounding")
+        F.max("value").alias("top"), (F.count("*") % 100 / 100.0).alias("confidence"), F.bool_or(F.col("value") > 220).alias("strong_grounding")
     )
     return (
         facts.join(lc.message_status(log, "user_id", order), "user_id", "left")
@@ -73,21 +74,21 @@ def queue_messages(t: Tables) -> DataFrame:
         .withColumns(
             {
                 "status": F.coalesce("status", F.lit("new")),
-                "priority": F.when(F.col("top") > 120, "high").when(F.col("top") > 90, "medium").otherwise("low"),
+                "priority": F.when(F.col("top") > 250, "high").when(F.col("top") > 200, "medium").otherwise("low"),
             }
         )
     )
 
 
 _QUEUE_SQL = f"""{lq._ACTIONS_SQL}, {lq.TICKETS_SQL},
-    facts AS (SELECT user_id, max(value) AS top, (count(*) % 100 / 100.0)::DOUBLE AS confidence, bool_or(value > 60) AS strong FROM events GROUP BY user_id),
+    facts AS (SELECT user_id, max(value) AS top, (count(*) % 100 / 100.0)::DOUBLE AS confidence, bool_or(value > 220) AS strong FROM events GROUP BY user_id),
     acted AS (SELECT user_id, arg_max(CASE action WHEN 'approve' THEN 'ready_to_send' WHEN 'revise' THEN 'needs_revision'
           WHEN 'escalate' THEN 'escalated' ELSE 'human_review' END, (ts, event_id)) AS status,
         bool_or(action = 'approve') AS approved,
         arg_max(action, (ts, event_id)) FILTER (action IN ('escalate', 'undo_escalate')) = 'escalate' AS last_escalates
       FROM actions GROUP BY user_id),
     last_ticket AS (SELECT user_id, arg_max(status, ticket_number) AS ticket_status FROM tickets GROUP BY user_id),
-    q AS (SELECT user_id, coalesce(status, 'new') AS status, CASE WHEN top > 120 THEN 'high' WHEN top > 90 THEN 'medium' ELSE 'low' END AS priority,
+    q AS (SELECT user_id, coalesce(status, 'new') AS status, CASE WHEN top > 250 THEN 'high' WHEN top > 200 THEN 'medium' ELSE 'low' END AS priority,
         confidence, strong, coalesce(approved, false) AS approved,
         coalesce(status, 'new') = 'escalated' OR coalesce(ticket_status IN ('open', 'assigned'), false) AS active,
         coalesce(last_escalates, coalesce(ticket_status IN ('open', 'assigned', 'resolved'), false)) AS history
@@ -220,14 +221,15 @@ def display_units(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_words(t: Tables) -> DataFrame:
-    """Benchmark texts set as two-column pages: six words per block, three per line."""
+    """Benchmark texts set as two-column pages of 240 words: six words per block, three per line."""
     words = t.benchmark.select(F.col("item_id").alias("doc_id"), F.posexplode_outer(F.split("text", "[ \n]+")).alias("i", "text"))
+    words = words.withColumns({"page": F.floor(F.col("i") / PAGE_WORDS).cast("int"), "i": F.col("i") % PAGE_WORDS})
     block = F.floor(F.col("i") / 6).cast("int")
     column = block % 2
     line = F.floor((F.col("i") % 6) / 3).cast("int")
     return words.select(
         "doc_id",
-        F.lit(1).alias("page"),
+        "page",
         block.alias("block"),
         F.lit(0).alias("par"),
         line.alias("line"),
@@ -241,30 +243,31 @@ def page_words(t: Tables) -> DataFrame:
     )
 
 
-_WORDS_SQL = r"""raw AS (SELECT item_id AS doc_id, unnest(l) AS text, unnest(range(0, len(l)))::INT AS i
+_WORDS_SQL = r"""raw AS (SELECT item_id AS doc_id, unnest(l) AS text, unnest(range(0, len(l)))::INT AS k
       FROM (SELECT item_id, regexp_split_to_array(text, '[ \n]+') AS l FROM benchmark)),
-    boxed AS (SELECT doc_id, text, i, i // 6 AS block, (i % 6) // 3 AS line, 50 + ((i // 6) % 2) * 550 + (i % 3) * 90 AS l,
+    paged AS (SELECT doc_id, text, k // 240 AS page, k % 240 AS i FROM raw),
+    boxed AS (SELECT doc_id, page, text, i, i // 6 AS block, (i % 6) // 3 AS line, 50 + ((i // 6) % 2) * 550 + (i % 3) * 90 AS l,
         100 + ((i // 6) // 2) * 80 + ((i % 6) // 3) * 20 AS t, length(text) * 10 AS w, 15 AS h,
-        CASE WHEN i % 13 = 12 THEN -1 ELSE 60 + (length(text) * 7) % 40 END AS conf FROM raw),
+        CASE WHEN i % 13 = 12 THEN -1 ELSE 60 + (length(text) * 7) % 40 END AS conf FROM paged),
     words AS (SELECT *, conf / 100.0::DOUBLE AS c, greatest(1, w * h) AS area FROM boxed WHERE conf >= 0 AND text <> ''),
     marked AS (SELECT *, CASE WHEN regexp_matches(lag(text) OVER p, '[A-Za-z0-9]$') AND regexp_matches(text, '^[A-Za-z0-9]')
-        THEN ' ' ELSE '' END || text AS piece FROM words WINDOW p AS (PARTITION BY doc_id, block, line ORDER BY l, i)),
-    lines AS (SELECT doc_id, block, line, string_agg(piece, '' ORDER BY l, i) AS text, min(l) AS l, min(t) AS t, max(l + w) AS r, max(t + h) AS b,
+        THEN ' ' ELSE '' END || text AS piece FROM words WINDOW p AS (PARTITION BY doc_id, page, block, line ORDER BY l, i)),
+    lines AS (SELECT doc_id, page, block, line, string_agg(piece, '' ORDER BY l, i) AS text, min(l) AS l, min(t) AS t, max(l + w) AS r, max(t + h) AS b,
         sum(area) AS area, sum(c * area) AS weighted FROM marked GROUP BY ALL),
-    blocks AS (SELECT doc_id, block, string_agg(text, chr(10) ORDER BY t, text) AS text, min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b,
+    blocks AS (SELECT doc_id, page, block, string_agg(text, chr(10) ORDER BY t, text) AS text, min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b,
         (sum(weighted) / sum(area))::DOUBLE AS confidence FROM lines GROUP BY ALL),
     sized AS (SELECT *, min(l) OVER d AS pl, greatest(1, max(r) OVER d - min(l) OVER d) AS pw, count(*) OVER d AS n FROM blocks
-        WINDOW d AS (PARTITION BY doc_id)),
+        WINDOW d AS (PARTITION BY doc_id, page)),
     sided AS (SELECT *, CASE WHEN r - l <= pw * 0.58 AND (l + r) / 2.0 < pl + pw / 2.0 - pw * 0.02 AND r <= pl + pw / 2.0 + pw * 0.08 THEN 'left'
         WHEN r - l <= pw * 0.58 AND (l + r) / 2.0 > pl + pw / 2.0 + pw * 0.02 AND l >= pl + pw / 2.0 - pw * 0.08 THEN 'right' ELSE 'none' END AS side FROM sized),
     framed AS (SELECT *, count(*) FILTER (side = 'left') OVER d AS ln, count(*) FILTER (side = 'right') OVER d AS rn,
         min(t) FILTER (side = 'left') OVER d AS lt, min(t) FILTER (side = 'right') OVER d AS rt,
-        max(b) FILTER (side = 'left') OVER d AS lb, max(b) FILTER (side = 'right') OVER d AS rb FROM sided WINDOW d AS (PARTITION BY doc_id)),
+        max(b) FILTER (side = 'left') OVER d AS lb, max(b) FILTER (side = 'right') OVER d AS rb FROM sided WINDOW d AS (PARTITION BY doc_id, page)),
     zoned AS (SELECT *, coalesce(n >= 4 AND least(ln, rn) >= 2 AND least(lb, rb) > greatest(lt, rt), false) AS multi FROM framed),
     placed AS (SELECT *, CASE WHEN NOT multi THEN 0 WHEN side = 'left' THEN 2 WHEN side = 'right' THEN 4 WHEN b < least(lt, rt) THEN 1
         WHEN t > greatest(lb, rb) THEN 5 ELSE 3 END AS zone FROM zoned),
-    ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY t, l, block) AS plain,
-        row_number() OVER (PARTITION BY doc_id ORDER BY zone, t, l, block) AS position FROM placed)"""
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY t, l, block) AS plain,
+        row_number() OVER (PARTITION BY doc_id, page ORDER BY zone, t, l, block) AS position FROM placed)"""
 
 
 def page_blocks(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -273,7 +276,7 @@ def page_blocks(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 @query(
-    f"""WITH {_WORDS_SQL} SELECT doc_id, block, text, l AS "left", t AS top, r - l AS width, b - t AS height,
+    f"""WITH {_WORDS_SQL} SELECT doc_id, page, block, text, l AS "left", t AS top, r - l AS width, b - t AS height,
       round(confidence, 6) AS confidence, zone, position FROM ordered"""
 )
 def page_layout(spark: SparkSession, sf: str) -> DataFrame:
@@ -281,6 +284,7 @@ def page_layout(spark: SparkSession, sf: str) -> DataFrame:
     ordered, _ = page_blocks(Tables(spark, sf))
     return ordered.select(
         "doc_id",
+        "page",
         "block",
         "text",
         "left",
@@ -295,12 +299,12 @@ def page_layout(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     rf"""WITH {_WORDS_SQL},
-    trust AS (SELECT doc_id, (sum(c * greatest(1, length(text))) / sum(greatest(1, length(text))))::DOUBLE AS conf FROM words GROUP BY doc_id),
-    pages AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY position) AS text, count(*) AS blocks,
-        count(*) FILTER (length(text) < 8) AS short, bool_or(multi) AS multi_column, bool_or(plain <> position) AS layout_reordered FROM ordered GROUP BY doc_id),
+    trust AS (SELECT doc_id, page, (sum(c * greatest(1, length(text))) / sum(greatest(1, length(text))))::DOUBLE AS conf FROM words GROUP BY doc_id, page),
+    pages AS (SELECT doc_id, page, string_agg(text, chr(10) || chr(10) ORDER BY position) AS text, count(*) AS blocks,
+        count(*) FILTER (length(text) < 8) AS short, bool_or(multi) AS multi_column, bool_or(plain <> position) AS layout_reordered FROM ordered GROUP BY doc_id, page),
     q AS (SELECT *, length(regexp_replace(text, '[^一-鿿A-Za-z0-9，。！？、；：,.!?;:''"()\[\]《》<>/\-_\s]', '', 'g')) / length(text) AS readable,
-        least(1.0, len(regexp_extract_all(text, '[�□■◆◇]|\\x[0-9a-fA-F]{{2}}')) / length(text) * 20.0) AS symbols FROM pages JOIN trust USING (doc_id))
-    SELECT doc_id, sha256(text) AS text_hash, blocks, multi_column, layout_reordered, round(conf, 6) AS average_confidence,
+        least(1.0, len(regexp_extract_all(text, '[�□■◆◇]|\\x[0-9a-fA-F]{{2}}')) / length(text) * 20.0) AS symbols FROM pages JOIN trust USING (doc_id, page))
+    SELECT doc_id, page, sha256(text) AS text_hash, blocks, multi_column, layout_reordered, round(conf, 6) AS average_confidence,
       round(greatest(0.0, least(1.0, conf * 0.55::DOUBLE + readable * 0.30::DOUBLE + (1.0::DOUBLE - short / blocks) * 0.15::DOUBLE
         - symbols::DOUBLE * 0.20::DOUBLE)), 4)::DOUBLE AS quality_score FROM q"""
 )
@@ -310,6 +314,7 @@ def page_quality(spark: SparkSession, sf: str) -> DataFrame:
     report = ly.page_report(ordered, words, ["doc_id", "page"])
     return report.select(
         "doc_id",
+        "page",
         F.sha2("text", 256).alias("text_hash"),
         "blocks",
         "multi_column",
@@ -320,7 +325,7 @@ def page_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT doc_id, doc_id % 997 AS page, n_chars % 3 AS position, n_chars, source FROM documents),
+    """WITH p AS (SELECT doc_id, doc_id // 3 AS page, n_chars, source FROM documents),
     k AS (SELECT page, count(*) AS parts, round(avg(n_chars), 4) AS average_confidence, bool_or(n_chars > 2000) AS multi_column,
         coalesce(arg_min(source, doc_id) FILTER (source <> 'src1'), '') AS repair_model,
         string_agg(source, chr(10) || chr(10) ORDER BY doc_id) AS text FROM p GROUP BY page)
@@ -329,7 +334,7 @@ def page_quality(spark: SparkSession, sf: str) -> DataFrame:
 def page_parts(spark: SparkSession, sf: str) -> DataFrame:
     """Parts of a page merged into one: ordered text, means, flags, first repair model."""
     parts = Tables(spark, sf).documents.select(
-        (F.col("doc_id") % 997).alias("page"),
+        F.floor(F.col("doc_id") / 3).alias("page"),
         "doc_id",
         F.col("source").alias("text"),
         F.col("n_chars").cast("double").alias("average_confidence"),
@@ -344,12 +349,14 @@ def page_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT conv_id, turn, trim(left(text, 40), ' ' || chr(10)) AS description FROM conversations WHERE role = 'assistant')
-    SELECT p.conv_id, coalesce(c, '') AS visual_context FROM (SELECT DISTINCT conv_id FROM conversations) p
-    LEFT JOIN (SELECT conv_id, string_agg(description, chr(10) ORDER BY turn) AS c FROM d WHERE description <> '' GROUP BY conv_id) USING (conv_id)"""
+    """WITH d AS (SELECT conv_id, turn // 4 AS page, turn, trim(text, ' ' || chr(10)) AS description FROM conversations WHERE role = 'assistant')
+    SELECT conv_id, page, sha256(coalesce(c, '')) AS context_hash FROM (SELECT DISTINCT conv_id, turn // 4 AS page FROM conversations) p
+    LEFT JOIN (SELECT conv_id, page, string_agg(description, chr(10) ORDER BY turn) AS c FROM d WHERE description <> '' GROUP BY conv_id, page)
+      USING (conv_id, page)"""
 )
 def page_context(spark: SparkSession, sf: str) -> DataFrame:
-    """Descriptions of a page, in order, joined to it; conversations stand for pages."""
-    talks = Tables(spark, sf).conversations
-    descriptions = talks.filter("role = 'assistant'").select("conv_id", "turn", F.left("text", F.lit(40)).alias("description"))
-    return ly.page_context(talks.select("conv_id").distinct(), descriptions, ["conv_id"], "turn")
+    """Descriptions of a page, in order, joined to it; four turns of a conversation stand for a page."""
+    talks = Tables(spark, sf).conversations.withColumn("page", F.floor(F.col("turn") / 4))
+    descriptions = talks.filter("role = 'assistant'").select("conv_id", "page", "turn", F.col("text").alias("description"))
+    joined = ly.page_context(talks.select("conv_id", "page").distinct(), descriptions, ["conv_id", "page"], "turn")
+    return joined.select("conv_id", "page", F.sha2("visual_context", 256).alias("context_hash"))

@@ -13,6 +13,7 @@ from postroom.operators import retrieval as rt
 from postroom.plans import rules as ru
 from postroom.plans import sql
 from postroom.plans.registry import Tables, query
+from postroom.session import cut_lineage
 
 DIM = lx.VECTOR_DIMENSIONS
 
@@ -204,7 +205,7 @@ def hybrid_rerank(spark: SparkSession, sf: str) -> DataFrame:
     queries = t.benchmark.select(
         F.col("item_id").alias("query_id"), "text", first_match(F.lower("text"), ru.FIRST_MATCH).alias("category")
     )
-    queries = queries.join(rt.hashed_vectors(queries, "query_id", "text"), "query_id")
+    queries = cut_lineage(queries.join(rt.hashed_vectors(queries, "query_id", "text"), "query_id"))
     chunks = t.spread("documents", "doc_id", "source", "text", "n_chars").select(
         F.col("doc_id").alias("chunk_id"),
         F.concat_ws(" ", F.lit("Document"), F.col("doc_id").cast("string")).alias("title"),
@@ -213,7 +214,8 @@ def hybrid_rerank(spark: SparkSession, sf: str) -> DataFrame:
         first_match(F.lower(F.concat_ws("\n", "source", "text")), ru.FIRST_MATCH).alias("category"),
         F.when(F.col("n_chars") >= 100, "indexed").otherwise("failed").alias("status"),
     )
-    chunks = chunks.join(rt.hashed_vectors(chunks, "chunk_id", "content"), "chunk_id")
+    # the index is stored once; recall and rerank read it several times
+    chunks = cut_lineage(chunks.join(rt.hashed_vectors(chunks, "chunk_id", "content"), "chunk_id"))
     return rt.retrieve(queries, chunks, limit=LIMIT, synonyms=ru.SYNONYMS, vocabulary=ru.VOCABULARY).withColumn(
         "hit_rank", F.col("hit_rank").cast("long")
     )

@@ -134,7 +134,7 @@ def test_children_and_variants(spark):
     nested = {r["p"]: r for r in lc.nest_last_children(parents, children, "p", ["i"], ["name"], 3).collect()}
     assert nested[1]["child_count"] == 5 and [c["name"] for c in nested[1]["last_children"]] == ["c2", "c3", "c4"]
     assert nested[2]["child_count"] == 0 and nested[2]["last_children"] is None
-    assert lc.attach_children(parents, children, "p", "i").count() == 6
+    assert lc.attach_children(parents, children, "p").count() == 6
     steps = spark.createDataFrame([(1, i, i % 2 == 0) for i in range(8)], "m int, i int, again boolean")
     got = lc.reply_variant(steps, ["m"], ["i"], F.col("again"), F.floor(F.col("i") / 3)).orderBy("i").collect()
     assert [r["reply_variant"][-1] for r in got] == list("12233112")
