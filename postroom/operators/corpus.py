@@ -174,14 +174,14 @@ def chunk_documents(
         .filter(F.col("position").isNotNull())
     )
     category_text = F.lower(F.concat_ws("\n", F.col(source), F.col(title), F.col("_chunk.content")))
-    return rows.select(
+    return rows.withColumn("_category_text", category_text).select(
         key,
         "position",
         title,
         F.concat(F.col(source), F.lit("#chunk-"), (F.col("position") + 1).cast("string")).alias("chunk_source"),
         F.col("_chunk.section_title").alias("section_title"),
         F.col("_chunk.content").alias("content"),
-        first_match(category_text, category_rules).alias("category"),
+        first_match("_category_text", category_rules).alias("category"),
         tx.word_count_tokens(F.col("_chunk.content")).alias("token_estimate"),
     )
 

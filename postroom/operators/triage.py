@@ -48,13 +48,13 @@ def preprocess(
     attachments: str | None = None,
 ) -> DataFrame:
     """Add ``language`` and the ordered ``preprocessing_flags``; ``text`` is lower case."""
-    found = mt.matched_labels(F.col(text), flags)
+    found = mt.matched_labels(text, flags)
     if attachments:
         found = F.concat(
             found, F.when(F.size(attachments) > 0, F.array(F.lit("has_attachment"))).otherwise(_empty_strings())
         )
     return messages.withColumns(
-        {"language": mt.language_tag(F.col(text), scripts, default_language), "preprocessing_flags": found}
+        {"language": mt.language_tag(text, scripts, default_language), "preprocessing_flags": found}
     )
 
 
@@ -63,7 +63,7 @@ def vote_category(messages: DataFrame, text: str, rules=lx.CATEGORY_VOTE, defaul
     won, votes = F.col("_best.votes") > 0, F.col("_best.votes")
     grown = F.least(F.lit(lx.VOTE_MAX_CONFIDENCE), F.lit(lx.VOTE_BASE_CONFIDENCE) + votes * F.lit(lx.VOTE_STEP_CONFIDENCE))
     return (
-        messages.withColumn("_best", mt.best_ballot(F.col(text), rules))
+        messages.withColumn("_best", mt.best_ballot(text, rules))
         .withColumns(
             {
                 "category": F.when(won, F.col("_best.category")).otherwise(F.lit(default)),
@@ -75,18 +75,18 @@ def vote_category(messages: DataFrame, text: str, rules=lx.CATEGORY_VOTE, defaul
     )
 
 
-def _signals(rules: lx.RiskRules, holder: str, category: Column, flags: Column) -> dict[str, Column]:
-    """Base signals read from a struct column, plus ``category:x``, ``flag:x`` and derived ones."""
-    signals = {name: F.col(f"{holder}.{name}") for name in rules.terms}
-    conditions = [*rules.derived.values(), *(step.rule for step in rules.steps)]
-    for rule in conditions:
+def _signals(rules: lx.RiskRules, holder: str, category: str, flags: str) -> dict[str, str]:
+    """Condition texts: base signals in a struct column, ``category:x``, ``flag:x`` and derived ones."""
+    signals = {name: f"{holder}.{name}" for name in rules.terms}
+    for rule in [*rules.derived.values(), *(step.rule for step in rules.steps)]:
         for name in [name for group in rule.any_of for name in group] + list(rule.unless):
-            if name.startswith("category:"):
-                signals[name] = F.coalesce(category == name.split(":", 1)[1], F.lit(False))
-            elif name.startswith("flag:"):
-                signals[name] = F.coalesce(F.array_contains(flags, name.split(":", 1)[1]), F.lit(False))
+            kind, _, value = name.partition(":")
+            if kind == "category" and value:
+                signals[name] = f"coalesce({category} = {mt.literal(value)}, false)"
+            elif kind == "flag" and value:
+                signals[name] = f"coalesce(array_contains({flags}, {mt.literal(value)}), false)"
     for name, rule in rules.derived.items():
-        signals[name] = mt.holds(rule, signals)
+        signals[name] = mt.rule_sql(rule, signals)
     return signals
 
 
@@ -104,37 +104,32 @@ def assess_risk(
     The score is the highest step that applies. A reset rule brings a score below
     its limit back to zero with a flag of its own.
     """
-    found = F.struct(*[mt.has_bounded(F.col(text), terms).alias(name) for name, terms in rules.terms.items()])
-    signals = _signals(rules, "_signals", F.col(category), F.col(flags))
-
-    def in_language(texts: dict[str, str]) -> Column:
-        shown = F.lit(texts[rules.default_language])
-        for tag, value in texts.items():
-            if tag != rules.default_language:
-                shown = F.when(F.col(language) == tag, F.lit(value)).otherwise(shown)
-        return shown
-
-    hits = [mt.holds(step.rule, signals) for step in rules.steps]
-    reached = [F.when(hit, step.score).otherwise(0) for hit, step in zip(hits, rules.steps)]
-    score = F.greatest(F.lit(0), *reached)
-    reasons = F.array_distinct(
-        F.array_compact(F.array(*[F.when(hit, in_language(step.flags)) for hit, step in zip(hits, rules.steps)]))
-    )
-    scored = messages.withColumn("_signals", found).withColumns({"_score": score, "_reasons": reasons})
-    if rules.reset:
-        cleared = mt.holds(rules.reset, signals) & (F.col("_score") < rules.reset_below)
-    else:
-        cleared = F.lit(False)
-    final = F.when(cleared, 0).otherwise(F.col("_score"))
-    level = F.lit(rules.default_level)
-    for minimum, name in reversed(rules.levels):
-        level = F.when(F.col("risk_score") >= minimum, F.lit(name)).otherwise(level)
-    notes = F.col("_reasons")
-    if rules.reset:
-        notes = F.when(cleared, F.array(in_language(rules.reset_flags))).otherwise(notes)
+    found = F.struct(*[mt.has_bounded(text, terms).alias(name) for name, terms in rules.terms.items()])
+    signals = _signals(rules, "_signals", category, flags)
+
+    def in_language(texts: dict[str, str]) -> str:
+        others = [(f"{language} = {mt.literal(k)}", mt.literal(v)) for k, v in texts.items() if k != rules.default_language]
+        standard = mt.literal(texts[rules.default_language])
+        return mt.case_sql(others, standard) if others else standard
+
+    hits = [(mt.rule_sql(step.rule, signals), step) for step in rules.steps]
+    score = ", ".join(f"CASE WHEN {hit} THEN {step.score} ELSE 0 END" for hit, step in hits)
+    reasons = ", ".join(f"CASE WHEN {hit} THEN {in_language(step.flags)} END" for hit, step in hits)
+    cleared = f"({mt.rule_sql(rules.reset, signals)} AND _score < {rules.reset_below})" if rules.reset else "false"
+    notes = f"CASE WHEN {cleared} THEN array({in_language(rules.reset_flags)}) ELSE _reasons END" if rules.reset else "_reasons"
+    levels = [(f"risk_score >= {minimum}", mt.literal(name)) for minimum, name in rules.levels]
     return (
-        scored.withColumns({"risk_score": final, "risk_flags": notes})
-        .withColumn("risk_level", level)
+        messages.withColumn("_signals", found)
+        .withColumns(
+            {
+                "_score": F.expr(f"greatest(0, {score})"),
+                "_reasons": F.expr(f"array_distinct(array_compact(array({reasons})))"),
+            }
+        )
+        .withColumns(
+            {"risk_score": F.expr(f"CASE WHEN {cleared} THEN 0 ELSE _score END"), "risk_flags": F.expr(notes)}
+        )
+        .withColumn("risk_level", F.expr(mt.case_sql(levels, mt.literal(rules.default_level))))
         .drop("_signals", "_score", "_reasons")
     )
 
@@ -148,20 +143,17 @@ def relevance_gate(
     uncertain_other: Column | None = None,
 ) -> DataFrame:
     """Add ``is_support`` and ``gate_reason``: the first step that holds rejects the message."""
-    body, origin = F.col(text), F.col(sender)
-    found = {name: mt.has_raw(body, terms) for name, terms in rules.terms.items()}
-    found.update({name: mt.has_raw(origin, terms) for name, terms in rules.sender_terms.items()})
+    found = {name: mt.has_raw(text, terms) for name, terms in rules.terms.items()}
+    found.update({name: mt.has_raw(sender, terms) for name, terms in rules.sender_terms.items()})
     found.update(
-        {name: mt.has_raw(body, terms) | mt.has_raw(origin, terms) for name, terms in rules.either_terms.items()}
+        {name: mt.has_raw(text, terms) | mt.has_raw(sender, terms) for name, terms in rules.either_terms.items()}
     )
-    found["uncertain_other"] = F.coalesce(uncertain_other, F.lit(False)) if uncertain_other is not None else F.lit(False)
-    held = messages.withColumn("_gate", F.struct(*[value.alias(name) for name, value in found.items()]))
-    signals = {name: F.col(f"_gate.{name}") for name in found}
-    rejected = F.lit(None).cast("string")
-    for step in reversed(rules.steps):
-        rejected = F.when(mt.holds(step.rule, signals), F.lit(step.reason)).otherwise(rejected)
+    found["uncertain_other"] = F.lit(False) if uncertain_other is None else F.coalesce(uncertain_other, F.lit(False))
+    signals = {name: f"_gate.{name}" for name in found}
+    steps = [(mt.rule_sql(step.rule, signals), mt.literal(step.reason)) for step in rules.steps]
     return (
-        held.withColumn("_rejected", rejected)
+        messages.withColumn("_gate", F.struct(*[value.alias(name) for name, value in found.items()]))
+        .withColumn("_rejected", F.expr(mt.case_sql(steps, "NULL")))
         .withColumns(
             {
                 "is_support": F.col("_rejected").isNull(),
@@ -177,17 +169,20 @@ def second_gate(
     text: str,
     sender: str,
     *,
-    analysis: Column,
+    analysis: str,
     verdict_is_support: Column | None = None,
     terms=lx.SECOND_GATE_TERMS,
     reasons=lx.SECOND_GATE_REASONS,
 ) -> DataFrame:
-    """Add ``is_filtered`` and ``filter_reason`` from category, analysis text and an optional verdict."""
+    """Add ``is_filtered`` and ``filter_reason`` from category, analysis text and an optional verdict.
+
+    ``text``, ``sender`` and ``analysis`` name lower-case columns.
+    """
     found = F.struct(
         mt.has_raw(analysis, terms["non_support"]).alias("in_analysis"),
-        (mt.has_raw(F.col(text), terms["non_support"]) | mt.has_raw(F.col(sender), terms["non_support"])).alias("in_mail"),
-        mt.has_raw(F.col(sender), terms["platform_sender"]).alias("platform"),
-        mt.has_raw(F.col(text), terms["direct_request"]).alias("direct"),
+        (mt.has_raw(text, terms["non_support"]) | mt.has_raw(sender, terms["non_support"])).alias("in_mail"),
+        mt.has_raw(sender, terms["platform_sender"]).alias("platform"),
+        mt.has_raw(text, terms["direct_request"]).alias("direct"),
     )
     other = F.coalesce(F.col("category") == "other", F.lit(False))
     signal = F.col("_found.in_analysis") | F.col("_found.in_mail") | F.col("_found.platform")
@@ -322,8 +317,8 @@ def triage(messages: DataFrame, *, subject: str, body: str, sender: str) -> Data
     ready = assess_risk(vote_category(ready, "_text"), "_text")
     reason = analysis_reason(F.col("matched_terms"), F.col("preprocessing_flags"), F.col("risk_level"), F.col("language"))
     ready = ready.withColumn("analysis_reason", reason)
-    semantic = F.lower(F.concat_ws("\n", "analysis_reason", F.array_join("risk_flags", " ")))
-    ready = second_gate(ready, "_text", "_sender", analysis=semantic)
+    ready = ready.withColumn("_analysis", F.lower(F.concat_ws("\n", "analysis_reason", F.array_join("risk_flags", " "))))
+    ready = second_gate(ready, "_text", "_sender", analysis="_analysis")
     ready = ready.withColumns(
         {
             "status": F.lit("processed"),
@@ -331,4 +326,4 @@ def triage(messages: DataFrame, *, subject: str, body: str, sender: str) -> Data
             "should_escalate": F.col("risk_level") == "high",
         }
     )
-    return mark_irrelevant(ready, ~F.col("is_support") | F.col("is_filtered")).drop("_text", "_sender")
+    return mark_irrelevant(ready, ~F.col("is_support") | F.col("is_filtered")).drop("_text", "_sender", "_analysis")

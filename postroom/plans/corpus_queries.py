@@ -43,7 +43,7 @@ def doc_clean_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _heading(block):
-    """Section headings of the reference kind, or a very short line."""
+    """Section headings, or a very short line."""
     return F.coalesce(F.nullif(tx.section_heading(block), F.lit("")), F.when(F.length(block) <= 12, block), F.lit(""))
 
 

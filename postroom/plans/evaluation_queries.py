@@ -26,12 +26,11 @@ _RESULTS_SQL = f"""results AS (SELECT d.doc_id, d.lang AS expected_language,
 
 
 def results(t: Tables) -> DataFrame:
-    lowered = F.lower("text")
-    insulted = mt.has_bounded(lowered, ru.INSULTS)
-    docs = t.spread("documents").select(
+    insulted = mt.has_bounded("t", ru.INSULTS)
+    docs = t.spread("documents").withColumn("t", F.lower("text")).select(
         "doc_id",
         F.col("lang").alias("expected_language"),
-        mt.language_tag(lowered, ru.SCRIPTS, ru.DEFAULT_LANGUAGE).alias("predicted_language"),
+        mt.language_tag("t", ru.SCRIPTS, ru.DEFAULT_LANGUAGE).alias("predicted_language"),
         insulted.alias("predicted_flag"),
         F.when(insulted, "toxic").when(F.col("n_chars") < 400, "poor").otherwise("good").alias("predicted_label"),
         F.when(F.col("n_chars") % 50 == 0, "failed").otherwise("").alias("error"),

@@ -160,12 +160,11 @@ _TEMPLATE_ROWS = ", ".join("(" + ", ".join(sql.text(v) for v in row) + ")" for r
 )
 def template_merge(spark: SparkSession, sf: str) -> DataFrame:
     """A reply draft for every turn from its category's template."""
-    lowered = F.lower("text")
-    messages = Tables(spark, sf).conversations.select(
+    messages = Tables(spark, sf).conversations.withColumn("t", F.lower("text")).select(
         "conv_id",
         "turn",
-        mt.first_match(lowered, ru.VOTE).alias("category"),
-        mt.language_tag(lowered, ru.SCRIPTS, ru.DEFAULT_LANGUAGE).alias("language"),
+        mt.first_match("t", ru.VOTE).alias("category"),
+        mt.language_tag("t", ru.SCRIPTS, ru.DEFAULT_LANGUAGE).alias("language"),
         F.lit("default").alias("variant"),
     )
     templates = spark.createDataFrame(list(ru.TEMPLATES), "category string, language string, variant string, template string")

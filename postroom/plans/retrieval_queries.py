@@ -202,16 +202,17 @@ LIMIT = 3
 def hybrid_rerank(spark: SparkSession, sf: str) -> DataFrame:
     """Hybrid retrieval of all documents for every benchmark text."""
     t = Tables(spark, sf)
-    queries = t.benchmark.select(
-        F.col("item_id").alias("query_id"), "text", first_match(F.lower("text"), ru.FIRST_MATCH).alias("category")
+    queries = t.benchmark.withColumn("t", F.lower("text")).select(
+        F.col("item_id").alias("query_id"), "text", first_match("t", ru.FIRST_MATCH).alias("category")
     )
     queries = cut_lineage(queries.join(rt.hashed_vectors(queries, "query_id", "text"), "query_id"))
-    chunks = t.spread("documents", "doc_id", "source", "text", "n_chars").select(
+    docs = t.spread("documents", "doc_id", "source", "text", "n_chars")
+    chunks = docs.withColumn("t", F.lower(F.concat_ws("\n", "source", "text"))).select(
         F.col("doc_id").alias("chunk_id"),
         F.concat_ws(" ", F.lit("Document"), F.col("doc_id").cast("string")).alias("title"),
         "source",
         F.col("text").alias("content"),
-        first_match(F.lower(F.concat_ws("\n", "source", "text")), ru.FIRST_MATCH).alias("category"),
+        first_match("t", ru.FIRST_MATCH).alias("category"),
         F.when(F.col("n_chars") >= 100, "indexed").otherwise("failed").alias("status"),
     )
     # the index is stored once; recall and rerank read it several times

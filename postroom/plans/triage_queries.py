@@ -214,12 +214,12 @@ _SECOND = {
 )
 def second_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Second filter, once the category is known."""
-    ready = assessed(mails(Tables(spark, sf)))
+    ready = assessed(mails(Tables(spark, sf))).withColumn("a", F.lower(F.array_join("risk_flags", " ")))
     filtered = tr.second_gate(
         ready,
         "t",
         "s",
-        analysis=F.lower(F.array_join("risk_flags", " ")),
+        analysis="a",
         terms=_SECOND,
         reasons={"verdict": "verdict", "analysis": "analysis", "signals": "signals"},
     )
@@ -231,8 +231,8 @@ def second_gate(spark: SparkSession, sf: str) -> DataFrame:
 )
 def first_match_category(spark: SparkSession, sf: str) -> DataFrame:
     """Category by the first rule that matches source or text."""
-    text = F.lower(F.concat_ws("\n", "source", "text"))
-    return Tables(spark, sf).documents.select("doc_id", mt.first_match(text, ru.FIRST_MATCH).alias("category"))
+    docs = Tables(spark, sf).documents.select("doc_id", F.lower(F.concat_ws("\n", "source", "text")).alias("t"))
+    return docs.select("doc_id", mt.first_match("t", ru.FIRST_MATCH).alias("category"))
 
 
 def _class(marks) -> str:

@@ -42,7 +42,7 @@ def test_bounded_terms_do_not_touch_letters(spark):
     df = spark.createDataFrame(
         [("it was issued",), ("we will sue you",), ("sue.",), ("x-sue_1",), ("请起诉吧",), ("敏感 oauth2",)], "t string"
     )
-    found = [r[0] for r in df.select(mt.has_bounded(F.col("t"), ("sue", "起诉", "敏感 oauth"))).collect()]
+    found = [r[0] for r in df.select(mt.has_bounded("t", ("sue", "起诉", "敏感 oauth"))).collect()]
     assert found == [False, True, True, True, True, False]
 
 
@@ -75,9 +75,10 @@ def test_gate_keeps_requests_and_drops_marketing(spark):
 def test_a_negative_verdict_filters_the_message(spark):
     df = spark.createDataFrame([("a message", "c@example.com", "other"), ("a message", "c@example.com", "refund")],
                                "t string, s string, category string")
-    out = tr.second_gate(df, "t", "s", analysis=F.lit(""), verdict_is_support=F.lit(False)).collect()
+    df = df.withColumns({"nothing": F.lit(""), "letter": F.lit("this is a newsletter")})
+    out = tr.second_gate(df, "t", "s", analysis="nothing", verdict_is_support=F.lit(False)).collect()
     assert all(r["is_filtered"] and r["filter_reason"] == lx.SECOND_GATE_REASONS["verdict"] for r in out)
-    kept = tr.second_gate(df, "t", "s", analysis=F.lit("this is a newsletter")).collect()
+    kept = tr.second_gate(df, "t", "s", analysis="letter").collect()
     assert [r["is_filtered"] for r in kept] == [True, False]
 
 
