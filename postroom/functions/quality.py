@@ -121,7 +121,13 @@ def protected_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?iU)" + lx.PROTECTED_TOKEN), F.lit(0))
 
 
-def edit_is_safe(original: Column, edited: Column, limit: float = lx.EDIT_LENGTH_LIMIT) -> Column:
-    """An edit may not touch protected tokens nor change the length by more than ``limit``."""
+def edit_is_safe(
+    original: Column, edited: Column, limit: float = lx.EDIT_LENGTH_LIMIT, tokens: tuple[Column, Column] | None = None
+) -> Column:
+    """An edit may not touch protected tokens nor change the length by more than ``limit``.
+
+    ``tokens`` are the protected tokens of both texts, where they are at hand.
+    """
+    before, after = tokens or (protected_tokens(original), protected_tokens(edited))
     change = F.abs(F.length(edited) - F.length(original)) / F.greatest(F.length(original), F.lit(1))
-    return (edited != "") & (protected_tokens(original) == protected_tokens(edited)) & (change <= limit)
+    return (edited != "") & (before == after) & (change <= limit)

@@ -181,8 +181,19 @@ def hash_tokens(text: Column) -> Column:
     return F.concat(words, bigrams)
 
 
+def _hex_digit(digest: Column, position: int) -> Column:
+    return F.position(F.substring(digest, position, 1), F.lit("0123456789abcdef")).cast("long") - 1
+
+
 def digest_bucket(digest: Column, buckets: int) -> Column:
-    """First 32 bits of a hexadecimal digest modulo ``buckets``."""
+    """First 32 bits of a hexadecimal digest modulo ``buckets``.
+
+    For 16, 256, 4096, ... buckets the last hex digits of those bits say it at once.
+    """
+    digits = next((n for n in range(1, 8) if 16**n == buckets), 0)
+    if digits:
+        hexes = [_hex_digit(digest, 8 - i) * 16**i for i in range(digits)]
+        return sum(hexes[1:], hexes[0])
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % buckets
 
 

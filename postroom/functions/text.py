@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from html.entities import name2codepoint
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postroom.functions import lexicon as lx
@@ -304,18 +304,25 @@ def _visible(html: Column) -> Column:
     return F.regexp_replace(out, "</?[A-Za-z][^>]*>", "")
 
 
-def visible_text(text: Column) -> Column:
-    """Readable text of a message body or page: markup, hidden parts and CSS preambles removed."""
-    raw = unescape_html(text)
-    shown = _visible(raw)
-    plain = F.when(raw.rlike(HTML_HINT) & (strip(shown) != ""), strip(shown)).otherwise(raw)
-    plain = unify_newlines(plain)
+def with_visible_text(df: DataFrame, html: str, name: str) -> DataFrame:
+    """Add the readable text of a message body or page: markup, hidden parts and CSS preambles removed.
+
+    The steps are columns of their own, so that none is computed twice.
+    """
+    shown = F.when(F.col("_raw").rlike(HTML_HINT), strip(_visible(F.col("_raw")))).otherwise(F.lit(""))
+    plain = unify_newlines(F.coalesce(F.nullif(F.col("_shown"), F.lit("")), F.col("_raw")))
     plain = F.regexp_replace(plain, r"(?i)<br\s*/?>|</p\s*>", "\n")
     plain = F.regexp_replace(plain, r"(?i)<li\s*>", "\n- ")
     plain = F.regexp_replace(plain, "<[^>]+>", "")
-    plain = strip_css_preamble(plain)
-    plain = F.regexp_replace(F.regexp_replace(plain, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
-    return strip(plain)
+    readable = strip_css_preamble(F.col("_plain"))
+    readable = F.regexp_replace(F.regexp_replace(readable, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
+    return (
+        df.withColumn("_raw", unescape_html(F.col(html)))
+        .withColumn("_shown", shown)
+        .withColumn("_plain", strip(plain))
+        .withColumn(name, strip(readable))
+        .drop("_raw", "_shown", "_plain")
+    )
 
 
 def _offset(text: Column, pattern: str) -> Column:

@@ -14,7 +14,7 @@ from postroom.functions import text as tx
 from postroom.functions.scoring import char_ngrams
 from postroom.session import cut_lineage
 
-HOT_BUCKET = 64
+HOT_BUCKET = 128
 HOT_TOKENS = 2000
 
 
@@ -198,6 +198,20 @@ def similar_bodies(
     )
     first = cut_lineage(_verified(candidates.distinct(), bodies, numerator, denominator))
 
+    every = first
+    if not full.isEmpty():
+        every = first.unionByName(_leftover(full, led, first, bodies, numerator, denominator))
+    return (
+        every.groupBy(F.col("later").alias("id"))
+        .agg(F.min(F.struct("earlier", "similarity")).alias("_hit"))
+        .select("id", F.col("_hit.earlier").alias("similar_id"), F.col("_hit.similarity").alias("similarity"))
+    )
+
+
+def _leftover(
+    full: DataFrame, led: DataFrame, first: DataFrame, bodies: DataFrame, numerator: int, denominator: int
+) -> DataFrame:
+    """Similar pairs of full buckets that the comparison with the earliest members did not settle."""
     best = first.groupBy(F.col("later").alias("b_id")).agg(F.min("earlier").alias("_best"))
     settled = first.select(F.col("earlier").alias("a_id"), F.col("later").alias("b_id"))
     pending = led.join(settled, ["a_id", "b_id"], "left_anti").join(best, "b_id", "left")
@@ -209,15 +223,10 @@ def similar_bodies(
             & (F.col("a_id") < F.least("b_id", F.coalesce("_best", "b_id")))
             & _sizes_allow(numerator, denominator)
         )
-        .select(*ids)
+        .select(F.col("a_id").alias("earlier"), F.col("b_id").alias("later"))
         .distinct()
     )
-    every = first.unionByName(_verified(rest, bodies, numerator, denominator))
-    return (
-        every.groupBy(F.col("later").alias("id"))
-        .agg(F.min(F.struct("earlier", "similarity")).alias("_hit"))
-        .select("id", F.col("_hit.earlier").alias("similar_id"), F.col("_hit.similarity").alias("similarity"))
-    )
+    return _verified(rest, bodies, numerator, denominator)
 
 
 def near_duplicates(
@@ -241,7 +250,7 @@ def same_file_name(documents: DataFrame, key: str, source: str) -> DataFrame:
     return stems.join(first, "_stem").filter(F.col("same_name_id") < F.col(key)).select(key, "same_name_id")
 
 
-TITLE_GRAMS = (1, 2, 4, 8, 16, 32, 64)
+TITLE_GRAMS = (1, 3, 8, 20, 50)
 
 
 def similar_titles(documents: DataFrame, key: str, title: str) -> DataFrame:

@@ -162,8 +162,7 @@ for _pattern, _put, _mode in (
 )
 def html_visible_text(spark: SparkSession, sf: str) -> DataFrame:
     """Visible text of every page."""
-    visible = tx.visible_text(F.col("html"))
-    shown = Tables(spark, sf).spread("pages", "page_id", "html").select("page_id", visible.alias("visible"))
+    shown = tx.with_visible_text(Tables(spark, sf).spread("pages", "page_id", "html"), "html", "visible")
     return shown.select(
         "page_id", F.length("visible").alias("visible_chars"), F.sha2("visible", 256).alias("visible_hash")
     )
@@ -261,11 +260,15 @@ def _tokens_sql(column: str) -> str:
 def protected_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Protected tokens of every document, and whether cleaning it is a safe edit."""
     cleaned = cp.clean_documents(Tables(spark, sf).spread("documents", "doc_id", "text"), "text")
-    return cleaned.select(
+    found = cleaned.withColumns(
+        {"before": ql.protected_tokens(F.col("text")), "after": ql.protected_tokens(F.col("clean_text"))}
+    )
+    folded = F.regexp_replace(F.array_join("before", " "), "[^\\x00-\\x7f¥￥€£年月日]", "_")
+    return found.select(
         "doc_id",
-        F.size(ql.protected_tokens(F.col("text"))).cast("long").alias("token_count"),
-        F.sha2(F.regexp_replace(F.array_join(ql.protected_tokens(F.col("text")), " "), "[^\\x00-\\x7f¥￥€£年月日]", "_"), 256).alias("token_hash"),
-        ql.edit_is_safe(F.col("text"), F.col("clean_text")).alias("edit_is_safe"),
+        F.size("before").cast("long").alias("token_count"),
+        F.sha2(folded, 256).alias("token_hash"),
+        ql.edit_is_safe(F.col("text"), F.col("clean_text"), tokens=(F.col("before"), F.col("after"))).alias("edit_is_safe"),
     )
 
 
