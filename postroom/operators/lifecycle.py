@@ -44,7 +44,7 @@ def version_history(
     revisions: DataFrame, key: Sequence[str], order: Sequence[str], compared: Sequence[str], stretch: Column
 ) -> DataFrame:
     """Drop revisions equal to the one before; number the rest from 1."""
-    kept = seq.keep_changes(revisions, key, order, compared, stretch)
+    kept = seq.keep_changes(revisions, key, order, compared, stretch, keep_stretch=True)
     return seq.numbered(kept, key, order, stretch, "version_number")
 
 
@@ -106,7 +106,7 @@ def tickets(
     the newest ticket and creates one if there is none. So a ticket starts on the
     first event and on each ``open`` right after a resolve or return.
     """
-    log = seq.with_previous(events, [key], order, F.col(action), stretch, "_prior")
+    log = seq.with_previous(events, [key], order, F.col(action), stretch, "_prior", keep_stretch=True)
     starts = F.col("_prior").isNull() | (
         (F.col(action) == "open") & F.col("_prior").isin("resolve", "return_to_review")
     )

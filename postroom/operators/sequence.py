@@ -4,6 +4,9 @@ A plain ``Window.partitionBy(key)`` sends all rows of a key to one task. Here a
 key's timeline is cut into *stretches* by a monotone expression of the order
 columns (a day, a value range). Windows run inside one stretch; what crosses a
 stretch border travels through a summary with one row per (key, stretch).
+
+Operators that follow one another keep the stretch column (``keep_stretch``): the
+rows are then already where the next windows need them and are not shuffled again.
 """
 
 from __future__ import annotations
@@ -13,16 +16,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+STRETCH = "_stretch"
+
 
 def _stretched(df: DataFrame, key: Sequence[str], order: Sequence[str], stretch: Column):
-    cut = df.withColumn("_stretch", stretch)
+    cut = df if STRETCH in df.columns else df.withColumn(STRETCH, stretch)
     inside = Window.partitionBy(*key, "_stretch").orderBy(*order)
     across = Window.partitionBy(*key).orderBy("_stretch")
     return cut, inside, across
 
 
 def with_previous(
-    df: DataFrame, key: Sequence[str], order: Sequence[str], value: Column, stretch: Column, name: str
+    df: DataFrame, key: Sequence[str], order: Sequence[str], value: Column, stretch: Column, name: str,
+    keep_stretch: bool = False,
 ) -> DataFrame:
     """Add ``name``: ``value`` of the row before, over the whole key, null on its first row."""
     cut, inside, across = _stretched(df, key, order, stretch)
@@ -38,11 +44,12 @@ def with_previous(
         .withColumn("_carry", F.lag("_last").over(across))
         .drop("_last")
     )
-    return (
-        local.join(carried, [*key, "_stretch"], "left")
+    joined = (
+        local.join(carried, [*key, STRETCH], "left")
         .withColumn(name, F.when(F.col("_nth") == 1, F.col("_carry")).otherwise(F.col("_before")))
-        .drop("_value", "_before", "_nth", "_carry", "_stretch")
+        .drop("_value", "_before", "_nth", "_carry")
     )
+    return joined if keep_stretch else joined.drop(STRETCH)
 
 
 def with_running_sum(
@@ -72,11 +79,12 @@ def numbered(df: DataFrame, key: Sequence[str], order: Sequence[str], stretch: C
 
 
 def keep_changes(
-    df: DataFrame, key: Sequence[str], order: Sequence[str], compared: Sequence[str], stretch: Column
+    df: DataFrame, key: Sequence[str], order: Sequence[str], compared: Sequence[str], stretch: Column,
+    keep_stretch: bool = False,
 ) -> DataFrame:
     """Drop rows equal to their predecessor on the ``compared`` columns."""
     state = F.struct(*compared)
-    paired = with_previous(df, key, order, state, stretch, "_previous")
+    paired = with_previous(df, key, order, state, stretch, "_previous", keep_stretch)
     changed = F.col("_previous").isNull() | ~F.col("_previous").eqNullSafe(state)
     return paired.filter(changed).drop("_previous")
 

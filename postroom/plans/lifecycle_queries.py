@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from postroom.operators import lifecycle as lc
 from postroom.operators import sequence as seq
 from postroom.plans.registry import Tables, query
+from postroom.session import cut_lineage
 from postroom.sources import tables as tb
 
 ACTIONS = {"signup": "approve", "click": "revise", "error": "escalate", "purchase": "undo_escalate"}
@@ -103,6 +104,11 @@ def _versions(spark: SparkSession, sf: str) -> DataFrame:
     return lc.version_history(revisions, ["user_id"], ["ts", "event_id"], ["title", "content"], day()).drop("ts")
 
 
+def _stored_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """The version table as it would be stored, for queries that read it several times."""
+    return cut_lineage(_versions(spark, sf))
+
+
 @query(f"WITH {_HISTORY_SQL} SELECT * FROM versions")
 def version_history(spark: SparkSession, sf: str) -> DataFrame:
     """Version numbers of the revisions that change something."""
@@ -118,7 +124,7 @@ def version_history(spark: SparkSession, sf: str) -> DataFrame:
 )
 def version_rollback(spark: SparkSession, sf: str) -> DataFrame:
     """Roll all documents back to the middle of their history."""
-    versions = _versions(spark, sf)
+    versions = _stored_versions(spark, sf)
     targets = (
         versions.groupBy("user_id")
         .agg(F.ceil(F.max("version_number") / F.lit(2.0)).alias("target_version"))
@@ -148,7 +154,7 @@ def version_rollback(spark: SparkSession, sf: str) -> DataFrame:
 )
 def version_delete_guard(spark: SparkSession, sf: str) -> DataFrame:
     """Delete first and current versions; the current ones are refused."""
-    versions = _versions(spark, sf)
+    versions = _stored_versions(spark, sf)
     requests = (
         versions.groupBy("user_id")
         .agg(F.max("version_number").alias("version_number"))
