@@ -31,7 +31,7 @@ _CLEAN_SQL = rf"""lined AS (
 
 @query(
     f"""WITH {_CLEAN_SQL}
-    SELECT doc_id, length(text) AS original_chars, length(clean) AS cleaned_chars,
+    SELECT doc_id, length(text)::INT AS original_chars, length(clean)::INT AS cleaned_chars,
       (len(lines) - len(good))::INT AS noise_lines_removed, sha256(clean) AS content_hash FROM cleaned"""
 )
 def doc_clean_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -158,7 +158,7 @@ for _pattern, _put, _mode in (
     rf"""WITH v AS (SELECT page_id, url, trim({_HTML_SQL}, ' ' || chr(10)) AS t FROM pages),
     w AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(t, '<[^>]+>', '', 'g'), '[ \t]+\n', chr(10), 'g'),
         '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS visible FROM v)
-    SELECT page_id, length(visible) AS visible_chars, sha256(visible) AS visible_hash FROM w"""
+    SELECT page_id, length(visible)::INT AS visible_chars, sha256(visible) AS visible_hash FROM w"""
 )
 def html_visible_text(spark: SparkSession, sf: str) -> DataFrame:
     """Visible text of every page."""

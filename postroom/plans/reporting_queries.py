@@ -275,7 +275,7 @@ def page_blocks(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 @query(
-    f"""WITH {_WORDS_SQL} SELECT doc_id, page, block, text, l AS "left", t AS top, r - l AS width, b - t AS height,
+    f"""WITH {_WORDS_SQL} SELECT doc_id, page, block, text, l AS "left", t AS top, (r - l)::INT AS width, (b - t)::INT AS height,
       round(confidence, 6) AS confidence, zone, position FROM ordered"""
 )
 def page_layout(spark: SparkSession, sf: str) -> DataFrame:
