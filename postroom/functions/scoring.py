@@ -87,11 +87,16 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda total, value: total + value)
 
 
+def _weight_sum(terms: Column) -> Column:
+    """Sum of term weights. They are multiples of 0.05, so rounding only removes float noise."""
+    return F.round(_sum(terms), 4)
+
+
 def keyword_score(terms: Column, content: Column) -> Column:
     """Weights of the six heaviest terms found in the lower-case content, by 8, at most 1."""
     weights = F.transform(F.filter(terms, lambda term: content.contains(term)), term_weight)
     heaviest = F.slice(F.sort_array(weights, asc=False), 1, lx.KEYWORD_TOP_TERMS)
-    return F.least(F.lit(1.0), _sum(heaviest) / F.lit(lx.KEYWORD_DIVISOR))
+    return F.least(F.lit(1.0), _weight_sum(heaviest) / F.lit(lx.KEYWORD_DIVISOR))
 
 
 def category_terms(category: Column, vocabulary: Mapping[str, Sequence[str]] = lx.CATEGORY_TERMS) -> Column:
@@ -113,8 +118,8 @@ def category_score(
     ``content`` is lower case.
     """
     intent = F.array_intersect(terms, category_terms(category, vocabulary))
-    found = _sum(F.transform(F.filter(intent, lambda term: content.contains(term)), term_weight))
-    share = safe_ratio(found, _sum(F.transform(intent, term_weight)))
+    found = _weight_sum(F.transform(F.filter(intent, lambda term: content.contains(term)), term_weight))
+    share = safe_ratio(found, _weight_sum(F.transform(intent, term_weight)))
     aligned = F.when(F.size(intent) == 0, F.lit(lx.CATEGORY_BASE)).otherwise(
         F.least(F.lit(1.0), F.lit(lx.CATEGORY_BASE) + F.lit(lx.CATEGORY_RANGE) * share)
     )

@@ -182,10 +182,10 @@ LIMIT = 3
         lower(c.title || chr(10) || c.source || chr(10) || c.content) AS body,
         list_filter(a.terms, lambda x: list_contains({_CATEGORY_LIST}, x)) AS intent
       FROM recalled p JOIN chunks c USING (row_id) JOIN queries q USING (query_id) JOIN asked a ON a.id = p.query_id),
-    scored AS (SELECT *, least(1.0::DOUBLE, coalesce(list_sum((list_reverse_sort({_weights('list_filter(terms, lambda y: contains(body, y))')}))[1:6]), 0) / 8.0::DOUBLE) AS k,
+    scored AS (SELECT *, least(1.0::DOUBLE, round(coalesce(list_sum((list_reverse_sort({_weights('list_filter(terms, lambda y: contains(body, y))')}))[1:6]), 0), 4) / 8.0::DOUBLE) AS k,
         CASE WHEN category = 'other' OR category <> row_category THEN 0.0::DOUBLE WHEN len(intent) = 0 THEN 0.65::DOUBLE
-          ELSE least(1.0::DOUBLE, 0.65::DOUBLE + 0.35::DOUBLE * coalesce(list_sum({_weights('list_filter(intent, lambda y: contains(body, y))')}), 0)
-            / list_sum({_weights('intent')})) END AS c FROM pairs),
+          ELSE least(1.0::DOUBLE, 0.65::DOUBLE + 0.35::DOUBLE * round(coalesce(list_sum({_weights('list_filter(intent, lambda y: contains(body, y))')}), 0), 4)
+            / round(list_sum({_weights('intent')}), 4)) END AS c FROM pairs),
     mixed AS (SELECT *, greatest(0.0::DOUBLE, least(0.99::DOUBLE, similarity * 0.48::DOUBLE + k * 0.34::DOUBLE + c * 0.18::DOUBLE)) AS m FROM scored),
     final AS (SELECT *, CASE WHEN c > 0 AND (k > 0 OR similarity > 0) THEN greatest(m, 0.24::DOUBLE) ELSE m END AS s FROM mixed),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, r) AS hit_rank FROM final WHERE s >= 0.18)
