@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postroom.llm import quality_rules, secret_scan
+from postroom.llm import quality_rules, secret_scan, sequence_packing, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -71,3 +71,19 @@ FROM f
 @query(OP10_SQL)
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"), measures=True).drop("rejected_by")
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return sequence_packing.pack(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query()
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.measure(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
