@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,13 @@ UPPER_TO_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqr
 BROADCAST_ROWS = 4_000_000
 
 
+def visible(df: DataFrame) -> DataFrame:
+    """``df``, after telling Python workers where this package lies (they need not start in its folder)."""
+    root = str(Path(__file__).resolve().parents[2])
+    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", root)
+    return df
+
+
 def arrow_map(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[Sequence]], schema: str) -> DataFrame:
     """Apply ``fn`` to each Arrow batch: columns as Python lists in, rows as tuples out.
 
@@ -36,7 +44,7 @@ def arrow_map(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[Sequence]]
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.record_batch([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return visible(df).mapInArrow(run, schema)
 
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postroom.llm import quality_rules, secret_scan, sequence_packing, token_counts
+from postroom.llm import quality_rules, secret_scan, sequence_packing, token_counts, toxicity
+
+from postroom.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,3 +90,15 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.measure(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def held_out(df: DataFrame) -> DataFrame:
+    """Result rows with the fold that learning never sees."""
+    return df.withColumn("held_out", fold("doc_id") == 2)
+
+
+@query()
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"), train=fold("doc_id") != 2)
+    return held_out(toxicity.score(docs, model))

@@ -11,7 +11,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postroom.llm.common import arrow_map
+from postroom.llm.common import arrow_map, visible
 
 # FIXED VALUES: the base patterns and the least lengths of what they match.
 ASSIGN = re.compile(
@@ -164,7 +164,7 @@ def redact_documents(docs: DataFrame, *, text: str = "text", chars: str = "n_cha
             arrays[at] = pa.array(values, type=batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
-    done = docs.mapInArrow(clean, docs.schema)
+    done = visible(docs).mapInArrow(clean, docs.schema)
     if chars in docs.columns and chars != text:
         counted = F.length(F.col(text)).cast(docs.schema[chars].dataType)
         done = done.withColumn(chars, F.when(F.col(text).isNull(), F.col(chars)).otherwise(counted))
