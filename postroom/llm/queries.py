@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postroom.llm import quality_rules, secret_scan, sequence_packing, token_counts, toxicity
+from postroom.llm import language_id, quality_rules, secret_scan, sequence_packing, token_counts, toxicity
 
 from postroom.llm.common import fold
 
@@ -94,7 +94,13 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def held_out(df: DataFrame) -> DataFrame:
     """Result rows with the fold that learning never sees."""
-    return df.withColumn("held_out", fold("doc_id") == 2)
+    return df.withColumn("held_out", F.coalesce(fold("doc_id") == 2, F.lit(False)))
+
+
+@query()
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return held_out(language_id.identify(docs, language_id.fit(docs, train=fold("doc_id") != 2)))
 
 
 @query()
