@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postroom.llm import language_id, quality_rules, secret_scan, sequence_packing, token_counts, toxicity
+from postroom.llm import html_extraction, language_id, quality_rules, secret_scan, sequence_packing, token_counts, toxicity
 
 from postroom.llm.common import fold
 
@@ -108,3 +108,8 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = toxicity.fit(docs, table(spark, folder, "labels"), train=fold("doc_id") != 2)
     return held_out(toxicity.score(docs, model))
+
+
+@query()
+def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extraction.extract(table(spark, folder, "pages"))
