@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postroom.llm import html_extraction, language_id, quality_rules, secret_scan, sequence_packing, token_counts, toxicity
+from postroom.llm import html_extraction, jaccard_join, language_id, quality_rules, secret_scan, sequence_packing, token_counts, toxicity
 
 from postroom.llm.common import fold
 
@@ -113,3 +113,37 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_extraction.extract(table(spark, folder, "pages"))
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, row_id, CASE WHEN len(w) = 0 THEN []
+    WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS g
+  FROM d
+), k AS (
+  SELECT min(row_id) AS node, min(doc_id) AS least, g FROM s WHERE len(g) > 0 GROUP BY g
+), t AS (
+  SELECT node, len(g) AS n, unnest(g) AS t FROM k
+), links AS (
+  SELECT a.node AS x, b.node AS y FROM t a JOIN t b ON a.t = b.t AND a.node < b.node AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), both_ways AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), walk AS (
+  WITH RECURSIVE r AS (SELECT node, node AS other FROM k UNION SELECT r.node, b.y FROM r JOIN both_ways b ON r.other = b.x)
+  SELECT r.node, min(k.least) AS component_id FROM r JOIN k ON k.node = r.other GROUP BY r.node
+)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, CASE WHEN len(s.g) = 0 THEN s.doc_id ELSE w.component_id END AS component_id
+FROM s LEFT JOIN k ON k.g = s.g LEFT JOIN walk w ON w.node = k.node
+"""
+
+
+@query(OP9_SQL)
+def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.join(table(spark, folder, "documents"))
