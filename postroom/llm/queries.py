@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postroom.llm import html_extraction, jaccard_join, language_id, quality_rules, secret_scan, sequence_packing, token_counts, toxicity
+from postroom.llm import decontamination, html_extraction, jaccard_join, language_id, quality_rules, secret_scan, sequence_packing, token_counts, toxicity
 
 from postroom.llm.common import fold
 
@@ -147,3 +147,37 @@ FROM s LEFT JOIN k ON k.g = s.g LEFT JOIN walk w ON w.node = k.node
 @query(OP9_SQL)
 def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.join(table(spark, folder, "documents"))
+
+
+OP8_SQL = r"""
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS row_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents
+), d AS (
+  SELECT doc_id, row_id, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    ELSE [array_to_string(w, ' ')] END AS h
+  FROM words WHERE len(w) > 0
+), item_words AS (
+  SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark
+), b AS (
+  SELECT item_id, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    ELSE [array_to_string(w, ' ')] END AS g
+  FROM item_words WHERE len(w) > 0
+), met AS (
+  SELECT DISTINCT x.row_id, y.item_id
+  FROM (SELECT row_id, unnest(h) AS t FROM d) x JOIN (SELECT item_id, unnest(g) AS t FROM b) y USING (t)
+), windows AS (
+  SELECT d.doc_id, b.item_id, d.h[p:p + least(len(d.h), len(b.g)) - 1] AS part, b.g
+  FROM met JOIN d USING (row_id) JOIN b USING (item_id), unnest(range(1, len(d.h) - least(len(d.h), len(b.g)) + 2)) AS s(p)
+), counted AS (
+  SELECT doc_id, item_id, len(part) + len(g) AS total, CAST(list_sum(list_transform(list_distinct(part),
+           lambda t: least(len(list_filter(part, lambda x: x = t)), len(list_filter(g, lambda x: x = t))))) AS BIGINT) AS both_have
+  FROM windows WHERE len(list_intersect(part, g)) > 0
+)
+SELECT doc_id, item_id, max(both_have / (total - both_have)) AS similarity
+FROM counted WHERE 100 * both_have >= 80 * (total - both_have) GROUP BY doc_id, item_id
+"""
+
+
+@query(OP8_SQL)
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
