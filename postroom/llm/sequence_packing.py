@@ -7,17 +7,23 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Mapping
 from functools import lru_cache
+from unicodedata import is_normalized
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postroom.llm.common import WORD, arrow_map
+from postroom.llm.common import arrow_map
 from postroom.session import cut_lineage
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 CACHED_LENGTH = 48
+PUNCTUATION = ".,;:!?|*#$%&()-"
+# Characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from 256 on.
+BYTE_CHARACTERS = {
+    b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b < 256))
+}
 
 Placed = tuple[int, int, int, int, int]
 
@@ -25,7 +31,7 @@ Placed = tuple[int, int, int, int, int]
 class WordIds(dict):
     """Identifier bytes of the words seen by this process; emptied when full.
 
-    A text between ASCII white space is encoded on its own: the tokenizer drops white space before
+    Keys are UTF-8, as bytes split at ASCII white space faster. A text between ASCII white space is encoded on its own: the tokenizer drops white space before
     it merges, so the concatenation is the encoding of the whole text.
     """
 
@@ -35,19 +41,55 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Encodings of ``words`` not yet held; short ones are kept, long ones only returned."""
+        self.model, self.tails = self.tokenizer.model, {}
+        self.held = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+
+    def plain(self, word: str) -> bytes | None:
+        """Encoding of letters with punctuation behind them, by the merges alone; None for any other word.
+
+        The tokenizer lower-cases such a word, cuts it before the punctuation and writes its bytes as
+        characters; doing so here saves the bookkeeping of a full encoding.
+        """
+        core = word if word.isalpha() else word.rstrip(PUNCTUATION)
+        low = core.lower()
+        if not low.isalpha():
+            return None
+        if not low.isascii():
+            if "Σ" in core or not is_normalized("NFC", core):
+                return None  # lower-casing or composing may look at neighbours
+            low = low.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+        held = self.held
+        ids = b"".join([held[t.id] for t in self.model.tokenize(low)])
+        if len(core) == len(word):
+            return ids
+        tail = word[len(core) :]
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[tail] = b"".join([held[t.id] for t in self.model.tokenize(tail)])
+        return ids + self.tails[tail]
+
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Encodings of ``words`` (UTF-8) not yet held; short ones are kept, long ones only returned."""
         fresh = [w for w in words if w not in self]
-        coded = self.tokenizer.encode_batch(fresh, add_special_tokens=False) if fresh else []
         if len(self) + len(fresh) > CACHED_WORDS:
             kept = {w: self[w] for w in words if w in self}
             self.clear()
             self.update(kept)
-        extra = {}
-        for word, code in zip(fresh, coded, strict=True):
-            held = b"".join(i.to_bytes(4, "little") for i in code.ids)
-            (self if len(word) <= CACHED_LENGTH else extra)[word] = held
+        rest, extra = [], {}
+        tokenize, held, plain = self.model.tokenize, self.held, self.plain
+        for word in fresh:
+            text = word.decode()
+            if len(text) == len(word) and text.isalpha():  # ASCII letters, the usual case
+                ids = b"".join([held[t.id] for t in tokenize(text.lower())])
+            elif (ids := plain(text)) is None:
+                rest.append(word)
+                continue
+            (self if len(word) <= CACHED_LENGTH else extra)[word] = ids
+        if rest:
+            coded = self.tokenizer.encode_batch([w.decode() for w in rest], add_special_tokens=False)
+            for word, code in zip(rest, coded, strict=True):
+                (self if len(word) <= CACHED_LENGTH else extra)[word] = b"".join([held[i] for i in code.ids])
         return extra
 
 
@@ -70,10 +112,9 @@ def tokenize_pieces(
 
     def run(batch: dict[str, list]):
         held = word_ids(path)
-        split = [WORD.findall(t) if t else [] for t in batch["text"]]
-        for at in range(0, len(split), 500):  # words of few texts at a time, so that little is kept beside the cache
-            part = split[at : at + 500]
-            extra = held.learn({w for words in part for w in words})
+        for at in range(0, len(batch["text"]), 500):  # words of few texts at a time, so that little is kept beside the cache
+            part = [t.encode().split() if t else [] for t in batch["text"][at : at + 500]]
+            extra = held.learn(set().union(*part))
             find = (lambda w: extra[w] if w in extra else held[w]) if extra else held.__getitem__
             for doc_id, words in zip(batch["doc_id"][at : at + 500], part, strict=True):
                 ids = b"".join(map(find, words)) + end
