@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postroom.llm import decontamination, html_extraction, jaccard_join, language_id, quality_rules, secret_scan, sequence_packing, token_counts, toxicity
+from postroom.llm import decontamination, html_extraction, jaccard_join, language_id, pseudonyms, quality_rules, secret_scan, sequence_packing, token_counts, toxicity
 
 from postroom.llm.common import fold
 
@@ -181,3 +181,9 @@ FROM counted WHERE 100 * both_have >= 80 * (total - both_have) GROUP BY doc_id,
 @query(OP8_SQL)
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query()
+def op6_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymize(docs, "pseudonym key of the test tables")
