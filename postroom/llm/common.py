@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # FIXED VALUES: a word is a run of anything but the six ASCII white-space characters.
@@ -16,6 +16,7 @@ WORD = re.compile(WORD_PATTERN)
 UPPER_TO_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 BROADCAST_ROWS = 4_000_000
+BATCH_ROWS = 1000
 
 
 def visible(df: DataFrame) -> DataFrame:
@@ -28,8 +29,8 @@ def visible(df: DataFrame) -> DataFrame:
 def arrow_map(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[Sequence]], schema: str) -> DataFrame:
     """Apply ``fn`` to each Arrow batch: columns as Python lists in, rows as tuples out.
 
-    ``schema`` is a DDL string; its columns name the output. Batches are bounded by Spark
-    (rows and bytes), so memory does not depend on the partition size.
+    ``schema`` is a DDL string; its columns name the output. ``fn`` sees at most ``BATCH_ROWS`` rows at
+    a time, so memory does not depend on the partition size.
     """
     struct = df.sparkSession.createDataFrame([], schema).schema
     names = [f.name for f in struct.fields]
@@ -39,7 +40,7 @@ def arrow_map(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[Sequence]]
     read = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS)):
             rows = fn({name: batch.column(i).to_pylist() for i, name in enumerate(read)})
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.record_batch([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
@@ -60,3 +61,14 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def fold(column: str, expected: int = 4) -> Column:
     """``crc32(id as text) mod expected``: the fold of a row."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(expected))
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -19,11 +19,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import lru_cache
 from itertools import combinations
-from math import comb
+from math import comb, exp, sqrt
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postroom.llm.common import arrow_map, checked_broadcast
@@ -112,15 +112,29 @@ class Scheme:
     def list_cost(self, n: int) -> int:
         return LIST_WEIGHT * (self.difference(n, n) + 1)
 
+    def classes(self, low: int, high: int) -> tuple[int, int]:
+        """Classes for larger sizes from ``low`` to ``high``, and how many of them a set may leave empty.
+
+        With D + 1 + e classes, e + 1 are equal in both sets of a pair; so if one of them has at most e empty
+        classes, a class with content is equal. e is what a set rarely exceeds.
+        """
+        needed = self.difference(high, high) + 1
+        smallest = -(-low * self.percent // 100)
+        for spare in range(needed // 4 + 1):
+            mean = (needed + spare) * exp(-smallest / (needed + spare))
+            if spare >= mean + 3 * sqrt(mean) - 0.5:
+                break
+        return needed + spare, spare
+
     @lru_cache(maxsize=None)  # noqa: B019 - one scheme per process
-    def levels(self, n: int) -> tuple[tuple[int, int], ...]:
-        """(level, classes) of each range of sizes that holds a possible larger partner of a set of size n."""
+    def levels(self, n: int) -> tuple[tuple[int, int, int], ...]:
+        """(level, classes, spare) of each range of sizes that holds a possible larger partner of a set of size n."""
         found, low, level = [], self.boundary + 1, 0
         top = self.largest_partner(n)
         while low <= top:
             high = int(low * LEVEL_RATIO)
             if high >= n:
-                found.append((level, self.difference(high, high) + 1))
+                found.append((level, *self.classes(low, high)))
             low, level = high + 1, level + 1
         return tuple(found)
 
@@ -129,30 +143,28 @@ class Scheme:
         n = len(shingles)
         token = mixed(shingles)
         found: list[np.ndarray] = []
-        if n <= self.boundary and self.largest_partner(n) > n - (self.left_out(n) > 0):
+        if n <= self.boundary and (self.left_out(n) or self.largest_partner(n) > n):
             total = token.sum(dtype=U)
             for j in range(self.left_out(n) + 1):
                 out = np.fromiter((token[list(c)].sum(dtype=U) for c in combinations(range(n), j)), U)
                 found.append(mixed((total - out) ^ np.array(n - j, U) * MIX_1))
-        for level, classes in self.levels(n):
-            first = class_sums(token, shingles >> U(32), classes)
-            place = np.arange(classes, dtype=U)
+        for level, classes, spare in self.levels(n):
+            by = (shingles >> U(32)) * U(classes) >> U(32)
             tag = U(level + 1) << U(40)
-            empty = np.flatnonzero(np.bincount(((shingles >> U(32)) * U(classes) >> U(32)).astype(np.int64), minlength=classes) == 0)
-            keys = mixed(mixed(first + tag) + place * MIX_1)
-            if len(empty):  # nothing in common is no evidence: such a class counts with each class of a second dealing
-                second = class_sums(token, shingles & U(0xFFFFFFFF), classes)
-                found.append(np.delete(keys, empty))
+            place = np.arange(classes, dtype=U)
+            keys = mixed(mixed(class_sums(token, by, classes) + tag) + place * MIX_1)
+            empty = np.flatnonzero(np.bincount(by.astype(np.int64), minlength=classes) == 0)
+            found.append(np.delete(keys, empty) if len(empty) else keys)
+            if len(empty) > spare:  # an empty class is no evidence: it counts with each class of a second dealing
+                second = class_sums(token, (shingles & U(0xFFFFFFFF)) * U(classes) >> U(32), classes)
                 found.extend(mixed(mixed(second + tag + U(e + 1)) + (place + U(1) << U(24)) * MIX_1) for e in empty.tolist())
-            else:
-                found.append(keys)
         return np.unique(np.concatenate(found)) if found else np.zeros(0, U)
 
 
 def class_sums(token: np.ndarray, by: np.ndarray, classes: int) -> np.ndarray:
     """Sum of the tokens in each class: a hash of the class's content that needs no order."""
     sums = np.zeros(classes, U)
-    np.add.at(sums, (by * U(classes) >> U(32)).astype(np.int64), token)
+    np.add.at(sums, by.astype(np.int64), token)
     return sums
 
 
@@ -166,28 +178,53 @@ def set_hash(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def listed(rows: DataFrame, scheme: Scheme, width: int) -> DataFrame:
-    """Per row ``doc_id, print, n, node`` and, for the first of equal sets in a batch, its keys and parity bits."""
+def described(rows: DataFrame, scheme: Scheme, width: int) -> DataFrame:
+    """Per row ``doc_id, print, n, node``: the set's size and hash; for the first of equal sets of a batch also
+    ``bits``, its parity bits, and its keys: ``first`` where it is the first of the batch, ``later`` the others.
+
+    Only the first ones meet in the shuffle that finds the keys of two sets, so that a key of very
+    many sets arrives there once per batch, not once per set.
+    """
 
     def run(batch: dict[str, list]) -> Iterable[tuple]:
-        seen: dict[int, int] = {}
-        texts: dict[str, tuple[int, int]] = {}
+        texts: dict[str | None, tuple] = {}
+        seen: set[int] = set()
+        taken: set[int] = set()
         for doc_id, mark, value in zip(batch["doc_id"], batch["print"], batch["text"], strict=True):
             if value in texts:
-                n, node = texts[value]
-                yield doc_id, mark, n, node, None, None
+                yield doc_id, mark, *texts[value], None, None, None
                 continue
             s = shingle_set(value, width)
-            node = set_hash(s)
-            texts[value] = len(s), node
-            if not len(s) or node in seen:
-                yield doc_id, mark, len(s), node, None, None
-            else:
-                seen[node] = 1
-                yield doc_id, mark, len(s), node, scheme.keys(s).view(np.int64).tolist(), parity(s).tolist()
+            n, node = texts[value] = len(s), set_hash(s)
+            if not n or node in seen:
+                yield doc_id, mark, n, node, None, None, None
+                continue
+            seen.add(node)
+            keys = scheme.keys(s).view(np.int64).tolist()
+            later = list(taken.intersection(keys))
+            first = list(set(keys).difference(later)) if later else keys
+            taken.update(first)
+            yield doc_id, mark, n, node, parity(s).tolist(), first, later
 
     kind = dict(rows.dtypes)["doc_id"]
-    return arrow_map(rows, run, f"doc_id {kind}, print long, n long, node long, keys array<long>, bits array<long>")
+    return arrow_map(rows, run, f"doc_id {kind}, print long, n long, node long, bits array<long>, first array<long>, later array<long>")
+
+
+def shared_lists(base: DataFrame) -> DataFrame:
+    """Entries ``key, node, low, high`` of the lists with two sets or more; low and high are members of the list."""
+    alike = Window.partitionBy("key")
+    some = base.filter("bits IS NOT NULL")
+    met = some.select("node", F.explode("first").alias("key")).select(
+        "key", "node", F.min("node").over(alike).alias("low"), F.max("node").over(alike).alias("high")
+    )
+    others = some.filter("size(later) > 0").select("node", F.explode("later").alias("key"))
+    crowded = others.groupBy("key").agg(F.min("node").alias("l"), F.max("node").alias("h"))
+    every = cut_lineage(
+        met.join(crowded, "key", "left").filter("low < high OR l IS NOT NULL")
+        .select("key", "node", F.least("low", "l").alias("low"), F.greatest("high", "h").alias("high"))
+    )
+    ends = every.select("key", "low", "high").distinct()
+    return every.unionByName(others.join(ends, "key").select("key", "node", "low", "high")).distinct()
 
 
 def close_enough(percent: int) -> str:
@@ -222,15 +259,18 @@ def join(
     """
     scheme = Scheme(percent)
     rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text")).withColumn("print", F.xxhash64("text"))
-    base = cut_lineage(listed(rows, scheme, width))
-    index = base.filter("keys IS NOT NULL").select("node", F.explode("keys").alias("key"))
-    shared = index.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    lists = cut_lineage(index.join(shared, "key").distinct())
-    nodes = (
-        base.filter("keys IS NOT NULL").join(lists.select("node").distinct(), "node", "left_semi")
+    base = cut_lineage(described(rows, scheme, width))
+    roots = linked_sets(rows, base, percent, width)
+    return labelled(base, roots)
+
+
+def linked_sets(rows: DataFrame, base: DataFrame, percent: int, width: int) -> DataFrame:
+    """``node, root`` for each set that links to a set of a smaller hash."""
+    lists = cut_lineage(shared_lists(base))
+    nodes = cut_lineage(
+        base.filter("bits IS NOT NULL").join(lists.select("node").distinct(), "node", "left_semi")
         .groupBy("node").agg(F.min("print").alias("print"), F.min("n").alias("n"), F.min("bits").alias("bits"))
     )
-    nodes = cut_lineage(nodes)
 
     def sets_of(batch: dict[str, list]) -> Iterable[tuple]:
         done: set[int] = set()
@@ -286,7 +326,7 @@ def join(
         if not more.isEmpty():
             links = cut_lineage(links.unionByName(more).distinct())
             roots = connected_components(links)
-    return labelled(base, roots)
+    return roots
 
 
 def labelled(base: DataFrame, roots: DataFrame) -> DataFrame:
@@ -297,3 +337,34 @@ def labelled(base: DataFrame, roots: DataFrame) -> DataFrame:
     named = top.join(lowest, "root").select("node", "component_id")
     met = base.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, "node", "left")
     return met.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def deduplicate(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS, percent: int = PERCENT
+) -> DataFrame:
+    """One row of each group that links: that of the smallest id (null ids last; of one id, the lowest text hash).
+
+    Texts without words link with nothing and all stay. All columns stay as they are.
+    """
+    scheme = Scheme(percent)
+    rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text")).withColumn("print", F.xxhash64("text"))
+    base = cut_lineage(described(rows, scheme, width))
+    roots = linked_sets(rows, base, percent, width)
+    known = base.filter("n > 0").groupBy("node", "doc_id", "print").agg(F.count(F.lit(1)).alias("copies"))
+    placed = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "print")
+    best = placed.groupBy("root").agg(F.min(rank).alias("best"))
+    marks = placed.join(best, "root").select("doc_id", "print", "copies", (rank == F.col("best")).alias("stays"))
+    # Most rows stay, so only the others are looked up: those that go, and those of which equal rows exist.
+    odd = cut_lineage(marks.filter("NOT stays OR copies > 1").select(
+        F.col("doc_id").alias("_id"), F.col("print").alias("_print"), "stays"
+    ))
+    marked = docs.withColumn("_mark", F.struct(F.col(key).alias("id"), F.xxhash64(docs[text]).alias("print"))) if "_mark" not in docs.columns else None
+    if marked is None:
+        raise ValueError("the column name _mark is taken")
+    met = marked.join(
+        checked_broadcast(odd), F.col("_mark.id").eqNullSafe(F.col("_id")) & (F.col("_mark.print") == F.col("_print")), "left"
+    )
+    single = met.filter("stays IS NULL").select(docs.columns)
+    repeated = met.filter("stays").dropDuplicates(["_id", "_print"]).select(docs.columns)
+    return single.unionByName(repeated)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postroom.llm import decontamination, html_extraction, jaccard_join, language_id, pseudonyms, quality_rules, secret_scan, sequence_packing, token_counts, toxicity
 
-from postroom.llm.common import fold
+from postroom.llm.common import fold, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,10 +26,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
 @query()
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.scan(table(spark, folder, "documents"))
@@ -76,12 +72,6 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"), measures=True).drop("rejected_by")
 
 
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 @query()
 def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return sequence_packing.pack(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
@@ -187,3 +177,10 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op6_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return pseudonyms.pseudonymize(docs, "pseudonym key of the test tables")
+
+
+@query()
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
