@@ -89,18 +89,18 @@ def vector_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH {_weights_sql('w', 'documents', 'doc_id', 'text')},
-    stored AS (SELECT doc_id, CASE WHEN label < 5 THEN len(embedding) END AS d FROM documents JOIN embeddings ON doc_id = vec_id),
+    stored AS (SELECT doc_id, CASE WHEN label < 5 THEN len(embedding) END AS d FROM documents LEFT JOIN embeddings ON doc_id = vec_id),
     filled AS (SELECT id, count(*) AS n, round(sum(weight) * 1000000)::BIGINT AS total FROM w GROUP BY id)
     SELECT doc_id, {DIM} AS dimensions, coalesce(n, 0) AS non_zero, coalesce(total, 0) AS total
     FROM stored LEFT JOIN filled ON doc_id = id"""
 )
 def vector_repair(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors of a missing or wrong length are hashed anew from the text."""
+    """Vectors that are missing, also for want of a row, or of a wrong length are hashed anew from the text."""
     t = Tables(spark, sf)
     stored = t.embeddings.select(
         F.col("vec_id").alias("doc_id"), F.when(F.col("label") < 5, F.col("embedding")).alias("embedding")
     )
-    rows = t.spread("documents", "doc_id", "text").join(stored, "doc_id")
+    rows = t.spread("documents", "doc_id", "text").join(stored, "doc_id", "left")
     repaired = rt.repair_vectors(rows, "doc_id", "text")
     return repaired.select(
         "doc_id",

@@ -313,16 +313,16 @@ def expectations_quarantine(spark: SparkSession, sf: str) -> DataFrame:
 
 _LABELLED_SQL = """mails AS (
       SELECT d.doc_id, d.lang, d.n_chars, lower(d.text) AS t, lower(d.source) AS s, l.quality, l.toxic
-      FROM documents d JOIN labels l USING (doc_id))"""
+      FROM documents d LEFT JOIN labels l USING (doc_id))"""
 
 
 def labelled(t: Tables) -> DataFrame:
-    return mails(t).join(t.labels, "doc_id")
+    return mails(t).join(t.labels, "doc_id", "left")
 
 
 @query(
     f"""WITH {_LABELLED_SQL}, {assessed_sql('mails')},
-    raw AS (SELECT *, n_chars % 5 = 4 AS no_answer, n_chars % 11 = 0 AS cut,
+    raw AS (SELECT *, n_chars % 5 = 4 OR quality IS NULL AS no_answer, n_chars % 11 = 0 AS cut,
         CASE WHEN n_chars % 7 = 0 THEN 'unknown' WHEN quality = 1 THEN 'technical' ELSE 'billing' END AS v_category,
         ((n_chars % 120) / 100.0)::DOUBLE AS v_confidence,
         CASE WHEN toxic = 1 THEN 'high' WHEN quality = 0 THEN 'medium' ELSE 'low' END AS v_level FROM assessed),
@@ -352,7 +352,7 @@ def verdict_guardrail(spark: SparkSession, sf: str) -> DataFrame:
         )
     )
     cut = F.when(F.col("n_chars") % 11 == 0, F.left(answer, F.length(answer) - 1)).otherwise(answer)
-    answers = ruled.filter(F.col("n_chars") % 5 != 4).select(
+    answers = ruled.filter((F.col("n_chars") % 5 != 4) & F.col("quality").isNotNull()).select(
         "doc_id", F.concat(F.lit("```json\n"), cut, F.lit("\n```")).alias("answer")
     )
     verdicts = ex.parse_verdicts(answers, "answer").filter(F.col("verdict").isNotNull())
@@ -375,18 +375,18 @@ def verdict_guardrail(spark: SparkSession, sf: str) -> DataFrame:
              FROM hits)
     SELECT doc_id, array_to_string(bands, ',') AS bands,
       len(list_filter(bands, lambda b: b IN ('strong', 'medium'))) AS grounded_hits,
-      CASE WHEN risk_level = 'low' AND toxic = 0 AND category <> 'other' AND confidence >= 0.7
+      CASE WHEN risk_level = 'low' AND coalesce(toxic, 0) = 0 AND category <> 'other' AND confidence >= 0.7
                 AND list_contains(bands, 'strong') THEN 'ready_to_send' ELSE 'human_review' END AS status
     FROM banded"""
 )
 def review_routing(spark: SparkSession, sf: str) -> DataFrame:
-    """Route each labelled message by risk, certainty and the reliability of its evidence."""
+    """Route each message by risk, certainty and the reliability of its evidence."""
     ready = assessed(labelled(Tables(spark, sf)))
     scores = F.array(*[(F.col("n_chars") % m) / 100.0 for m in (97, 53, 31)])
     hits = F.transform(scores, lambda s: F.struct(s.alias("score"), sc.reliability(s).alias("reliability")))
     ready = ready.withColumn("knowledge_hits", hits)
     status = tr.review_route(
-        F.col("risk_level"), F.col("toxic") == 1, F.col("category"), F.col("confidence"), F.col("knowledge_hits")
+        F.col("risk_level"), F.coalesce("toxic", F.lit(0)) == 1, F.col("category"), F.col("confidence"), F.col("knowledge_hits")
     )
     return ready.select(
         "doc_id",
@@ -398,7 +398,7 @@ def review_routing(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def best_alternative(spark: SparkSession, sf: str) -> DataFrame:
-    """Best decoded of three alternative bodies per document: as is, re-decoded as Latin-1, lower case."""
+    """Best decoded of two alternative bodies per document: as is, and read as Latin-1."""
     from postroom.operators.layout import pick_best
 
     docs = Tables(spark, sf).spread("documents", "doc_id", "text")

@@ -35,13 +35,20 @@ def read_corpus(spark: SparkSession, root: str, suffixes=(".md", ".txt")) -> Dat
     )
 
 
-def read_cases(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
+def read_cases(spark: SparkSession, path: str, limit: int = 0, quarantine: bool = False) -> DataFrame:
     """Labelled cases from JSON lines, with defaults; blank lines are skipped.
 
-    A case without id or with an id that occurs twice, and an empty file, fail when
-    the rows are used.
+    A line that is no JSON object, or a case without id, fails when the rows are used. With
+    ``quarantine`` such lines stay as rows, with the line in ``bad_line`` and why in ``problem``.
+    Ids that occur twice and an empty file are found by ``check_cases``.
     """
-    raw = spark.read.schema(schemas.CASE).json(path).filter(F.col("id").isNotNull())
+    lines = spark.read.text(path).filter(F.trim("value") != "").select("value")
+    parsed = lines.select("value", F.from_json("value", f"{schemas.CASE}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("case"))
+    problem = F.when(F.col("case").isNull() | F.col("case._bad").isNotNull(), "unreadable").when(F.col("case.id").isNull(), "no id")
+    raw = parsed.select("case.*", problem.alias("problem"), F.when(problem.isNotNull(), F.col("value")).alias("bad_line")).drop("_bad")
+    if not quarantine:
+        failed = F.raise_error(F.concat_ws(": ", "problem", "bad_line"))
+        raw = raw.withColumn("id", F.when(F.col("problem").isNotNull(), failed.cast("string")).otherwise(F.col("id"))).drop("problem", "bad_line")
     cases = raw.withColumns(
         {
             "expected_category": F.coalesce("expected_category", F.lit("other")),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,36 +37,39 @@ def append_audit(events: DataFrame, path: str) -> None:
     events.write.mode("append").partitionBy("scope").parquet(path)
 
 
-def replace_by_bucket(rows: DataFrame, path: str, key: str, buckets: int = 256) -> None:
-    """Replace the rows of the given parents; only their buckets are rewritten.
+def replace_by_bucket(rows: DataFrame, path: str, key: str, buckets: int = 256, arrived: DataFrame | None = None) -> None:
+    """Replace all rows of the parents in ``arrived``; only their buckets are read and rewritten.
 
-    Stored rows of touched buckets that belong to other parents are kept. The new
-    content goes to a fresh folder first, so a lost executor never reads a file
-    that the same job is replacing.
+    ``arrived`` holds the parents' keys (default: those of ``rows``). A parent that arrives without
+    rows loses its old ones. Stored rows of other parents are kept. The bucket count of a table is
+    fixed when it is created; later calls keep it. The new content goes to a fresh folder first, so a
+    lost executor never reads a file that the same job is replacing. A bucket is written by several
+    tasks, one per salt.
     """
     spark = rows.sparkSession
-    fresh = rows.withColumn("bucket", F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int"))
-    staged = f"{path.rstrip('/')}_staged"
-    fields = [field for field in fresh.columns if field != "bucket"]
+    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+    keys = (rows if arrived is None else arrived).select(key).distinct()
+    staged = f"{path.rstrip('/')}_staged/{uuid.uuid4().hex}"
     try:
         stored = spark.read.parquet(path)
     except Exception as error:  # noqa: BLE001 - only a missing table may be created
-        if "PATH_NOT_FOUND" not in str(error):
+        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
             raise
         stored = None
-    result = fresh
+    result = rows.withColumn("bucket", bucket)
     if stored is not None:
-        touched = fresh.select("bucket").distinct()
-        kept = stored.join(touched, "bucket", "left_semi").join(fresh.select(key).distinct(), key, "left_anti")
-        result = kept.select(*fields, "bucket").unionByName(fresh)
-    result.repartition("bucket").write.mode("overwrite").parquet(staged)
-    (
-        spark.read.parquet(staged)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
+        touched = [r["bucket"] for r in keys.select(bucket.alias("bucket")).distinct().collect()]  # at most ``buckets`` numbers
+        kept = stored.filter(F.col("bucket").isin(touched)).join(keys, key, "left_anti")
+        result = kept.select(*rows.columns, "bucket").unionByName(result)
+    salt = F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(4))
+    result.repartition("bucket", salt).write.mode("overwrite").parquet(staged)
+    ready = spark.read.parquet(staged)
+    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    if stored is not None:
+        emptied = sorted(set(touched) - {r["bucket"] for r in ready.select("bucket").distinct().collect()})
+        for number in emptied:  # dynamic overwrite leaves partitions without new rows as they are
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/bucket={number}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def write_report(sections: Mapping[str, DataFrame], path: str) -> None:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postroom.operators.corpus import chunk_documents, clean_documents
-from postroom.session import shared_folder
+from postroom.session import cut_lineage, shared_folder
 from postroom.sources.tables import replace_by_bucket
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -75,7 +75,8 @@ def new_messages(
 
 
 def daily_usage(stream: DataFrame, event_time: str, delay: str, by: Sequence[str]) -> DataFrame:
-    """Usage and cost per day; rows later than the watermark are dropped."""
+    """Usage and cost per day. In append or update mode rows later than the watermark are dropped and closed
+    days leave the state; complete mode keeps every day and drops nothing."""
     return (
         with_event_time(stream, event_time, delay)
         .groupBy(F.window(event_time, "1 day").alias("_day"), *by)
@@ -88,13 +89,23 @@ def daily_usage(stream: DataFrame, event_time: str, delay: str, by: Sequence[str
     )
 
 
-def upsert_corpus(stream: DataFrame, path: str, *, key: str, text: str, title: str, source: str, checkpoint: str, buckets: int = 256):
-    """Per micro-batch: clean, chunk and replace the chunks of the documents that arrived."""
+def upsert_corpus(
+    stream: DataFrame, path: str, *, key: str, text: str, title: str, source: str, checkpoint: str, buckets: int = 256,
+    version: Sequence[str] = (),
+):
+    """Per micro-batch: clean, chunk and replace the chunks of the documents that arrived.
+
+    A document that comes several times in a batch counts once, with its greatest ``version`` columns
+    (then text). One that yields no chunk any more loses its old ones.
+    """
 
     def apply(batch: DataFrame, _: int) -> None:
-        cleaned = clean_documents(batch, text)
-        chunks = chunk_documents(cleaned, key=key, text="clean_text", title=title, source=source)
-        replace_by_bucket(chunks, path, key, buckets)
+        rest = [c for c in batch.columns if c != key]
+        order = F.struct(*version, text, *[c for c in rest if c not in (*version, text)])
+        newest = batch.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(key, "_row.*")
+        newest = cut_lineage(newest)
+        chunks = chunk_documents(clean_documents(newest, text), key=key, text="clean_text", title=title, source=source)
+        replace_by_bucket(chunks, path, key, buckets, arrived=newest.select(key))
 
     return stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(apply).start()
 

@@ -147,3 +147,39 @@ def test_split_valid_is_complete(spark):
     df = spark.range(10)
     valid, bad = split_valid(df, {"even": F.col("id") % 2 == 0, "small": F.col("id") < 7})
     assert valid.count() + bad.count() == 10
+
+
+def test_bad_case_lines_fail_or_are_kept_apart(spark, tmp_path):
+    path = tmp_path / "bad.jsonl"
+    path.write_text("\n".join([json.dumps({"id": "1", "subject": "s"}), "", '{"subject": "no id"}', "not json", json.dumps({"id": "2"})]))
+    with pytest.raises(Exception, match="no id|unreadable"):
+        cf.read_cases(spark, str(path)).collect()
+    rows = cf.read_cases(spark, str(path), quarantine=True).collect()
+    assert sorted((r["id"] or "", r["problem"] or "") for r in rows) == [("", "no id"), ("", "unreadable"), ("1", ""), ("2", "")]
+    assert {r["bad_line"] for r in rows} == {None, "not json", '{"subject": "no id"}'}
+
+
+def test_replace_drops_rows_of_emptied_parents(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    rows = lambda items: spark.createDataFrame(items, "doc bigint, text string")
+    keys = lambda items: spark.createDataFrame([(i,) for i in items], "doc bigint")
+    tb.replace_by_bucket(rows([(i, f"old {i}") for i in range(6)]), path, "doc", 64)
+    tb.replace_by_bucket(rows([(2, "new")]), path, "doc", 64, arrived=keys([1, 2, 4]))
+    got = sorted((r["doc"], r["text"]) for r in spark.read.parquet(path).collect())
+    assert got == [(0, "old 0"), (2, "new"), (3, "old 3"), (5, "old 5")]
+
+
+def test_upsert_takes_the_newest_version_and_drops_emptied_documents(spark, tmp_path):
+    schema = "doc_id bigint, text string, title string, source string, at bigint"
+    folder, out = str(tmp_path / "in"), str(tmp_path / "chunks")
+
+    def send(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        jobs.upsert_corpus(spark.readStream.schema(schema).parquet(folder), out, key="doc_id", text="text", title="title", source="source",
+                           checkpoint=str(tmp_path / "cp"), buckets=4, version=["at"]).awaitTermination()
+        return sorted((r["doc_id"], r["content"]) for r in spark.read.parquet(out).collect())
+
+    body = "A body that is long enough to become one chunk of text."
+    first = send([(1, f"old {body}", "T", "a.md", 1), (1, f"new {body}", "T", "a.md", 2), (2, f"two {body}", "T", "b.md", 1)])
+    assert [(i, t[:3]) for i, t in first] == [(1, "new"), (2, "two")]
+    assert [i for i, _ in send([(1, "", "T", "a.md", 3)])] == [2]
