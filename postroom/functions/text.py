@@ -6,7 +6,8 @@ function reads one row's text and stays inside the scan's stage.
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+import json
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -268,11 +269,16 @@ def join_words(words: Column) -> Column:
 
 
 def unescape_html(text: Column) -> Column:
-    """Decode character references once. ``&amp;`` goes last so nothing is decoded twice."""
-    named = F.create_map(*[F.lit(part) for name, code in name2codepoint.items() for part in (name, chr(code))])
-    named = F.map_concat(named, F.create_map(F.lit("apos"), F.lit("'")))
+    """Decode character references once: named (the standard table), decimal and hexadecimal.
+
+    ``&amp;`` goes last so nothing is decoded twice; code points that are none stay as they are.
+    """
+    amp = ("amp", "AMP")
+    # One-letter tables grow the plan, so the names travel as one map literal.
+    known = {name.rstrip(";"): value for name, value in html5.items() if name.endswith(";")}
+    named = F.from_json(F.lit(json.dumps(known)), "map<string,string>")
     names = F.array_distinct(F.regexp_extract_all(text, F.lit("&([A-Za-z][A-Za-z0-9]*);"), F.lit(1)))
-    others = F.array_except(names, F.array(F.lit("amp")))
+    others = F.array_except(names, F.array(*[F.lit(a) for a in amp]))
 
     def put_named(acc, name):
         reference = F.concat(F.lit("&"), name, F.lit(";"))
@@ -280,14 +286,24 @@ def unescape_html(text: Column) -> Column:
 
     def character(code):
         point = F.lpad(F.hex(code.cast("long")), 8, "0")
-        return F.decode(F.unhex(point), "UTF-32")
-
-    def put_decimal(acc, digits):
-        return F.replace(acc, F.concat(F.lit("&#"), digits, F.lit(";")), character(digits))
-
-    decimals = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([0-9]{1,6});"), F.lit(1)))
-    step = F.aggregate(F.array_except(decimals, F.array(F.lit("38"))), F.aggregate(others, text, put_named), put_decimal)
-    step = F.replace(F.replace(step, F.lit("&#38;"), F.lit("&")), F.lit("&amp;"), F.lit("&"))
+        valid = code.cast("long").between(1, 0x10FFFF) & ~code.cast("long").between(0xD800, 0xDFFF)
+        return F.when(valid, F.decode(F.unhex(point), "UTF-32"))
+
+    def put(prefix, base):
+        def step(acc, digits):
+            reference = F.concat(F.lit("&#"), F.lit(prefix), digits, F.lit(";"))
+            code = F.conv(digits, base, 10)
+            return F.replace(acc, reference, F.coalesce(character(code), reference))
+
+        return step
+
+    decimals = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([0-9]{1,7});"), F.lit(1)))
+    step = F.aggregate(others, text, put_named)
+    step = F.aggregate(F.filter(decimals, lambda d: d.cast("long") != 38), step, put("", 10))
+    for prefix in ("x", "X"):
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"&#{prefix}([0-9A-Fa-f]{{1,6}});"), F.lit(1)))
+        step = F.aggregate(F.filter(found, lambda d: F.conv(d, 16, 10) != "38"), step, put(prefix, 16))
+    step = F.regexp_replace(step, "&(?:#0*38|#[xX]0*26|amp|AMP);", "&")
     return F.when(text.contains("&"), step).otherwise(text)
 
 

@@ -357,14 +357,14 @@ def schema_evolution(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_ACTIONS_SQL}
-    SELECT action AS scope, count(*) AS rows, min(ts) AS first_at, max(ts) AS last_at,
-      round(sum(value), 4) AS detail_total FROM actions GROUP BY action"""
+    f"""SELECT coalesce({_case(ACTIONS)}, event_type) AS scope, count(*) AS rows, min(ts) AS first_at, max(ts) AS last_at,
+      round(sum(value), 4) AS detail_total FROM events GROUP BY 1"""
 )
 def audit_log(spark: SparkSession, sf: str) -> DataFrame:
-    """Audit rows with a JSON detail, read back per scope."""
+    """Audit rows of all events with a JSON detail, read back per scope."""
+    events = Tables(spark, sf).events
     rows = tb.audit_rows(
-        actions(Tables(spark, sf)),
+        events.withColumn("action", F.coalesce(_mapped(ACTIONS), F.col("event_type"))),
         scope="email",
         action="review",
         title=F.col("action"),

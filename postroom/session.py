@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,12 +32,17 @@ def build_session(app_name: str = "postroom", master: str | None = None, **conf:
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor sees, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test) gets a temporary folder of its own.
+    Only a local session without that setting (a test) gets a temporary folder of its own; on a
+    cluster the setting is required, since executors would not see such a folder.
     """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = context.getCheckpointDir() or tempfile.mkdtemp(prefix="postroom-")
+        folder = context.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="postroom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
