@@ -14,9 +14,6 @@ from postroom.functions import text as tx
 from postroom.functions.scoring import char_ngrams
 from postroom.session import cut_lineage
 
-HOT_BUCKET = 128
-HOT_TOKENS = 2000
-
 
 def exact_duplicates(documents: DataFrame, key: str, content: Column) -> DataFrame:
     """Groups with equal content: content_hash, first key, number of copies."""
@@ -28,55 +25,45 @@ def exact_duplicates(documents: DataFrame, key: str, content: Column) -> DataFra
     )
 
 
+def _shingles(body: Column, size: int) -> Column:
+    """Hashes of the distinct shingles of a body; a short body is one."""
+    pieces = F.when(F.length(body) <= size, F.array(body)).otherwise(char_ngrams(body, size))
+    return F.array_distinct(F.transform(pieces, lambda piece: F.xxhash64(piece)))
+
+
 def _bodies(documents: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """One row per distinct body: id of its first document, body, distinct shingle hashes."""
+    """One row per distinct body: id of its first document, body, its length and number of shingles."""
     body = tx.content_key(F.col(text))
     keyed = documents.select(F.col(key).alias("id"), body.alias("body")).filter(F.col("body") != "")
     first = keyed.groupBy(F.sha2("body", 256).alias("_hash")).agg(F.min("id").alias("id")).select("id")
     distinct = keyed.join(first, "id", "left_semi")
-    pieces = F.when(F.length("body") <= size, F.array("body")).otherwise(char_ngrams(F.col("body"), size))
-    hashed = F.sort_array(F.array_distinct(F.transform(pieces, lambda piece: F.xxhash64(piece))))
-    return (
-        distinct.withColumn("shingles", hashed)
-        .withColumns({"n": F.size("shingles").cast("long"), "chars": F.length("body").cast("long")})
+    return distinct.select(
+        "id", "body", F.size(_shingles(F.col("body"), size)).cast("long").alias("n"), F.length("body").cast("long").alias("chars")
     )
 
 
-def _prefixes(bodies: DataFrame, hot: list[int], numerator: int, denominator: int) -> DataFrame:
-    """Index entries (token, id, n, chars, rest, last) that every similar pair is bound to share.
+def _prefixes(bodies: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
+    """Index entries (token, id, n, chars) that every similar pair is bound to share.
 
-    Tokens are ordered by hash, hot ones last. Two sets with Jaccard >= t share a
-    token among their first ``n - ceil(t n) + 1``. A text inside a longer one lacks
-    at most ``(1 - t) chars`` of its tokens, so the longer text's first
-    ``floor((1 - t) chars) + 1`` hold the shorter text's first. ``rest`` counts the
-    tokens behind the prefix, ``last`` is the prefix's last token in that order.
+    Tokens are ordered by the number of bodies that hold them, rare ones first. Two sets with Jaccard
+    >= t share a token among their first ``n - ceil(t n) + 1``. A text inside a longer one lacks at
+    most ``(1 - t) chars`` of its tokens, so the longer text's first ``floor((1 - t) chars) + 1`` hold
+    the shorter text's first. A token of one body only takes its place in the prefix but needs no entry.
     """
-    hot_tokens = F.array(*[F.lit(token).cast("long") for token in hot]).cast("array<bigint>")
-    ordered = F.col("shingles")
-    if hot:
-        ordered = F.concat(F.array_except(ordered, hot_tokens), F.array_intersect(ordered, hot_tokens))
+    tokens = bodies.select("id", F.explode_outer(_shingles(F.col("body"), size)).alias("token"))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > 1)
+    common = tokens.join(counts, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
     needed = F.expr(f"(n * {numerator} + {denominator - 1}) div {denominator}")
     lacking = F.expr(f"(chars * {denominator - numerator}) div {denominator}")
-    length = F.least(F.col("n"), F.greatest(F.col("n") - needed + 1, lacking + 1)).cast("int")
-    last = F.element_at("_prefix", -1)
+    length = F.least(F.col("n"), F.greatest(F.col("n") - needed + 1, lacking + 1))
+    left = F.greatest(F.lit(0), length - (F.col("n") - F.size("common"))).cast("int")
     return (
-        bodies.withColumn("_prefix", F.slice(ordered, F.lit(1), length))
-        .withColumns(
-            {
-                "rest": F.col("n") - F.size("_prefix"),
-                "last": F.struct(F.array_contains(hot_tokens, last).alias("hot"), last.alias("token")),
-            }
-        )
-        .select("id", "n", "chars", "rest", "last", F.explode_outer("_prefix").alias("token"))
+        bodies.select("id", "n", "chars").join(common, "id")
+        .select("id", "n", "chars", F.explode_outer(F.slice("common", F.lit(1), left)).alias("_token"))
+        .select("id", "n", "chars", F.col("_token.token").alias("token")).filter(F.col("token").isNotNull())
     )
 
 
-def _hot_tokens(entries: DataFrame) -> list[int]:
-    """The fullest buckets, at most ``HOT_TOKENS``. They only steer the token order."""
-    counted = entries.groupBy("token").agg(F.count("*").alias("rows")).filter(F.col("rows") > HOT_BUCKET)
-    return [row["token"] for row in counted.orderBy(F.desc("rows"), "token").limit(HOT_TOKENS).collect()]
-
-
 def _similarity(a: str, b: str) -> Column:
     """Length ratio when the shorter body lies in the longer one, else Jaccard of the
     shingle sets; as a fraction (top, bottom) so that thresholds compare integers."""
@@ -89,10 +76,14 @@ def _similarity(a: str, b: str) -> Column:
     return F.when(inside, lengths).otherwise(jaccard)
 
 
-def _verified(pairs: DataFrame, bodies: DataFrame, numerator: int, denominator: int) -> DataFrame:
+def _verified(pairs: DataFrame, bodies: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
+    """The similar ones of the pairs; shingles are built for the bodies that occur in them."""
+    pairs = cut_lineage(pairs)
+    used = pairs.select(F.explode(F.array("earlier", "later")).alias("id")).distinct()
+    sides = cut_lineage(bodies.join(used, "id", "left_semi").withColumn("shingles", _shingles(F.col("body"), size)))
     judged = (
-        pairs.join(bodies.alias("a"), F.col("a.id") == F.col("earlier"))
-        .join(bodies.alias("b"), F.col("b.id") == F.col("later"))
+        pairs.join(sides.alias("a"), F.col("a.id") == F.col("earlier"))
+        .join(sides.alias("b"), F.col("b.id") == F.col("later"))
         .select("earlier", "later", _similarity("a", "b").alias("_s"))
     )
     return judged.filter(F.col("_s.top") * denominator >= F.col("_s.bottom") * numerator).select(
@@ -101,27 +92,17 @@ def _verified(pairs: DataFrame, bodies: DataFrame, numerator: int, denominator:
 
 
 def _side(prefix: str) -> list[Column]:
-    return [F.col(name).alias(f"{prefix}_{name}") for name in ("id", "n", "chars", "rest", "last")]
-
+    return [F.col(name).alias(f"{prefix}_{name}") for name in ("id", "n", "chars")]
 
-def _sizes_allow(numerator: int, denominator: int, shared: Column | None = None) -> Column:
-    """Could the pair (a, b) reach the threshold?
 
-    By set sizes for Jaccard, by lengths for containment. With ``shared``, the
-    number of common prefix tokens, also by overlap: behind the prefix that ends
-    first there are ``rest`` tokens at most to share.
-    """
+def _sizes_allow(numerator: int, denominator: int) -> Column:
+    """Could the pair (a, b) reach the threshold, by set sizes for Jaccard or by lengths for containment?"""
 
     def close(what: str) -> Column:
         low, high = F.least(f"a_{what}", f"b_{what}"), F.greatest(f"a_{what}", f"b_{what}")
         return low * denominator >= high * numerator
 
-    jaccard, inside = close("n"), close("chars")
-    if shared is not None:
-        most = shared + F.when(F.col("a_last") <= F.col("b_last"), F.col("a_rest")).otherwise(F.col("b_rest"))
-        jaccard = jaccard & (most * (numerator + denominator) >= (F.col("a_n") + F.col("b_n")) * numerator)
-        inside = inside & (most >= F.least("a_n", "b_n"))
-    return jaccard | inside
+    return close("n") | close("chars")
 
 
 def _short_containments(bodies: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
@@ -160,47 +141,24 @@ def similar_bodies(
     Rows: id, similar_id, similarity; bodies without one are left out. Exact: the
     threshold is a fraction of integers and every candidate is verified.
 
-    Buckets of ordinary size list their pairs and drop those whose common tokens
-    cannot add up. Fuller buckets stay linear: first every body meets only the
-    earliest member. A body that is similar to it is done with that bucket, as no
-    earlier member exists there; so a large family of near copies costs one
-    comparison per member. Only what is left meets the other members.
+    In each bucket of a common token every body first meets the earliest member. A
+    body that is similar to it is done with that bucket, as no earlier member exists
+    there; so a large family of near copies costs one comparison per member. What is
+    left meets the members between the earliest one and its best hit so far.
     """
     numerator, denominator = threshold
     bodies = cut_lineage(_bodies(documents, key, text, size))
-    hot = _hot_tokens(_prefixes(bodies, [], numerator, denominator))
-    entries = _prefixes(bodies, hot, numerator, denominator)
-    buckets = entries.groupBy("token").agg(
-        F.count("*").alias("rows"), F.min(F.struct("id", "n", "chars", "rest", "last")).alias("lead")
-    )
+    entries = _prefixes(bodies, size, numerator, denominator)
+    buckets = entries.groupBy("token").agg(F.count("*").alias("rows"), F.min(F.struct("id", "n", "chars")).alias("lead"))
     shared = cut_lineage(entries.join(buckets.filter("rows > 1"), "token"))
-    ordinary, full = shared.filter(F.col("rows") <= HOT_BUCKET), shared.filter(F.col("rows") > HOT_BUCKET)
-
-    unseen = full.groupBy("id").agg(F.count("*").alias("full"))
-    listed = (
-        ordinary.select("token", *_side("a"))
-        .join(ordinary.select("token", *_side("b")), "token")
-        .filter((F.col("a_id") < F.col("b_id")) & _sizes_allow(numerator, denominator))
-        .groupBy(*[f"{side}_{name}" for side in "ab" for name in ("id", "n", "chars", "rest", "last")])
-        .agg(F.count("*").alias("common"))
-        .join(unseen.select(F.col("id").alias("a_id"), F.col("full").alias("a_full")), "a_id", "left")
-        .join(unseen.select(F.col("id").alias("b_id"), F.col("full").alias("b_full")), "b_id", "left")
-    )
-    hidden = F.least(F.coalesce("a_full", F.lit(0)), F.coalesce("b_full", F.lit(0)))
-    listed = listed.filter(_sizes_allow(numerator, denominator, F.col("common") + hidden))
-    led = full.select("token", *_side("b"), *[F.col(f"lead.{n}").alias(f"a_{n}") for n in ("id", "n", "chars", "rest", "last")])
+    led = shared.select("token", *_side("b"), *[F.col(f"lead.{n}").alias(f"a_{n}") for n in ("id", "n", "chars")])
     led = led.filter(F.col("a_id") < F.col("b_id"))
-    ids = [F.col("a_id").alias("earlier"), F.col("b_id").alias("later")]
     candidates = (
-        listed.select(*ids)
-        .unionByName(led.filter(_sizes_allow(numerator, denominator)).select(*ids))
+        led.filter(_sizes_allow(numerator, denominator)).select(F.col("a_id").alias("earlier"), F.col("b_id").alias("later"))
         .unionByName(_short_containments(bodies, size, numerator, denominator))
     )
-    first = cut_lineage(_verified(candidates.distinct(), bodies, numerator, denominator))
-
-    every = first
-    if not full.isEmpty():
-        every = first.unionByName(_leftover(full, led, first, bodies, numerator, denominator))
+    first = cut_lineage(_verified(candidates.distinct(), bodies, size, numerator, denominator))
+    every = first.unionByName(_leftover(shared, led, first, bodies, size, numerator, denominator))
     return (
         every.groupBy(F.col("later").alias("id"))
         .agg(F.min(F.struct("earlier", "similarity")).alias("_hit"))
@@ -209,15 +167,15 @@ def similar_bodies(
 
 
 def _leftover(
-    full: DataFrame, led: DataFrame, first: DataFrame, bodies: DataFrame, numerator: int, denominator: int
+    shared: DataFrame, led: DataFrame, first: DataFrame, bodies: DataFrame, size: int, numerator: int, denominator: int
 ) -> DataFrame:
-    """Similar pairs of full buckets that the comparison with the earliest members did not settle."""
+    """Similar pairs that the comparison with the earliest members did not settle."""
     best = first.groupBy(F.col("later").alias("b_id")).agg(F.min("earlier").alias("_best"))
     settled = first.select(F.col("earlier").alias("a_id"), F.col("later").alias("b_id"))
     pending = led.join(settled, ["a_id", "b_id"], "left_anti").join(best, "b_id", "left")
     rest = (
-        pending.select("token", F.col("a_id").alias("_leader"), "_best", *[F.col(f"b_{n}") for n in ("id", "n", "chars", "rest", "last")])
-        .join(full.select("token", *_side("a")), "token")
+        pending.select("token", F.col("a_id").alias("_leader"), "_best", *[F.col(f"b_{n}") for n in ("id", "n", "chars")])
+        .join(shared.select("token", *_side("a")), "token")
         .filter(
             (F.col("a_id") > F.col("_leader"))
             & (F.col("a_id") < F.least("b_id", F.coalesce("_best", "b_id")))
@@ -226,7 +184,7 @@ def _leftover(
         .select(F.col("a_id").alias("earlier"), F.col("b_id").alias("later"))
         .distinct()
     )
-    return _verified(rest, bodies, numerator, denominator)
+    return _verified(rest, bodies, size, numerator, denominator)
 
 
 def near_duplicates(

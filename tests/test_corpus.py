@@ -99,11 +99,7 @@ def _brute(rows, numerator, denominator, size=12):
 
 
 @pytest.mark.parametrize("threshold", [(92, 100), (7, 10), (55, 100)])
-@pytest.mark.parametrize("bucket", [64, 3])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, threshold, bucket):
-    """With a small bucket limit most buckets take the path for hot groups."""
-    monkeypatch.setattr(dd, "HOT_BUCKET", bucket)
-    monkeypatch.setattr(dd, "HOT_TOKENS", 20)
+def test_near_duplicates_equal_brute_force(spark, threshold):
     rng = random.Random(11)
     base = ["".join(rng.choice("abcdefg ") for _ in range(rng.randint(30, 160))) for _ in range(12)]
     boiler = "this licence text stands in very many of the documents here. "
