@@ -13,6 +13,7 @@ from postroom.functions.text import snippet
 
 ANY = "*"
 BLOCK_ROWS = 4096
+SENT_QUERIES = 5000
 
 
 def hashed_weights(
@@ -97,6 +98,25 @@ def _block_matcher(limit: int, exclude_self: bool):
     return match
 
 
+def _scan_matcher(sent: list, limit: int, exclude_self: bool):
+    """Best rows per sent query over all batches of a partition."""
+    match = _block_matcher(limit, exclude_self)
+    asked = pd.DataFrame({name: [row[name] for row in sent] for name in ("query_id", "_group", "vector")})
+    asked = {name: part for name, part in asked.groupby("_group")}
+
+    def scan(batches):
+        kept: dict[str, pd.DataFrame] = {}
+        for batch in batches:
+            for name, rows in batch.groupby("_group"):
+                if name in asked:
+                    found = pd.concat([kept[name], match(asked[name], rows)]) if name in kept else match(asked[name], rows)
+                    found = found.sort_values(["query_id", "similarity", "row_id"], ascending=[True, False, True], kind="stable")
+                    kept[name] = found.groupby("query_id").head(limit)
+        yield from kept.values()
+
+    return scan
+
+
 def vector_recall(
     queries: DataFrame,
     corpus: DataFrame,
@@ -108,15 +128,19 @@ def vector_recall(
     group: str | None = None,
     exclude_self: bool = False,
     block_rows: int = BLOCK_ROWS,
+    sent_queries: int = SENT_QUERIES,
 ) -> DataFrame:
     """Exact top ``limit`` corpus rows per query by cosine: (query_id, row_id, similarity, recall_rank).
 
-    A block join: both sides are cut into blocks inside each group (and vector
+    At most ``sent_queries`` queries are sent to the tasks that scan the corpus: each
+    keeps its best rows per query, and only those are shuffled. More queries meet the
+    corpus in a block join: both sides are cut into blocks inside each group (and vector
     length), every pair of blocks meets in one task as a matrix product, and only
     the block's best rows per query leave it. Hot groups therefore split into many
-    small tasks, nothing is collected, and pairs are never materialised.
+    small tasks, and pairs are never materialised. Both ways give the same rows.
     """
     key_type = dict(corpus.dtypes)[corpus_key]
+    schema = f"query_id {dict(queries.dtypes)[query_key]}, row_id {key_type}, similarity double"
 
     def side(df: DataFrame, key: str, name: str) -> DataFrame:
         shared = F.col(group).cast("string") if group else F.lit(ANY)
@@ -126,8 +150,17 @@ def vector_recall(
             F.col(vector).cast("array<double>").alias("vector"),
         )
 
-    left = _blocked(side(queries, query_key, "query_id"), "query_id", "_group", block_rows, "_qblock")
-    right = _blocked(side(corpus, corpus_key, "row_id"), "row_id", "_group", block_rows, "_cblock")
+    ranked = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "row_id")
+
+    def best(partial: DataFrame) -> DataFrame:
+        return partial.withColumn("recall_rank", F.row_number().over(ranked)).filter(F.col("recall_rank") <= limit)
+
+    asked, rows = side(queries, query_key, "query_id"), side(corpus, corpus_key, "row_id")
+    sent = asked.limit(sent_queries + 1).collect()
+    if len(sent) <= sent_queries:
+        return best(rows.mapInPandas(_scan_matcher(sent, limit, exclude_self), schema))
+    left = _blocked(asked, "query_id", "_group", block_rows, "_qblock")
+    right = _blocked(rows, "row_id", "_group", block_rows, "_cblock")
     q_counts = left.select("_group", "_qblocks").distinct()
     c_counts = right.select("_group", "_cblocks").distinct()
 
@@ -141,13 +174,9 @@ def vector_recall(
         left.select(*cell, "query_id", "vector")
         .groupBy(*cell)
         .cogroup(right.select(*cell, "row_id", "vector").groupBy(*cell))
-        .applyInPandas(
-            _block_matcher(limit, exclude_self),
-            f"query_id {dict(queries.dtypes)[query_key]}, row_id {key_type}, similarity double",
-        )
+        .applyInPandas(_block_matcher(limit, exclude_self), schema)
     )
-    ranked = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "row_id")
-    return partial.withColumn("recall_rank", F.row_number().over(ranked)).filter(F.col("recall_rank") <= limit)
+    return best(partial)
 
 
 def recall_groups(queries: DataFrame, corpus: DataFrame, category: str = "category") -> tuple[DataFrame, DataFrame]:

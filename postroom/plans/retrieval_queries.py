@@ -10,6 +10,8 @@ from postroom.functions import scoring as sc
 from postroom.functions.matching import first_match
 from postroom.operators import evaluation as ev
 from postroom.operators import retrieval as rt
+from postroom.operators.expectations import judge
+from postroom.operators.lifecycle import document_status
 from postroom.plans import rules as ru
 from postroom.plans import sql
 from postroom.plans.registry import Tables, query
@@ -165,7 +167,7 @@ LIMIT = 3
 @query(
     f"""WITH queries AS MATERIALIZED (SELECT item_id AS query_id, text, {sql.first_match("lower(text)", ru.FIRST_MATCH)} AS category FROM benchmark),
     chunks AS MATERIALIZED (SELECT doc_id AS row_id, 'Document ' || doc_id AS title, source, text AS content,
-        {sql.first_match("lower(source || chr(10) || text)", ru.FIRST_MATCH)} AS category FROM documents WHERE n_chars >= 100),
+        {sql.first_match("lower(source || chr(10) || text)", ru.FIRST_MATCH)} AS category FROM documents WHERE regexp_matches(text, '\\S')),
     {_weights_sql('qw', 'queries', 'query_id', 'text')}, {_weights_sql('cw', 'chunks', 'row_id', 'content')},
     qn AS (SELECT id, sqrt(sum(weight * weight)) AS norm FROM qw GROUP BY id),
     cn AS (SELECT id, sqrt(sum(weight * weight)) AS norm FROM cw GROUP BY id),
@@ -206,14 +208,18 @@ def hybrid_rerank(spark: SparkSession, sf: str) -> DataFrame:
         F.col("item_id").alias("query_id"), "text", first_match("t", ru.FIRST_MATCH).alias("category")
     )
     queries = cut_lineage(queries.join(rt.hashed_vectors(queries, "query_id", "text"), "query_id"))
-    docs = t.spread("documents", "doc_id", "source", "text", "n_chars")
-    chunks = docs.withColumn("t", F.lower(F.concat_ws("\n", "source", "text"))).select(
+    # the status is the registered document's: indexed once its expectations hold
+    known = judge(t.documents.select("doc_id", "text"), {"content": F.col("text").rlike(r"\S")}).select(
+        "doc_id", document_status(F.col("is_valid"), F.array_join("broken", ", "))["status"].alias("status")
+    )
+    docs = t.spread("documents", "doc_id", "source", "text")
+    chunks = docs.join(known, "doc_id").withColumn("t", F.lower(F.concat_ws("\n", "source", "text"))).select(
         F.col("doc_id").alias("chunk_id"),
         F.concat_ws(" ", F.lit("Document"), F.col("doc_id").cast("string")).alias("title"),
         "source",
         F.col("text").alias("content"),
         first_match("t", ru.FIRST_MATCH).alias("category"),
-        F.when(F.col("n_chars") >= 100, "indexed").otherwise("failed").alias("status"),
+        "status",
     )
     # the index is stored once; recall and rerank read it several times
     chunks = cut_lineage(chunks.join(rt.hashed_vectors(chunks, "chunk_id", "content"), "chunk_id"))

@@ -75,3 +75,15 @@ def test_vector_repair_touches_only_wrong_lengths(spark):
                                "id bigint, t string, embedding array<double>")
     rows = {r["id"]: r["embedding"] for r in rt.repair_vectors(df, "id", "t", 16).collect()}
     assert rows[1] == [1.0] * 16 and rows[2] == rows[3] and len(rows[2]) == 16
+
+
+def test_both_ways_of_recall_agree(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)], rng.choice("ab")) for i in range(300)]
+    df = spark.createDataFrame([*rows, (900, [0.0] * 8, "a"), (901, [], "a")], "id bigint, embedding array<double>, g string")
+    options = {"query_key": "id", "corpus_key": "id", "limit": 5, "group": "g", "exclude_self": True}
+    sent = rt.vector_recall(df, df, **options).collect()
+    blocks = rt.vector_recall(df, df, **options, sent_queries=10, block_rows=40).collect()
+    assert sorted(sent) == sorted(blocks) and len(sent) == 301 * 5
