@@ -248,9 +248,13 @@ def precheck(
     source: str,
     threshold: tuple[int, int] = lx.NEAR_DUPLICATE_THRESHOLD,
     force_weak: bool = False,
+    content: str | None = None,
 ) -> DataFrame:
-    """Per document the first earlier candidate of each kind and the upload decision."""
-    hashed = documents.select(key, F.sha2(F.col(text), 256).alias("_hash"))
+    """Per document the first earlier candidate of each kind and the upload decision.
+
+    Strong duplicates have equal ``content``, the cleaned text; without it, equal ``text``.
+    """
+    hashed = documents.select(key, F.sha2(F.col(content or text), 256).alias("_hash"))
     first = hashed.groupBy("_hash").agg(F.min(key).alias("strong_id"))
     strong = hashed.join(first, "_hash").filter(F.col("strong_id") < F.col(key)).select(key, "strong_id")
     near = near_duplicates(documents, key=key, text=text, threshold=threshold).select(

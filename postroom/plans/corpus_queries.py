@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postroom.functions import quality as ql
+from postroom.functions import lexicon as lx
 from postroom.functions import text as tx
 from postroom.functions.lexicon import PROTECTED_TOKEN
 from postroom.operators import corpus as cp
@@ -185,8 +186,8 @@ _SHINGLES = " UNION ALL ".join(
 )
 
 
-@query(
-    f"""WITH keyed AS (SELECT doc_id, {_KEY_SQL} AS body FROM documents),
+def _near_sql(threshold: tuple[int, int]) -> str:
+    return f"""WITH keyed AS (SELECT doc_id, {_KEY_SQL} AS body FROM documents),
     firsts AS (SELECT body, min(doc_id) AS id FROM keyed GROUP BY body),
     bodies AS MATERIALIZED (SELECT id, body, length(body) AS chars FROM firsts WHERE body <> ''),
     shingles AS MATERIALIZED (SELECT DISTINCT id, hash(s) AS h FROM ({_SHINGLES}
@@ -194,7 +195,7 @@ _SHINGLES = " UNION ALL ".join(
     sizes AS (SELECT id, count(*) AS n FROM shingles GROUP BY id),
     shared AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.h = b.h AND a.id < b.id GROUP BY 1, 2),
     short AS (SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, 0 AS c FROM bodies a JOIN bodies b
-        ON a.chars < 12 AND b.chars >= a.chars AND b.id <> a.id AND b.chars * {NEAR[0]} <= a.chars * {NEAR[1]} AND contains(b.body, a.body)),
+        ON a.chars < 12 AND b.chars >= a.chars AND b.id <> a.id AND b.chars * {threshold[0]} <= a.chars * {threshold[1]} AND contains(b.body, a.body)),
     pairs AS (SELECT a, b, max(c) AS c FROM (SELECT * FROM shared UNION ALL SELECT * FROM short) GROUP BY a, b),
     judged AS (SELECT p.a, p.b, c,
         CASE WHEN x.chars <= y.chars THEN contains(y.body, x.body) ELSE contains(x.body, y.body) END AS inside,
@@ -202,10 +203,12 @@ _SHINGLES = " UNION ALL ".join(
       FROM pairs p JOIN bodies x ON x.id = a JOIN bodies y ON y.id = b JOIN sizes s ON s.id = a JOIN sizes t ON t.id = b),
     scored AS (SELECT a, b, CASE WHEN inside THEN lo ELSE c END AS top, CASE WHEN inside THEN hi ELSE u END AS bottom FROM judged),
     hits AS (SELECT b, min(a) AS a, arg_min(top / bottom, a) AS similarity FROM scored
-        WHERE top * {NEAR[1]} >= bottom * {NEAR[0]} GROUP BY b)
+        WHERE top * {threshold[1]} >= bottom * {threshold[0]} GROUP BY b)
     SELECT doc_id, f.id AS first_id, h.a AS similar_id, round(h.similarity, 6) AS similarity
     FROM keyed k JOIN firsts f USING (body) LEFT JOIN hits h ON h.b = f.id"""
-)
+
+
+@query(_near_sql(NEAR))
 def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     """Earliest earlier near copy of every document, over whole texts."""
     docs = Tables(spark, sf).spread("documents", "doc_id", "text")
@@ -213,15 +216,16 @@ def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return near.withColumn("similarity", F.round("similarity", 6))
 
 
-@query(
-    r"""WITH s AS (SELECT doc_id, lower(source) AS stem, regexp_replace(lower(left(trim(list_filter(list_transform(
+_BLOCKS_SQL = r"""WITH s AS (SELECT doc_id, lower(source) AS stem, regexp_replace(lower(left(trim(list_filter(list_transform(
           string_split(text, chr(10)), lambda x: trim(x, '# ')), lambda x: x <> '')[1], '# '), 120)), '[^0-9a-z一-鿿]+', '', 'g') AS title
         FROM documents),
     n AS (SELECT s.doc_id, min(o.doc_id) AS same_name_id FROM s JOIN s o ON o.stem = s.stem AND o.doc_id < s.doc_id GROUP BY 1),
     t AS (SELECT s.doc_id, min(o.doc_id) AS similar_title_id FROM s JOIN s o ON o.doc_id < s.doc_id AND s.title <> ''
         AND o.title <> '' AND (contains(s.title, o.title) OR contains(o.title, s.title)) GROUP BY 1)
     SELECT doc_id, same_name_id, similar_title_id FROM s LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)"""
-)
+
+
+@query(_BLOCKS_SQL)
 def blocking_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Earliest document with the same file stem, and with a title inside or around this one's."""
     title = tx.title(F.col("text"), F.col("source"), strict=False)
@@ -233,13 +237,24 @@ def blocking_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query()
+@query(
+    f"""WITH {_CLEAN_SQL},
+    strong AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY clean) < doc_id AS is_strong, min(doc_id) OVER (PARTITION BY clean) AS first_id FROM cleaned),
+    near AS ({_near_sql(lx.NEAR_DUPLICATE_THRESHOLD)}), blocks AS ({_BLOCKS_SQL}),
+    found AS (SELECT doc_id, CASE WHEN is_strong THEN s.first_id END AS strong_id,
+        CASE WHEN n.first_id < doc_id THEN least(n.first_id, coalesce(n.similar_id, n.first_id)) ELSE n.similar_id END AS similar_id,
+        same_name_id, similar_title_id FROM strong s LEFT JOIN near n USING (doc_id) JOIN blocks USING (doc_id))
+    SELECT *, CASE WHEN strong_id IS NOT NULL THEN 'content_hash' WHEN similar_id IS NOT NULL THEN 'content_similarity'
+        WHEN same_name_id IS NOT NULL THEN 'same_filename' WHEN similar_title_id IS NOT NULL THEN 'similar_title' ELSE '' END AS reason,
+      CASE WHEN strong_id IS NOT NULL THEN 'reject' WHEN coalesce(similar_id, same_name_id, similar_title_id) IS NOT NULL THEN 'confirm'
+        ELSE 'accept' END AS decision FROM found"""
+)
 def upload_precheck(spark: SparkSession, sf: str) -> DataFrame:
-    """Upload decision of every document against all earlier ones."""
-    docs = Tables(spark, sf).spread("documents", "doc_id", "source", "text").withColumn(
-        "title", tx.title(F.col("text"), F.col("source"))
+    """Upload decision of every document against all earlier ones; equal means equal once cleaned."""
+    docs = cp.clean_documents(Tables(spark, sf).spread("documents", "doc_id", "source", "text"), "text").withColumn(
+        "title", tx.title(F.col("text"), F.col("source"), strict=False)
     )
-    return dd.precheck(docs, key="doc_id", text="text", title="title", source="source")
+    return dd.precheck(docs, key="doc_id", text="text", title="title", source="source", content="clean_text")
 
 
 def _fold(column: str) -> str:
