@@ -183,3 +183,23 @@ def test_upsert_takes_the_newest_version_and_drops_emptied_documents(spark, tmp_
     first = send([(1, f"old {body}", "T", "a.md", 1), (1, f"new {body}", "T", "a.md", 2), (2, f"two {body}", "T", "b.md", 1)])
     assert [(i, t[:3]) for i, t in first] == [(1, "new"), (2, "two")]
     assert [i for i, _ in send([(1, "", "T", "a.md", 3)])] == [2]
+
+
+def test_late_usage_is_dropped_in_append_mode(spark, tmp_path):
+    schema = "ts timestamp_ntz, event_type string, input_tokens bigint, output_tokens bigint"
+    folder = str(tmp_path / "usage")
+
+    def send(*rows):
+        spark.createDataFrame([(dt.datetime(2024, 1, d), "click", n, n) for d, n in rows], schema).coalesce(1).write.mode("append").parquet(folder)
+
+    send((1, 10), (2, 20))
+    usage = lambda: jobs.daily_usage(spark.readStream.schema(schema).parquet(folder), "ts", "1 day", ["event_type"])
+    query = lambda: usage().writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).format(
+        "parquet").outputMode("append").start(str(tmp_path / "out")).awaitTermination()
+    query()
+    send((9, 90))
+    query()
+    send((1, 1000), (15, 150))  # the first of these is eight days late
+    query()
+    rows = sorted((r["day"].day, r["messages"], r["input_tokens"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert rows == [(1, 1, 10), (2, 1, 20), (9, 1, 90)]
