@@ -217,7 +217,8 @@ def similar_titles(documents: DataFrame, key: str, title: str) -> DataFrame:
     Distinct titles only. The start of the shorter title, at the largest gram size
     that fits, is looked up among the grams of the longer ones.
     """
-    titled = documents.select(key, tx.title_key(F.col(title)).alias("_title")).filter(F.col("_title") != "")
+    # the title comes out of the whole text: stored once, read by the steps below
+    titled = cut_lineage(documents.select(key, tx.title_key(F.col(title)).alias("_title")).filter(F.col("_title") != ""))
     distinct = titled.groupBy("_title").agg(F.min(key).alias("_id"))
     start = F.lit(None).cast("string")
     for size in TITLE_GRAMS:
@@ -226,8 +227,13 @@ def similar_titles(documents: DataFrame, key: str, title: str) -> DataFrame:
     inner = distinct.select(start.alias("_gram"), F.col("_title").alias("_short"), F.col("_id").alias("_short_id"))
     outer = distinct.select(F.explode_outer(grams).alias("_gram"), F.col("_title").alias("_long"), F.col("_id").alias("_long_id"))
     related = inner.join(outer, "_gram").filter(F.col("_long").contains(F.col("_short")))
-    both = related.select(F.col("_short").alias("_title"), F.col("_long_id").alias("_other")).unionByName(
-        related.select(F.col("_long").alias("_title"), F.col("_short_id").alias("_other"))
+    both = related.select(
+        F.inline(
+            F.array(
+                F.struct(F.col("_short").alias("_title"), F.col("_long_id").alias("_other")),
+                F.struct(F.col("_long").alias("_title"), F.col("_short_id").alias("_other")),
+            )
+        )
     )
     first = both.groupBy("_title").agg(F.min("_other").alias("similar_title_id"))
     return titled.join(first, "_title").filter(F.col("similar_title_id") < F.col(key)).select(key, "similar_title_id")

@@ -37,19 +37,24 @@ def usage_by(events: DataFrame, key: Sequence[str], prices: Mapping[str, float]
     return summed.withColumn("estimated_cost", cost({k: v for k, v in prices.items() if k in present}))
 
 
-def is_today_or_recent(moment: Column, as_of: str) -> Column:
-    """Same calendar day as ``as_of`` (also later that day), or within the 24 hours before it."""
+def _recent(moment: Column, as_of: str) -> Column:
+    """Two ranges of ``moment`` with literal ends, which a scan can be given."""
     now = F.expr(f"TIMESTAMP_NTZ'{as_of}'")
-    same_day = moment.cast("date") == now.cast("date")
-    recent = moment.between(now - F.expr("INTERVAL 24 HOURS"), now)
-    return F.coalesce(same_day | recent, F.lit(False))
+    midnight = F.expr(f"CAST(CAST(TIMESTAMP_NTZ'{as_of}' AS DATE) AS TIMESTAMP_NTZ)")
+    same_day = (moment >= midnight) & (moment < midnight + F.expr("INTERVAL 1 DAY"))
+    return same_day | moment.between(now - F.expr("INTERVAL 24 HOURS"), now)
+
+
+def is_today_or_recent(moment: Column, as_of: str) -> Column:
+    """Same calendar day as ``as_of`` (also later that day), or within the 24 hours before it; false for null."""
+    return F.coalesce(_recent(moment, as_of), F.lit(False))
 
 
 def recent_usage(messages: DataFrame, updated_at: str, as_of: str, by: Sequence[str] = ()) -> DataFrame:
     """Messages, tokens and cost of today or the last 24 hours."""
     tokens = sum((F.coalesce(F.col(n), F.lit(0)) for n in ("input_tokens", "output_tokens", "embedding_tokens")), F.lit(0))
     return (
-        messages.filter(is_today_or_recent(F.col(updated_at), as_of))
+        messages.filter(_recent(F.col(updated_at), as_of))
         .groupBy(*by)
         .agg(
             F.count("*").alias("messages"),
