@@ -16,6 +16,8 @@ NEVER = -(2**63)
 def ticket_processor(statuses: dict[str, str]) -> StatefulProcessor:
     """Handler over rows (entity, at, seq, action); ``statuses`` maps each action but ``open``."""
 
+    closing = [action for action in statuses if action != "open"]
+
     class TicketState(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.state = handle.getValueState("ticket", STATE)
@@ -25,11 +27,16 @@ def ticket_processor(statuses: dict[str, str]) -> StatefulProcessor:
             close, opened, events = (known[0], known[1], known[2]), (known[3], known[4]), known[5]
             for frame in rows:
                 events += len(frame)
-                for at, seq, action in zip(frame["at"], frame["seq"], frame["action"]):
-                    if action == "open":
-                        opened = max(opened, (int(at), int(seq)))
-                    elif action in statuses:
-                        close = max(close, (int(at), int(seq), action))
+                for mine, opens in ((frame["action"] == "open", True), (frame["action"].isin(closing), False)):
+                    part = frame[mine]
+                    if len(part):  # the newest row of the frame is enough
+                        late = part[part["at"] == part["at"].max()]
+                        late = late[late["seq"] == late["seq"].max()]
+                        at, seq, action = int(late["at"].iloc[0]), int(late["seq"].iloc[0]), late["action"].max()
+                        if opens:
+                            opened = max(opened, (at, seq))
+                        else:
+                            close = max(close, (at, seq, action))
             self.state.update((*close, *opened, events))
             status = statuses.get(close[2], "open")
             if opened > close[:2] and status != "assigned":
