@@ -19,6 +19,20 @@ BROADCAST_ROWS = 4_000_000
 BATCH_ROWS = 1000
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """What a process keeps between tasks, such as the words it has seen: for one operator at a time.
+
+    Workers outlive an operator; the next one drops what its predecessor kept.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def visible(df: DataFrame) -> DataFrame:
     """``df``, after telling Python workers where this package lies (they need not start in its folder)."""
     root = str(Path(__file__).resolve().parents[2])

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postroom.llm.common import arrow_map, checked_broadcast
+from postroom.llm.common import arrow_map, checked_broadcast, held
 from postroom.llm.graph import connected_components
 from postroom.session import cut_lineage
 
@@ -37,8 +37,9 @@ PERCENT = 90
 LIST_WEIGHT = 8
 LEVEL_RATIO = 1.5
 PARITY_BITS = 512
-CACHED_WORDS = 500_000
-LEADER_ROUNDS = 2
+CACHED_WORDS = 300_000
+LEADER_ROUNDS = 1
+SENT_NODES = 100_000  # sets whose sizes and parity bits are broadcast, some 150 bytes each
 
 U = np.uint64
 MIX_1, MIX_2, MIX_3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -62,11 +63,6 @@ class WordHashes(dict):
         return h
 
 
-@lru_cache(maxsize=1)
-def word_hashes() -> WordHashes:
-    return WordHashes()
-
-
 def shingle_set(text: str | None, width: int = SHINGLE_WORDS) -> np.ndarray:
     """Sorted hashes of the distinct shingles: lower-case A-Z, words between ASCII white space.
 
@@ -75,8 +71,8 @@ def shingle_set(text: str | None, width: int = SHINGLE_WORDS) -> np.ndarray:
     words = text.encode("utf-8", "replace").lower().split() if text else []
     if not words:
         return np.zeros(0, U)
-    held = word_hashes()
-    h = np.fromiter(map(held.__getitem__, words), U, len(words))
+    known = held(("words",), WordHashes)
+    h = np.fromiter(map(known.__getitem__, words), U, len(words))
     n = min(width, len(h))
     total = np.full(len(h) - n + 1, n, U)
     for i in range(n):
@@ -211,20 +207,25 @@ def described(rows: DataFrame, scheme: Scheme, width: int) -> DataFrame:
 
 
 def shared_lists(base: DataFrame) -> DataFrame:
-    """Entries ``key, node, low, high`` of the lists with two sets or more; low and high are members of the list."""
-    alike = Window.partitionBy("key")
+    """Entries ``key, node, low, high, members`` of the lists with two sets or more; low and high are two of them."""
+    ordered = Window.partitionBy("key").orderBy("node")
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     some = base.filter("bits IS NOT NULL")
     met = some.select("node", F.explode("first").alias("key")).select(
-        "key", "node", F.min("node").over(alike).alias("low"), F.max("node").over(alike).alias("high")
-    )
+        "key", "node", F.first("node").over(whole).alias("low"), F.last("node").over(whole).alias("high"),
+        F.count("node").over(whole).alias("members"), F.lag("node").over(ordered).alias("before"),
+    ).filter("before IS NULL OR before != node")  # equal sets of several batches
     others = some.filter("size(later) > 0").select("node", F.explode("later").alias("key"))
-    crowded = others.groupBy("key").agg(F.min("node").alias("l"), F.max("node").alias("h"))
+    crowded = others.groupBy("key").agg(F.min("node").alias("l"), F.max("node").alias("h"), F.count("node").alias("more"))
     every = cut_lineage(
-        met.join(crowded, "key", "left").filter("low < high OR l IS NOT NULL")
-        .select("key", "node", F.least("low", "l").alias("low"), F.greatest("high", "h").alias("high"))
+        met.join(crowded, "key", "left").filter("low < high OR l IS NOT NULL").select(
+            "key", "node", F.least("low", "l").alias("low"), F.greatest("high", "h").alias("high"),
+            (F.col("members") + F.coalesce("more", F.lit(0))).alias("members"),
+        )
     )
-    ends = every.select("key", "low", "high").distinct()
-    return every.unionByName(others.join(ends, "key").select("key", "node", "low", "high")).distinct()
+    ends = every.select("key", "low", "high", "members").distinct()
+    later = cut_lineage(others.distinct().join(ends, "key").select(every.columns))
+    return every.unionByName(later)
 
 
 def close_enough(percent: int) -> str:
@@ -266,11 +267,13 @@ def join(
 
 def linked_sets(rows: DataFrame, base: DataFrame, percent: int, width: int) -> DataFrame:
     """``node, root`` for each set that links to a set of a smaller hash."""
-    lists = cut_lineage(shared_lists(base))
+    lists = shared_lists(base)
+    long = lists.filter("members > 3")  # of three members, all are compared with the first or the last
     nodes = cut_lineage(
         base.filter("bits IS NOT NULL").join(lists.select("node").distinct(), "node", "left_semi")
         .groupBy("node").agg(F.min("print").alias("print"), F.min("n").alias("n"), F.min("bits").alias("bits"))
     )
+    sizes = checked_broadcast(nodes.select("node", "n", "bits"), SENT_NODES)
 
     def sets_of(batch: dict[str, list]) -> Iterable[tuple]:
         done: set[int] = set()
@@ -283,29 +286,23 @@ def linked_sets(rows: DataFrame, base: DataFrame, percent: int, width: int) -> D
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs ``a, b`` that link: by size and parity first, then by their sets, which are built anew for them."""
-        a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
-        b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+        a = sizes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+        b = sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
         near = cut_lineage(pairs.join(a, "a").join(b, "b").filter(close_enough(percent)).select("a", "b"))
         if near.isEmpty():
             return near
         used = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("print").distinct()
-        wanted = rows.join(checked_broadcast(used), "print", "left_semi").select("text")
-        sets = (
-            arrow_map(wanted, sets_of, "node long, shingles array<long>")
-            .groupBy("node").agg(F.first("shingles").alias("shingles"))
-        )
-        return cut_lineage(verified(near, cut_lineage(sets), percent))
+        wanted = rows.join(checked_broadcast(used), "print", "left_semi").dropDuplicates(["print"]).select("text")
+        return cut_lineage(verified(near, arrow_map(wanted, sets_of, "node long, shingles array<long>"), percent))
 
     first = lists.select(
         F.inline(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b"))))
     ).filter("a < b").distinct()
-    links = linked(first)
-    roots = connected_components(links)
+    roots = connected_components(linked(first))
     for turn in range(LEADER_ROUNDS + 1):
-        placed = lists.join(roots, "node", "left").select("key", "node", "low", "high", F.coalesce("root", "node").alias("root"))
-        parted = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("members"))
-        # a list is done when its members lie in one component, or were all compared with its first and last member
-        left = cut_lineage(placed.join(parted.filter("r0 < r1 AND members > 3").drop("r0", "r1"), "key"))
+        placed = long.join(checked_broadcast(roots, 10 * SENT_NODES), "node", "left").select("key", "node", "low", "high", F.coalesce("root", "node").alias("root"))
+        parted = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("key")
+        left = cut_lineage(placed.join(parted, "key"))  # a list is done when its members lie in one component
         if left.isEmpty():
             break
         if turn < LEADER_ROUNDS:
@@ -317,15 +314,14 @@ def linked_sets(rows: DataFrame, base: DataFrame, percent: int, width: int) -> D
             )
             pairs = pairs.distinct()
         else:
-            side = left.filter("node != low AND node != high").join(nodes.select("node", "n", "bits"), "node")
+            side = left.filter("node != low AND node != high").join(sizes, "node")
             a = side.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
             b = side.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
             meet = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & F.expr(close_enough(percent))
             pairs = a.join(b, "key").filter(meet).select("a", "b").distinct()
         more = linked(pairs)
         if not more.isEmpty():
-            links = cut_lineage(links.unionByName(more).distinct())
-            roots = connected_components(links)
+            roots = connected_components(more.unionByName(roots.toDF("a", "b")))
     return roots
 
 
