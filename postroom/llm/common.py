@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from pathlib import Path
@@ -16,23 +19,34 @@ WORD = re.compile(WORD_PATTERN)
 UPPER_TO_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 BROADCAST_ROWS = 4_000_000
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 
 
 _HELD: dict[tuple, object] = {}
+_OWNER: list[str] = []
 
 
 def held(key: tuple, make: Callable[[], object]) -> object:
-    """What a process keeps between tasks, such as the words it has seen: for one operator at a time.
-
-    Workers outlive an operator; the next one drops what its predecessor kept.
-    """
+    """What a process keeps between the tasks of one operator, such as the words it has seen."""
     if key not in _HELD:
         _HELD.clear()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def enter(owner: str) -> None:
+    """Start a task of operator ``owner``: what another one kept in this process goes, and its memory back to the system.
+
+    Python workers outlive an operator, so that a chain of operators would add up what each keeps.
+    """
+    if _OWNER != [owner]:
+        _OWNER[:] = [owner]
+        _HELD.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def visible(df: DataFrame) -> DataFrame:
     """``df``, after telling Python workers where this package lies (they need not start in its folder)."""
     root = str(Path(__file__).resolve().parents[2])
@@ -40,10 +54,12 @@ def visible(df: DataFrame) -> DataFrame:
     return df
 
 
-def arrow_map(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[Sequence]], schema: str) -> DataFrame:
+def arrow_map(
+    df: DataFrame, fn: Callable[[dict[str, list]], Iterable[Sequence]], schema: str, batch_rows: int = BATCH_ROWS
+) -> DataFrame:
     """Apply ``fn`` to each Arrow batch: columns as Python lists in, rows as tuples out.
 
-    ``schema`` is a DDL string; its columns name the output. ``fn`` sees at most ``BATCH_ROWS`` rows at
+    ``schema`` is a DDL string; its columns name the output. ``fn`` sees at most ``batch_rows`` rows at
     a time, so memory does not depend on the partition size.
     """
     struct = df.sparkSession.createDataFrame([], schema).schema
@@ -54,7 +70,8 @@ def arrow_map(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[Sequence]]
     read = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS)):
+        enter(fn.__module__)
+        for batch in (b.slice(at, batch_rows) for b in batches for at in range(0, b.num_rows, batch_rows)):
             rows = fn({name: batch.column(i).to_pylist() for i, name in enumerate(read)})
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.record_batch([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)

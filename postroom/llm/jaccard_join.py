@@ -37,7 +37,7 @@ PERCENT = 90
 LIST_WEIGHT = 8
 LEVEL_RATIO = 1.5
 PARITY_BITS = 512
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 LEADER_ROUNDS = 1
 SENT_NODES = 100_000  # sets whose sizes and parity bits are broadcast, some 150 bytes each
 

@@ -11,7 +11,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postroom.llm.common import arrow_map, visible
+from postroom.llm.common import arrow_map, enter, visible
 
 # FIXED VALUES: the base patterns and the least lengths of what they match.
 ASSIGN = re.compile(
@@ -154,6 +154,7 @@ def redact_documents(docs: DataFrame, *, text: str = "text", chars: str = "n_cha
     def clean(batches):
         import pyarrow as pa
 
+        enter(__name__)
         for batch in batches:
             at = batch.schema.get_field_index(text)
             values = []

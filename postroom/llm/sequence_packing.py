@@ -6,18 +6,17 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Mapping
-from functools import lru_cache
 from unicodedata import is_normalized
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postroom.llm.common import arrow_map
+from postroom.llm.common import arrow_map, held
 from postroom.session import cut_lineage
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 CACHED_LENGTH = 48
 PUNCTUATION = ".,;:!?|*#$%&()-"
 # Characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from 256 on.
@@ -93,9 +92,8 @@ class WordIds(dict):
         return extra
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return held(("ids", path), lambda: WordIds(path))
 
 
 def tokenize_pieces(
@@ -111,11 +109,11 @@ def tokenize_pieces(
     end = end_id.to_bytes(4, "little")
 
     def run(batch: dict[str, list]):
-        held = word_ids(path)
+        known = word_ids(path)
         for at in range(0, len(batch["text"]), 500):  # words of few texts at a time, so that little is kept beside the cache
             part = [t.encode().split() if t else [] for t in batch["text"][at : at + 500]]
-            extra = held.learn(set().union(*part))
-            find = (lambda w: extra[w] if w in extra else held[w]) if extra else held.__getitem__
+            extra = known.learn(set().union(*part))
+            find = (lambda w: extra[w] if w in extra else known[w]) if extra else known.__getitem__
             for doc_id, words in zip(batch["doc_id"][at : at + 500], part, strict=True):
                 ids = b"".join(map(find, words)) + end
                 for piece, start in enumerate(range(0, len(ids), 4 * capacity)):

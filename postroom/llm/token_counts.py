@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import heapq
 import re
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postroom.llm.common import arrow_map
+from postroom.llm.common import arrow_map, held
 
 CONTEXT_TOKENS = 4096
 SPACE = "▁"  # how the vocabulary writes a blank
@@ -92,9 +91,8 @@ class ChunkCounts(dict):
         return n
 
 
-@lru_cache(maxsize=2)
 def chunk_counts(path: str) -> ChunkCounts:
-    return ChunkCounts(PairRanks(path))
+    return held(("chunks", path), lambda: ChunkCounts(PairRanks(path)))
 
 
 def count_tokens(text: str, counts: ChunkCounts) -> int:

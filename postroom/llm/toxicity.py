@@ -6,14 +6,13 @@ import random
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postroom.llm.common import arrow_map, visible
+from postroom.llm.common import arrow_map, enter, held, visible
 from postroom.session import cut_lineage
 
 # Bounds of the training sample, in labelled documents per class and in windows per dictionary.
@@ -31,7 +30,7 @@ WINDOW_LENGTH = 32
 # Both dictionaries end in HEAD, so that each window has a match and the frame's fixed cost is paid; TAIL
 # keeps a window's last letters inside the part of a block that the match finder looks at.
 HEAD, TAIL = bytes(range(1, 17)), bytes(range(240, 248))
-CACHED_WINDOWS = 400_000
+CACHED_WINDOWS = 100_000
 
 
 def windows(text: str | None) -> list[str]:
@@ -99,9 +98,8 @@ class Gains(dict):
         self.update((w, int(g)) for w, g in zip(tried, gain, strict=True) if g >= LEAST_GAIN)
 
 
-@lru_cache(maxsize=2)
 def gains_of(model: Model) -> Gains:
-    return Gains(model)
+    return held(("gains", model.toxic, model.ordinary), lambda: Gains(model))
 
 
 def features(words: list[str], gains: Gains) -> tuple[float, ...]:
@@ -177,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, train: Column, bound: int = SAMPL
         return sorted(found)
 
     counts = cut_lineage(
-        arrow_map(sample.select("text", "toxic"), surroundings, "word string, toxic int, around string")
+        arrow_map(sample.select("text", "toxic"), surroundings, "word string, toxic int, around string", batch_rows=100)
         .distinct().groupBy("word", "toxic").count()
         .groupBy("word").agg(*(F.sum(F.when(F.col("toxic") == k, F.col("count")).otherwise(0)).alias(f"n{k}") for k in (0, 1)))
         .filter(F.length("word") >= 3)
@@ -240,6 +238,7 @@ def reject(docs: DataFrame, model: Model, *, text: str = "text", threshold: floa
     def keep(batches):
         import pyarrow as pa
 
+        enter(__name__)
         gains = gains_of(model)
         for batch in batches:
             verdicts = []
