@@ -54,10 +54,11 @@ TEMPLATE_HOSTS = 100_000
 
 
 class Node:
-    __slots__ = ("tag", "label", "out", "children")
+    __slots__ = ("tag", "label", "out", "constant", "children")
 
     def __init__(self, tag: str, label: str = "", out: bool = False) -> None:
         self.tag, self.label, self.out = tag, label or tag, out
+        self.constant = False  # its own text is template; what lies in blocks below it is judged by itself
         self.children: list[Node | str] = []
 
 
@@ -224,7 +225,7 @@ def main_text(source: str, template: tuple[str, dict[int, set[int]]] | None = No
             constant = template[1].get(other)
             if constant and (text := text_of(owned[slot])) and zlib.crc32(text.encode()) + 1 in constant:
                 for node in places[slot]:
-                    node.out = node.out or node.tag not in PROSE and node.tag not in ("html", "body", "main", "article")
+                    node.constant = node.tag not in PROSE
 
     def tops(node: Node, tag: str) -> Iterator[Node]:
         for c in node.children:
@@ -236,22 +237,23 @@ def main_text(source: str, template: tuple[str, dict[int, set[int]]] | None = No
 
     blocks: list[str] = []
 
-    def read(node: Node) -> None:
+    def read(node: Node, constant: bool) -> None:
         for c in node.children:
             if isinstance(c, str):
-                blocks.append(c)
+                if not constant:
+                    blocks.append(c)
             elif c.tag == "br" or c.tag == "hr":
                 blocks.append(" ")
             elif not c.out and c.tag not in VOID:
                 edge = "" if c.tag in INLINE else " "
                 blocks.append(edge)
-                read(c)
+                read(c, constant if c.tag in INLINE else c.constant)
                 blocks.append(edge)
 
     chosen = list(tops(root, "article")) or list(tops(root, "main"))
     for node in chosen or [root]:
         blocks.append(" ")
-        read(node)
+        read(node, node.constant)
     return text_of(blocks)
 
 

@@ -234,6 +234,20 @@ def test_extract_odd_pages(spark):
     assert html_extraction.extract(df.limit(0)).count() == 0
 
 
+def extracted(spark, form, n=8, **more):
+    """Texts of ``n`` pages of one host made from ``form``, by number."""
+    pages = [(i, f"http://t.example/{i}", form.format(i=i, **{k: v[i] for k, v in more.items()})) for i in range(n)]
+    rows = html_extraction.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    return [r["text"] for r in sorted(rows, key=lambda r: r["page_id"])]
+
+
+def test_constant_line_in_a_wrapper_takes_nothing_else(spark):
+    wrapper = "<body><div id=page><a href=#c>Skip to content</a><main><p>Story {i}</p></main></div></body>"
+    assert extracted(spark, wrapper) == [f"Story {i}" for i in range(8)]
+    byline = "<body><div class=post>By Staff<p>Story {i}</p><div class=x>Same line</div></div></body>"
+    assert extracted(spark, byline) == [f"Story {i}" for i in range(8)]
+
+
 def test_tree_matching_against_brute_force():
     from functools import lru_cache
 
