@@ -36,7 +36,7 @@ SCOPE = frozenset("ul ol dl table select body html article main section div nav
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figcaption".split())
 
 # What is never main text: by element, by role, and by a word in class or id.
-LEFT_OUT = frozenset("nav header footer aside form head select button dialog menu svg object canvas audio video datalist search".split())
+LEFT_OUT = frozenset("nav header footer aside head select button dialog menu svg object canvas audio video datalist search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar note".split())
 HINT = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|aside|ads?|advert\w*|adbox|banner|promo\w*|"
@@ -45,7 +45,7 @@ HINT = re.compile(
     r"search|widget|toolbar|copyright|legal|disclaimer|skip)(?:$|[\s_\d-])",
     re.IGNORECASE,
 )
-KEEP_WHATEVER_HINT = frozenset(("html", "body", "main"))
+KEEP_WHATEVER_HINT = frozenset(("html", "body", "main", "article"))
 
 # A node is template if one text fills it on at least this share of a host's pages, of at least so many.
 CONSTANT_PERCENT = 50
@@ -54,26 +54,27 @@ TEMPLATE_HOSTS = 100_000
 
 
 class Node:
-    __slots__ = ("tag", "label", "out", "constant", "children")
+    __slots__ = ("tag", "label", "out", "doubtful", "constant", "children")
 
-    def __init__(self, tag: str, label: str = "", out: bool = False) -> None:
+    def __init__(self, tag: str, label: str = "", out: bool = False, doubtful: bool = False) -> None:
         self.tag, self.label, self.out = tag, label or tag, out
+        self.doubtful = doubtful  # left out by a hint or as a form, unless the page's text lies in it
         self.constant = False  # its own text is template; what lies in blocks below it is judged by itself
         self.children: list[Node | str] = []
 
 
 def element(tag: str, attributes: str) -> Node:
-    label, out = tag, tag in LEFT_OUT
+    label, out, doubtful = tag, tag in LEFT_OUT, tag == "form"
     if "=" in attributes or "hidden" in attributes:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
         names = f"{found.get('class', '')} {found.get('id', '')}"
         if names != " ":
             label = f"{tag}.{re.sub(r'[^a-z]+', '-', names.lower())[:40]}"
-            out = out or (tag not in KEEP_WHATEVER_HINT and bool(HINT.search(names)))
+            doubtful = doubtful or (tag not in KEEP_WHATEVER_HINT and bool(HINT.search(names)))
         out = out or found.get("role", "").lower() in ROLES or found.get("aria-hidden") == "true"
         out = out or bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)))
         out = out or "display:none" in found.get("style", "").replace(" ", "").lower()
-    return Node(tag, label, out)
+    return Node(tag, label, out, doubtful)
 
 
 def parse(source: str) -> Node:
@@ -214,22 +215,49 @@ def sketch(source: str) -> tuple[str, list[int]]:
     return json.dumps(form), [zlib.crc32(t.encode()) + 1 if (t := text_of(parts)) else 0 for parts in owned]
 
 
-def main_text(source: str, template: tuple[str, dict[int, set[int]]] | None = None) -> str:
-    """Main text: the article, or what is left of the body, without what is boilerplate by role or by template."""
-    root = parse(source)
-    if template:
-        owned: list[list] = []
-        places: list[list[Node]] = []
-        form = json.dumps(skeleton(root, owned, places))
-        for slot, other in aligned(form, template[0]).items():
-            constant = template[1].get(other)
-            if constant and (text := text_of(owned[slot])) and zlib.crc32(text.encode()) + 1 in constant:
-                for node in places[slot]:
-                    node.constant = node.tag not in PROSE
+def settle(root: Node, evidence: bool, nothing_else: bool = False) -> bool:
+    """Decide the doubtful nodes: whether any was taken back.
+
+    A hint or a form does not cut a node that holds ``main``, nor one with more than half of the page's
+    text that is not template, if the host's pages tell what is or the node holds an article. If nothing
+    else is left, all are taken back.
+    """
+    order: list[tuple[Node, Node | None, bool]] = []
+    todo: list[tuple[Node, Node | None, bool]] = [(root, None, root.constant)]
+    while todo:
+        node, above, constant = todo.pop()
+        order.append((node, above, constant))
+        todo.extend(
+            (c, node, constant if c.tag in INLINE else c.constant) for c in node.children if isinstance(c, Node) and not c.out
+        )
+    if not any(node.doubtful for node, _, _ in order):
+        return False
+    chars: dict[int, int] = {}
+    holds: dict[int, set[str]] = {}
+    for node, above, constant in reversed(order):
+        at = id(node)
+        chars[at] = chars.get(at, 0) + (0 if constant else sum(len(c.strip()) for c in node.children if isinstance(c, str)))
+        if above:
+            chars[id(above)] = chars.get(id(above), 0) + chars[at]
+            inside = holds.get(at, set()) | ({node.tag} & {"article", "main"})
+            if inside:
+                holds.setdefault(id(above), set()).update(inside)
+    taken = False
+    for node, _, _ in order:
+        if node.doubtful:
+            inside = holds.get(id(node), ())
+            most = 2 * chars[id(node)] > chars[id(root)]
+            if nothing_else or "main" in inside or most and (evidence or "article" in inside):
+                node.doubtful, taken = False, True
+    return taken
+
+
+def read(root: Node) -> str:
+    """Text of the articles, or of ``main``, or of the whole body, without what is left out or constant."""
 
     def tops(node: Node, tag: str) -> Iterator[Node]:
         for c in node.children:
-            if isinstance(c, Node) and not c.out:
+            if isinstance(c, Node) and not c.out and not c.doubtful:
                 if c.tag == tag:
                     yield c
                 else:
@@ -237,26 +265,45 @@ def main_text(source: str, template: tuple[str, dict[int, set[int]]] | None = No
 
     blocks: list[str] = []
 
-    def read(node: Node, constant: bool) -> None:
+    def walk(node: Node, constant: bool) -> None:
         for c in node.children:
             if isinstance(c, str):
                 if not constant:
                     blocks.append(c)
             elif c.tag == "br" or c.tag == "hr":
                 blocks.append(" ")
-            elif not c.out and c.tag not in VOID:
+            elif not c.out and not c.doubtful and c.tag not in VOID:
                 edge = "" if c.tag in INLINE else " "
                 blocks.append(edge)
-                read(c, constant if c.tag in INLINE else c.constant)
+                walk(c, constant if c.tag in INLINE else c.constant)
                 blocks.append(edge)
 
-    chosen = list(tops(root, "article")) or list(tops(root, "main"))
-    for node in chosen or [root]:
+    for node in list(tops(root, "article")) or list(tops(root, "main")) or [root]:
         blocks.append(" ")
-        read(node, node.constant)
+        walk(node, node.constant)
     return text_of(blocks)
 
 
+def main_text(source: str, template: tuple[str, dict[int, set[int]]] | None = None) -> str:
+    """Main text: the article, or what is left of the body, without what is boilerplate by role or by template."""
+    root = parse(source)
+    if template:
+        owned: list[list] = []
+        places: list[list[Node]] = []
+        form = json.dumps(skeleton(root, owned, places))
+        for slot, other in aligned(form, template[0]).items():
+            constant = template[1].get(other)
+            if constant and (text := text_of(owned[slot])) and zlib.crc32(text.encode()) + 1 in constant:
+                for node in places[slot]:
+                    node.constant = node.tag not in PROSE
+
+    settle(root, template is not None)
+    text = read(root)
+    if not text and settle(root, template is not None, nothing_else=True):
+        text = read(root)
+    return text
+
+
 def host_of(url: Column) -> Column:
     """Host of a URL in lower case, without user and port; null for null."""
     return F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
@@ -296,7 +343,7 @@ def induce(pages: DataFrame) -> DataFrame:
         .filter(F.col("n") * 100 >= F.col("pages") * CONSTANT_PERCENT)
         .groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "text"))).alias("constants"))
     )
-    return references.join(constants, "host").select("host", "reference", "constants")
+    return references.join(constants, "host", "left").select("host", "reference", "constants")
 
 
 def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
@@ -317,7 +364,7 @@ def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", source:
             template = None
             if reference is not None:
                 slots: dict[int, set[int]] = {}
-                for c in constants:
+                for c in constants or ():
                     slots.setdefault(c["slot"], set()).add(c["text"])
                 template = (reference, slots)
             text = main_text(page or "", template)

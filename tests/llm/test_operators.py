@@ -248,6 +248,15 @@ def test_constant_line_in_a_wrapper_takes_nothing_else(spark):
     assert extracted(spark, byline) == [f"Story {i}" for i in range(8)]
 
 
+def test_hints_and_forms_do_not_take_the_page_text(spark):
+    stories = [f"Story {i} of the day" for i in range(8)]
+    assert extracted(spark, "<body><p>x<article class='post hentry category-legal tag-search'><p>Story {i} of the day</article></body>") == stories
+    assert extracted(spark, "<body><form id=f><div class=menu>m{i}</div><article><p>Story {i} of the day</p></article></form></body>") == stories
+    assert extracted(spark, "<body><form><div class='post tag-legal'><p>Story {i} of the day</div></form><div class=ads>ad {i}</div></body>") == stories
+    assert extracted(spark, "<body><div class=widget-layout><main>Story {i} of the day</main></div></body>", 1) == stories[:1]
+    assert extracted(spark, "<body><div>Story {i} of the day</div><div class=related><article>x{i}</article></div><form>f{i}</form></body>") == stories
+
+
 def test_tree_matching_against_brute_force():
     from functools import lru_cache
 
