@@ -6,7 +6,7 @@ import html
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -81,6 +81,12 @@ def parse(source: str) -> Node:
     """Tree of a page; unclosed and misplaced tags are mended as browsers mostly do."""
     root = Node("html")
     stack, at = [root], 0
+    opened: Counter[str] = Counter()  # tags on the stack above the root
+
+    def close_from(depth: int) -> None:
+        opened.subtract(n.tag for n in stack[depth:])
+        del stack[depth:]
+
     while True:
         m = TOKEN.search(source, at)
         text = source[at : m.start() if m else len(source)]
@@ -92,9 +98,9 @@ def parse(source: str) -> Node:
         if not tag or tag in ("html", "body") and len(stack) == 1 and not m[1]:
             continue
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
+            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0) if opened[tag] else 0
             if depth and not (tag in INLINE and any(n.tag not in INLINE for n in stack[depth + 1 :])):
-                del stack[depth:]
+                close_from(depth)
             elif tag == "br":
                 stack[-1].children.append(Node("br"))
             continue
@@ -107,97 +113,152 @@ def parse(source: str) -> Node:
             stack[-1].children.append(node)
             continue
         ends = ("p",) if tag in ENDS_PARAGRAPH else ENDS_SAME.get(tag, ())
-        for i in range(len(stack) - 1, 0, -1) if ends else ():
+        for i in range(len(stack) - 1, 0, -1) if any(opened[t] for t in ends) else ():
             if stack[i].tag in ends:
-                del stack[i:]
+                close_from(i)
                 if tag not in ("tr",):
                     break
             elif stack[i].tag in SCOPE:
                 break
         stack[-1].children.append(node)
         stack.append(node)
+        opened[tag] += 1
 
 
 Skeleton = tuple[str, tuple]
+# Labels of a tree in preorder, and how many nodes each subtree has: no depth is too deep for it.
+Flat = tuple[list[str], list[int]]
 
 
-def skeleton(node: Node, owned: list[list], places: list[list[Node]]) -> Skeleton:
-    """Labels of the block elements below ``node``; neighbours that look alike become one repeated slot.
+def skeleton(root: Node, owned: list[list], places: list[list[Node]]) -> Flat:
+    """Labels of the block elements below ``root``; neighbours that look alike become one repeated slot.
 
-    ``owned`` gets each slot's own text, ``places`` the nodes that fill it, both in the order of ``flat``.
+    ``owned`` gets each slot's own text, ``places`` the nodes that fill it, both in preorder.
     """
-
-    def shape(n: Node) -> tuple:
-        kids, parts = [], []
-
-        def gather(x: Node) -> None:
-            for c in x.children:
-                if isinstance(c, str):
-                    parts.append(c)
-                elif c.tag in INLINE or c.tag in VOID:
-                    gather(c)
-                else:
-                    kids.append(shape(c))
-
-        gather(n)
-        merged: list[list] = []
-        for kid in kids:
-            if merged and merged[-1][0] == kid[0]:
-                for mine, other in zip(merged[-1][1], kid[1], strict=True):
-                    mine[0].extend(other[0])
-                    mine[1].extend(other[1])
+    # 1. Own text and block children of each block, through inline elements.
+    order: list[Node] = [root]
+    parts: dict[int, list[str]] = {id(root): []}
+    kids: dict[int, list[Node]] = {id(root): []}
+    todo = [(c, root) for c in reversed(root.children)]
+    while todo:
+        c, block = todo.pop()
+        if isinstance(c, str):
+            parts[id(block)].append(c)
+            continue
+        if c.tag not in INLINE and c.tag not in VOID:
+            kids[id(block)].append(c)
+            order.append(c)
+            parts[id(c)], kids[id(c)], block = [], [], c
+        todo.extend((x, block) for x in reversed(c.children))
+    # 2. A number per shape, from the leaves up: children come after their parent in ``order``.
+    numbers: dict[tuple, int] = {}
+    shapes: dict[int, int] = {}
+    for n in reversed(order):
+        runs: list[int] = []
+        for kid in kids[id(n)]:
+            if not runs or runs[-1] != shapes[id(kid)]:
+                runs.append(shapes[id(kid)])
+        shapes[id(n)] = numbers.setdefault((n.label, *runs), len(numbers))
+    # 3. Slots from the root down: nodes of one shape in a run fill one slot, and so do their like children.
+    labels: list[str] = []
+    above: list[int] = []
+    groups: list[tuple[list[Node], int]] = [([root], -1)]
+    while groups:
+        nodes, parent = groups.pop()
+        at = len(labels)
+        labels.append(nodes[0].label)
+        above.append(parent)
+        owned.append([text for n in nodes for text in parts[id(n)]])
+        places.append(nodes)
+        runs_of: list[list[Node]] = []
+        for n in nodes:
+            run, last = -1, None
+            for kid in kids[id(n)]:
+                if shapes[id(kid)] != last:
+                    run, last = run + 1, shapes[id(kid)]
+                if run == len(runs_of):
+                    runs_of.append([])
+                runs_of[run].append(kid)
+        groups.extend((r, at) for r in reversed(runs_of))
+    sizes = [1] * len(labels)
+    for at in range(len(labels) - 1, 0, -1):
+        sizes[above[at]] += sizes[at]
+    return labels, sizes
+
+
+def flat(tree: Skeleton) -> Flat:
+    labels, above, todo = [], [], [(tree, -1)]
+    while todo:
+        (label, children), parent = todo.pop()
+        at = len(labels)
+        labels.append(label)
+        above.append(parent)
+        todo.extend((c, at) for c in reversed(children))
+    sizes = [1] * len(labels)
+    for at in range(len(labels) - 1, 0, -1):
+        sizes[above[at]] += sizes[at]
+    return labels, sizes
+
+
+def below(tree: Flat, at: int) -> list[int]:
+    """Positions of a node's children."""
+    found, end, at = [], at + tree[1][at], at + 1
+    while at < end:
+        found.append(at)
+        at += tree[1][at]
+    return found
+
+
+def matched_children(xs: list[int], ys: list[int], sizes: dict[tuple[int, int], int]) -> list[list[int]]:
+    best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+    for i, x in enumerate(xs, 1):
+        for j, y in enumerate(ys, 1):
+            best[i][j] = max(best[i][j - 1], best[i - 1][j], best[i - 1][j - 1] + sizes.get((x, y), 0))
+    return best
+
+
+def match(a: Flat, b: Flat) -> tuple[int, dict[int, int]]:
+    """As ``simple_tree_matching``, of flat trees, by stacks of its own."""
+    if a[0][0] != b[0][0]:
+        return 0, {}
+    below_a = [below(a, i) for i in range(len(a[0]))]
+    below_b = [below(b, j) for j in range(len(b[0]))]
+    # Pairs whose ancestors agree level by level; children come after their parents.
+    pairs = [(0, 0)]
+    for x, y in pairs:
+        pairs.extend((i, j) for i in below_a[x] for j in below_b[y] if a[0][i] == b[0][j])
+    sizes: dict[tuple[int, int], int] = {}
+    for x, y in reversed(pairs):
+        sizes[x, y] = matched_children(below_a[x], below_b[y], sizes)[-1][-1] + 1
+    met, todo = {}, [(0, 0)]
+    while todo:
+        x, y = todo.pop()
+        met[x] = y
+        xs, ys = below_a[x], below_b[y]
+        best, i, j = matched_children(xs, ys, sizes), len(xs), len(ys)
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
             else:
-                merged.append([kid[0], kid[1]])
-        slots = [[parts, [n]]]
-        for m in merged:
-            slots.extend(m[1])
-        return (n.label, tuple(m[0] for m in merged)), slots
-
-    form, slots = shape(node)
-    owned.extend(s[0] for s in slots)
-    places.extend(s[1] for s in slots)
-    return form
-
-
-def size(tree: Skeleton) -> int:
-    return 1 + sum(map(size, tree[1]))
+                i, j = i - 1, j - 1
+                todo.append((xs[i], ys[j]))
+    return sizes[0, 0], met
 
 
 def simple_tree_matching(a: Skeleton, b: Skeleton) -> tuple[int, dict[int, int]]:
     """Largest order-keeping match of two trees whose roots agree: its size, and preorder positions of ``a`` to those of ``b``."""
-    if a[0] != b[0]:
-        return 0, {}
-    m, n = len(a[1]), len(b[1])
-    start_a, start_b = [1], [1]
-    for x in a[1]:
-        start_a.append(start_a[-1] + size(x))
-    for y in b[1]:
-        start_b.append(start_b[-1] + size(y))
-    pairs = [[simple_tree_matching(x, y) for y in b[1]] for x in a[1]]
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            best[i][j] = max(best[i][j - 1], best[i - 1][j], best[i - 1][j - 1] + pairs[i - 1][j - 1][0])
-    met, i, j = {0: 0}, m, n
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            met.update((start_a[i] + p, start_b[j] + q) for p, q in pairs[i][j][1].items())
-    return best[m][n] + 1, met
-
-
-def frozen(tree: list) -> Skeleton:
-    return tree[0], tuple(map(frozen, tree[1]))
+    return match(flat(a), flat(b))
 
 
 @lru_cache(maxsize=20_000)
 def aligned(page: str, reference: str) -> dict[int, int]:
-    """Slots of a page to slots of the host's reference, both as JSON of their skeletons."""
-    return simple_tree_matching(frozen(json.loads(page)), frozen(json.loads(reference)))[1]
+    """Slots of a page to slots of the host's reference, both as JSON of their flat skeletons."""
+    a = json.loads(page)
+    if page == reference:
+        return {i: i for i in range(len(a[0]))}
+    return match(a, json.loads(reference))[1]
 
 
 def spaced(text: str) -> str:
@@ -239,13 +300,11 @@ def settle(root: Node, evidence: bool, nothing_else: bool = False) -> bool:
         chars[at] = chars.get(at, 0) + (0 if constant else sum(len(c.strip()) for c in node.children if isinstance(c, str)))
         if above:
             chars[id(above)] = chars.get(id(above), 0) + chars[at]
-            inside = holds.get(at, set()) | ({node.tag} & {"article", "main"})
-            if inside:
-                holds.setdefault(id(above), set()).update(inside)
+            holds.setdefault(id(above), set()).update(holds.get(at, ()), {node.tag} & {"article", "main"})
     taken = False
     for node, _, _ in order:
         if node.doubtful:
-            inside = holds.get(id(node), ())
+            inside = holds.get(id(node), set())
             most = 2 * chars[id(node)] > chars[id(root)]
             if nothing_else or "main" in inside or most and (evidence or "article" in inside):
                 node.doubtful, taken = False, True
@@ -255,18 +314,23 @@ def settle(root: Node, evidence: bool, nothing_else: bool = False) -> bool:
 def read(root: Node) -> str:
     """Text of the articles, or of ``main``, or of the whole body, without what is left out or constant."""
 
-    def tops(node: Node, tag: str) -> Iterator[Node]:
-        for c in node.children:
+    def tops(tag: str) -> list[Node]:
+        found, todo = [], list(reversed(root.children))
+        while todo:
+            c = todo.pop()
             if isinstance(c, Node) and not c.out and not c.doubtful:
                 if c.tag == tag:
-                    yield c
+                    found.append(c)
                 else:
-                    yield from tops(c, tag)
+                    todo.extend(reversed(c.children))
+        return found
 
     blocks: list[str] = []
-
-    def walk(node: Node, constant: bool) -> None:
-        for c in node.children:
+    for top in tops("article") or tops("main") or [root]:
+        blocks.append(" ")
+        todo = [(c, top.constant) for c in reversed(top.children)]
+        while todo:
+            c, constant = todo.pop()
             if isinstance(c, str):
                 if not constant:
                     blocks.append(c)
@@ -274,13 +338,10 @@ def read(root: Node) -> str:
                 blocks.append(" ")
             elif not c.out and not c.doubtful and c.tag not in VOID:
                 edge = "" if c.tag in INLINE else " "
+                inner = constant if c.tag in INLINE else c.constant
                 blocks.append(edge)
-                walk(c, constant if c.tag in INLINE else c.constant)
-                blocks.append(edge)
-
-    for node in list(tops(root, "article")) or list(tops(root, "main")) or [root]:
-        blocks.append(" ")
-        walk(node, node.constant)
+                todo.append((edge, False))
+                todo.extend((x, inner) for x in reversed(c.children))
     return text_of(blocks)
 
 

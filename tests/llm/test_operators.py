@@ -257,6 +257,17 @@ def test_hints_and_forms_do_not_take_the_page_text(spark):
     assert extracted(spark, "<body><div>Story {i} of the day</div><div class=related><article>x{i}</article></div><form>f{i}</form></body>") == stories
 
 
+@pytest.mark.parametrize("tag", ["a name=x", "font", "b", "div", "div class=menu"])
+def test_thousands_of_unclosed_tags(spark, tag):
+    deep = "<body><div>Story {i}" + f"<{tag}>x{{i}} " * 5_000 + "<p>end {i}"
+    for i, t in enumerate(extracted(spark, deep, 6)):
+        words = t.replace(f"x{i}", f" x{i} ").split()
+        if tag == "div class=menu":  # kept as far down as it holds more than half of the text
+            assert words[:2] == ["Story", str(i)] and words.count(f"x{i}") > 2_000
+        else:
+            assert words == ["Story", str(i), *[f"x{i}"] * 5_000, "end", str(i)]
+
+
 def test_tree_matching_against_brute_force():
     from functools import lru_cache
 
