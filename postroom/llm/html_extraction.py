@@ -47,9 +47,13 @@ HINT = re.compile(
 )
 KEEP_WHATEVER_HINT = frozenset(("html", "body", "main", "article"))
 
-# A node is template if one text fills it on at least this share of a host's pages, of at least so many.
+# A text is template if it is in its slot on at least this share of a host's pages that differ, of at least so many;
+# for paragraphs, list items, cells and other prose the share is higher. Prose in an article is kept, as the page itself
+# calls it content, and so is constant prose longer than this and than the rest of its page, which is a near copy then.
 CONSTANT_PERCENT = 50
+CONSTANT_PROSE_PERCENT = 90
 LEAST_PAGES = 5
+TRUSTED_PROSE_CHARS = 500
 TEMPLATE_HOSTS = 100_000
 
 
@@ -133,7 +137,8 @@ Flat = tuple[list[str], list[int]]
 def skeleton(root: Node, owned: list[list], places: list[list[Node]]) -> Flat:
     """Labels of the block elements below ``root``; neighbours that look alike become one repeated slot.
 
-    ``owned`` gets each slot's own text, ``places`` the nodes that fill it, both in preorder.
+    ``places`` gets the nodes that fill each slot, ``owned`` their own texts, both in preorder. What is left out
+    for certain has no slot.
     """
     # 1. Own text and block children of each block, through inline elements.
     order: list[Node] = [root]
@@ -145,6 +150,8 @@ def skeleton(root: Node, owned: list[list], places: list[list[Node]]) -> Flat:
         if isinstance(c, str):
             parts[id(block)].append(c)
             continue
+        if c.out:
+            continue
         if c.tag not in INLINE and c.tag not in VOID:
             kids[id(block)].append(c)
             order.append(c)
@@ -168,7 +175,7 @@ def skeleton(root: Node, owned: list[list], places: list[list[Node]]) -> Flat:
         at = len(labels)
         labels.append(nodes[0].label)
         above.append(parent)
-        owned.append([text for n in nodes for text in parts[id(n)]])
+        owned.append([text_of(parts[id(n)]) for n in nodes])
         places.append(nodes)
         runs_of: list[list[Node]] = []
         for n in nodes:
@@ -269,11 +276,25 @@ def text_of(parts: list[str]) -> str:
     return spaced(html.unescape("".join(parts)))
 
 
-def sketch(source: str) -> tuple[str, list[int]]:
-    """Skeleton of a page as JSON, and a hash of each slot's own text, 0 where it is blank."""
-    owned: list[list] = []
+def text_keys(texts: list[str]) -> list[int]:
+    """A key for each text of a slot, 0 for a blank one: its hash, and how often the slot has it.
+
+    So a notice counts, which each page has once, but not a cell value that each page has some times.
+    """
+    counts = Counter(texts)
+    return [zlib.crc32(t.encode("utf-8", "replace")) | min(counts[t], 1 << 30) << 32 if t else 0 for t in texts]
+
+
+def sketch(source: str) -> tuple[str, list[list[int]]]:
+    """Flat skeleton of a page as JSON, and the keys of each slot's texts that are not blank."""
+    owned: list[list[str]] = []
     form = skeleton(parse(source), owned, [])
-    return json.dumps(form), [zlib.crc32(t.encode()) + 1 if (t := text_of(parts)) else 0 for parts in owned]
+    return json.dumps(form), [sorted(set(text_keys(texts)) - {0}) for texts in owned]
+
+
+@lru_cache(maxsize=1_000)
+def prose_slots(reference: str) -> list[bool]:
+    return [label.split(".")[0] in PROSE for label in json.loads(reference)[0]]
 
 
 def settle(root: Node, evidence: bool, nothing_else: bool = False) -> bool:
@@ -349,15 +370,25 @@ def main_text(source: str, template: tuple[str, dict[int, set[int]]] | None = No
     """Main text: the article, or what is left of the body, without what is boilerplate by role or by template."""
     root = parse(source)
     if template:
-        owned: list[list] = []
+        owned: list[list[str]] = []
         places: list[list[Node]] = []
-        form = json.dumps(skeleton(root, owned, places))
-        for slot, other in aligned(form, template[0]).items():
-            constant = template[1].get(other)
-            if constant and (text := text_of(owned[slot])) and zlib.crc32(text.encode()) + 1 in constant:
-                for node in places[slot]:
-                    node.constant = node.tag not in PROSE
-
+        form = skeleton(root, owned, places)
+        slots = aligned(json.dumps(form), template[0])
+        rest, prose, article_end = 0, [], 0
+        for slot, (texts, nodes) in enumerate(zip(owned, places, strict=True)):
+            constant = template[1].get(slots.get(slot, -1), ())
+            if nodes[0].tag == "article":
+                article_end = max(article_end, slot + form[1][slot])
+            inside = slot < article_end
+            for text, node, k in zip(texts, nodes, text_keys(texts), strict=True):
+                node.constant = k in constant and not (inside and node.tag in PROSE)
+                if not node.constant:
+                    rest += len(text)
+                elif node.tag in PROSE:
+                    prose.append((node, len(text)))
+        if sum(n for _, n in prose) > max(rest, TRUSTED_PROSE_CHARS):
+            for node, _ in prose:
+                node.constant = False
     settle(root, template is not None)
     text = read(root)
     if not text and settle(root, template is not None, nothing_else=True):
@@ -374,14 +405,17 @@ def induce(pages: DataFrame) -> DataFrame:
     """Template per host from ``host, html``: ``host, reference, constants``.
 
     The reference is the host's most frequent skeleton. Every page is aligned with it; per matched slot
-    the texts are counted over all pages, and those on at least half of them become constants. Counts
-    combine on the map side, so a host with a third of all pages costs no task more than the others.
+    the texts are counted over all pages, and those on at least half of them (prose: nine tenths) become
+    constants. Pages of a host with the same skeleton and texts count once, as copies do not tell a
+    template. Counts combine on the map side, so a host with a third of all pages costs no task more than
+    the others.
     """
     def sketched(batch: dict[str, list]):
         for host, source in zip(batch["host"], batch["html"], strict=True):
             yield host, *sketch(source or "")
 
-    forms = cut_lineage(arrow_map(pages.filter(F.col("host").isNotNull()).select("host", "html"), sketched, "host string, form string, texts array<long>"))
+    sketches = arrow_map(pages.filter(F.col("host").isNotNull()).select("host", "html"), sketched, "host string, form string, texts array<array<long>>")
+    forms = cut_lineage(sketches.withColumn("print", F.xxhash64("form", "texts")).dropDuplicates(["host", "print"]).drop("print"))
     counted = forms.groupBy("host", "form").count()
     references = counted.groupBy("host").agg(
         F.max_by("form", F.struct("count", "form")).alias("reference"), F.sum("count").alias("pages")
@@ -390,18 +424,19 @@ def induce(pages: DataFrame) -> DataFrame:
     def matched(batch: dict[str, list]):
         counts: dict[tuple, int] = {}
         for host, form, texts, reference in zip(batch["host"], batch["form"], batch["texts"], batch["reference"], strict=True):
+            prose = prose_slots(reference)
             for slot, other in aligned(form, reference).items():
-                if texts[slot]:
-                    at = (host, other, texts[slot])
+                for text in texts[slot]:
+                    at = (host, other, prose[other], text)
                     counts[at] = counts.get(at, 0) + 1
         return ((*k, n) for k, n in counts.items())
 
     met = forms.join(checked_broadcast(references, TEMPLATE_HOSTS), "host").select("host", "form", "texts", "reference")
     constants = (
-        arrow_map(met, matched, "host string, slot int, text long, n long")
-        .groupBy("host", "slot", "text").agg(F.sum("n").alias("n"))
+        arrow_map(met, matched, "host string, slot int, prose boolean, text long, n long")
+        .groupBy("host", "slot", "prose", "text").agg(F.sum("n").alias("n"))
         .join(checked_broadcast(references.select("host", "pages"), TEMPLATE_HOSTS), "host")
-        .filter(F.col("n") * 100 >= F.col("pages") * CONSTANT_PERCENT)
+        .filter(F.col("n") * 100 >= F.col("pages") * F.when(F.col("prose"), CONSTANT_PROSE_PERCENT).otherwise(CONSTANT_PERCENT))
         .groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "text"))).alias("constants"))
     )
     return references.join(constants, "host", "left").select("host", "reference", "constants")

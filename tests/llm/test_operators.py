@@ -257,6 +257,25 @@ def test_hints_and_forms_do_not_take_the_page_text(spark):
     assert extracted(spark, "<body><div>Story {i} of the day</div><div class=related><article>x{i}</article></div><form>f{i}</form></body>") == stories
 
 
+def test_constant_prose_is_template(spark):
+    stories = [f"Story {i} More {i}" for i in range(8)]
+    notice = "<body><div class=x1><p>We have moved</p></div><div><p>Story {i}<p>Terms apply<p>More {i}</div><table><tr><td>All rights reserved</table></body>"
+    assert extracted(spark, notice) == stories
+    menu = "<body><div class=x1><ul><li>Home<li>Products</ul></div><div><h2>Story {i}</h2><p>More {i}</p></div></body>"
+    assert extracted(spark, menu) == stories
+
+
+def test_copies_and_repeated_values_are_no_template(spark):
+    assert extracted(spark, "<body><div><p>One story</p></div></body>") == ["One story"] * 8
+    article = "It was told again and again. " * 40
+    near = extracted(spark, f"<body><p>Printed on day {{i}}</p><div><p>{article}</p></div></body>")
+    assert near == [f"Printed on day {i} {article.strip()}" for i in range(8)]
+    cells = ["".join(f"<td>{c}" for c in "01" + "0" * i) for i in range(8)]
+    got = extracted(spark, "<body><table><tr>{cells}</table><p>Story {i}</body>", cells=cells)
+    assert all(t.split().count("0") >= i for i, t in enumerate(got) if i < 8)
+    assert all(t.endswith(f"Story {i}") for i, t in enumerate(got))
+
+
 @pytest.mark.parametrize("tag", ["a name=x", "font", "b", "div", "div class=menu"])
 def test_thousands_of_unclosed_tags(spark, tag):
     deep = "<body><div>Story {i}" + f"<{tag}>x{{i}} " * 5_000 + "<p>end {i}"
