@@ -30,11 +30,10 @@ PERCENT = 80
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 12, 3
 BITS = BLOCKS * BLOCK_BITS
 RADIUS = BLOCKS * BLOCK_RADIUS + BLOCKS - 1
-# Counters of 12 bits, four to a long: the sum over a window of up to 2,047 shingles fits a counter, and
-# running sums of up to 2**27 shingles fit a long.
-LANES, LANE_BITS = 4, 12
+# Counters of 31 bits, two to a long: the sum over any window that an array can hold fits a counter, and so do
+# running sums.
+LANES, LANE_BITS = 2, 31
 LONGS = BITS // LANES
-MAX_SHINGLES = (1 << (LANE_BITS - 1)) - 1
 
 
 def words_of(text: Column) -> Column:
@@ -53,7 +52,7 @@ def shingles_of(words: str, width: int = SHINGLE_WORDS) -> Column:
 
 
 def spread_bits(token: str, k: int) -> str:
-    """The token's bits 4k to 4k+3, one per counter."""
+    """The token's bits from LANES * k on, one per counter."""
     return " + ".join(
         f"shiftleft(shiftright({token}, {LANES * k + lane}) & 1L, {LANE_BITS * lane})" for lane in range(LANES)
     )
@@ -61,20 +60,28 @@ def spread_bits(token: str, k: int) -> str:
 
 def sign_bits(sums: list[str], count: str) -> str:
     """Fingerprint from counters: a bit is set where more than half of ``count`` shingles have it."""
-    high = sum(1 << (LANE_BITS * lane + LANE_BITS - 1) for lane in range(LANES))
     ones = sum(1 << (LANE_BITS * lane) for lane in range(LANES))
     bias = f"({1 << (LANE_BITS - 1)}L - 1L - CAST({count} DIV 2 AS BIGINT)) * {ones}L"
-    bits = [f"shiftleft(shiftright(({s} + {bias}) & {high}L, {LANE_BITS - 1}), {k})" for k, s in enumerate(sums)]
+    bits = [
+        f"shiftleft(shiftright({s} + {bias}, {LANE_BITS * lane + LANE_BITS - 1}) & 1L, {LONGS * lane + k})"
+        for k, s in enumerate(sums) for lane in range(LANES)
+    ]
     return " | ".join(bits)
 
 
+def numbered(array: str) -> str:
+    """The array in any order, a value's repeats replaced by values of their own: common values are then common counts."""
+    repeats = "transform(s, (x, i) -> if(i + 1 = array_position(s, x), x, xxhash64(x, i + 1 - array_position(s, x))))"
+    return f"if(size(array_distinct({array})) = size({array}), {array}, transform(array(sort_array({array})), s -> {repeats})[0])"
+
+
 def needed(n: str, w: str, percent: int) -> str:
     """Least number of common shingles of sets of sizes n and w that reach the similarity."""
-    return f"CAST(ceil({percent} * ({n} + {w}) / {100 + percent}) AS INT)"
+    return f"CAST(ceil({percent}L * ({n} + {w}) / {100 + percent}) AS INT)"
 
 
 def benchmark_items(items: DataFrame, key: str, text: str) -> DataFrame:
-    """``item_id, h, n, print`` per distinct item text with words and at most 2,047 shingles."""
+    """``item_id, h, n, print`` per item with words."""
     found = (
         items.select(items[key].alias("item_id"), words_of(items[text]).alias("w"))
         .filter("size(w) > 0").select("item_id", shingles_of("w").alias("h"))
@@ -98,12 +105,10 @@ def find(
     shingles than the item is one window. Null, empty and word-less texts hold nothing and are held by
     nothing. An item of fewer than five words is found only where it is a whole document. Repeated rows
     of either table appear once per distinct (doc_id, item_id); a null id stays null. Empty tables give
-    an empty result; other columns are not read. Items of over 2,047 shingles are refused.
+    an empty result; other columns are not read.
     """
     items = cut_lineage(benchmark_items(items, item_key, item_text))
     sizes = [r["n"] for r in items.select("n").distinct().orderBy("n").collect()]
-    if sizes and sizes[-1] > MAX_SHINGLES:
-        raise ValueError(f"an item has {sizes[-1]} shingles, more than {MAX_SHINGLES}")
     found = prints_with(docs, items, sizes, key, text, percent)
     marked = docs.select(docs[key].alias("doc_id"), F.xxhash64(docs[text]).alias("print"))
     return marked.join(checked_broadcast(found), "print").groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
@@ -161,11 +166,12 @@ def prints_with(docs: DataFrame, items: DataFrame, sizes: list[int], key: str, t
         .filter(f"bit_count(seen ^ fingerprint) <= {RADIUS}")
         .select("print", "item_id", "n", "width", "part").distinct()
     )
-    both = "aggregate(array_distinct(part), 0, (s, t) -> s + least(size(filter(part, x -> x = t)), size(filter(h, x -> x = t))))"
+    both = f"size(array_intersect({numbered('part')}, g))"
+    wanted = items.select("item_id", "n", F.expr(numbered("h")).alias("g"))
     return cut_lineage(
-        candidates.join(checked_broadcast(items.select("item_id", "n", "h"), 100_000), ["item_id", "n"])
+        candidates.join(checked_broadcast(wanted, 100_000), ["item_id", "n"])
         .select("print", "item_id", F.expr(both).alias("both"), (F.col("n") + F.col("width")).alias("total"))
-        .filter(f"100 * both >= {percent} * (total - both)")
+        .filter(f"100L * both >= {percent}L * (total - both)")
         .groupBy("print", "item_id").agg(F.max(F.col("both") / (F.col("total") - F.col("both"))).alias("similarity"))
     )
 
@@ -174,8 +180,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text",
     """``docs`` without the rows that hold an item; all columns stay as they are, null texts too."""
     items = cut_lineage(benchmark_items(items, options.pop("item_key", "item_id"), options.pop("item_text", "text")))
     sizes = [r["n"] for r in items.select("n").distinct().orderBy("n").collect()]
-    if sizes and sizes[-1] > MAX_SHINGLES:
-        raise ValueError(f"an item has {sizes[-1]} shingles, more than {MAX_SHINGLES}")
     found = prints_with(docs, items, sizes, "", text, options.pop("percent", PERCENT))
     mark = "_print"
     while mark in docs.columns:

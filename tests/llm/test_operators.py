@@ -442,6 +442,18 @@ def test_decontamination_against_brute_force(spark, odd, none):
     assert decontamination.find(docs, bench.limit(0)).count() == 0
 
 
+def test_long_items_are_looked_for(spark):
+    rng = random.Random(8)
+    long, short = words(rng, 5_000, 60), words(rng, 30)
+    changed = ["zzz" if i % 100 == 7 else w for i, w in enumerate(long)]
+    texts = [" ".join(t) for t in (["before", *changed, "after"], long[:2_000], ["a", *short, "b"], words(rng, 6_000, 60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontamination.find(docs, bench).collect()}
+    assert set(got) == {(0, 1), (2, 2)} and 0.88 < got[0, 1] < 0.92 and got[2, 2] == 1
+    assert [r["doc_id"] for r in decontamination.drop_contaminated(docs, bench).orderBy("doc_id").collect()] == [1, 3]
+
+
 # 9 Jaccard join
 
 
