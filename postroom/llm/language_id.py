@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postroom.llm.common import arrow_map
+from postroom.session import cut_lineage
 
-# Bounds of what is learned from: labelled documents per language, and n-grams in the filters.
+# Bounds of what is learned from: labelled documents per language, and n-grams in each language's filter.
 SAMPLE_DOCUMENTS = 1500
-MAX_GRAMS = 60_000
-MAX_LANGUAGES = 64
+LANGUAGE_GRAMS = 60_000
+WORD_BITS = 64
 
 SLOTS_LOG2 = 20
 UNKNOWN = "und"
@@ -54,7 +55,10 @@ def slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Filters:
-    """One Bloom filter per language, sliced by bit: a slot holds a mask with the bit of each language."""
+    """One Bloom filter per language, sliced by bit: a slot holds masks with the bit of each language.
+
+    ``masks`` has a row for each 64 languages.
+    """
 
     languages: tuple[str, ...]
     masks: np.ndarray
@@ -63,14 +67,17 @@ class Filters:
     def shares(self, h: np.ndarray) -> np.ndarray:
         """Per language the share of n-grams that it contains, less what false positives would give."""
         first, second = slots(h)
-        both = self.masks[first] & self.masks[second]
-        if both.dtype == np.uint8:
-            counts = np.bincount(both, minlength=256)
-            values = np.arange(256)
-            hits = np.array([counts[values >> i & 1 == 1].sum() for i in range(len(self.languages))])
-        else:
-            hits = np.array([np.count_nonzero(both >> both.dtype.type(i) & both.dtype.type(1)) for i in range(len(self.languages))])
-        return np.maximum((hits / len(h) - self.false_rate) / (1 - self.false_rate), 0.0)
+        hits: list[int] = []
+        for at, word in enumerate(self.masks):
+            both = word[first] & word[second]
+            n = min(len(self.languages) - at * WORD_BITS, WORD_BITS)
+            if both.dtype == np.uint8:
+                counts = np.bincount(both, minlength=256)
+                values = np.arange(256)
+                hits += [counts[values >> i & 1 == 1].sum() for i in range(n)]
+            else:
+                hits += [np.count_nonzero(both >> both.dtype.type(i) & both.dtype.type(1)) for i in range(n)]
+        return np.maximum((np.array(hits) / len(h) - self.false_rate) / (1 - self.false_rate), 0.0)
 
     def decide(self, text: str | None) -> tuple[str, float]:
         """Language with the largest share, and its part of all shares; ties go to the first name."""
@@ -84,17 +91,17 @@ class Filters:
 
 
 def fit(
-    docs: DataFrame, *, train: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", bound: int = SAMPLE_DOCUMENTS
+    docs: DataFrame, *, train: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", bound: int = SAMPLE_DOCUMENTS,
+    language_grams: int = LANGUAGE_GRAMS,
 ) -> Filters:
     """Filters from the rows that ``train`` admits, at most ``bound`` per language (lowest hash of the id first).
 
-    A language's filter takes the n-grams that are at least half as frequent in it as in any other
-    language; the ``MAX_GRAMS`` most frequent ones are looked at.
+    A language's filter takes the n-grams that it has twice and that are at least half as frequent in it
+    as in any other language: its ``language_grams`` most frequent ones. All languages are learned.
     """
     rows = docs.filter(train).select(docs[key].alias("doc_id"), docs[lang].alias("lang"), docs[text].alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    names = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    names = sorted(names)
+    names = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     ids = [
         (r["doc_id"], i)
         for i, name in enumerate(names)
@@ -110,25 +117,24 @@ def fit(
             values, counts = np.unique(np.concatenate(every), return_counts=True)
             yield from zip([language] * len(values), values.view(np.int64).tolist(), counts.tolist(), strict=True)
 
-    found = (
-        arrow_map(sample, counted, "language int, gram long, n long")
-        .groupBy("gram", "language").agg(F.sum("n").alias("n"))
-        .groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("language", "n"))).alias("by"), F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "gram").limit(MAX_GRAMS).collect()
+    found = cut_lineage(arrow_map(sample, counted, "language int, gram long, n long").groupBy("gram", "language").agg(F.sum("n").alias("n")))
+    # a row per language: small whatever the corpus
+    totals = F.broadcast(found.groupBy("language").agg(F.sum("n").alias("total")))
+    telling = cut_lineage(
+        found.join(totals, "language").withColumn("rate", F.col("n") / F.col("total"))
+        .groupBy("gram").agg(F.collect_list(F.struct("language", "n", "rate")).alias("by"), F.max("rate").alias("most"))
+        .select("gram", "most", F.explode("by").alias("b")).filter("b.n >= 2 AND b.rate * 2 >= most")
+        .select("gram", "b.language", "b.n")
     )
-    counts = np.zeros((len(found), max(len(names), 1)))
-    for i, row in enumerate(found):
-        for language, n in row["by"].items():
-            counts[i, language] = n
-    rate = counts / np.maximum(counts.sum(axis=0), 1)
-    inside = (counts >= 2) & (rate * 2 >= rate.max(axis=1, keepdims=True)) if len(found) else counts > 0
-    kind = next(t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(names) <= bits)
-    masks = np.zeros(1 << SLOTS_LOG2, kind)
-    h = np.array([r["gram"] for r in found], np.int64).view(np.uint64)
+    kind = next((t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(names) <= bits), np.uint64)
+    masks = np.zeros((max(1, -(-len(names) // WORD_BITS)), 1 << SLOTS_LOG2), kind)
+    fill = np.zeros(len(names))
     for i in range(len(names)):
-        for place in slots(h[inside[:, i]]):
-            masks[place] |= kind(1 << i)
-    fill = np.array([np.count_nonzero(masks & kind(1 << i)) / len(masks) for i in range(len(names))])
+        top = telling.filter(F.col("language") == i).orderBy(F.desc("n"), "gram").limit(language_grams).select("gram").collect()
+        word, bit = masks[i // WORD_BITS], kind(1 << i % WORD_BITS)
+        for places in slots(np.array([r["gram"] for r in top], np.int64).view(np.uint64)):
+            word[places] |= bit
+        fill[i] = np.count_nonzero(word & bit) / len(word)
     return Filters(tuple(names), masks, fill**2)
 
 

@@ -211,6 +211,20 @@ def test_filters_never_miss_and_rates_are_corrected(spark):
     assert np.all(filters.false_rate < 1e-6)
 
 
+def test_small_and_many_languages(spark):
+    rng = random.Random(4)
+
+    def text(at, n):
+        return " ".join("".join(chr(at + rng.randrange(6)) for _ in range(4)) for _ in range(n))
+
+    starts = {f"l{i:02}": 0x4E00 + 6 * i for i in range(66)}
+    rows = [(k, text(at, 12 if k == "l65" else 40), k) for k, at in starts.items() for _ in range(3)]
+    docs = spark.createDataFrame([(i, t, k) for i, (_, t, k) in enumerate(rows)], "doc_id long, text string, lang string")
+    filters = language_id.fit(docs, train=F.lit(True), language_grams=100)
+    assert len(filters.languages) == 66
+    assert all(filters.decide(text(at, 60))[0] == k for k, at in starts.items())
+
+
 # 5 pages
 
 
