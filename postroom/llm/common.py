@@ -89,6 +89,21 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
+def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like the wanted ones that ``df`` does not have, in any case."""
+    taken = {name.lower() for name in df.columns}
+    mark = "_"
+    while any(f"{mark}{name}".lower() in taken for name in wanted):
+        mark += "_"
+    return [f"{mark}{name}" for name in wanted]
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that an operator wrote for itself."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def fold(column: str, expected: int = 4) -> Column:
     """``crc32(id as text) mod expected``: the fold of a row."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(expected))

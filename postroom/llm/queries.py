@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postroom.llm import decontamination, html_extraction, jaccard_join, language_id, pseudonyms, quality_rules, secret_scan, sequence_packing, token_counts, toxicity
+from postroom.llm import decontamination, html_extraction, jaccard_join, language_id, line_dedup, pseudonyms, quality_rules, secret_scan, sequence_packing, token_counts, toxicity
 
 from postroom.llm.common import fold, table, tokenizer_path
 
@@ -179,6 +179,35 @@ def op6_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     return pseudonyms.pseudonymize(docs, "pseudonym key of the test tables")
 
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), k AS (
+  SELECT doc_id, row_id, lines, list_transform(lines, lambda x: translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS keys
+  FROM d
+), common AS (
+  SELECT key FROM (SELECT row_id, unnest(list_distinct(keys)) AS key FROM k) WHERE length(key) >= 1 GROUP BY key HAVING count(*) >= 10
+), marked AS (
+  SELECT x.row_id, x.line, c.key IS NOT NULL AS dropped
+  FROM (SELECT row_id, unnest(keys) AS key, generate_subscripts(keys, 1) AS line FROM k) x LEFT JOIN common c USING (key)
+), per AS (
+  SELECT row_id, list(line ORDER BY line) FILTER (NOT dropped) AS stay, count(*) FILTER (dropped) AS n_dropped FROM marked GROUP BY row_id
+)
+SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS n_dropped,
+       sha256(array_to_string(list_transform(coalesce(stay, []), lambda i: lines[i]), chr(10))) AS kept_sha256
+FROM k JOIN per USING (row_id)
+"""
+
+
+@query(OP11_SQL)
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.drop_common_lines(docs).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 @query()
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
