@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postroom.llm import decontamination, html_extraction, jaccard_join, language_id, line_dedup, periodic_runs, pseudonyms, quality_rules, secret_scan, sequence_packing, token_counts, toxicity
+from postroom.llm import decontamination, html_extraction, jaccard_join, language_id, line_dedup, periodic_runs, pseudonyms, quality_rules, secret_scan, sequence_packing, spelling_variants, token_counts, toxicity
 
 from postroom.llm.common import fold, table, tokenizer_path
 
@@ -208,6 +208,11 @@ def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants.group_variants(table(spark, folder, "documents"), spoil=True)
+
+
 @query()
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs.find_runs(table(spark, folder, "documents"), plant=True).select(
