@@ -1,16 +1,21 @@
 """Spelling variants: words that differ by one code point, found by walking a trie that is a table.
 
-The words of a corpus and their counts make a trie whose chains are drawn together: a node is a prefix where words
-part or end, an edge (node, label, child) the code points up to the next node. The frontier holds states
-(word, position, node, edits). Each level joins the states with the edges of their nodes: a state without an edit goes
-on along its own word, and branches into a replaced, an inserted or a deleted code point; a state with one edit
-only goes where the label equals the rest of its word. A state at the end of its word and at a node where another word
-ends makes the two neighbours. Since a word lies in the trie itself, an edit can only turn off where words part, which
-is at a node; inside a stretch of equal code points only the last place is edited, as the others give the same word.
-
-The trie and the frontier are distributed tables, levels grow with the nodes on a word's path, and lineage is cut at
-each one. The first letters of words are hot nodes: their states and edges are spread over ``SALTS`` copies.
-Nodes go by 61-bit hashes of their prefixes; each pair found is compared once more, so that a collision does no harm.
+The words of a corpus make a trie whose chains are drawn together: a node is a prefix where words part or end, an
+edge (node, label, child) the code points up to the next node. The frontier holds states (word, position, node, edits).
+Each level joins the states with the edges of their nodes: a state without an edit goes on along its own word, and
+branches into a replaced, an inserted or a deleted code point; a state with one edit only goes where the label equals
+the rest of its word. A state at the end of its word and at a node where another word ends makes the two neighbours.
+Since a word lies in the trie itself, an edit can only turn off where words part, which is at a node; of a stretch of
+equal code points only the last place is edited, as the others give the same word.
+
+Near the root every letter would be tried for every word. So each word lies in the trie twice, forwards and backwards
+(from another root), and only its second half is edited each time: two words one edit apart share the first half of
+the one or its other half, read backwards. A walk starts in front of the first place that may be edited, at most
+``START`` code points from the root; there is no node that all states meet at.
+
+Trie and frontier are tables in the folder that the cluster shares, the edges in buckets by node, so that a level moves only
+the states. Levels grow with the nodes on a word's path. Nodes go by 61-bit hashes of their prefixes; each pair found
+is compared once more, so that a collision does no harm.
 
 Defined results: a null text has no words; a null id is written as nothing; columns other than id and text take no
 part; repeated rows count as often as they occur; an empty table gives none.
@@ -19,6 +24,7 @@ part; repeated rows count as often as they occur; an empty table gives none.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -26,13 +32,15 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postroom.llm.common import UPPER_TO_LOWER, arrow_map
-from postroom.session import broadcast_if_small, cut_lineage
+from postroom.llm.common import UPPER_TO_LOWER, arrow_map, remove_folder
+from postroom.session import cut_lineage, estimated_bytes, shared_folder
 
 LEAST_CHARS, LEAST_COUNT, TIMES = 7, 2, 10
 
 PRIME, FACTOR = (1 << 61) - 1, 0x1B873593CC9E2D51 % ((1 << 61) - 1)
-SALTS, SHALLOW = 32, 3  # nodes of fewer code points than SHALLOW are spread
+START = 3  # prefixes of up to so many code points are nodes whether or not words part there
+BUCKET_BYTES = 64 << 20  # stored bytes of words for one bucket of edges
+STATE = "id long, word string, low int, node long, ends long, at int, edits int"
 
 
 def spoiled(doc_id: int | None, run: str) -> str:
@@ -71,73 +79,99 @@ def word_counts(
 
 
 def prefix_rows(batch: dict[str, list]) -> Iterator[tuple]:
-    """(id, place, node, next): each prefix of each word, and the code point after it (nothing at the end)."""
-    for number, word in zip(batch["id"], batch["word"], strict=True):
-        node = 0
+    """(id, at, node, next): prefixes of each word from where walks may start, and the code point after each (nothing at the end)."""
+    for number, word, side, low in zip(batch["id"], batch["word"], batch["side"], batch["low"], strict=True):
+        node, first = side, max(0, min(low, START) - 2)  # one less than a walk's, as neighbours differ by one
         for at, c in enumerate(word):
-            yield number, at, node, c
+            if at >= first:
+                yield number, at, node, c
             node = (node * FACTOR + ord(c) + 1) % PRIME
         yield number, len(word), node, ""
 
 
-def trie(words: DataFrame) -> DataFrame:
-    """Edges (node, salt, first, label, child, ends, depth) over ``words`` (id, word); ``ends`` is the word that ends at the child.
+def paths(words: DataFrame) -> DataFrame:
+    """``words`` (id, word, low, side) with ``path``, the (at, node) of each node that the word passes, in order."""
+    prefixes = arrow_map(words.select("id", "word", "side", "low"), prefix_rows, "id long, at int, node long, next string")
+    deep = prefixes.filter(F.col("at") > START)
+    parts = deep.select("node", "next").distinct().groupBy("node").agg(F.count("*").alias("ways"), F.max(F.col("next") == "").alias("ends"))
+    nodes = parts.filter("ways > 1 OR ends").select("node")
+    # words of up to START code points end among the first nodes
+    kept = deep.join(nodes, "node").select("id", "at", "node").unionByName(prefixes.filter(F.col("at") <= START).select("id", "at", "node"))
+    listed = kept.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "node"))).alias("path"))
+    return words.join(listed, "id")
 
-    Edges of shallow nodes come once per salt. ``depth`` is the child's.
-    """
-    prefixes = cut_lineage(arrow_map(words.select("id", "word"), prefix_rows, "id long, at int, node long, next string"))
-    parts = prefixes.select("node", "next").distinct().groupBy("node").agg(F.count("*").alias("ways"), F.max(F.col("next") == "").alias("ends"))
-    nodes = parts.filter("ways > 1 OR ends OR node = 0").select("node")
-    paths = prefixes.join(nodes, "node").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "node"))).alias("path"))
-    steps = paths.join(words, "id").select(
+
+def edges_of(routed: DataFrame) -> DataFrame:
+    """Edges (node, label, child, ends); ``ends`` is the word that ends at the child."""
+    steps = routed.select(
         "id", "word",
         F.explode_outer(F.arrays_zip(F.expr("slice(path, 1, size(path) - 1)").alias("a"), F.expr("slice(path, 2, size(path) - 1)").alias("b"))).alias("s"),
     )
-    label = F.expr("substring(word, s.a.at + 1, s.b.at - s.a.at)")
-    edges = steps.select(
-        F.col("s.a.node").alias("node"), F.col("s.a.at").alias("from"), label.alias("label"), F.col("s.b.node").alias("child"),
-        F.col("s.b.at").alias("depth"), F.when(F.col("s.b.at") == F.length("word"), F.col("id")).alias("word_id"),
+    return (
+        steps.filter("s IS NOT NULL")
+        .groupBy(F.col("s.a.node").alias("node"), F.expr("substring(word, s.a.at + 1, s.b.at - s.a.at)").alias("label"), F.col("s.b.node").alias("child"))
+        .agg(F.max(F.when(F.col("s.b.at") == F.length("word"), F.col("id"))).alias("ends"))
+    )
+
+
+def moves(states: DataFrame, edges: DataFrame) -> DataFrame:
+    """The states one level on; those with an edit that stand at the end of their word where no word ends are left out."""
+    met = states.join(edges.withColumnRenamed("ends", "to"), "node")
+    size, rest = "length(label)", "substring(label, 2)"
+    may = "edits = 0 AND at >= low AND left(label, 1) != substring(word, at + 1, 1)"
+    kinds = {  # condition, code points of the word that are passed, edits
+        "along": (f"label = substring(word, at + 1, {size})", f"{size}", "edits"),
+        "inserted": (f"{may} AND {rest} = substring(word, at + 1, {size} - 1)", f"{size} - 1", "1"),
+        "replaced": (f"{may} AND at < length(word) AND {rest} = substring(word, at + 2, {size} - 1)", f"{size}", "1"),
+        "deleted": (f"{may} AND at < length(word) AND label = substring(word, at + 2, {size})", f"{size} + 1", "1"),
+    }
+    taken = ", ".join(f"CASE WHEN {test} THEN struct(at + {passed} AS at, {edits} AS edits) END" for test, passed, edits in kinds.values())
+    return (
+        met.select("id", "word", "low", F.col("child").alias("node"), F.col("to").alias("ends"), F.expr(f"inline_outer(array_compact(array({taken})))"))
+        .filter("at IS NOT NULL AND (edits = 0 OR at < length(word) OR ends IS NOT NULL)")
     )
-    # a node where a word ends is the end of that word's path and inside the paths of longer ones
-    merged = edges.groupBy("node", "from", "label", "child", "depth").agg(F.max("word_id").alias("ends"))
-    spread = F.when(F.col("from") < SHALLOW, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return merged.select("node", F.left("label", F.lit(1)).alias("first"), "label", "child", "ends", "depth", F.explode_outer(spread).alias("salt"))
 
 
 def neighbours(words: DataFrame) -> DataFrame:
-    """Pairs of ids ``a, b``, both ways, of the ``words`` (id, word) that are one edit apart."""
-    edges = broadcast_if_small(cut_lineage(trie(words)))
-    salt = F.when(F.col("depth") < SHALLOW, F.pmod("id", F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("salt")
-    frontier = words.select(
-        F.col("id"), "word", F.lit(0).alias("at"), F.lit(0).cast("long").alias("node"), F.lit(0).alias("edits"),
-        F.lit(None).cast("long").alias("ends"), F.lit(0).alias("depth"),
+    """Pairs of ids ``a, b``, both ways, of the ``words`` (id, word) that are one edit apart; a pair may come twice.
+
+    A level's states stay in the shared folder until the caller has read the pairs.
+    """
+    spark = words.sparkSession
+    folder = f"{shared_folder(spark)}/trie-{uuid.uuid4().hex}"
+    half = F.floor(F.length("word") / 2).cast("int")
+    both = F.array(
+        F.struct((F.col("id") * 2).alias("id"), F.col("word"), half.alias("low"), F.lit(0).cast("long").alias("side")),
+        F.struct((F.col("id") * 2 + 1).alias("id"), F.reverse("word").alias("word"), (F.length("word") - half).alias("low"), F.lit(1).cast("long").alias("side")),
+    )
+    words.select(F.inline(both)).write.parquet(f"{folder}/words")
+    sides = spark.read.schema("id long, word string, low int, side long").parquet(f"{folder}/words")
+    paths(sides).write.parquet(f"{folder}/paths")
+    routed = spark.read.schema("id long, word string, low int, side long, path array<struct<at int, node long>>").parquet(f"{folder}/paths")
+    buckets = min(20_000, max(8, estimated_bytes(sides) // BUCKET_BYTES))
+    name = f"trie_edges_{uuid.uuid4().hex}"
+    edges_of(routed).repartition(buckets, "node").write.bucketBy(buckets, "node").option("path", f"{folder}/edges").saveAsTable(name)
+    edges = spark.table(name)
+    start = F.expr(f"filter(path, p -> p.at = greatest(0, least(low, {START}) - 1))[0]")
+    states = routed.select("id", "word", "low", start.alias("s")).select(
+        "id", "word", "low", F.col("s.node").alias("node"), F.lit(None).cast("long").alias("ends"), F.col("s.at").alias("at"), F.lit(0).alias("edits")
     )
-    rest = "substring(label, 2)"
-    size = "length(label)"
-    found = None
+    level = 0
     while True:
-        here = frontier.select("*", salt, F.expr("substring(word, at + 1, 1)").alias("c"), F.expr("length(word) - at").alias("left"))
-        moves = edges.withColumnsRenamed({"depth": "to_depth", "ends": "to_ends"})
-        along = here.join(moves.withColumnRenamed("first", "c"), ["node", "salt", "c"]).filter(f"label = substring(word, at + 1, {size})")
-        off = (
-            here.filter("edits = 0").join(moves, ["node", "salt"]).filter("first != c")
-            .select("*", F.explode_outer(F.array(F.lit(0), F.lit(1))).alias("skip"))  # 0: inserted, 1: replaced
-            .filter(f"skip <= left AND {rest} = substring(word, at + 1 + skip, {size} - 1)")
-        )
-        skipped = here.filter("edits = 0 AND left > 0 AND (left = 1 OR c != substring(word, at + 2, 1))")
-        next_states = (
-            along.select("id", "word", F.expr(f"at + {size}").alias("at"), F.col("child").alias("node"), "edits", F.col("to_ends").alias("ends"), F.col("to_depth").alias("depth"))
-            .unionByName(off.select(
-                "id", "word", F.expr(f"at + skip + {size} - 1").alias("at"), F.col("child").alias("node"), F.lit(1).alias("edits"),
-                F.col("to_ends").alias("ends"), F.col("to_depth").alias("depth")))
-            .unionByName(skipped.select("id", "word", F.expr("at + 1").alias("at"), "node", F.lit(1).alias("edits"), "ends", "depth"))
-        )
-        frontier = cut_lineage(next_states.repartition("id"))  # else each level has thrice the partitions of the one before
-        done = frontier.filter("edits = 1 AND ends IS NOT NULL AND at = length(word)").select(F.col("id").alias("a"), F.col("ends").alias("b"))
-        found = done if found is None else found.unionByName(done)
-        frontier = frontier.filter("edits = 0 OR at < length(word)")
-        if frontier.isEmpty():
-            return found
+        moves(states, edges).write.parquet(f"{folder}/level={level}")
+        written = spark.read.schema(STATE).parquet(f"{folder}/level={level}")
+        states = written.filter("edits = 0 OR at < length(word)")
+        if states.isEmpty():
+            break
+        level += 1
+    spark.sql(f"DROP TABLE {name}")
+    for part in ("edges", "words", "paths"):
+        remove_folder(spark, f"{folder}/{part}")
+    every = spark.read.schema(STATE).option("basePath", folder).parquet(*[f"{folder}/level={n}" for n in range(level + 1)])
+    ended = every.filter("edits = 1 AND at = length(word)").select("id", "ends")
+    # the last code point deleted: the node that the state stands at is the end of a word
+    shorter = every.filter("edits = 0 AND at = length(word) - 1 AND at >= low AND ends IS NOT NULL").select("id", "ends")
+    return ended.unionByName(shorter).select(F.expr("id div 2").alias("a"), F.expr("ends div 2").alias("b"))
 
 
 def roots(forms: DataFrame) -> DataFrame:
