@@ -40,6 +40,7 @@ LEAST_CHARS, LEAST_COUNT, TIMES = 7, 2, 10
 PRIME, FACTOR = (1 << 61) - 1, 0x1B873593CC9E2D51 % ((1 << 61) - 1)
 START = 3  # prefixes of up to so many code points are nodes whether or not words part there
 BUCKET_BYTES = 64 << 20  # stored bytes of words for one bucket of edges
+SIDES = "id long, word string, low int, first int, nodes array<long>"
 STATE = "id long, word string, low int, node long, ends long, at int, edits int"
 
 
@@ -78,64 +79,72 @@ def word_counts(
     return partial.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_count)
 
 
-def prefix_rows(batch: dict[str, list]) -> Iterator[tuple]:
-    """(id, at, node, next): prefixes of each word from where walks may start, and the code point after each (nothing at the end)."""
+def prefix_nodes(batch: dict[str, list]) -> Iterator[tuple]:
+    """(id, word, low, first, nodes): the nodes of a word's prefixes of ``first`` code points and more, from before a walk may start."""
     for number, word, side, low in zip(batch["id"], batch["word"], batch["side"], batch["low"], strict=True):
-        node, first = side, max(0, min(low, START) - 2)  # one less than a walk's, as neighbours differ by one
+        node, nodes, first = side, [], max(0, min(low, START) - 2)  # one less than a walk's start, as neighbours differ by one
         for at, c in enumerate(word):
             if at >= first:
-                yield number, at, node, c
+                nodes.append(node)
             node = (node * FACTOR + ord(c) + 1) % PRIME
-        yield number, len(word), node, ""
+        yield number, word, low, first, [*nodes, node]
 
 
-def paths(words: DataFrame) -> DataFrame:
-    """``words`` (id, word, low, side) with ``path``, the (at, node) of each node that the word passes, in order."""
-    prefixes = arrow_map(words.select("id", "word", "side", "low"), prefix_rows, "id long, at int, node long, next string")
+def edges_of(words: DataFrame) -> DataFrame:
+    """Edges (node, first, second, size, rest, child, ends, nexts) over ``words`` with their ``nodes``.
+
+    A label is told by its first and second code point, its size and what follows the first. ``ends`` is the word
+    that ends at the child, ``nexts`` are the first code points of the child's own edges.
+    """
+    prefixes = words.select("id", "word", "first", F.posexplode_outer("nodes").alias("pos", "node")).select(
+        "id", (F.col("first") + F.col("pos")).alias("at"), "node", F.expr("substring(word, first + pos + 1, 1)").alias("next")
+    )
     deep = prefixes.filter(F.col("at") > START)
     parts = deep.select("node", "next").distinct().groupBy("node").agg(F.count("*").alias("ways"), F.max(F.col("next") == "").alias("ends"))
-    nodes = parts.filter("ways > 1 OR ends").select("node")
-    # words of up to START code points end among the first nodes
-    kept = deep.join(nodes, "node").select("id", "at", "node").unionByName(prefixes.filter(F.col("at") <= START).select("id", "at", "node"))
+    kept = deep.join(parts.filter("ways > 1 OR ends").select("node"), "node").select("id", "at", "node")
+    # words of up to START code points end among the first nodes, which are kept whether or not words part there
+    kept = kept.unionByName(prefixes.filter(F.col("at") <= START).select("id", "at", "node"))
     listed = kept.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "node"))).alias("path"))
-    return words.join(listed, "id")
-
-
-def edges_of(routed: DataFrame) -> DataFrame:
-    """Edges (node, label, child, ends); ``ends`` is the word that ends at the child."""
-    steps = routed.select(
+    steps = listed.join(words.select("id", "word"), "id").select(
         "id", "word",
         F.explode_outer(F.arrays_zip(F.expr("slice(path, 1, size(path) - 1)").alias("a"), F.expr("slice(path, 2, size(path) - 1)").alias("b"))).alias("s"),
     )
-    return (
+    plain = (
         steps.filter("s IS NOT NULL")
         .groupBy(F.col("s.a.node").alias("node"), F.expr("substring(word, s.a.at + 1, s.b.at - s.a.at)").alias("label"), F.col("s.b.node").alias("child"))
         .agg(F.max(F.when(F.col("s.b.at") == F.length("word"), F.col("id"))).alias("ends"))
     )
+    plain = plain.select(
+        "node", F.left("label", F.lit(1)).alias("first"), F.expr("substring(label, 2, 1)").alias("second"), F.length("label").alias("size"),
+        F.expr("substring(label, 2)").alias("rest"), "child", "ends",
+    )
+    nexts = plain.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set("first"), "").alias("nexts"))
+    return plain.join(nexts, "child", "left").withColumn("nexts", F.coalesce("nexts", F.lit("")))
 
 
 def moves(states: DataFrame, edges: DataFrame) -> DataFrame:
-    """The states one level on; those with an edit that stand at the end of their word where no word ends are left out."""
-    met = states.join(edges.withColumnRenamed("ends", "to"), "node")
-    size, rest = "length(label)", "substring(label, 2)"
-    may = "edits = 0 AND at >= low AND left(label, 1) != substring(word, at + 1, 1)"
+    """The states one level on. Those with an edit that cannot go on from there, nor end, are left out."""
+    here = states.select("id", "word", "low", "node", "at", "edits", *[F.expr(f"substring(word, at + {k}, 1)").alias(f"c{k}") for k in (1, 2)])
+    met = here.join(edges, "node").filter(
+        "first = c1 OR edits = 0 AND at >= low AND (size = 1 OR first = c2 OR second = c1 OR second = c2)"
+    )
+    may = "edits = 0 AND at >= low AND first != c1"
     kinds = {  # condition, code points of the word that are passed, edits
-        "along": (f"label = substring(word, at + 1, {size})", f"{size}", "edits"),
-        "inserted": (f"{may} AND {rest} = substring(word, at + 1, {size} - 1)", f"{size} - 1", "1"),
-        "replaced": (f"{may} AND at < length(word) AND {rest} = substring(word, at + 2, {size} - 1)", f"{size}", "1"),
-        "deleted": (f"{may} AND at < length(word) AND label = substring(word, at + 2, {size})", f"{size} + 1", "1"),
+        "along": ("first = c1 AND rest = substring(word, at + 2, size - 1)", "size", "edits"),
+        "inserted": (f"{may} AND rest = substring(word, at + 1, size - 1)", "size - 1", "1"),
+        "replaced": (f"{may} AND c1 != '' AND rest = substring(word, at + 2, size - 1)", "size", "1"),
+        "deleted": (f"{may} AND first = c2 AND rest = substring(word, at + 3, size - 1)", "size + 1", "1"),
     }
     taken = ", ".join(f"CASE WHEN {test} THEN struct(at + {passed} AS at, {edits} AS edits) END" for test, passed, edits in kinds.values())
-    return (
-        met.select("id", "word", "low", F.col("child").alias("node"), F.col("to").alias("ends"), F.expr(f"inline_outer(array_compact(array({taken})))"))
-        .filter("at IS NOT NULL AND (edits = 0 OR at < length(word) OR ends IS NOT NULL)")
-    )
+    gone = met.select("id", "word", "low", F.col("child").alias("node"), "ends", "nexts", F.expr(f"inline_outer(array_compact(array({taken})))"))
+    onward = "CASE WHEN at = length(word) THEN ends IS NOT NULL ELSE contains(nexts, substring(word, at + 1, 1)) END"
+    return gone.filter(f"at IS NOT NULL AND (edits = 0 OR {onward})").drop("nexts")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
     """Pairs of ids ``a, b``, both ways, of the ``words`` (id, word) that are one edit apart; a pair may come twice.
 
-    A level's states stay in the shared folder until the caller has read the pairs.
+    The pairs are stored in the shared folder; trie and states go as soon as they are not needed any more.
     """
     spark = words.sparkSession
     folder = f"{shared_folder(spark)}/trie-{uuid.uuid4().hex}"
@@ -144,34 +153,34 @@ def neighbours(words: DataFrame) -> DataFrame:
         F.struct((F.col("id") * 2).alias("id"), F.col("word"), half.alias("low"), F.lit(0).cast("long").alias("side")),
         F.struct((F.col("id") * 2 + 1).alias("id"), F.reverse("word").alias("word"), (F.length("word") - half).alias("low"), F.lit(1).cast("long").alias("side")),
     )
-    words.select(F.inline(both)).write.parquet(f"{folder}/words")
-    sides = spark.read.schema("id long, word string, low int, side long").parquet(f"{folder}/words")
-    paths(sides).write.parquet(f"{folder}/paths")
-    routed = spark.read.schema("id long, word string, low int, side long, path array<struct<at int, node long>>").parquet(f"{folder}/paths")
+    nodes = arrow_map(words.select(F.inline(both)), prefix_nodes, SIDES)
+    nodes.write.parquet(f"{folder}/words")
+    sides = spark.read.schema(SIDES).parquet(f"{folder}/words")
     buckets = min(20_000, max(8, estimated_bytes(sides) // BUCKET_BYTES))
     name = f"trie_edges_{uuid.uuid4().hex}"
-    edges_of(routed).repartition(buckets, "node").write.bucketBy(buckets, "node").option("path", f"{folder}/edges").saveAsTable(name)
+    edges_of(sides).repartition(buckets, "node").write.bucketBy(buckets, "node").option("path", f"{folder}/edges").saveAsTable(name)
     edges = spark.table(name)
-    start = F.expr(f"filter(path, p -> p.at = greatest(0, least(low, {START}) - 1))[0]")
-    states = routed.select("id", "word", "low", start.alias("s")).select(
-        "id", "word", "low", F.col("s.node").alias("node"), F.lit(None).cast("long").alias("ends"), F.col("s.at").alias("at"), F.lit(0).alias("edits")
+    start = F.expr(f"greatest(0, least(low, {START}) - 1)")
+    states = sides.withColumn("at", start).select(
+        "id", "word", "low", F.expr("nodes[at - first]").alias("node"), F.lit(None).cast("long").alias("ends"), "at", F.lit(0).alias("edits")
     )
     level = 0
     while True:
         moves(states, edges).write.parquet(f"{folder}/level={level}")
         written = spark.read.schema(STATE).parquet(f"{folder}/level={level}")
+        # at the end with an edit, or the last code point deleted where the state's node is the end of a word
+        ended = written.filter("edits = 1 AND at = length(word) OR edits = 0 AND at = length(word) - 1 AND at >= low AND ends IS NOT NULL")
+        ended.select(F.expr("id div 2").alias("a"), F.expr("ends div 2").alias("b")).write.mode("append").parquet(f"{folder}/pairs")
+        if level:
+            remove_folder(spark, f"{folder}/level={level - 1}")
         states = written.filter("edits = 0 OR at < length(word)")
         if states.isEmpty():
             break
         level += 1
     spark.sql(f"DROP TABLE {name}")
-    for part in ("edges", "words", "paths"):
+    for part in ("edges", "words", f"level={level}"):
         remove_folder(spark, f"{folder}/{part}")
-    every = spark.read.schema(STATE).option("basePath", folder).parquet(*[f"{folder}/level={n}" for n in range(level + 1)])
-    ended = every.filter("edits = 1 AND at = length(word)").select("id", "ends")
-    # the last code point deleted: the node that the state stands at is the end of a word
-    shorter = every.filter("edits = 0 AND at = length(word) - 1 AND at >= low AND ends IS NOT NULL").select("id", "ends")
-    return ended.unionByName(shorter).select(F.expr("id div 2").alias("a"), F.expr("ends div 2").alias("b"))
+    return spark.read.schema("a long, b long").parquet(f"{folder}/pairs")
 
 
 def roots(forms: DataFrame) -> DataFrame:
