@@ -187,13 +187,77 @@ def _leftover(
     return _verified(rest, bodies, size, numerator, denominator)
 
 
+BANDS, BAND_ROWS = 32, 4
+
+
+def _band_keys(bodies: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
+    """(token, id, n, chars): one row per body and band of its minwise signature.
+
+    One pass over the shingle hashes: their leading bits name one of ``bands * rows`` bins, whose signature is its
+    smallest hash; an empty bin takes the next one's. Equal runs of ``rows`` bins make equal keys.
+    """
+    bins = bands * rows
+    if bins & (bins - 1):
+        raise ValueError("bands * rows must be a power of two")
+    shift = 64 - (bins.bit_length() - 1)
+
+    def place(value: Column) -> Column:
+        return (F.shiftright(value, shift) + F.lit(bins // 2)).cast("int")
+
+    hashed = bodies.select("id", "n", "chars", F.array_sort(_shingles(F.col("body"), size)).alias("_sorted"))
+    least = F.filter("_sorted", lambda x, i: (i == 0) | (place(x) != place(F.get("_sorted", i - 1))))
+    held = hashed.select("id", "n", "chars", least.alias("_least"))
+    filled = F.transform("_least", lambda x, i: F.array_repeat(x, place(x) - F.when(i == 0, -1).otherwise(place(F.get("_least", i - 1)))))
+    after = F.array_repeat(F.get("_least", F.lit(0)), F.lit(bins - 1) - place(F.element_at("_least", -1)))
+    signed = held.select("id", "n", "chars", F.concat(F.flatten(filled), after).alias("_signature"))
+    keys = F.transform(
+        F.sequence(F.lit(0), F.lit(bands - 1)), lambda band: F.xxhash64(band, F.slice("_signature", band * rows + 1, rows))
+    )
+    return signed.select("id", "n", "chars", F.explode_outer(keys).alias("token"))
+
+
+def similar_bodies_approximate(
+    documents: DataFrame,
+    *,
+    key: str,
+    text: str,
+    threshold: tuple[int, int] = lx.NEAR_DUPLICATE_THRESHOLD,
+    size: int = lx.SHINGLE_SIZE,
+    bands: int = BANDS,
+    rows: int = BAND_ROWS,
+) -> DataFrame:
+    """Approximate form of :func:`similar_bodies`: an earlier similar body, not always the first, for most that have one.
+
+    Bodies whose minwise signatures agree in a band share a key. Each meets the earliest body of its keys only, so there are
+    at most ``bands`` comparisons per body whatever the size of a family or the number of bodies with a common line; every
+    hit is verified, so nothing is called similar that is not. Bodies shorter than a shingle are compared exactly.
+    """
+    numerator, denominator = threshold
+    bodies = cut_lineage(_bodies(documents, key, text, size))
+    entries = cut_lineage(_band_keys(bodies, size, bands, rows))
+    leads = entries.groupBy("token").agg(F.count("*").alias("rows"), F.min(F.struct("id", "n", "chars")).alias("lead")).filter("rows > 1")
+    led = entries.join(leads, "token").select(*_side("b"), *[F.col(f"lead.{n}").alias(f"a_{n}") for n in ("id", "n", "chars")])
+    near = led.filter((F.col("a_id") < F.col("b_id")) & _sizes_allow(numerator, denominator))
+    candidates = near.select(F.col("a_id").alias("earlier"), F.col("b_id").alias("later")).unionByName(
+        _short_containments(bodies, size, numerator, denominator)
+    )
+    hits = _verified(candidates.distinct(), bodies, size, numerator, denominator)
+    return (
+        hits.groupBy(F.col("later").alias("id"))
+        .agg(F.min(F.struct("earlier", "similarity")).alias("_hit"))
+        .select("id", F.col("_hit.earlier").alias("similar_id"), F.col("_hit.similarity").alias("similarity"))
+    )
+
+
 def near_duplicates(
-    documents: DataFrame, *, key: str, text: str, threshold: tuple[int, int] = lx.NEAR_DUPLICATE_THRESHOLD
+    documents: DataFrame, *, key: str, text: str, threshold: tuple[int, int] = lx.NEAR_DUPLICATE_THRESHOLD,
+    approximate: bool = False,
 ) -> DataFrame:
-    """Per document: ``first_id`` of its body and the earliest similar other body."""
+    """Per document: ``first_id`` of its body and the earliest similar other body (an early one in approximate mode)."""
     hashed = documents.select(F.col(key), F.sha2(tx.content_key(F.col(text)), 256).alias("_hash"))
     first = hashed.groupBy("_hash").agg(F.min(key).alias("first_id"))
-    similar = similar_bodies(documents, key=key, text=text, threshold=threshold)
+    find = similar_bodies_approximate if approximate else similar_bodies
+    similar = find(documents, key=key, text=text, threshold=threshold)
     return (
         hashed.join(first, "_hash")
         .join(similar.withColumnRenamed("id", "first_id"), "first_id", "left")

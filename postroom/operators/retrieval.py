@@ -179,6 +179,82 @@ def vector_recall(
     return best(partial)
 
 
+SAMPLE_ROWS = 50_000
+
+
+def learn_lists(corpus: DataFrame, vector: str = "embedding", *, lists: int, sample_rows: int = SAMPLE_ROWS, rounds: int = 12, seed: int = 7) -> np.ndarray:
+    """Centroids of an inverted vector index, unit length, one row each: spherical k-means on a bounded sample.
+
+    The sample are the ``sample_rows`` vectors of smallest hash (one pass, at most so many from a task); it only decides
+    where the lists lie. Vectors of another length than most, empty ones and zeros take no part.
+    """
+    rows = corpus.filter(F.size(vector) > 0).select(F.col(vector).cast("array<double>").alias("v"))
+    picked = rows.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(sample_rows).collect()
+    lengths = [len(r["v"]) for r in picked]
+    size = max(set(lengths), key=lengths.count) if lengths else 1
+    points = np.array([r["v"] for r in picked if len(r["v"]) == size], dtype=np.float64).reshape(-1, size)
+    norms = np.linalg.norm(points, axis=1)
+    points = points[norms > 0] / norms[norms > 0, None]
+    count = max(1, min(lists, len(points)))
+    rng = np.random.default_rng(seed)
+    centers = points[rng.permutation(len(points))[:count]] if len(points) else np.zeros((1, size))
+    for _ in range(rounds if len(points) else 0):
+        nearest = np.argmax(points @ centers.T, axis=1)
+        sums = np.zeros_like(centers)
+        np.add.at(sums, nearest, points)
+        length = np.linalg.norm(sums, axis=1)
+        centers = np.where(length[:, None] > 0, sums / np.maximum(length, 1e-12)[:, None], centers)
+    return centers
+
+
+def with_lists(rows: DataFrame, centers: np.ndarray, vector: str = "embedding", *, count: int = 1, name: str = "lists") -> DataFrame:
+    """Add ``name``: the ``count`` nearest lists of each vector as an array, nearest first; vectors that fit no centroid go to list 0."""
+
+    @F.pandas_udf("array<int>")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        width, taken = centers.shape[1], min(count, len(centers))
+        right = np.array([v is not None and len(v) == width for v in vectors], dtype=bool)
+        chosen = np.zeros((len(vectors), taken), dtype=np.int32)
+        chosen[:] = np.arange(taken)
+        if right.any():
+            scores = np.stack([np.asarray(v, dtype=np.float64) for v in vectors[right]]) @ centers.T
+            chosen[right] = np.argsort(-scores, axis=1, kind="stable")[:, :taken]
+        return pd.Series(list(chosen))
+
+    return rows.withColumn(name, nearest(F.col(vector).cast("array<double>")))
+
+
+def indexed_recall(
+    queries: DataFrame,
+    corpus: DataFrame,
+    centers: np.ndarray,
+    *,
+    query_key: str,
+    corpus_key: str,
+    vector: str = "embedding",
+    limit: int,
+    probes: int,
+    group: str | None = None,
+    exclude_self: bool = False,
+    block_rows: int = BLOCK_ROWS,
+    sent_queries: int = SENT_QUERIES,
+) -> DataFrame:
+    """Approximate form of :func:`vector_recall` by an inverted index: only the query's ``probes`` nearest lists are looked at.
+
+    Every corpus row lies in one list (``corpus`` may bring its column ``_list`` stored, as :func:`with_lists` gives it);
+    a query is copied per probe. Lists are the groups of the exact recall, which scores all their rows, cuts hot lists
+    into blocks and merges the probes' best rows. With as many probes as lists the result is exact.
+    """
+    listed = corpus if "_list" in corpus.columns else with_lists(corpus, centers, vector, name="_near").withColumn("_list", F.get("_near", F.lit(0)))
+    asked = with_lists(queries, centers, vector, count=probes, name="_near").withColumn("_list", F.explode_outer("_near"))
+    cell = F.concat_ws("|", F.col("_list").cast("string"), F.col(group).cast("string")) if group else F.col("_list").cast("string")
+    return vector_recall(
+        asked.select(F.col(query_key), F.col(vector), cell.alias("_cell")), listed.select(F.col(corpus_key), F.col(vector), cell.alias("_cell")),
+        query_key=query_key, corpus_key=corpus_key, vector=vector, limit=limit, group="_cell", exclude_self=exclude_self,
+        block_rows=block_rows, sent_queries=sent_queries,
+    )
+
+
 def recall_groups(queries: DataFrame, corpus: DataFrame, category: str = "category") -> tuple[DataFrame, DataFrame]:
     """Add ``_recall_group`` to both sides.
 

@@ -216,6 +216,23 @@ def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return near.withColumn("similarity", F.round("similarity", 6))
 
 
+@query(
+    f"""SELECT count(similar_id) AS with_copy, true AS recall_is_enough, 0::BIGINT AS wrong
+    FROM (SELECT DISTINCT first_id, similar_id FROM ({_near_sql(NEAR)}))"""
+)
+def near_duplicate_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Approximate against exact mode: bodies with an earlier near copy, whether nine in ten are found, hits that are none."""
+    docs = Tables(spark, sf).spread("documents", "doc_id", "text")
+    exact = dd.similar_bodies(docs, key="doc_id", text="text", threshold=NEAR)
+    fast = dd.similar_bodies_approximate(docs, key="doc_id", text="text", threshold=NEAR)
+    both = exact.select("id", F.lit(1).alias("e")).join(fast.select("id", F.lit(1).alias("f")), "id", "full")
+    found = F.count_if(F.col("e").isNotNull() & F.col("f").isNotNull())
+    return both.agg(
+        F.count("e").alias("with_copy"), (10 * found >= 9 * F.count("e")).alias("recall_is_enough"),
+        F.count_if(F.col("e").isNull()).alias("wrong"),
+    )
+
+
 _BLOCKS_SQL = r"""WITH s AS (SELECT doc_id, lower(source) AS stem, regexp_replace(lower(left(trim(list_filter(list_transform(
           string_split(text, chr(10)), lambda x: trim(x, '# ')), lambda x: x <> '')[1], '# '), 120)), '[^0-9a-z一-鿿]+', '', 'g') AS title
         FROM documents),

@@ -52,6 +52,23 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("similarity", F.round("similarity", 6)).withColumn("recall_rank", F.col("recall_rank").cast("long"))
 
 
+LISTS, PROBES = 32, 24  # the vectors of the test tables have no clusters: three lists in four hold nine neighbours in ten
+
+
+@query("""SELECT count(*) AS queries, sum(least(10, n - 1))::BIGINT AS wanted, true AS recall_is_enough
+    FROM embeddings, (SELECT count(*) AS n FROM embeddings) WHERE vec_id % 100 = 0""")
+def vector_index_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Inverted vector index against the exact ten nearest, for every hundredth vector: are nine in ten found?"""
+    vectors = Tables(spark, sf).embeddings.select("vec_id", "embedding")
+    asked = vectors.filter("vec_id % 100 = 0")
+    names = {"query_key": "vec_id", "corpus_key": "vec_id", "limit": 10, "exclude_self": True}
+    exact = rt.vector_recall(asked, vectors, **names).select("query_id", "row_id")
+    found = rt.indexed_recall(asked, vectors, rt.learn_lists(vectors, lists=LISTS), probes=PROBES, **names).select("query_id", "row_id", F.lit(1).alias("hit"))
+    return exact.join(found, ["query_id", "row_id"], "left").agg(
+        F.count_distinct("query_id").alias("queries"), F.count("*").alias("wanted"), (10 * F.count("hit") >= 9 * F.count("*")).alias("recall_is_enough")
+    )
+
+
 @query(
     f"""WITH {_PAIR_SQL},
     s AS (SELECT q.vec_id AS query_id, c.vec_id AS row_id, round(list_cosine_similarity(q.e, c.e), 9) AS similarity

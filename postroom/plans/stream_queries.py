@@ -10,6 +10,7 @@ from postroom.operators.triage import preprocess
 from postroom.plans import lifecycle_queries as lq
 from postroom.plans import rules as ru
 from postroom.plans import sql
+from postroom.plans import triage_queries as tq
 from postroom.plans.registry import query
 from postroom.schemas import EVENT
 from postroom.streaming import jobs
@@ -56,6 +57,32 @@ def stream_triage(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.drain(rows, "triage")
 
 
+@query(
+    f"""WITH {tq.USER_SQL}, {tq.assessed_sql('messages')}
+    SELECT conv_id, turn, language, category, confidence, risk_level, risk_score, risk_level = 'high' AS should_escalate,
+           array_to_string(preprocessing_flags, ',') AS flags, array_to_string(matched_terms, ',') AS matched,
+           array_to_string(risk_flags, ' | ') AS reasons
+    FROM assessed"""
+)
+def stream_import(spark: SparkSession, sf: str) -> DataFrame:
+    """The message stream as a job: new ids only, flags, category, risk and escalation, stored per micro-batch."""
+    messages = jobs.table_stream(spark, sf, "conversations", CONVERSATIONS).filter("role = 'user'")
+
+    def chain(batch: DataFrame) -> DataFrame:
+        judged = tq.assessed(batch.withColumn("t", F.lower("text")))
+        return judged.select(
+            "conv_id", "turn", "language", "category", "confidence", "risk_level", "risk_score",
+            (F.col("risk_level") == "high").alias("should_escalate"), F.array_join("preprocessing_flags", ",").alias("flags"),
+            F.array_join("matched_terms", ",").alias("matched"), F.array_join("risk_flags", " | ").alias("reasons"),
+        )
+
+    folder = jobs.new_folder(spark, "import")
+    jobs.import_messages(
+        messages, f"{folder}/rows", key=["conv_id", "turn"], order=["text"], chain=chain, checkpoint=f"{folder}/checkpoint"
+    ).awaitTermination()
+    return jobs.imported(spark, f"{folder}/rows")
+
+
 @query(
     f"""WITH {lq.TICKETS_SQL}, n AS (SELECT user_id, count(*) AS events FROM ticket_log GROUP BY user_id)
     SELECT user_id, arg_max(status, ticket_number) AS status, any_value(events) AS events

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postroom.operators.corpus import chunk_documents, clean_documents
-from postroom.session import cut_lineage, shared_folder
+from postroom.session import broadcast_if_small, cut_lineage, shared_folder
 from postroom.sources.tables import replace_by_bucket
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -74,6 +74,47 @@ def new_messages(
     return triage(with_event_time(stream, event_time, delay).dropDuplicatesWithinWatermark(list(key)))
 
 
+def import_messages(
+    stream: DataFrame, path: str, *, key: Sequence[str], order: Sequence[str], chain: Callable[[DataFrame], DataFrame], checkpoint: str
+):
+    """Incremental import as a job: per micro-batch, the messages whose ids are not stored yet go through ``chain`` and are stored.
+
+    A repeated id counts once, whenever it comes again: inside a batch its first row by ``order`` stays, and ids that an
+    earlier batch stored are left out. There is no state and no watermark, as the table itself knows the ids. Only the
+    batch's own ids are looked up, in a scan of the stored key columns, with the batch broadcast if it is small.
+
+    Each batch overwrites its own partition ``batch=<number>`` and looks only at those before it, so that a batch that runs
+    again after a failure writes the same rows. A reader must not take partitions that have no success mark.
+    """
+    spark = stream.sparkSession
+    ids = ", ".join(f"`{name}` {kind}" for name, kind in stream.dtypes if name in key)
+
+    def apply(batch: DataFrame, number: int) -> None:
+        rest = [name for name in batch.columns if name not in key]
+        first = F.min_by(F.struct(*rest), F.struct(*order, *[c for c in rest if c not in order]))
+        arrived = cut_lineage(batch.groupBy(*key).agg(first.alias("_row")).select(*key, "_row.*"))
+        if number:
+            earlier = [f"{path}/batch={n}" for n in range(number) if folder_exists(spark, f"{path}/batch={n}")]
+            if earlier:
+                stored = spark.read.schema(ids).parquet(*earlier)
+                known = stored.join(broadcast_if_small(arrived.select(*key)), list(key), "left_semi").distinct()
+                arrived = arrived.join(known, list(key), "left_anti")
+        chain(arrived).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(apply).start()
+
+
+def imported(spark: SparkSession, path: str) -> DataFrame:
+    """All rows that :func:`import_messages` stored, without the batch number."""
+    return spark.read.option("basePath", path).parquet(f"{path}/batch=*").drop("batch")
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Has a job written this folder to its end?"""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def daily_usage(stream: DataFrame, event_time: str, delay: str, by: Sequence[str]) -> DataFrame:
     """Usage and cost per day. In append or update mode rows later than the watermark are dropped and closed
     days leave the state; complete mode keeps every day and drops nothing."""
