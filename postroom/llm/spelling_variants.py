@@ -97,11 +97,11 @@ def edges_of(words: DataFrame) -> DataFrame:
     that ends at the child, ``nexts`` are the first code points of the child's own edges.
     """
     prefixes = words.select("id", "word", "first", F.posexplode_outer("nodes").alias("pos", "node")).select(
-        "id", (F.col("first") + F.col("pos")).alias("at"), "node", F.expr("substring(word, first + pos + 1, 1)").alias("next")
+        "id", (F.col("first") + F.col("pos")).alias("at"), "node", F.expr("ascii(substring(word, first + pos + 1, 1))").alias("next")
     )
     deep = prefixes.filter(F.col("at") > START)
-    parts = deep.select("node", "next").distinct().groupBy("node").agg(F.count("*").alias("ways"), F.max(F.col("next") == "").alias("ends"))
-    kept = deep.join(parts.filter("ways > 1 OR ends").select("node"), "node").select("id", "at", "node")
+    parts = deep.groupBy("node").agg(F.min("next").alias("low"), F.max("next").alias("high"))  # numbers of code points, 0 at an end
+    kept = deep.join(parts.filter("low != high OR low = 0").select("node"), "node").select("id", "at", "node")
     # words of up to START code points end among the first nodes, which are kept whether or not words part there
     kept = kept.unionByName(prefixes.filter(F.col("at") <= START).select("id", "at", "node"))
     listed = kept.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "node"))).alias("path"))
@@ -136,6 +136,7 @@ def moves(states: DataFrame, edges: DataFrame) -> DataFrame:
         "deleted": (f"{may} AND first = c2 AND rest = substring(word, at + 3, size - 1)", "size + 1", "1"),
     }
     taken = ", ".join(f"CASE WHEN {test} THEN struct(at + {passed} AS at, {edits} AS edits) END" for test, passed, edits in kinds.values())
+    met = met.filter(" OR ".join(f"({test})" for test, _, _ in kinds.values()))  # arrays are made for what goes on only
     gone = met.select("id", "word", "low", F.col("child").alias("node"), "ends", "nexts", F.expr(f"inline_outer(array_compact(array({taken})))"))
     onward = "CASE WHEN at = length(word) THEN ends IS NOT NULL ELSE contains(nexts, substring(word, at + 1, 1)) END"
     return gone.filter(f"at IS NOT NULL AND (edits = 0 OR {onward})").drop("nexts")
@@ -156,7 +157,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     nodes = arrow_map(words.select(F.inline(both)), prefix_nodes, SIDES)
     nodes.write.parquet(f"{folder}/words")
     sides = spark.read.schema(SIDES).parquet(f"{folder}/words")
-    buckets = min(20_000, max(8, estimated_bytes(sides) // BUCKET_BYTES))
+    buckets = min(20_000, max(24, estimated_bytes(sides) // BUCKET_BYTES))
     name = f"trie_edges_{uuid.uuid4().hex}"
     edges_of(sides).repartition(buckets, "node").write.bucketBy(buckets, "node").option("path", f"{folder}/edges").saveAsTable(name)
     edges = spark.table(name)
