@@ -397,8 +397,9 @@ def main_text(source: str, template: tuple[str, dict[int, set[int]]] | None = No
 
 
 def host_of(url: Column) -> Column:
-    """Host of a URL in lower case, without user and port; null for null."""
-    return F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    """Host of a URL in lower case, without user and port; null for null and for a URL that names none."""
+    found = F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    return F.nullif(found, F.lit(""))
 
 
 def induce(pages: DataFrame) -> DataFrame:

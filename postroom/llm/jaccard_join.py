@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postroom.llm.common import arrow_map, checked_broadcast, held
+from postroom.llm.common import arrow_map, checked_broadcast, fresh_names, held
 from postroom.llm.graph import connected_components
 from postroom.session import cut_lineage
 
@@ -352,15 +352,14 @@ def deduplicate(
     best = placed.groupBy("root").agg(F.min(rank).alias("best"))
     marks = placed.join(best, "root").select("doc_id", "print", "copies", (rank == F.col("best")).alias("stays"))
     # Most rows stay, so only the others are looked up: those that go, and those of which equal rows exist.
+    one, two, stays, mark = fresh_names(docs, "id", "print", "stays", "mark")
     odd = cut_lineage(marks.filter("NOT stays OR copies > 1").select(
-        F.col("doc_id").alias("_id"), F.col("print").alias("_print"), "stays"
+        F.col("doc_id").alias(one), F.col("print").alias(two), F.col("stays").alias(stays)
     ))
-    marked = docs.withColumn("_mark", F.struct(F.col(key).alias("id"), F.xxhash64(docs[text]).alias("print"))) if "_mark" not in docs.columns else None
-    if marked is None:
-        raise ValueError("the column name _mark is taken")
+    marked = docs.withColumn(mark, F.struct(docs[key].alias("id"), F.xxhash64(docs[text]).alias("print")))
     met = marked.join(
-        checked_broadcast(odd), F.col("_mark.id").eqNullSafe(F.col("_id")) & (F.col("_mark.print") == F.col("_print")), "left"
+        checked_broadcast(odd), F.col(f"{mark}.id").eqNullSafe(F.col(one)) & (F.col(f"{mark}.print") == F.col(two)), "left"
     )
-    single = met.filter("stays IS NULL").select(docs.columns)
-    repeated = met.filter("stays").dropDuplicates(["_id", "_print"]).select(docs.columns)
+    single = met.filter(F.col(stays).isNull()).select(docs.columns)
+    repeated = met.filter(F.col(stays)).dropDuplicates([one, two]).select(docs.columns)
     return single.unionByName(repeated)
