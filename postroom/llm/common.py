@@ -54,6 +54,11 @@ def visible(df: DataFrame) -> DataFrame:
     return df
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows, so that few texts at a time become Python strings."""
+    return (batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
+
+
 def arrow_map(
     df: DataFrame, fn: Callable[[dict[str, list]], Iterable[Sequence]], schema: str, batch_rows: int = BATCH_ROWS
 ) -> DataFrame:
@@ -71,7 +76,7 @@ def arrow_map(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter(fn.__module__)
-        for batch in (b.slice(at, batch_rows) for b in batches for at in range(0, b.num_rows, batch_rows)):
+        for batch in sliced(batches, batch_rows):
             rows = fn({name: batch.column(i).to_pylist() for i, name in enumerate(read)})
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.record_batch([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
@@ -104,6 +109,11 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def fold(column: str, expected: int = 4) -> Column:
     """``crc32(id as text) mod expected``: the fold of a row."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(expected))

@@ -16,6 +16,7 @@ not yet in one component, with other members, so that a group of copies costs a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from functools import lru_cache
 from itertools import combinations
@@ -23,12 +24,12 @@ from math import comb, exp, sqrt
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postroom.llm.common import arrow_map, checked_broadcast, fresh_names, held
+from postroom.llm.common import arrow_map, checked_broadcast, enter, folder_exists, fresh_names, held, remove_folder, visible
 from postroom.llm.graph import connected_components
-from postroom.session import cut_lineage
+from postroom.session import cut_lineage, estimated_bytes, shared_folder
 
 SHINGLE_WORDS = 3
 PERCENT = 90
@@ -39,6 +40,10 @@ LEVEL_RATIO = 1.5
 PARITY_BITS = 512
 CACHED_WORDS = 100_000
 LEADER_ROUNDS = 1
+BUCKET_BYTES, LEAST_BUCKETS, MOST_PARTITIONS = 16 << 20, 16, 20_000  # texts of a bucket of keys
+UNKNOWN_BYTES = 1 << 60
+THINNED = 16  # sets of a batch that send a key to its bucket
+PENDING = 2_000_000  # entries a bucket gathers before it hands on those of very long lists
 SENT_NODES = 100_000  # sets whose sizes and parity bits are broadcast, some 150 bytes each
 
 U = np.uint64
@@ -174,58 +179,185 @@ def set_hash(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def described(rows: DataFrame, scheme: Scheme, width: int) -> DataFrame:
-    """Per row ``doc_id, print, n, node``: the set's size and hash; for the first of equal sets of a batch also
-    ``bits``, its parity bits, and its keys: ``first`` where it is the first of the batch, ``later`` the others.
+def bucket_count(docs: DataFrame, text: str) -> int:
+    """Buckets for the keys, in proportion to the bytes of the texts, so that one bucket fits a task at any size."""
+    size = estimated_bytes(docs.select(text))
+    if size >= UNKNOWN_BYTES:  # no statistics: measure
+        size = docs.agg(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0
+    return max(LEAST_BUCKETS, size // BUCKET_BYTES)
 
-    Only the first ones meet in the shuffle that finds the keys of two sets, so that a key of very
-    many sets arrives there once per batch, not once per set.
+
+def described(rows: DataFrame, scheme: Scheme, width: int, buckets: int) -> DataFrame:
+    """Rows of two kinds. ``part = 'rows'``: ``doc_id, print, n, node``, the set's size and hash, and for the first of
+    equal sets of a batch ``bits``, its parity bits. ``part = 'keys'``: the batch's keys of one ``bucket``, packed: the low 32 bits
+    of each (``keys``) and which of the ``nodes`` lists it (``places``).
+
+    At most ``THINNED`` sets of a batch send a key to its bucket; the others hold it in ``later``. So a key of very
+    many sets arrives thinned, and one that is in any ``later`` is known to its bucket as one of many sets.
     """
 
     def run(batch: dict[str, list]) -> Iterable[tuple]:
         texts: dict[str | None, tuple] = {}
-        seen: set[int] = set()
-        taken: set[int] = set()
+        nodes: dict[int, int] = {}
+        keys, found = [], []
         for doc_id, mark, value in zip(batch["doc_id"], batch["print"], batch["text"], strict=True):
-            if value in texts:
-                yield doc_id, mark, *texts[value], None, None, None
-                continue
-            s = shingle_set(value, width)
-            n, node = texts[value] = len(s), set_hash(s)
-            if not n or node in seen:
-                yield doc_id, mark, n, node, None, None, None
-                continue
-            seen.add(node)
-            keys = scheme.keys(s).view(np.int64).tolist()
-            later = list(taken.intersection(keys))
-            first = list(set(keys).difference(later)) if later else keys
-            taken.update(first)
-            yield doc_id, mark, n, node, parity(s).tolist(), first, later
-
+            bits = None
+            if value not in texts:
+                s = shingle_set(value, width)
+                n, node = texts[value] = len(s), set_hash(s)
+                if n and node not in nodes:
+                    nodes[node] = len(nodes)
+                    bits = parity(s).tolist()
+                    keys.append(scheme.keys(s))
+            found.append((doc_id, mark, *texts[value], bits))
+        later: dict[int, list[int]] = {}
+        if keys:
+            key = np.concatenate(keys)
+            place = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            order = np.argsort(key, kind="stable")
+            key, place = key[order], place[order]
+            at = np.arange(len(key))
+            rank = at - np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]][: len(key)], at, 0))
+            bucket = (key >> U(32)) * U(buckets) >> U(32) if len(key) else key
+            low = key & U(0xFFFFFFFF)
+            for i in np.flatnonzero(rank >= THINNED).tolist():
+                later.setdefault(int(place[i]), []).append(int(bucket[i]) << 32 | int(low[i]))
+            sent = rank < THINNED
+            bucket, low, place = bucket[sent], low[sent].astype(np.uint32), place[sent]
+            hashes = np.fromiter(nodes, np.int64, len(nodes))
+            ends = np.r_[np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)] if len(bucket) else ()
+            start = 0
+            for end in ends:
+                used, where = np.unique(place[start:end], return_inverse=True)
+                packed = low[start:end].tobytes(), where.astype(np.uint8).tobytes(), hashes[used].tobytes()
+                yield None, None, None, None, None, None, int(bucket[start]), *packed, "keys"
+                start = end
+        for doc_id, mark, n, node, bits in found:
+            more = later.get(nodes[node]) if bits is not None else None
+            yield doc_id, mark, n, node, bits, more, None, None, None, None, "rows"
+
+    return arrow_map(rows, run, described_schema(rows) + ", part string")
+
+
+def described_schema(rows: DataFrame) -> str:
     kind = dict(rows.dtypes)["doc_id"]
-    return arrow_map(rows, run, f"doc_id {kind}, print long, n long, node long, bits array<long>, first array<long>, later array<long>")
+    return (
+        f"doc_id {kind}, print long, n long, node long, bits array<long>, later array<long>, "
+        "bucket long, keys binary, places binary, nodes binary"
+    )
+
 
+def parted(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Entries by key and node, each once; per entry its place in its list; per entry the list's size."""
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+    key, node = key[new], node[new]
+    heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    size = np.diff(np.r_[heads, len(key)])
+    return key, node, np.arange(len(key)) - np.repeat(heads, size), np.repeat(size, size)
 
-def shared_lists(base: DataFrame) -> DataFrame:
+
+class Bucket:
+    """Lists of one bucket, from packed keys that arrive bit by bit.
+
+    Of a key of very many sets only ``THINNED`` entries are held, the others are handed on, so memory
+    is bounded by the bucket's different keys.
+    """
+
+    def __init__(self, number: int) -> None:
+        self.number, self.limit, self.waiting = number, PENDING, 0
+        self.key: list[np.ndarray] = []
+        self.node: list[np.ndarray] = []
+
+    def add(self, keys: bytes, places: bytes, nodes: bytes) -> tuple[np.ndarray, np.ndarray] | None:
+        self.key.append(np.frombuffer(keys, np.uint32))
+        self.node.append(np.frombuffer(nodes, np.int64)[np.frombuffer(places, np.uint8)])
+        self.waiting += len(self.key[-1])
+        if self.waiting < self.limit:
+            return None
+        key, node, place, size = parted(np.concatenate(self.key), np.concatenate(self.node))
+        held_back = place < THINNED
+        self.key, self.node = [key[held_back]], [node[held_back]]
+        self.waiting = len(self.key[0])
+        self.limit = max(PENDING, 2 * self.waiting)
+        return self.named(key[~held_back]), node[~held_back]
+
+    def named(self, key: np.ndarray) -> np.ndarray:
+        return key.astype(np.int64) | np.int64(self.number << 32)
+
+    def close(self) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of the lists of two sets or more. A list of few members is named after them, so that equal lists fall together."""
+        key, node, place, size = parted(np.concatenate(self.key), np.concatenate(self.node))
+        many = size > 1
+        key, node, place, size = key[many], node[many], place[many], size[many]
+        if not len(key):
+            return key.astype(np.int64), node
+        heads = np.flatnonzero(place == 0)
+        members = mixed(np.add.reduceat(mixed(node.view(U)), heads)).view(np.int64)
+        short = size < THINNED
+        name = np.where(short, np.repeat(members, size[heads]), self.named(key))
+        _, one = np.unique(members, return_index=True)
+        first = np.zeros(len(heads), bool)
+        first[one] = True
+        keep = ~short | np.repeat(first, size[heads])
+        return name[keep], node[keep]
+
+
+def entries_of(batches: Iterable) -> Iterable:
+    """Arrow batches of packed keys, ordered by bucket, to batches of ``key, node``."""
+    import pyarrow as pa
+
+    enter(__name__)
+
+    def batch_of(entries: tuple[np.ndarray, np.ndarray] | None) -> Iterable:
+        if entries is not None:
+            for at in range(0, len(entries[0]), 100_000):
+                yield pa.record_batch([pa.array(e[at : at + 100_000]) for e in entries], names=["key", "node"])
+
+    bucket = None
+    for batch in batches:
+        for number, *packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "places", "nodes")), strict=True):
+            if bucket is None or bucket.number != number:
+                if bucket is not None:
+                    yield from batch_of(bucket.close())
+                bucket = Bucket(number)
+            yield from batch_of(bucket.add(*packed))
+    if bucket is not None:
+        yield from batch_of(bucket.close())
+
+
+def prepared(docs: DataFrame, rows: DataFrame, text: str, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """The described rows (``doc_id, print, n, node, bits, later``) and the entries of the lists of several sets.
+
+    Keys lie in the shared folder only until their buckets have been read; the rows stay.
+    """
+    spark = docs.sparkSession
+    buckets = bucket_count(docs, text)
+    folder = f"{shared_folder(spark)}/jaccard-{uuid.uuid4().hex}"
+    described(rows, Scheme(percent), width, buckets).write.partitionBy("part").parquet(folder)
+    schema = described_schema(rows)
+
+    def part(name: str) -> DataFrame:
+        empty = spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(f"{folder}/part={name}") if folder_exists(spark, f"{folder}/part={name}") else empty
+
+    base = part("rows").select("doc_id", "print", "n", "node", "bits", "later")
+    parts = min(buckets, MOST_PARTITIONS)
+    packed = part("keys").select("bucket", "keys", "places", "nodes")
+    met = packed.repartitionById(parts, F.expr(f"int(bucket % {parts})")).sortWithinPartitions("bucket")
+    found = visible(met).mapInArrow(entries_of, "key long, node long")
+    others = base.filter("later IS NOT NULL").select(F.explode("later").alias("key"), "node")
+    entries = cut_lineage(found.unionByName(others).distinct())
+    remove_folder(spark, f"{folder}/part=keys")
+    return base, entries
+
+
+def shared_lists(entries: DataFrame) -> DataFrame:
     """Entries ``key, node, low, high, members`` of the lists with two sets or more; low and high are two of them."""
-    ordered = Window.partitionBy("key").orderBy("node")
-    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    some = base.filter("bits IS NOT NULL")
-    met = some.select("node", F.explode("first").alias("key")).select(
-        "key", "node", F.first("node").over(whole).alias("low"), F.last("node").over(whole).alias("high"),
-        F.count("node").over(whole).alias("members"), F.lag("node").over(ordered).alias("before"),
-    ).filter("before IS NULL OR before != node")  # equal sets of several batches
-    others = some.filter("size(later) > 0").select("node", F.explode("later").alias("key"))
-    crowded = others.groupBy("key").agg(F.min("node").alias("l"), F.max("node").alias("h"), F.count("node").alias("more"))
-    every = cut_lineage(
-        met.join(crowded, "key", "left").filter("low < high OR l IS NOT NULL").select(
-            "key", "node", F.least("low", "l").alias("low"), F.greatest("high", "h").alias("high"),
-            (F.col("members") + F.coalesce("more", F.lit(0))).alias("members"),
-        )
-    )
-    ends = every.select("key", "low", "high", "members").distinct()
-    later = cut_lineage(others.distinct().join(ends, "key").select(every.columns))
-    return every.unionByName(later)
+    ends = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("node").alias("members"))
+    return cut_lineage(entries.join(ends.filter("low < high"), "key"))
 
 
 def close_enough(percent: int) -> str:
@@ -258,16 +390,15 @@ def join(
     of a component is known, ``component_id`` is null. An empty table gives an empty result; other
     columns are not read. Sets are told apart by 64-bit hashes.
     """
-    scheme = Scheme(percent)
     rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text")).withColumn("print", F.xxhash64("text"))
-    base = cut_lineage(described(rows, scheme, width))
-    roots = linked_sets(rows, base, percent, width)
+    base, entries = prepared(docs, rows, text, percent, width)
+    roots = linked_sets(rows, base, entries, percent, width)
     return labelled(base, roots)
 
 
-def linked_sets(rows: DataFrame, base: DataFrame, percent: int, width: int) -> DataFrame:
+def linked_sets(rows: DataFrame, base: DataFrame, entries: DataFrame, percent: int, width: int) -> DataFrame:
     """``node, root`` for each set that links to a set of a smaller hash."""
-    lists = shared_lists(base)
+    lists = shared_lists(entries)
     long = lists.filter("members > 3")  # of three members, all are compared with the first or the last
     nodes = cut_lineage(
         base.filter("bits IS NOT NULL").join(lists.select("node").distinct(), "node", "left_semi")
@@ -342,10 +473,9 @@ def deduplicate(
 
     Texts without words link with nothing and all stay. All columns stay as they are.
     """
-    scheme = Scheme(percent)
     rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text")).withColumn("print", F.xxhash64("text"))
-    base = cut_lineage(described(rows, scheme, width))
-    roots = linked_sets(rows, base, percent, width)
+    base, entries = prepared(docs, rows, text, percent, width)
+    roots = linked_sets(rows, base, entries, percent, width)
     known = base.filter("n > 0").groupBy("node", "doc_id", "print").agg(F.count(F.lit(1)).alias("copies"))
     placed = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "print")

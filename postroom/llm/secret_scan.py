@@ -11,7 +11,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postroom.llm.common import arrow_map, enter, visible
+from postroom.llm.common import arrow_map, enter, sliced, visible
 
 # FIXED VALUES: the base patterns and the least lengths of what they match.
 ASSIGN = re.compile(
@@ -155,7 +155,7 @@ def redact_documents(docs: DataFrame, *, text: str = "text", chars: str = "n_cha
         import pyarrow as pa
 
         enter(__name__)
-        for batch in batches:
+        for batch in sliced(batches):
             at = batch.schema.get_field_index(text)
             values = []
             for value in batch.column(at).to_pylist():

@@ -12,7 +12,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postroom.llm.common import arrow_map, enter, held, visible
+from postroom.llm.common import arrow_map, enter, held, sliced, visible
 from postroom.session import cut_lineage
 
 # Bounds of the training sample, in labelled documents per class and in windows per dictionary.
@@ -240,15 +240,13 @@ def reject(docs: DataFrame, model: Model, *, text: str = "text", threshold: floa
 
         enter(__name__)
         gains = gains_of(model)
-        for batch in batches:
+        for batch in sliced(batches, 200):
             verdicts = []
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            for at in range(0, len(texts), 200):
-                split = [windows(t) for t in texts[at : at + 200]]
-                gains.learn({w for words in split for w in words})
-                for words in split:
-                    z = float(weights[0] + weights[1:] @ features(words, gains))
-                    verdicts.append(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))) < threshold)
+            split = [windows(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            gains.learn({w for words in split for w in words})
+            for words in split:
+                z = float(weights[0] + weights[1:] @ features(words, gains))
+                verdicts.append(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))) < threshold)
             yield batch.filter(pa.array(verdicts, pa.bool_()))
 
     return visible(docs).mapInArrow(keep, docs.schema)

@@ -586,3 +586,27 @@ def test_repeat_words_against_brute_force():
         windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
         covered = {i + k for i, x in enumerate(windows) if windows.count(x) > 1 for k in range(3)}
         assert quality_rules.Measures(" ".join(w)).n_repeat_words == len(covered)
+
+
+def test_bucket_hands_on_long_lists_and_merges_equal_ones(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(jaccard_join, "PENDING", 64)
+    rng, wanted, got = np.random.default_rng(3), {}, []
+    bucket = jaccard_join.Bucket(5)
+    for _ in range(60):
+        node = rng.integers(0, 400, 6)
+        key = np.array([7, 7, 7, *rng.integers(100, 160, 3)], np.uint32)  # 7: in every batch, far over the bound
+        for k, n in zip(key.tolist(), node.tolist(), strict=True):
+            wanted.setdefault(k, set()).add(n)
+        for k in (200, 201):  # two keys of the same two sets are one list
+            key, node = np.append(key, np.uint32(k)), np.append(node, 1000 + len(wanted) % 2)
+            wanted.setdefault(k, set()).add(int(node[-1]))
+        nodes, places = np.unique(node, return_inverse=True)
+        got.append(bucket.add(key.astype(np.uint32).tobytes(), places.astype(np.uint8).tobytes(), nodes.astype(np.int64).tobytes()))
+    got.append(bucket.close())
+    lists = {}
+    for entries in filter(None, got):
+        for name, n in zip(*(e.tolist() for e in entries), strict=True):
+            lists.setdefault(name, set()).add(n)
+    assert sorted(map(sorted, lists.values())) == sorted(map(list, {tuple(sorted(v)) for v in wanted.values() if len(v) > 1}))
