@@ -49,12 +49,22 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
+ARROW_ROWS, ARROW_BYTES = 1000, "8m"
+
 # Compression lengths and merges are not SQL; the tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; what lies between them is kept in the folder that the cluster shares."""
+    """All stages in order; what lies between them is kept in the folder that the cluster shares.
+
+    Whole rows pass through Python in several stages, so that Arrow batches are kept at ``ARROW_ROWS`` rows
+    and ``ARROW_BYTES`` where the session says nothing else.
+    """
+    for name, small in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        setting = f"spark.sql.execution.arrow.{name}"
+        if spark.sparkContext.getConf().get(setting) is None:
+            spark.conf.set(setting, small)
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
