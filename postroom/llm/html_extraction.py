@@ -5,10 +5,10 @@ from __future__ import annotations
 import html
 import json
 import re
-import zlib
 from collections import Counter
 from functools import lru_cache
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +45,9 @@ HINT = re.compile(
     r"search|widget|toolbar|copyright|legal|disclaimer|skip)(?:$|[\s_\d-])",
     re.IGNORECASE,
 )
-KEEP_WHATEVER_HINT = frozenset(("html", "body", "main", "article"))
+KEEP_WHATEVER_HINT = PROSE - {"li", "td", "th"} | {"html", "body", "main", "article"}
+# Where a hint has to be a whole class or id, as lists and cells are part of the text more often than not.
+WHOLE_NAME_HINT = frozenset("ul ol dl table tbody tr li td th".split())
 
 # A text is template if it is in its slot on at least this share of a host's pages that differ, of at least so many;
 # for paragraphs, list items, cells and other prose the share is higher. Prose in an article is kept, as the page itself
@@ -67,14 +69,23 @@ class Node:
         self.children: list[Node | str] = []
 
 
+def hinted(tag: str, names: str) -> bool:
+    """Whether a class or id of an element tells that it is no main text; paragraphs and headings are told by template only."""
+    if tag in KEEP_WHATEVER_HINT:
+        return False
+    if tag in WHOLE_NAME_HINT:
+        return any((m := HINT.match(name)) and m.end() == len(name) for name in names.split())
+    return bool(HINT.search(names))
+
+
 def element(tag: str, attributes: str) -> Node:
     label, out, doubtful = tag, tag in LEFT_OUT, tag == "form"
     if "=" in attributes or "hidden" in attributes:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
         names = f"{found.get('class', '')} {found.get('id', '')}"
         if names != " ":
-            label = f"{tag}.{re.sub(r'[^a-z]+', '-', names.lower())[:40]}"
-            doubtful = doubtful or (tag not in KEEP_WHATEVER_HINT and bool(HINT.search(names)))
+            label = f"{tag}.{re.sub(r'[^a-z]+', '-', names.lower())}"
+            doubtful = doubtful or hinted(tag, names)
         out = out or found.get("role", "").lower() in ROLES or found.get("aria-hidden") == "true"
         out = out or bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)))
         out = out or "display:none" in found.get("style", "").replace(" ", "").lower()
@@ -277,12 +288,12 @@ def text_of(parts: list[str]) -> str:
 
 
 def text_keys(texts: list[str]) -> list[int]:
-    """A key for each text of a slot, 0 for a blank one: its hash, and how often the slot has it.
+    """A key for each text of a slot, 0 for a blank one: 64 bits of a hash of it and of how often the slot has it.
 
     So a notice counts, which each page has once, but not a cell value that each page has some times.
     """
     counts = Counter(texts)
-    return [zlib.crc32(t.encode("utf-8", "replace")) | min(counts[t], 1 << 30) << 32 if t else 0 for t in texts]
+    return [xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace"), seed=counts[t]) - (1 << 63) or 1 if t else 0 for t in texts]
 
 
 def sketch(source: str) -> tuple[str, list[list[int]]]:
@@ -332,22 +343,55 @@ def settle(root: Node, evidence: bool, nothing_else: bool = False) -> bool:
     return taken
 
 
-def read(root: Node) -> str:
-    """Text of the articles, or of ``main``, or of the whole body, without what is left out or constant."""
+def running(top: Node) -> tuple[int, int]:
+    """Characters below ``top`` that are neither left out, template nor inside a link: all of them, and those inside articles."""
+    total = inside = 0
+    todo: list[tuple[Node | str, bool, bool]] = [(c, top.constant, top.tag == "article") for c in top.children]
+    while todo:
+        c, constant, article = todo.pop()
+        if isinstance(c, str):
+            n = 0 if constant else len(c.strip())
+            total, inside = total + n, inside + n * article
+        elif not c.out and not c.doubtful and c.tag != "a":
+            inner = constant if c.tag in INLINE else c.constant
+            todo.extend((x, inner, article or c.tag == "article") for x in c.children)
+    return total, inside
 
-    def tops(tag: str) -> list[Node]:
-        found, todo = [], list(reversed(root.children))
-        while todo:
-            c = todo.pop()
-            if isinstance(c, Node) and not c.out and not c.doubtful:
-                if c.tag == tag:
-                    found.append(c)
-                else:
-                    todo.extend(reversed(c.children))
-        return found
 
+def tops(root: Node, tag: str) -> list[Node]:
+    """Outermost elements of a kind that are not left out."""
+    found, todo = [], list(reversed(root.children))
+    while todo:
+        c = todo.pop()
+        if isinstance(c, Node) and not c.out and not c.doubtful:
+            if c.tag == tag:
+                found.append(c)
+            else:
+                todo.extend(reversed(c.children))
+    return found
+
+
+def text_roots(root: Node) -> list[Node]:
+    """Where a page's text lies: its articles, if they hold at least half of the running text of what is around them.
+
+    Around them is ``main``, if there is one with running text that articles outside it do not exceed, else
+    the whole page. So a teaser that is marked up as an article beside the text does not stand for the page.
+    """
+    around = tops(root, "main")
+    total, inside = (sum(n) for n in zip(*map(running, around), strict=True)) if around else (0, 0)
+    whole, articles = running(root)
+    if not total or articles - inside > total:
+        around, total, inside = [root], whole, articles
+    if 2 * inside >= total:
+        found = [a for top in around for a in tops(top, "article")]
+        return [a for a in found if running(a)[0]] or found or around
+    return around
+
+
+def read(root: Node) -> str:
+    """Text of the articles, or of ``main``, or of the whole body, without what is left out or constant."""
     blocks: list[str] = []
-    for top in tops("article") or tops("main") or [root]:
+    for top in text_roots(root):
         blocks.append(" ")
         todo = [(c, top.constant) for c in reversed(top.children)]
         while todo:
