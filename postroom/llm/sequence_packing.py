@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Mapping
 from unicodedata import is_normalized
 
@@ -28,10 +29,10 @@ Placed = tuple[int, int, int, int, int]
 
 
 class WordIds(dict):
-    """Identifier bytes of the words seen by this process; emptied when full.
+    """Identifier bytes of the words seen by this process, in two generations: when the younger is full it replaces the older.
 
-    Keys are UTF-8, as bytes split at ASCII white space faster. A text between ASCII white space is encoded on its own: the tokenizer drops white space before
-    it merges, so the concatenation is the encoding of the whole text.
+    Keys are UTF-8, as bytes split at ASCII white space faster. A text between ASCII white space is encoded on its
+    own: the tokenizer drops white space before it merges, so the concatenation is the encoding of the whole text.
     """
 
     def __init__(self, path: str) -> None:
@@ -41,8 +42,23 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.tails = self.tokenizer.model, {}
+        self.older: dict[bytes, bytes] = {}
         self.held = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
 
+    def lower(self, low: str) -> bytes:
+        """Encoding of lower-case letters by the merges alone, held as a word of its own that its other spellings share."""
+        key = low.encode()
+        ids = self.get(key)
+        if ids is None:
+            ids = self.older.get(key)
+            if ids is None:
+                text = low if len(key) == len(low) else key.decode("latin-1").translate(BYTE_CHARACTERS)
+                held = self.held
+                ids = b"".join([held[t.id] for t in self.model.tokenize(text)])
+            if len(key) <= CACHED_LENGTH:
+                self[key] = ids
+        return ids
+
     def plain(self, word: str) -> bytes | None:
         """Encoding of letters with punctuation behind them, by the merges alone; None for any other word.
 
@@ -51,40 +67,32 @@ class WordIds(dict):
         """
         core = word if word.isalpha() else word.rstrip(PUNCTUATION)
         low = core.lower()
-        if not low.isalpha():
-            return None
-        if not low.isascii():
-            if "Σ" in core or not is_normalized("NFC", core):
-                return None  # lower-casing or composing may look at neighbours
-            low = low.encode().decode("latin-1").translate(BYTE_CHARACTERS)
-        held = self.held
-        ids = b"".join([held[t.id] for t in self.model.tokenize(low)])
+        if not low.isalpha() or not low.isascii() and ("Σ" in core or not is_normalized("NFC", core)):
+            return None  # lower-casing or composing may look at neighbours
         if len(core) == len(word):
-            return ids
+            return self.lower(low)
         tail = word[len(core) :]
         if tail not in self.tails:
             if len(self.tails) > 10_000:
                 self.tails.clear()
-            self.tails[tail] = b"".join([held[t.id] for t in self.model.tokenize(tail)])
-        return ids + self.tails[tail]
+            self.tails[tail] = b"".join([self.held[t.id] for t in self.model.tokenize(tail)])
+        return self.lower(low) + self.tails[tail]
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Encodings of ``words`` (UTF-8) not yet held; short ones are kept, long ones only returned."""
-        fresh = [w for w in words if w not in self]
-        if len(self) + len(fresh) > CACHED_WORDS:
-            kept = {w: self[w] for w in words if w in self}
+        if len(self) > CACHED_WORDS:
+            self.older = dict(self)
             self.clear()
-            self.update(kept)
-        rest, extra = [], {}
-        tokenize, held, plain = self.model.tokenize, self.held, self.plain
+        older = self.older
+        unknown = [w for w in words if w not in self]
+        self.update([(w, older[w]) for w in unknown if w in older])
+        fresh = [w for w in unknown if w not in older]
+        rest, extra, held, plain = [], {}, self.held, self.plain
         for word in fresh:
-            text = word.decode()
-            if len(text) == len(word) and text.isalpha():  # ASCII letters, the usual case
-                ids = b"".join([held[t.id] for t in tokenize(text.lower())])
-            elif (ids := plain(text)) is None:
+            if (ids := plain(word.decode())) is None:
                 rest.append(word)
-                continue
-            (self if len(word) <= CACHED_LENGTH else extra)[word] = ids
+            else:
+                (self if len(word) <= CACHED_LENGTH else extra)[word] = ids
         if rest:
             coded = self.tokenizer.encode_batch([w.decode() for w in rest], add_special_tokens=False)
             for word, code in zip(rest, coded, strict=True):
@@ -217,8 +225,9 @@ def plan(counts: Mapping[int, int], capacity: int = CAPACITY) -> tuple[list[Plac
     for length in small:
         while left[length]:
             if (gap := bins.tightest(length)) is not None:
-                first, count = bins.take(gap, left[length])
-                each = min(gap // length, left[length] // count)  # what best fit would put there one after the other
+                per = gap // length  # as best fit puts them one after the other: a bin is the tightest until it is full
+                first, count = bins.take(gap, max(1, left[length] // per))
+                each = min(per, left[length])
                 for i in range(each):
                     put(length, first, count, capacity - gap + i * length)
                 bins.add(gap - each * length, first, count)
@@ -232,6 +241,22 @@ def plan(counts: Mapping[int, int], capacity: int = CAPACITY) -> tuple[list[Plac
     return placed, bins.used
 
 
+def in_blocks(placed: list[Placed], counts: Mapping[int, int]) -> tuple[dict[int, int], list[tuple[int, ...]]]:
+    """A block width per length, and each run once per block of ranks that it reaches: ``(length, block, *run)``.
+
+    The width is the mean size of a length's runs. So there are at most two rows per run, and a piece that
+    looks up its block meets at most three runs on average, however uneven the runs are.
+    """
+    runs = Counter(length for length, *_ in placed)
+    widths = {length: -(-counts[length] // n) for length, n in runs.items()}
+    blocks = [
+        (length, block, first, count, start, offset)
+        for length, first, count, start, offset in placed
+        for block in range(first // widths[length], (first + count - 1) // widths[length] + 1)
+    ]
+    return widths, blocks
+
+
 def assign(pieces: DataFrame, *, capacity: int = CAPACITY, slots: int | None = None) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; ``pieces`` needs ``length`` and is read twice.
 
@@ -246,18 +271,23 @@ def assign(pieces: DataFrame, *, capacity: int = CAPACITY, slots: int | None = N
     totals = pieces.groupBy("length", "_slot").agg(F.count(F.lit(1)).alias("_n"))
     lengths = {r["length"]: r["n"] for r in totals.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     placed, _ = plan(lengths, capacity)
+    widths, blocks = in_blocks(placed, lengths)
+    narrow = spark.createDataFrame(list(widths.items()), "length long, _width long")
+    runs = spark.createDataFrame(blocks, "length long, _block long, _first long, _count long, _bin long, offset long")
     earlier = Window.partitionBy("length").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("length", "_slot", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    base = totals.select("length", "_slot", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base")).join(
+        F.broadcast(narrow), "length"
+    )
     inside = Window.partitionBy("length", "_slot").orderBy(*order)
     ranked = (
         pieces.withColumn("_row", F.row_number().over(inside))
         .join(base, ["length", "_slot"])
         .withColumn("_rank", F.col("_base") + F.col("_row") - 1)
+        .withColumn("_block", F.expr("_rank div _width"))
     )
-    runs = spark.createDataFrame(placed, "length long, _first long, _count long, _bin long, offset long")
     met = (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_count"))
     return (
-        ranked.join(F.broadcast(runs) if len(placed) <= 1_000_000 else runs, "length")
+        ranked.join(F.broadcast(runs) if len(blocks) <= 1_000_000 else runs, ["length", "_block"])
         .filter(met)
         .withColumn("sequence_id", F.col("_bin") + F.col("_rank") - F.col("_first"))
         .select(*[c for c in pieces.columns if c != "_slot"], "sequence_id", "offset")
