@@ -9,6 +9,7 @@ from postroom.functions import matching as mt
 from postroom.functions import scoring as sc
 from postroom.operators import evaluation as ev
 from postroom.operators import sequence as seq
+from postroom.operators import sketches as sk
 from postroom.plans import rules as ru
 from postroom.plans import sql
 from postroom.plans.registry import Tables, query
@@ -153,6 +154,22 @@ def nearest_rank_p95(spark: SparkSession, sf: str) -> DataFrame:
     return seq.nearest_rank(events, ["event_type"], "value", 0.95, F.floor("value"), "p95")
 
 
+@query(
+    """SELECT event_type, count(value) AS n, count(DISTINCT ts::DATE) AS days, true AS p50_close, true AS p95_close, true AS p99_close
+    FROM events WHERE value IS NOT NULL GROUP BY event_type"""
+)
+def percentile_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles of the event value per type from daily sketches, merged, with their rank checked against all values."""
+    events = Tables(spark, sf).events.select("event_type", F.to_date("ts").alias("day"), "value")
+    ratios = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    daily = sk.sketch_values(events, ["event_type", "day"], F.col("value"))
+    merged = sk.merge_sketches(daily, ["event_type"])
+    days = daily.groupBy("event_type").agg(F.count("day").alias("days"))
+    errors = sk.rank_errors(events, sk.sketched_quantiles(merged, ["event_type"], ratios), ["event_type"], F.col("value"), ratios)
+    close = [(F.col(f"{name}_error") <= 0.02).alias(f"{name}_close") for name in ratios]
+    return errors.join(days, "event_type").select("event_type", "n", "days", *close)
+
+
 @query(
     """WITH s AS (SELECT item_id, 'bench' AS category, item_id % 5 > 0 AS support, split_part(text, ' ', 1) AS slug,
         text AS body FROM benchmark),

@@ -11,12 +11,13 @@ from postroom.plans import lifecycle_queries as lq
 from postroom.plans import rules as ru
 from postroom.plans import sql
 from postroom.plans import triage_queries as tq
-from postroom.plans.registry import query
+from postroom.plans.registry import Tables, query
 from postroom.schemas import EVENT
 from postroom.streaming import jobs
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+RUNS, DELAYED_DAYS = 4, 4
 CONVERSATIONS = "conv_id bigint, turn bigint, role string, text string"
 
 
@@ -32,6 +33,34 @@ def stream_usage_daily(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.drain(jobs.daily_usage(events, "ts", "1 day", ["event_type"]), "daily", "complete")
 
 
+@query(
+    f"""WITH e AS (SELECT *, ts::DATE AS day, date_diff('day', (SELECT min(ts)::DATE FROM events), ts::DATE)
+        + CASE WHEN event_id % 10 = 0 THEN {DELAYED_DAYS} ELSE 0 END AS arrival FROM events WHERE ts IS NOT NULL),
+    r AS (SELECT *, arrival * {RUNS} // (SELECT max(arrival) + 1 FROM e) AS run FROM e),
+    w AS (SELECT run, max(ts) AS top FROM r GROUP BY run),
+    m AS (SELECT run, max(top) OVER (ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 DAY AS mark FROM w)
+    SELECT day, event_type, count(*) AS messages, sum(floor(value))::BIGINT AS input_tokens, sum(event_id % 50)::BIGINT AS output_tokens
+    FROM r JOIN m USING (run)
+    WHERE (mark IS NULL OR day + INTERVAL 1 DAY > mark) AND day + INTERVAL 1 DAY <= (SELECT max(ts) FROM r) - INTERVAL 1 DAY
+    GROUP BY day, event_type"""
+)
+def stream_usage_closed(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily usage as a job run again and again, in append mode: a tenth of the events arrives four days late.
+
+    A day is written once, when the watermark has passed its end; rows that come later than that are left out.
+    """
+    events = Tables(spark, sf).events.filter("ts IS NOT NULL").select(
+        "ts", "event_type", F.floor("value").alias("input_tokens"), (F.col("event_id") % 50).alias("output_tokens"),
+        F.when(F.col("event_id") % 10 == 0, DELAYED_DAYS).otherwise(0).alias("late"),
+    )
+    first = events.agg(F.min("ts").alias("ts")).first()["ts"]
+    arrival = F.datediff("ts", F.lit(first).cast("date")) + F.col("late")
+    days = (events.agg(F.max(arrival).alias("last")).first()["last"] or 0) + 1
+    run = F.floor(arrival * RUNS / F.lit(days))
+    arrivals = (events.filter(run == number).drop("late") for number in range(RUNS))
+    return jobs.drain_runs(arrivals, "closed", lambda stream: jobs.daily_usage(stream, "ts", "1 day", ["event_type"]))
+
+
 @query("SELECT DISTINCT event_type AS provider, user_id AS message_id FROM events")
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Incremental import: repeated message ids inside the watermark are dropped."""

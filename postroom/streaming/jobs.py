@@ -8,7 +8,7 @@ the shared folder of the session.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +67,26 @@ def drain(stream: DataFrame, label: str, mode: str = "append", key: Sequence[str
     return newest.select(*key, *[F.col("_row")[name].alias(name) for name in rest])
 
 
+def drain_runs(arrivals: Iterable[DataFrame], label: str, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run an append-mode job once per arrival, as a nightly job does, and return all it wrote.
+
+    An arrival's rows are appended to the job's source folder; the job then starts from its checkpoint, with the state and
+    the watermark that the run before left, takes what is new and ends.
+    """
+    folder = rows = None
+    for arrived in arrivals:
+        spark = arrived.sparkSession
+        folder = folder or new_folder(spark, label)
+        arrived.write.mode("append").parquet(f"{folder}/source")
+        stream = job(spark.readStream.schema(arrived.schema).parquet(f"{folder}/source"))
+        writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint")
+        writer.format("parquet").outputMode("append").start(f"{folder}/rows").awaitTermination()
+        rows = spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    if rows is None:
+        raise ValueError("no arrivals")
+    return rows
+
+
 def new_messages(
     stream: DataFrame, key: Sequence[str], event_time: str, delay: str, triage: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
