@@ -21,11 +21,11 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Stream of the Parquet files of one table in ``folder``."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+    """Stream of the Parquet files of one table in ``folder``: files by its name, or those in folders by its name."""
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    return reader.parquet(f"{folder.rstrip('/')}/{name}*.parquet")
 
 
 def with_event_time(stream: DataFrame, column: str, delay: str) -> DataFrame:
