@@ -31,3 +31,10 @@ def folder(request, spark, tmp_path):
 def test_corpus_upsert(spark, folder):
     got = {r["doc_id"]: r["chunks"] for r in QUERIES["stream_corpus_upsert"](spark, folder).collect()}
     assert got == dict.fromkeys(range(12), 1)
+
+
+def test_import_and_triage(spark, folder):
+    wanted = {(i, 1) for i in range(10)}
+    for name in ("stream_import", "stream_triage"):
+        got = [(r["conv_id"], r["turn"]) for r in QUERIES[name](spark, folder).collect()]
+        assert len(got) == 10 and set(got) == wanted
