@@ -279,7 +279,8 @@ def similar_titles(documents: DataFrame, key: str, title: str) -> DataFrame:
     """(key, similar_title_id): first earlier document whose title holds this one's or lies in it.
 
     Distinct titles only. The start of the shorter title, at the largest gram size
-    that fits, is looked up among the grams of the longer ones.
+    that fits, is looked up among the grams of the longer ones. Grams are shuffled as
+    hashes; titles are joined to those that some title starts with, and compared whole.
     """
     # the title comes out of the whole text: stored once, read by the steps below
     titled = cut_lineage(documents.select(key, tx.title_key(F.col(title)).alias("_title")).filter(F.col("_title") != ""))
@@ -288,9 +289,12 @@ def similar_titles(documents: DataFrame, key: str, title: str) -> DataFrame:
     for size in TITLE_GRAMS:
         start = F.when(F.length("_title") >= size, F.left("_title", F.lit(size))).otherwise(start)
     grams = F.array_distinct(F.flatten(F.array(*[char_ngrams(F.col("_title"), size) for size in TITLE_GRAMS])))
-    inner = distinct.select(start.alias("_gram"), F.col("_title").alias("_short"), F.col("_id").alias("_short_id"))
-    outer = distinct.select(F.explode_outer(grams).alias("_gram"), F.col("_title").alias("_long"), F.col("_id").alias("_long_id"))
-    related = inner.join(outer, "_gram").filter(F.col("_long").contains(F.col("_short")))
+    inner = distinct.select(F.xxhash64(start).alias("_gram"), F.col("_title").alias("_short"), F.col("_id").alias("_short_id"))
+    hashed = F.array_distinct(F.transform(grams, lambda gram: F.xxhash64(gram)))
+    outer = distinct.select(F.explode_outer(hashed).alias("_gram"), F.col("_id").alias("_long_id"))
+    met = outer.join(inner.select("_gram").distinct(), "_gram", "left_semi")
+    longer = distinct.select(F.col("_title").alias("_long"), F.col("_id").alias("_long_id"))
+    related = inner.join(met.join(longer, "_long_id"), "_gram").filter(F.col("_long").contains(F.col("_short")))
     both = related.select(
         F.inline(
             F.array(
