@@ -12,7 +12,8 @@ from postroom.functions import scoring as sc
 from postroom.functions.text import snippet
 
 ANY = "*"
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 16_384
+SCORED_PAIRS = 1 << 20
 SENT_QUERIES = 5000
 
 
@@ -75,25 +76,41 @@ def _blocked(rows: DataFrame, key: str, group: str, block_rows: int, name: str)
 
 
 def _block_matcher(limit: int, exclude_self: bool):
+    """Best ``limit`` corpus rows per query of two blocks; equal scores go by row id.
+
+    Queries are taken ``SCORED_PAIRS`` pairs at a time; of their scores, those below the ``limit``-th best are never sorted.
+    """
+
+    def best(scores: np.ndarray, excluded: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.where(np.isnan(scores), -np.finfo(np.float64).max, scores)  # undefined ones come last
+        if excluded is not None:
+            keys[excluded] = -np.inf
+        last = keys.shape[1] - limit
+        least = np.partition(keys, last, axis=1)[:, last, None] if last > 0 else -np.inf
+        rows, columns = np.nonzero((keys >= least) & (keys > -np.inf))
+        order = np.lexsort((columns, -keys[rows, columns], rows))
+        rows, columns = rows[order], columns[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+        return rows[place < limit], columns[place < limit]
+
     def match(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
-        columns = {"query_id": [], "row_id": [], "similarity": []}
+        found = []
         if len(queries) and len(corpus):
             corpus = corpus.sort_values("row_id", kind="stable")
-            ids = corpus["row_id"].to_numpy()
+            ids, asked = corpus["row_id"].to_numpy(), queries["query_id"].to_numpy()
             left = np.array(queries["vector"].tolist(), dtype=np.float64)
             right = np.array(corpus["vector"].tolist(), dtype=np.float64)
-            scale = np.linalg.norm(left, axis=1)[:, None] * np.linalg.norm(right, axis=1)[None, :]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                scores = np.where(scale > 0, left @ right.T / scale, 0.0)
-            scores = np.round(scores, 9) + 0.0
-            for row, query_id in enumerate(queries["query_id"].to_numpy()):
-                line = scores[row]
-                allowed = np.flatnonzero(ids != query_id) if exclude_self else np.arange(len(ids))
-                best = allowed[np.argsort(-line[allowed], kind="stable")[:limit]]
-                columns["query_id"].extend([query_id] * len(best))
-                columns["row_id"].extend(ids[best])
-                columns["similarity"].extend(line[best])
-        return pd.DataFrame(columns)
+            left_norm, right_norm = np.linalg.norm(left, axis=1), np.linalg.norm(right, axis=1)
+            step = max(1, SCORED_PAIRS // len(ids))
+            for at in range(0, len(asked), step):
+                scale = left_norm[at : at + step, None] * right_norm[None, :]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    scores = np.where(scale > 0, left[at : at + step] @ right.T / scale, 0.0)
+                scores = np.round(scores, 9) + 0.0
+                some = asked[at : at + step]
+                rows, columns = best(scores, some[:, None] == ids[None, :] if exclude_self else None)
+                found.append(pd.DataFrame({"query_id": some[rows], "row_id": ids[columns], "similarity": scores[rows, columns]}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "row_id": [], "similarity": []})
 
     return match
 
@@ -147,7 +164,7 @@ def vector_recall(
         return df.filter(F.size(vector) > 0).select(
             F.col(key).alias(name),
             F.concat_ws("|", F.size(vector).cast("string"), shared).alias("_group"),
-            F.col(vector).cast("array<double>").alias("vector"),
+            F.col(vector).alias("vector"),  # as stored: the matcher widens the numbers
         )
 
     ranked = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "row_id")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from postroom.operators import retrieval as rt
@@ -87,3 +88,35 @@ def test_both_ways_of_recall_agree(spark):
     sent = rt.vector_recall(df, df, **options).collect()
     blocks = rt.vector_recall(df, df, **options, sent_queries=10, block_rows=40).collect()
     assert sorted(sent) == sorted(blocks) and len(sent) == 301 * 5
+
+
+def test_block_matcher_is_the_plain_ranking():
+    rng = np.random.default_rng(3)
+    vectors = np.round(rng.normal(size=(90, 4)), 0)  # many ties, some zero vectors
+    vectors[5, 1] = np.nan
+    ids = rng.permutation(90)
+    ids[7] = ids[8]  # a repeated id leaves out both of its rows
+    queries, corpus = (pd.DataFrame({name: ids, "vector": list(vectors)}) for name in ("query_id", "row_id"))
+    for limit in (1, 5, 200):
+        got = rt._block_matcher(limit, True)(queries, corpus)
+        by_row = got.groupby("query_id").size()
+        assert by_row.drop(ids[7]).eq(min(limit, 89)).all() and by_row[ids[7]] == 2 * min(limit, 88)
+        for query_id in set(ids.tolist()) - {ids[7]}:
+            own = vectors[ids == query_id][0]
+            scale = np.linalg.norm(own) * np.linalg.norm(vectors, axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                scores = np.round(np.where(scale > 0, vectors @ own / scale, 0.0), 9) + 0.0
+            plain = sorted(((-s, i) for s, i in zip(np.nan_to_num(scores, nan=-9).tolist(), ids.tolist()) if i != query_id))[:limit]
+            mine = got[got["query_id"] == query_id]
+            assert mine["row_id"].tolist() == [i for _, i in plain]
+
+
+def test_scores_are_made_for_few_queries_at_a_time(monkeypatch):
+    vectors = list(np.random.default_rng(4).normal(size=(50, 8)))
+    sides = [pd.DataFrame({name: range(50), "vector": vectors}) for name in ("query_id", "row_id")]
+    whole = rt._block_matcher(3, True)(*sides).reset_index(drop=True)
+    shapes, divide = [], np.round
+    monkeypatch.setattr(rt, "SCORED_PAIRS", 200)
+    monkeypatch.setattr(np, "round", lambda scores, digits: shapes.append(scores.shape) or divide(scores, digits))
+    assert rt._block_matcher(3, True)(*sides).reset_index(drop=True).equals(whole)
+    assert len(shapes) == 13 and max(shapes) == (4, 50)
