@@ -167,15 +167,29 @@ def document_status(valid: Column, reason: Column, message: str = "Indexed.") ->
     )
 
 
-def attach_children(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
+ROWS_OF_A_TASK = 500_000
+
+
+def attach_children(parents: DataFrame, children: DataFrame, key: str, task_rows: int = ROWS_OF_A_TASK) -> DataFrame:
     """Parents with their children in long form; whole whatever the number of children.
 
-    An inner join plus the childless parents: the children of a hot parent can be
-    split over tasks, which a left join does not allow for its right side.
+    An inner join plus the childless parents. The join has a task per ``task_rows`` rows, as rows that compress well
+    would else fill one task's memory. The children of a parent with more than that many take part in a join of their
+    own, which may split them over tasks; a left join does not allow that for its right side.
     """
-    joined = parents.join(children, key).withColumn("has_child", F.lit(True))
-    childless = parents.join(children.select(key), key, "left_anti").withColumn("has_child", F.lit(False))
-    return joined.unionByName(childless, allowMissingColumns=True)
+    rows = parents.count() + children.count()
+    counts = children.groupBy(key).agg(F.count("*").alias("_children"))
+    if rows > task_rows:
+        tasks = max(children.sparkSession.sparkContext.defaultParallelism, -(-rows // task_rows))
+        hot = F.broadcast(counts.filter(F.col("_children") > task_rows).select(key))  # at most one in task_rows rows
+        dealt = parents.repartition(tasks, key)
+        even = dealt.join(children.join(hot, key, "left_anti").repartition(tasks, key), key)
+        joined = even.unionByName(parents.join(hot, key, "left_semi").join(children.join(hot, key, "left_semi"), key))
+    else:
+        dealt = parents
+        joined = parents.join(children, key)
+    childless = dealt.join(counts.select(key), key, "left_anti").withColumn("has_child", F.lit(False))
+    return joined.withColumn("has_child", F.lit(True)).unionByName(childless, allowMissingColumns=True)
 
 
 def nest_last_children(

@@ -144,3 +144,18 @@ def test_document_status(spark):
     df = spark.createDataFrame([(True, ""), (False, "too   short " * 40)], "ok boolean, why string")
     good, bad = (r[0] for r in df.select(lc.document_status(F.col("ok"), F.col("why"))).collect())
     assert good["status"] == "indexed" and bad["status"] == "failed" and len(bad["status_message"]) <= 223
+
+
+def test_children_are_attached_in_tasks_of_bounded_rows(spark):
+    parents = spark.createDataFrame([(i, f"p{i}") for i in range(40)] + [(3, "again"), (None, "none"), (7, "p7")], "p long, name string")
+    children = spark.createDataFrame([(i % 30, i) for i in range(90)] + [(7, 1000 + i) for i in range(60)] + [(None, 5), (99, 6)], "p long, c long")
+
+    def rows(df):
+        return sorted(map(tuple, df.select("p", "name", "c", "has_child").collect()), key=repr)
+
+    whole = lc.attach_children(parents, children, "p")
+    cut = lc.attach_children(parents, children, "p", task_rows=10)
+    left = parents.join(children.withColumn("has_child", F.lit(True)), "p", "left").fillna(False, ["has_child"])
+    assert rows(cut) == rows(whole) == rows(left)
+    tasks = -(-(parents.count() + children.count()) // 10)
+    assert f", {tasks}), REPARTITION_BY_NUM" in cut._jdf.queryExecution().executedPlan().toString()
