@@ -44,24 +44,33 @@ def hashed_vectors(
     texts: DataFrame, key: str, text: str, dimensions: int = lx.VECTOR_DIMENSIONS, name: str = "embedding"
 ) -> DataFrame:
     """Dense form of :func:`hashed_weights`; texts without tokens get the zero vector."""
-    filled = (
-        hashed_weights(texts, key, text, dimensions)
-        .groupBy(key)
-        .agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("_weights"))
-    )
+    return _dense(texts.select(key), hashed_weights(texts, key, text, dimensions), key, dimensions, name)
+
+
+def _dense(keys: DataFrame, weights: DataFrame, key: str, dimensions: int, name: str) -> DataFrame:
+    """The weights of each row of ``keys`` as an array; the zero vector where there are none."""
+    filled = weights.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("_weights"))
     dense = F.transform(
         F.sequence(F.lit(0), F.lit(dimensions - 1)),
         lambda i: F.coalesce(F.try_element_at(F.col("_weights"), i), F.lit(0.0)),
     )
-    return texts.select(key).join(filled, key, "left").select(key, dense.alias(name))
+    return keys.join(filled, key, "left").select(key, dense.alias(name))
 
 
 def repair_vectors(
-    rows: DataFrame, key: str, text: str, dimensions: int = lx.VECTOR_DIMENSIONS, name: str = "embedding"
+    rows: DataFrame, key: str, text: str, dimensions: int = lx.VECTOR_DIMENSIONS, name: str = "embedding",
+    texts: DataFrame | None = None,
 ) -> DataFrame:
-    """Hash new vectors for the rows whose stored vector has another length."""
-    stale = F.coalesce(F.size(name), F.lit(0)) != dimensions
-    renewed = hashed_vectors(rows.filter(stale).select(key, text), key, text, dimensions, "_renewed")
+    """Hash new vectors for the rows whose stored vector has another length.
+
+    The texts lie in ``rows``, or in ``texts`` by the same key. Given apart they are hashed where they are read, and
+    only their weights meet the rows, so that no join sorts or shuffles whole texts; all of them are hashed then.
+    """
+    stale = rows.filter(F.coalesce(F.size(name), F.lit(0)) != dimensions)
+    if texts is None:
+        renewed = hashed_vectors(stale.select(key, text), key, text, dimensions, "_renewed")
+    else:
+        renewed = _dense(stale.select(key), hashed_weights(texts.select(key, text), key, text, dimensions), key, dimensions, "_renewed")
     return (
         rows.join(renewed, key, "left")
         .withColumn(name, F.coalesce("_renewed", F.col(name).cast("array<double>")))

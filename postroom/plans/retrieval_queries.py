@@ -119,8 +119,8 @@ def vector_repair(spark: SparkSession, sf: str) -> DataFrame:
     stored = t.embeddings.select(
         F.col("vec_id").alias("doc_id"), F.when(F.col("label") < 5, F.col("embedding")).alias("embedding")
     )
-    rows = t.spread("documents", "doc_id", "text").join(stored, "doc_id", "left")
-    repaired = rt.repair_vectors(rows, "doc_id", "text")
+    rows = t.documents.select("doc_id").join(stored, "doc_id", "left")
+    repaired = rt.repair_vectors(rows, "doc_id", "text", texts=t.spread("documents", "doc_id", "text"))
     return repaired.select(
         "doc_id",
         F.size("embedding").alias("dimensions"),

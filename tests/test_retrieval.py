@@ -120,3 +120,20 @@ def test_scores_are_made_for_few_queries_at_a_time(monkeypatch):
     monkeypatch.setattr(np, "round", lambda scores, digits: shapes.append(scores.shape) or divide(scores, digits))
     assert rt._block_matcher(3, True)(*sides).reset_index(drop=True).equals(whole)
     assert len(shapes) == 13 and max(shapes) == (4, 50)
+
+
+def test_repair_hashes_texts_before_any_join(spark):
+    texts = spark.createDataFrame([(1, "a b a"), (2, "c"), (2, "d e"), (3, None), (4, "f"), (None, "g")], "id long, t string")
+    stored = spark.createDataFrame([(1, [0.5]), (2, [1.0] * 16), (2, None), (4, [2.0] * 16), (4, [2.0] * 16)], "id long, embedding array<double>")
+
+    def rows(df):
+        return sorted(((r["id"], r["embedding"]) for r in df.collect()), key=repr)
+
+    joined = rt.repair_vectors(texts.join(stored, "id", "left"), "id", "t", 16)
+    apart = rt.repair_vectors(texts.select("id").join(stored, "id", "left"), "id", "t", 16, texts=texts)
+    assert rows(apart) == rows(joined)
+    plan = apart._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(n for n, line in enumerate(plan) if "Generate" in line)
+    depth = plan[at].index("Generate")
+    below = [line for line in plan[at + 1 :] if len(line) - len(line.lstrip(" :+-")) > depth]
+    assert below and not any("Join" in line for line in below)
