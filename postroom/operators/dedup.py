@@ -31,61 +31,88 @@ def _shingles(body: Column, size: int) -> Column:
     return F.array_distinct(F.transform(pieces, lambda piece: F.xxhash64(piece)))
 
 
-def _bodies(documents: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """One row per distinct body: id of its first document, body, its length and number of shingles."""
+def _bodies(documents: DataFrame, key: str, text: str, size: int, threshold: tuple[int, int] | None = None) -> DataFrame:
+    """One row per distinct body: id of its first document, body, its length and number of shingles.
+
+    With a threshold also ``n_ranked``, the number of its shingles that are ranked by frequency.
+    """
     body = tx.content_key(F.col(text))
     keyed = documents.select(F.col(key).alias("id"), body.alias("body")).filter(F.col("body") != "")
     first = keyed.groupBy(F.sha2("body", 256).alias("_hash")).agg(F.min("id").alias("id")).select("id")
     distinct = keyed.join(first, "id", "left_semi")
-    return distinct.select(
-        "id", "body", F.size(_shingles(F.col("body"), size)).cast("long").alias("n"), F.length("body").cast("long").alias("chars")
-    )
+    shingled = distinct.select("id", "body", _shingles(F.col("body"), size).alias("_shingles"))
+    counts = [F.size("_shingles").cast("long").alias("n"), F.length("body").cast("long").alias("chars")]
+    if threshold is not None:
+        counts.append(F.size(F.filter("_shingles", lambda token: _ranked(token, *threshold))).cast("long").alias("n_ranked"))
+    return shingled.select("id", "body", *counts)
+
+
+RANKED_PARTS = 1000
+
+
+def _ranked(token: Column, numerator: int, denominator: int) -> Column:
+    """Is a token one of those ranked by frequency? About ``2 (1 - t)`` of all are, twice what a prefix holds."""
+    return F.pmod(F.xxhash64(token), F.lit(RANKED_PARTS)) * denominator < 2 * RANKED_PARTS * (denominator - numerator)
 
 
 def _prefixes(bodies: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
     """Index entries (token, id, n, chars) that every similar pair is bound to share.
 
-    Tokens are ordered by the number of bodies that hold them, rare ones first. Two sets with Jaccard
-    >= t share a token among their first ``n - ceil(t n) + 1``. A text inside a longer one lacks at
-    most ``(1 - t) chars`` of its tokens, so the longer text's first ``floor((1 - t) chars) + 1`` hold
-    the shorter text's first. A token of one body only takes its place in the prefix but needs no entry.
+    Tokens are ordered: first the ranked ones, chosen by hash, by the number of bodies that hold them, rare ones
+    first; then the others by hash. Only the ranked ones are counted, so only they are shuffled; a prefix rarely
+    needs more than it has of them. Two sets with Jaccard >= t share a token among their first
+    ``n - ceil(t n) + 1``. A text inside a longer one lacks at most ``(1 - t) chars`` of its tokens, so the longer
+    text's first ``floor((1 - t) chars) + 1`` hold the shorter text's first. A ranked token of one body only takes
+    its place in the prefix but needs no entry.
     """
-    tokens = bodies.select("id", F.explode_outer(_shingles(F.col("body"), size)).alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > 1)
-    common = tokens.join(counts, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
     needed = F.expr(f"(n * {numerator} + {denominator - 1}) div {denominator}")
     lacking = F.expr(f"(chars * {denominator - numerator}) div {denominator}")
     length = F.least(F.col("n"), F.greatest(F.col("n") - needed + 1, lacking + 1))
-    left = F.greatest(F.lit(0), length - (F.col("n") - F.size("common"))).cast("int")
-    return (
-        bodies.select("id", "n", "chars").join(common, "id")
+    of_body = _shingles(F.col("body"), size)
+    ranked = F.filter(of_body, lambda token: _ranked(token, numerator, denominator))
+    tokens = bodies.select("id", F.explode_outer(ranked).alias("token")).filter("token IS NOT NULL")
+    tokens = tokens.repartition("token")  # counted and joined where they are: one shuffle for both
+    counts = tokens.groupBy("token").agg(F.count("id").alias("df")).filter(F.col("df") > 1)
+    common = tokens.join(counts, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
+    left = F.greatest(F.lit(0), length - (F.col("n_ranked") - F.size("common"))).cast("int")
+    first = (
+        bodies.select("id", "n", "n_ranked", "chars").join(common, "id")
         .select("id", "n", "chars", F.explode_outer(F.slice("common", F.lit(1), left)).alias("_token"))
-        .select("id", "n", "chars", F.col("_token.token").alias("token")).filter(F.col("token").isNotNull())
+        .select("id", "n", "chars", F.col("_token.token").alias("token"))
     )
+    others = F.array_sort(F.filter(of_body, lambda token: ~_ranked(token, numerator, denominator)))
+    beyond = bodies.filter(length > F.col("n_ranked")).select(
+        "id", "n", "chars", F.explode_outer(F.slice(others, F.lit(1), (length - F.col("n_ranked")).cast("int"))).alias("token")
+    )
+    return first.unionByName(beyond).filter(F.col("token").isNotNull())
+
 
+def _similarity(pairs: DataFrame, a: str, b: str, size: int) -> DataFrame:
+    """Length ratio when the shorter body lies in the longer one, else Jaccard of the shingle
+    sets; as a fraction (top, bottom) so that thresholds compare integers.
 
-def _similarity(a: str, b: str) -> Column:
-    """Length ratio when the shorter body lies in the longer one, else Jaccard of the
-    shingle sets; as a fraction (top, bottom) so that thresholds compare integers."""
+    Bodies travel to their pairs as text, an eighth of their shingles' bytes; the shingles are built
+    where a pair is compared, and only if neither body lies in the other.
+    """
     a_chars, b_chars = F.col(f"{a}.chars"), F.col(f"{b}.chars")
     a_body, b_body = F.col(f"{a}.body"), F.col(f"{b}.body")
     inside = F.when(a_chars <= b_chars, b_body.contains(a_body)).otherwise(a_body.contains(b_body))
-    shared = F.size(F.array_intersect(f"{a}.shingles", f"{b}.shingles")).cast("long")
-    lengths = F.struct(F.least(a_chars, b_chars).alias("top"), F.greatest(a_chars, b_chars).alias("bottom"))
-    jaccard = F.struct(shared.alias("top"), (F.col(f"{a}.n") + F.col(f"{b}.n") - shared).alias("bottom"))
-    return F.when(inside, lengths).otherwise(jaccard)
+    shared = F.size(F.array_intersect(_shingles(a_body, size), _shingles(b_body, size))).cast("long")
+    sizes = [F.least(a_chars, b_chars).alias("_low"), F.greatest(a_chars, b_chars).alias("_high")]
+    both = (F.col(f"{a}.n") + F.col(f"{b}.n")).alias("_both")
+    met = pairs.select("earlier", "later", *sizes, both, F.when(~inside, shared).alias("_shared"))
+    lengths = F.struct(F.col("_low").alias("top"), F.col("_high").alias("bottom"))
+    jaccard = F.struct(F.col("_shared").alias("top"), (F.col("_both") - F.col("_shared")).alias("bottom"))
+    return met.select("earlier", "later", F.when(F.col("_shared").isNull(), lengths).otherwise(jaccard).alias("_s"))
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
-    """The similar ones of the pairs; shingles are built for the bodies that occur in them."""
+    """The similar ones of the pairs."""
     pairs = cut_lineage(pairs)
     used = pairs.select(F.explode(F.array("earlier", "later")).alias("id")).distinct()
-    sides = cut_lineage(bodies.join(used, "id", "left_semi").withColumn("shingles", _shingles(F.col("body"), size)))
-    judged = (
-        pairs.join(sides.alias("a"), F.col("a.id") == F.col("earlier"))
-        .join(sides.alias("b"), F.col("b.id") == F.col("later"))
-        .select("earlier", "later", _similarity("a", "b").alias("_s"))
-    )
+    sides = bodies.select("id", "body", "n", "chars").join(used, "id", "left_semi")
+    met = pairs.join(sides.alias("a"), F.col("a.id") == F.col("earlier")).join(sides.alias("b"), F.col("b.id") == F.col("later"))
+    judged = _similarity(met, "a", "b", size)
     return judged.filter(F.col("_s.top") * denominator >= F.col("_s.bottom") * numerator).select(
         "earlier", "later", (F.col("_s.top") / F.col("_s.bottom")).alias("similarity")
     )
@@ -147,7 +174,7 @@ def similar_bodies(
     left meets the members between the earliest one and its best hit so far.
     """
     numerator, denominator = threshold
-    bodies = cut_lineage(_bodies(documents, key, text, size))
+    bodies = cut_lineage(_bodies(documents, key, text, size, threshold))
     entries = _prefixes(bodies, size, numerator, denominator)
     buckets = entries.groupBy("token").agg(F.count("*").alias("rows"), F.min(F.struct("id", "n", "chars")).alias("lead"))
     shared = cut_lineage(entries.join(buckets.filter("rows > 1"), "token"))
