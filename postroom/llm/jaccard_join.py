@@ -369,14 +369,24 @@ def close_enough(percent: int) -> str:
     )
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets reach the threshold, counted exactly."""
-    met = (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-        .select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("both"))
+def verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """The pairs ``a, b`` whose sets reach the threshold, counted exactly.
+
+    The texts ``pa, pb`` that the pairs name travel to them, which is less than half of their sets' bytes and
+    compresses; the sets are built where a pair is compared.
+    """
+
+    def run(batch: dict[str, list]) -> Iterable[tuple]:
+        sets = {t: shingle_set(t, width) for t in {*batch["ta"], *batch["tb"]}}
+        for a, b, ta, tb in zip(batch["a"], batch["b"], batch["ta"], batch["tb"], strict=True):
+            both = len(np.intersect1d(sets[ta], sets[tb], assume_unique=True))
+            if 100 * both >= percent * (len(sets[ta]) + len(sets[tb]) - both):
+                yield a, b
+
+    met = pairs.join(texts.select(F.col("print").alias("pa"), F.col("text").alias("ta")), "pa").join(
+        texts.select(F.col("print").alias("pb"), F.col("text").alias("tb")), "pb"
     )
-    return met.filter(f"100 * both >= {percent} * (total - both)").select("a", "b")
+    return arrow_map(met.select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
 def join(
@@ -406,25 +416,18 @@ def linked_sets(rows: DataFrame, base: DataFrame, entries: DataFrame, percent: i
     )
     sizes = checked_broadcast(nodes.select("node", "n", "bits"), SENT_NODES)
 
-    def sets_of(batch: dict[str, list]) -> Iterable[tuple]:
-        done: set[int] = set()
-        for value in dict.fromkeys(batch["text"]):
-            s = shingle_set(value, width)
-            node = set_hash(s)
-            if node not in done:
-                done.add(node)
-                yield node, s.view(np.int64).tolist()
-
     def linked(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs ``a, b`` that link: by size and parity first, then by their sets, which are built anew for them."""
+        """Those of the pairs ``a, b`` that link: by size and parity first, then by their sets, which are built anew from their texts."""
         a = sizes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
         b = sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
         near = cut_lineage(pairs.join(a, "a").join(b, "b").filter(close_enough(percent)).select("a", "b"))
         if near.isEmpty():
             return near
-        used = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("print").distinct()
-        wanted = rows.join(checked_broadcast(used), "print", "left_semi").dropDuplicates(["print"]).select("text")
-        return cut_lineage(verified(near, arrow_map(wanted, sets_of, "node long, shingles array<long>"), percent))
+        prints = nodes.select("node", "print")
+        named = near.join(prints.toDF("a", "pa"), "a").join(prints.toDF("b", "pb"), "b")
+        used = named.select(F.explode(F.array("pa", "pb")).alias("print")).distinct()
+        wanted = rows.select("print", "text").join(checked_broadcast(used), "print", "left_semi").dropDuplicates(["print"])
+        return cut_lineage(verified(named, wanted, percent, width))
 
     first = lists.select(
         F.inline(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b"))))

@@ -8,6 +8,7 @@ from urllib.parse import urlparse
 
 import pytest
 
+from postroom.llm import jaccard_join
 from postroom.operators import dedup as dd
 
 
@@ -33,3 +34,14 @@ def test_only_ranked_shingles_are_counted(spark):
     rows = [(i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1000))) for i in range(20)]
     bodies = dd._bodies(spark.createDataFrame(rows, "id long, t string"), "id", "t", 12, (92, 100))
     assert all(0.08 < r["n_ranked"] / r["n"] < 0.24 for r in bodies.collect())
+
+
+def test_pairs_are_verified_from_their_texts(spark):
+    words = [f"w{i}" for i in range(102)]
+    texts = {1: " ".join(words), 2: " ".join([*words[:-3], "x", "y", "z"]), 3: " ".join([*words[:-30], *("v" * 30)]), 4: " ".join(words)}
+    table = spark.createDataFrame([(10 * k, t) for k, t in texts.items()], "print long, text string")
+    pairs = spark.createDataFrame([(1, 2, 10, 20), (1, 3, 10, 30), (1, 4, 10, 40)], "a long, b long, pa long, pb long")
+    for percent in (94, 95):
+        got = sorted(map(tuple, jaccard_join.verified(pairs, table, percent, 3).collect()))
+        # 100 windows of three words each, 97 of them shared by 1 and 2: 97 of 103
+        assert got == ([(1, 2), (1, 4)] if 9700 >= percent * 103 else [(1, 4)])
