@@ -502,7 +502,7 @@ MOJIBAKE_RUNS = (
     (r"[äåæçèé][\u0080-\u00ffA-Za-z]{1,}", 3),
     ("[浣犲ソ鏂鎬煡鐪嬫湁涓侀氱洿规嵁瀹㈡湇]{2,}", 2),
 )
-LATIN1_PAIR_RUN = "(?:Ã.|Â.|Ä.|Å.|ä.|å.|æ.|ç.|è.|é.){2,}"
+LATIN1_PAIR_RUN = "(?:[ÃÂÄÅäåæçèé].){2,}"
 COMMON_ENGLISH = (
     "the", "and", "for", "you", "your", "this", "that", "with", "from", "please", "thanks", "account", "email",
     "support", "security", "login", "subscription", "refund", "invoice", "team", "customer", "service", "plan",

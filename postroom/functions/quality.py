@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 from collections.abc import Sequence
 from functools import reduce
@@ -74,34 +75,60 @@ def is_corrupted(value: Column, common: str = lx.COMMON_HANZI) -> Column:
 
 
 def decode_score(text: Column, common: str = lx.COMMON_HANZI, english=lx.COMMON_ENGLISH) -> Column:
-    """Higher is better decoded text. ``common`` lists frequent Chinese characters."""
-    hanzi = count_of(text, "[一-鿿]")
-    common_count = count_marks(text, list(common))
-    latin1 = count_of(text, LATIN1_UPPER)
-    pairs = count_wide(text, f"[{_ascii_pair_class()}]")
-    printable = F.length(F.regexp_replace(text, r"[\p{C}\p{Z}&&[^ \r\n\t]]", ""))
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), F.lit(0))
-    english_words = F.size(F.filter(words, lambda word: word.isin(*english)))
+    """Higher is better decoded text. ``common`` lists frequent Chinese characters.
+
+    Single characters outside ordinary ASCII are counted in what is left of the text without ordinary ASCII, a few
+    hundredths of most texts. No count stands in a branch of its own, so that Spark evaluates those used twice once.
+    """
+    odd = F.regexp_replace(text, r"[\t\n\r\x20-\x7e]+", "")
+    hanzi = count_of(odd, "[一-鿿]")
+    common_count = count_marks(odd if _outside_ascii(common) else text, list(common))
+    latin1 = count_of(odd, LATIN1_UPPER)
+    pairs = count_wide(odd, f"[{_ascii_pair_class()}]")
+    printable = F.length(text) - count_of(odd, r"[\p{C}\p{Z}&&[^ \r\n\t]]")
+    addresses = F.when(
+        text.contains("@") | text.contains("://"), count_of(text, r"(?U)https?://|[\w.+-]+@[\w.-]+")
+    ).otherwise(0)
     bonus = (
         printable
         + common_count * 4
         + count_marks(text, ASCII_TEXT) * 2
-        + english_words * 6
-        + count_of(text, r"(?U)https?://|[\w.+-]+@[\w.-]+") * 12
+        + _count_words(F.lower(text), english) * 6
+        + addresses * 12
     )
     penalty = (
-        count_marks(text, ["�"]) * 20
-        + count_of(text, "\\x00") * 10
-        + count_of(text, r"\?\?\?\?") * 10
+        count_marks(odd, ["�"]) * 20
+        + count_of(odd, "\\x00") * 10
+        + F.when(text.contains("????"), count_of(text, r"\?\?\?\?")).otherwise(0) * 10
         + pairs * 80
-        + mojibake_score(text) * 35
-        + count_of(text, lx.LATIN1_PAIR_RUN) * 45
+        + _mojibake_of(text, odd) * 35
+        + F.when(odd.rlike("[ÃÂÄÅäåæçèé]"), count_of(text, lx.LATIN1_PAIR_RUN)).otherwise(0) * 45
         + F.when((hanzi >= 20) & (common_count / F.greatest(hanzi, F.lit(1)) < 0.08), hanzi * 4).otherwise(0)
         + F.when(latin1 >= 4, latin1 * 12).otherwise(0)
-        + count_of(text, HANGUL) * 12
-        + count_of(text, PRIVATE_USE) * 20
+        + count_of(odd, HANGUL) * 12
+        + count_of(odd, PRIVATE_USE) * 20
     )
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit(-100)).otherwise(bonus - penalty).cast("long")
+    score = bonus - penalty - F.when(F.length(text) == 0, 100).otherwise(0)  # an empty text has nothing to count
+    return F.coalesce(score, F.lit(-100)).cast("long")
+
+
+def _outside_ascii(marks: Sequence[str]) -> bool:
+    return all(ord(c) > 0x7F for mark in marks for c in mark)
+
+
+def _count_words(lowered: Column, words: Sequence[str]) -> Column:
+    """Runs of the letters a to z that are one of ``words``; these have two letters at least, other words are never found."""
+    known = "|".join(sorted(w for w in set(words) if re.fullmatch("[a-z]{2,}", w)))
+    return count_of(lowered, f"(?<![a-z])(?:{known})(?![a-z])") if known else lowered.isNull().cast("int") * 0
+
+
+def _mojibake_of(text: Column, odd: Column) -> Column:
+    """:func:`mojibake_score`, by what the text has outside ordinary ASCII; its markers all lie there."""
+    runs = [
+        F.when(odd.rlike(re.match(r"\[[^]]+\]", pattern)[0]), count_of(text, pattern)).otherwise(0) * weight
+        for pattern, weight in lx.MOJIBAKE_RUNS
+    ]
+    return count_marks(odd if _outside_ascii(lx.MOJIBAKE_MARKERS) else text, lx.MOJIBAKE_MARKERS) + _total(runs)
 
 
 def _ascii_pair_class() -> str:
