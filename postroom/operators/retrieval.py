@@ -14,6 +14,7 @@ from postroom.functions.text import snippet
 ANY = "*"
 BLOCK_ROWS = 16_384
 SCORED_PAIRS = 1 << 20
+PARTS = 256  # of a row of scores, whose best ones bound the best of the row
 SENT_QUERIES = 5000
 
 
@@ -84,41 +85,80 @@ def _blocked(rows: DataFrame, key: str, group: str, block_rows: int, name: str)
     return rows.join(sizes, group).withColumn(name, F.pmod(F.xxhash64(F.col(key)), F.col(f"{name}s")).cast("int"))
 
 
+def _unit(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """The vectors, their lengths, the vectors of length one in half the bytes, and whether the latter can be relied on."""
+    wide = np.array(vectors.tolist(), dtype=np.float64)
+    length = np.linalg.norm(wide, axis=1)
+    usual = bool(np.all((length == 0) | (length > 1e-100) & (length < 1e100)))
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        return wide, length, np.where(length[:, None] > 0, wide / length[:, None], 0.0).astype(np.float32), usual
+
+
+def _candidates(left: np.ndarray, right: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (query, row) that hold each query's ``limit`` best rows, with what lies too close to tell in single precision.
+
+    The ``limit``-th of the best scores of a row's parts is at most the ``limit``-th best of the row.
+    """
+    scores = left @ right.T
+    parts = max(limit, min(PARTS, scores.shape[1]))
+    width = scores.shape[1] // parts
+    tops = scores[:, : parts * width].reshape(len(scores), width, parts).max(axis=1)
+    least = np.partition(tops, parts - limit, axis=1)[:, parts - limit]
+    slack = 4 * (left.shape[1] + 4) * 2.0**-24 + 2e-9  # errors of two scores, and of rounding to nine digits
+    return np.divmod(np.flatnonzero(scores >= (least - np.float32(slack))[:, None]), scores.shape[1])
+
+
 def _block_matcher(limit: int, exclude_self: bool):
     """Best ``limit`` corpus rows per query of two blocks; equal scores go by row id.
 
-    Queries are taken ``SCORED_PAIRS`` pairs at a time; of their scores, those below the ``limit``-th best are never sorted.
+    Queries are taken ``SCORED_PAIRS`` pairs at a time. A product in single precision finds the rows that may be among the best,
+    and only these are scored in double precision. Where too many are close, or numbers are not finite, all are.
     """
 
-    def best(scores: np.ndarray, excluded: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.where(np.isnan(scores), -np.finfo(np.float64).max, scores)  # undefined ones come last
+    def first(scores: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((columns, np.where(np.isnan(scores), np.inf, -scores), rows))  # undefined ones come last
+        rows, columns = rows[order], columns[order]
+        kept = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < limit
+        return rows[kept], columns[kept], scores[order][kept]
+
+    def every(scores: np.ndarray, excluded: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the scores that are not below the ``limit``-th best of their row."""
+        keys = np.where(np.isnan(scores), -np.finfo(np.float64).max, scores)
         if excluded is not None:
             keys[excluded] = -np.inf
         last = keys.shape[1] - limit
         least = np.partition(keys, last, axis=1)[:, last, None] if last > 0 else -np.inf
-        rows, columns = np.nonzero((keys >= least) & (keys > -np.inf))
-        order = np.lexsort((columns, -keys[rows, columns], rows))
-        rows, columns = rows[order], columns[order]
-        place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
-        return rows[place < limit], columns[place < limit]
+        return np.nonzero((keys >= least) & (keys > -np.inf))
 
     def match(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(queries) and len(corpus):
             corpus = corpus.sort_values("row_id", kind="stable")
             ids, asked = corpus["row_id"].to_numpy(), queries["query_id"].to_numpy()
-            left = np.array(queries["vector"].tolist(), dtype=np.float64)
-            right = np.array(corpus["vector"].tolist(), dtype=np.float64)
-            left_norm, right_norm = np.linalg.norm(left, axis=1), np.linalg.norm(right, axis=1)
+            left, left_norm, left_unit, usual = _unit(queries["vector"])
+            right, right_norm, right_unit, also = _unit(corpus["vector"])
+            copies = int(pd.Series(ids).value_counts().iloc[0]) if exclude_self else 0  # rows that a query may leave out
+            wanted = limit + copies
             step = max(1, SCORED_PAIRS // len(ids))
             for at in range(0, len(asked), step):
-                scale = left_norm[at : at + step, None] * right_norm[None, :]
+                some, part = asked[at : at + step], slice(at, at + step)
+                near = _candidates(left_unit[part], right_unit, wanted) if usual and also and wanted < len(ids) else None
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    scores = np.where(scale > 0, left[at : at + step] @ right.T / scale, 0.0)
-                scores = np.round(scores, 9) + 0.0
-                some = asked[at : at + step]
-                rows, columns = best(scores, some[:, None] == ids[None, :] if exclude_self else None)
-                found.append(pd.DataFrame({"query_id": some[rows], "row_id": ids[columns], "similarity": scores[rows, columns]}))
+                    if near is not None and len(near[0]) <= max(SCORED_PAIRS // 16, 2 * wanted * len(some)):
+                        rows, columns = near
+                        if exclude_self:
+                            others = some[rows] != ids[columns]
+                            rows, columns = rows[others], columns[others]
+                        scale = left_norm[at + rows] * right_norm[columns]
+                        scores = np.where(scale > 0, np.einsum("ij,ij->i", left[at + rows], right[columns]) / scale, 0.0)
+                        scores = np.round(scores, 9) + 0.0
+                    else:
+                        scale = left_norm[part, None] * right_norm[None, :]
+                        dense = np.round(np.where(scale > 0, left[part] @ right.T / scale, 0.0), 9) + 0.0
+                        rows, columns = every(dense, some[:, None] == ids[None, :] if exclude_self else None)
+                        scores = dense[rows, columns]
+                rows, columns, scores = first(scores, rows, columns)
+                found.append(pd.DataFrame({"query_id": some[rows], "row_id": ids[columns], "similarity": scores}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "row_id": [], "similarity": []})
 
     return match

@@ -137,3 +137,37 @@ def test_repair_hashes_texts_before_any_join(spark):
     depth = plan[at].index("Generate")
     below = [line for line in plan[at + 1 :] if len(line) - len(line.lstrip(" :+-")) > depth]
     assert below and not any("Join" in line for line in below)
+
+
+def test_few_pairs_are_scored_twice_and_the_best_are_among_them():
+    rng = np.random.default_rng(3)
+    left, right = (v / np.linalg.norm(v, axis=1)[:, None] for v in (rng.normal(size=(90, 24)), rng.normal(size=(3000, 24))))
+    rows, columns = rt._candidates(left.astype(np.float32), right.astype(np.float32), 8)
+    assert len(rows) < 2 * 8 * len(left)
+    found = set(zip(rows.tolist(), columns.tolist(), strict=True))
+    for i, scores in enumerate(left @ right.T):
+        assert {(i, int(j)) for j in np.argsort(-scores)[:8]} <= found
+
+
+def test_block_matcher_equals_a_plain_ranking():
+    rng = np.random.default_rng(4)
+    for kind in ("plain", "copies", "all copies", "zeros", "tiny", "repeated ids"):
+        v, ids = rng.normal(size=(700, 12)), rng.permutation(700)
+        if kind in ("copies", "all copies"):
+            v[: 200 if kind == "copies" else 700] = v[0]
+        v[5:9] *= {"zeros": 0.0, "tiny": 1e-170}.get(kind, 1.0)
+        ids = ids // 3 if kind == "repeated ids" else ids
+        for limit, itself in ((1, True), (8, True), (8, False), (900, True)):
+            got = rt._block_matcher(limit, itself)(
+                pd.DataFrame({"query_id": ids[:60], "vector": list(v[:60])}), pd.DataFrame({"row_id": ids, "vector": list(v)})
+            )
+            want = []
+            for q in range(60):
+                scale = np.linalg.norm(v[q]) * np.linalg.norm(v, axis=1)
+                scores = np.where(scale > 0, v @ v[q] / np.where(scale > 0, scale, 1), 0).round(9) + 0.0
+                ranked = sorted((-scores[j], ids[j]) for j in range(700) if not (itself and ids[j] == ids[q]))
+                want += [(ids[q], i, -s) for s, i in ranked[:limit]]
+            got = sorted(zip(got["query_id"], got["row_id"], got["similarity"], strict=True))
+            assert len(got) == len(want)
+            for a, b in zip(got, sorted(want), strict=True):
+                assert a[:2] == b[:2] and abs(a[2] - b[2]) < 2e-9, kind
