@@ -7,6 +7,7 @@ return the columns they were given.
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,30 +42,43 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return sequence_packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
+ARROW_ROWS, ARROW_BYTES = 1000, "8m"
+
+
+def in_small_batches(stage):
+    """The stage with Arrow batches kept at ``ARROW_ROWS`` rows and ``ARROW_BYTES``, where the session says nothing else.
+
+    Whole rows pass through Python in several stages; what JVM and workers hold of them stays with the executor.
+    """
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for name, small in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+            setting = f"spark.sql.execution.arrow.{name}"
+            if spark.sparkContext.getConf().get(setting) is None:
+                spark.conf.set(setting, small)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_copies", drop_near_copies),
-    ("decontamination", drop_benchmark),
-    ("secrets", redact_secrets),
-    ("packing", pack_sequences),
+    (name, in_small_batches(stage))
+    for name, stage in (
+        ("toxicity", drop_toxic),
+        ("near_copies", drop_near_copies),
+        ("decontamination", drop_benchmark),
+        ("secrets", redact_secrets),
+        ("packing", pack_sequences),
+    )
 ]
 
-ARROW_ROWS, ARROW_BYTES = 1000, "8m"
-
 # Compression lengths and merges are not SQL; the tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; what lies between them is kept in the folder that the cluster shares.
-
-    Whole rows pass through Python in several stages, so that Arrow batches are kept at ``ARROW_ROWS`` rows
-    and ``ARROW_BYTES`` where the session says nothing else.
-    """
-    for name, small in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
-        setting = f"spark.sql.execution.arrow.{name}"
-        if spark.sparkContext.getConf().get(setting) is None:
-            spark.conf.set(setting, small)
+    """All stages in order; what lies between them is kept in the folder that the cluster shares."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:

@@ -43,6 +43,7 @@ def enter(owner: str) -> None:
         _OWNER[:] = [owner]
         _HELD.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # only where the C library can
             ctypes.CDLL(None).malloc_trim(0)
 

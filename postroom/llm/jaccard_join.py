@@ -8,6 +8,9 @@ D(m, n) = (m + n) * (100 - T) / (100 + T) members. From that:
 * Large sets: the members are dealt by hash into D + 1 classes; a difference of at most D leaves one class
   equal in both. An inverted list is kept per content of a class. Lists per single shingle would hold every
   document that repeats a common passage; a class mixes about ten shingles from all over the document.
+  Of very large sets the members are dealt into ``GROUPS`` groups first: one group differs in at most D / ``GROUPS`` members,
+  and has that many classes and one more. So sets that meet in a list of a group need to be that close in this group alone,
+  which a few parity bits of the group tell, where those of the whole set would all be used up.
 
 The boundary between the two is where listing the subsets costs more than the lists. Both are exact.
 Sets that share a list are compared with the list's first and last member, then, for sets that are
@@ -38,6 +41,8 @@ PERCENT = 90
 LIST_WEIGHT = 8
 LEVEL_RATIO = 1.5
 PARITY_BITS = 512
+GROUPS, LEAST_QUOTA = 8, 16  # groups of the members of a large set; the difference of a group from which on sets are grouped
+MARK = 15  # bits of a key that name its group, from 1 on; 0 for none
 CACHED_WORDS = 100_000
 LEADER_ROUNDS = 1
 BUCKET_BYTES, LEAST_BUCKETS, MOST_PARTITIONS = 16 << 20, 16, 20_000  # texts of a bucket of keys
@@ -113,23 +118,24 @@ class Scheme:
     def list_cost(self, n: int) -> int:
         return LIST_WEIGHT * (self.difference(n, n) + 1)
 
-    def classes(self, low: int, high: int) -> tuple[int, int]:
-        """Classes for larger sizes from ``low`` to ``high``, and how many of them a set may leave empty.
+    def classes(self, low: int, high: int) -> tuple[int, int, int]:
+        """Groups for larger sizes from ``low`` to ``high``, classes of a group, and how many of them a set may leave empty.
 
         With D + 1 + e classes, e + 1 are equal in both sets of a pair; so if one of them has at most e empty
-        classes, a class with content is equal. e is what a set rarely exceeds.
+        classes, a class with content is equal. e is what a set rarely exceeds. D is the share of a group.
         """
-        needed = self.difference(high, high) + 1
-        smallest = -(-low * self.percent // 100)
+        groups = GROUPS if self.difference(high, high) >= GROUPS * LEAST_QUOTA else 1
+        needed = self.difference(high, high) // groups + 1
+        smallest = -(-low * self.percent // 100) / groups
         for spare in range(needed // 4 + 1):
             mean = (needed + spare) * exp(-smallest / (needed + spare))
             if spare >= mean + 3 * sqrt(mean) - 0.5:
                 break
-        return needed + spare, spare
+        return groups, needed + spare, spare
 
     @lru_cache(maxsize=None)  # noqa: B019 - one scheme per process
-    def levels(self, n: int) -> tuple[tuple[int, int, int], ...]:
-        """(level, classes, spare) of each range of sizes that holds a possible larger partner of a set of size n."""
+    def levels(self, n: int) -> tuple[tuple[int, int, int, int], ...]:
+        """(level, groups, classes, spare) of each range of sizes that holds a possible larger partner of a set of size n."""
         found, low, level = [], self.boundary + 1, 0
         top = self.largest_partner(n)
         while low <= top:
@@ -139,6 +145,9 @@ class Scheme:
             low, level = high + 1, level + 1
         return tuple(found)
 
+    def grouped(self, n: int) -> bool:
+        return any(groups > 1 for _, groups, _, _ in self.levels(n))
+
     def keys(self, shingles: np.ndarray) -> np.ndarray:
         """Keys of the lists this set is in: two sets that link share a key, or are equal."""
         n = len(shingles)
@@ -148,20 +157,35 @@ class Scheme:
             total = token.sum(dtype=U)
             for j in range(self.left_out(n) + 1):
                 out = np.fromiter((token[list(c)].sum(dtype=U) for c in combinations(range(n), j)), U)
-                found.append(mixed((total - out) ^ np.array(n - j, U) * MIX_1))
-        for level, classes, spare in self.levels(n):
-            by = (shingles >> U(32)) * U(classes) >> U(32)
+                found.append(mixed((total - out) ^ np.array(n - j, U) * MIX_1) & ~U(MARK))
+        for level, groups, classes, spare in self.levels(n):
+            first = group_of(token) * U(classes) if groups > 1 else U(0)
+            by = first + ((shingles >> U(32)) * U(classes) >> U(32))
             tag = U(level + 1) << U(40)
-            place = np.arange(classes, dtype=U)
-            keys = mixed(mixed(class_sums(token, by, classes) + tag) + place * MIX_1)
-            empty = np.flatnonzero(np.bincount(by.astype(np.int64), minlength=classes) == 0)
-            found.append(np.delete(keys, empty) if len(empty) else keys)
-            if len(empty) > spare:  # an empty class is no evidence: it counts with each class of a second dealing
-                second = class_sums(token, (shingles & U(0xFFFFFFFF)) * U(classes) >> U(32), classes)
-                found.extend(mixed(mixed(second + tag + U(e + 1)) + (place + U(1) << U(24)) * MIX_1) for e in empty.tolist())
+            place = np.arange(groups * classes, dtype=U)
+            mark = place // U(classes) + U(1) if groups > 1 else np.zeros(classes, U)
+            keys = mixed(mixed(class_sums(token, by, groups * classes) + tag) + place * MIX_1) & ~U(MARK) | mark
+            full = np.bincount(by.astype(np.int64), minlength=groups * classes) > 0
+            found.append(keys[full])
+            second = None
+            for at in range(0, groups * classes, classes):
+                empty = at + np.flatnonzero(~full[at : at + classes])
+                if len(empty) > spare:  # an empty class is no evidence: it counts with each class of a second dealing
+                    if second is None:
+                        second = class_sums(token, first + ((shingles & U(0xFFFFFFFF)) * U(classes) >> U(32)), groups * classes)
+                    part = slice(at, at + classes)
+                    found.extend(
+                        mixed(mixed(second[part] + tag + U(e + 1)) + (place[part] + U(1) << U(24)) * MIX_1) & ~U(MARK) | mark[part]
+                        for e in empty.tolist()
+                    )
         return np.unique(np.concatenate(found)) if found else np.zeros(0, U)
 
 
+def group_of(token: np.ndarray) -> np.ndarray:
+    """The group of each member, from bits that neither its class nor its parity bit depends on."""
+    return (token >> U(32)) * U(GROUPS) >> U(32)
+
+
 def class_sums(token: np.ndarray, by: np.ndarray, classes: int) -> np.ndarray:
     """Sum of the tokens in each class: a hash of the class's content that needs no order."""
     sums = np.zeros(classes, U)
@@ -175,6 +199,13 @@ def parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def parity_by_group(shingles: np.ndarray) -> np.ndarray:
+    """The parity bits of each group's members, one group after the other."""
+    at = group_of(mixed(shingles)) * U(PARITY_BITS) + (shingles & U(PARITY_BITS - 1))
+    odd = np.bincount(at.astype(np.int64), minlength=GROUPS * PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def set_hash(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63)
 
@@ -189,7 +220,7 @@ def bucket_count(docs: DataFrame, text: str) -> int:
 
 def described(rows: DataFrame, scheme: Scheme, width: int, buckets: int) -> DataFrame:
     """Rows of two kinds. ``part = 'rows'``: ``doc_id, print, n, node``, the set's size and hash, and for the first of
-    equal sets of a batch ``bits``, its parity bits. ``part = 'keys'``: the batch's keys of one ``bucket``, packed: the low 32 bits
+    equal sets of a batch ``bits``, its parity bits, and for large sets ``wide``, those by group. ``part = 'keys'``: the batch's keys of one ``bucket``, packed: the low 32 bits
     of each (``keys``) and which of the ``nodes`` lists it (``places``).
 
     At most ``THINNED`` sets of a batch send a key to its bucket; the others hold it in ``later``. So a key of very
@@ -201,15 +232,16 @@ def described(rows: DataFrame, scheme: Scheme, width: int, buckets: int) -> Data
         nodes: dict[int, int] = {}
         keys, found = [], []
         for doc_id, mark, value in zip(batch["doc_id"], batch["print"], batch["text"], strict=True):
-            bits = None
+            bits = wide = None
             if value not in texts:
                 s = shingle_set(value, width)
                 n, node = texts[value] = len(s), set_hash(s)
                 if n and node not in nodes:
                     nodes[node] = len(nodes)
                     bits = parity(s).tolist()
+                    wide = parity_by_group(s).tolist() if scheme.grouped(n) else None
                     keys.append(scheme.keys(s))
-            found.append((doc_id, mark, *texts[value], bits))
+            found.append((doc_id, mark, *texts[value], bits, wide))
         later: dict[int, list[int]] = {}
         if keys:
             key = np.concatenate(keys)
@@ -230,11 +262,11 @@ def described(rows: DataFrame, scheme: Scheme, width: int, buckets: int) -> Data
             for end in ends:
                 used, where = np.unique(place[start:end], return_inverse=True)
                 packed = low[start:end].tobytes(), where.astype(np.uint8).tobytes(), hashes[used].tobytes()
-                yield None, None, None, None, None, None, int(bucket[start]), *packed, "keys"
+                yield None, None, None, None, None, None, None, int(bucket[start]), *packed, "keys"
                 start = end
-        for doc_id, mark, n, node, bits in found:
+        for doc_id, mark, n, node, bits, wide in found:
             more = later.get(nodes[node]) if bits is not None else None
-            yield doc_id, mark, n, node, bits, more, None, None, None, None, "rows"
+            yield doc_id, mark, n, node, bits, wide, more, None, None, None, None, "rows"
 
     return arrow_map(rows, run, described_schema(rows) + ", part string")
 
@@ -242,7 +274,7 @@ def described(rows: DataFrame, scheme: Scheme, width: int, buckets: int) -> Data
 def described_schema(rows: DataFrame) -> str:
     kind = dict(rows.dtypes)["doc_id"]
     return (
-        f"doc_id {kind}, print long, n long, node long, bits array<long>, later array<long>, "
+        f"doc_id {kind}, print long, n long, node long, bits array<long>, wide array<long>, later array<long>, "
         "bucket long, keys binary, places binary, nodes binary"
     )
 
@@ -288,14 +320,14 @@ class Bucket:
         return key.astype(np.int64) | np.int64(self.number << 32)
 
     def close(self) -> tuple[np.ndarray, np.ndarray]:
-        """Entries of the lists of two sets or more. A list of few members is named after them, so that equal lists fall together."""
+        """Entries of the lists of two sets or more. A list of few members is named after them, so that equal lists fall together; it belongs to no group."""
         key, node, place, size = parted(np.concatenate(self.key), np.concatenate(self.node))
         many = size > 1
         key, node, place, size = key[many], node[many], place[many], size[many]
         if not len(key):
             return key.astype(np.int64), node
         heads = np.flatnonzero(place == 0)
-        members = mixed(np.add.reduceat(mixed(node.view(U)), heads)).view(np.int64)
+        members = (mixed(np.add.reduceat(mixed(node.view(U)), heads)) & ~U(MARK)).view(np.int64)
         short = size < THINNED
         name = np.where(short, np.repeat(members, size[heads]), self.named(key))
         _, one = np.unique(members, return_index=True)
@@ -329,7 +361,7 @@ def entries_of(batches: Iterable) -> Iterable:
 
 
 def prepared(docs: DataFrame, rows: DataFrame, text: str, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """The described rows (``doc_id, print, n, node, bits, later``) and the entries of the lists of several sets.
+    """The described rows (``doc_id, print, n, node, bits, wide, later``) and the entries of the lists of several sets.
 
     Keys lie in the shared folder only until their buckets have been read; the rows stay.
     """
@@ -343,7 +375,7 @@ def prepared(docs: DataFrame, rows: DataFrame, text: str, percent: int, width: i
         empty = spark.createDataFrame([], schema)
         return spark.read.schema(schema).parquet(f"{folder}/part={name}") if folder_exists(spark, f"{folder}/part={name}") else empty
 
-    base = part("rows").select("doc_id", "print", "n", "node", "bits", "later")
+    base = part("rows").select("doc_id", "print", "n", "node", "bits", "wide", "later")
     parts = min(buckets, MOST_PARTITIONS)
     packed = part("keys").select("bucket", "keys", "places", "nodes")
     met = packed.repartitionById(parts, F.expr(f"int(bucket % {parts})")).sortWithinPartitions("bucket")
@@ -360,12 +392,15 @@ def shared_lists(entries: DataFrame) -> DataFrame:
     return cut_lineage(entries.join(ends.filter("low < high"), "key"))
 
 
-def close_enough(percent: int) -> str:
-    """SQL over columns na, bits_a, nb, bits_b: false only for pairs that cannot link."""
+def close_enough(percent: int, groups: str = "1") -> str:
+    """SQL over columns na, bits_a, nb, bits_b: false only for pairs that cannot link.
+
+    Where the bits are those of one of several ``groups``, also for pairs whose difference there is over the group's share.
+    """
     flips = " + ".join(f"bit_count(bits_a[{i}] ^ bits_b[{i}])" for i in range(PARITY_BITS // 64))
     return (
         f"100 * least(na, nb) >= {percent} * greatest(na, nb) "
-        f"AND ({flips}) * {100 + percent} <= (na + nb) * {100 - percent}"
+        f"AND ({flips}) * {groups} * {100 + percent} <= (na + nb) * {100 - percent}"
     )
 
 
@@ -412,7 +447,7 @@ def linked_sets(rows: DataFrame, base: DataFrame, entries: DataFrame, percent: i
     long = lists.filter("members > 3")  # of three members, all are compared with the first or the last
     nodes = cut_lineage(
         base.filter("bits IS NOT NULL").join(lists.select("node").distinct(), "node", "left_semi")
-        .groupBy("node").agg(F.min("print").alias("print"), F.min("n").alias("n"), F.min("bits").alias("bits"))
+        .groupBy("node").agg(F.min("print").alias("print"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("wide").alias("wide"))
     )
     sizes = checked_broadcast(nodes.select("node", "n", "bits"), SENT_NODES)
 
@@ -448,11 +483,16 @@ def linked_sets(rows: DataFrame, base: DataFrame, entries: DataFrame, percent: i
             )
             pairs = pairs.distinct()
         else:
-            side = left.filter("node != low AND node != high").join(sizes, "node")
-            a = side.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+            # in a list of a group only that group's bits are compared: sets that link share a list of the group they differ least in
+            known = checked_broadcast(nodes.join(left.select("node").distinct(), "node", "left_semi"), SENT_NODES // GROUPS)
+            mark, longs = F.expr(f"int(key & {MARK})"), PARITY_BITS // 64
+            side = left.filter("node != low AND node != high").join(known, "node").select(
+                "key", "node", "root", "n", mark.alias("mark"), F.when(mark > 0, F.slice("wide", (mark - 1) * longs + 1, F.lit(longs))).otherwise(F.col("bits")).alias("bits")
+            )
+            a = side.select("key", "mark", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
             b = side.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
-            meet = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & F.expr(close_enough(percent))
-            pairs = a.join(b, "key").filter(meet).select("a", "b").distinct()
+            near = F.expr(close_enough(percent, f"IF(mark > 0, {GROUPS}, 1)"))
+            pairs = a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct()
         more = linked(pairs)
         if not more.isEmpty():
             roots = connected_components(more.unionByName(roots.toDF("a", "b")))

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -610,3 +611,36 @@ def test_bucket_hands_on_long_lists_and_merges_equal_ones(monkeypatch):
         for name, n in zip(*(e.tolist() for e in entries), strict=True):
             lists.setdefault(name, set()).add(n)
     assert sorted(map(sorted, lists.values())) == sorted(map(list, {tuple(sorted(v)) for v in wanted.values() if len(v) > 1}))
+
+
+@pytest.mark.parametrize("width, percent", [(5, 80), (3, 90)])
+def test_lists_of_groups_tell_large_sets_that_do_not_link(width, percent):
+    """Sets that link share a list of a group they are close in; of others, most go by the bits of the list's group."""
+    scheme, rng = jaccard_join.Scheme(percent), np.random.default_rng(percent)
+    longs = jaccard_join.PARITY_BITS // 64
+
+    def close(a, b, key):
+        x, y = jaccard_join.parity_by_group(a), jaccard_join.parity_by_group(b)
+        at = (int(key) & jaccard_join.MARK) - 1
+        part = slice(at * longs, at * longs + longs) if at >= 0 else slice(None)
+        flips = int(np.bitwise_count((x[part] ^ y[part]).view(np.uint64)).sum())
+        return flips * (jaccard_join.GROUPS if at >= 0 else 1) * (100 + percent) <= (len(a) + len(b)) * (100 - percent)
+
+    met = kept = plain = 0
+    for turn in range(60):
+        n = int(rng.integers(3000, 6000))
+        base = rng.integers(0, (1 << 64) - 1, n, dtype=np.uint64)
+        least = scheme.difference(n, n)
+        changed = least // 2 if turn % 2 else int(least * 1.6) // 2  # each changed member counts on both sides
+        other = np.unique(np.r_[base[changed:], rng.integers(0, (1 << 64) - 1, changed, dtype=np.uint64)])
+        a = np.unique(base)
+        shared = np.intersect1d(scheme.keys(a), scheme.keys(other))
+        flips = int(np.bitwise_count((jaccard_join.parity(a) ^ jaccard_join.parity(other)).view(np.uint64)).sum())
+        assert scheme.grouped(n) and (shared & np.uint64(jaccard_join.MARK)).all()
+        if turn % 2:
+            assert any(close(a, other, key) for key in shared)
+        else:
+            met, kept = met + len(shared), kept + sum(close(a, other, key) for key in shared)
+            plain += flips * (100 + percent) <= 2 * n * (100 - percent)
+    assert met > 500 and kept < met / 2
+    assert plain > 20 or percent == 90

@@ -74,3 +74,14 @@ def test_odd_tables_pass(spark):
             assert docs.columns == odd.columns
         assert docs.count() == left
         assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).select("sequence_id").distinct().count() == (2 if left else 0)
+
+
+def test_a_stage_alone_takes_small_batches(spark):
+    """Stages may be called one by one; the batches are not only set for the whole chain."""
+    names = [f"spark.sql.execution.arrow.{name}" for name in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[3:]:
+        for name in names:
+            spark.conf.unset(name)
+        stage(spark, docs.limit(3), FOLDER)
+        assert [spark.conf.get(name) for name in names] == [str(corpus_pipeline.ARROW_ROWS), corpus_pipeline.ARROW_BYTES]
