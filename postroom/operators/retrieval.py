@@ -112,7 +112,7 @@ def _block_matcher(limit: int, exclude_self: bool):
     """Best ``limit`` corpus rows per query of two blocks; equal scores go by row id.
 
     Queries are taken ``SCORED_PAIRS`` pairs at a time. A product in single precision finds the rows that may be among the best,
-    and only these are scored in double precision. Where too many are close, or numbers are not finite, all are.
+    and only these are scored in double precision. Where too many are close, rows are few, or numbers are not finite, all are.
     """
 
     def first(scores: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,7 +142,7 @@ def _block_matcher(limit: int, exclude_self: bool):
             step = max(1, SCORED_PAIRS // len(ids))
             for at in range(0, len(asked), step):
                 some, part = asked[at : at + step], slice(at, at + step)
-                near = _candidates(left_unit[part], right_unit, wanted) if usual and also and wanted < len(ids) else None
+                near = _candidates(left_unit[part], right_unit, wanted) if usual and also and len(ids) > max(wanted, PARTS) else None
                 with np.errstate(divide="ignore", invalid="ignore"):
                     if near is not None and len(near[0]) <= max(SCORED_PAIRS // 16, 2 * wanted * len(some)):
                         rows, columns = near
