@@ -6,13 +6,19 @@ repeats. Groups of copies never become lists of pairs.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from math import ceil, log, log1p
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postroom.functions import lexicon as lx
+from postroom.functions import shingles as sh
 from postroom.functions import text as tx
 from postroom.functions.scoring import char_ngrams
-from postroom.session import cut_lineage
+from postroom.session import cut_lineage, visible
 
 
 def exact_duplicates(documents: DataFrame, key: str, content: Column) -> DataFrame:
@@ -31,20 +37,55 @@ def _shingles(body: Column, size: int) -> Column:
     return F.array_distinct(F.transform(pieces, lambda piece: F.xxhash64(piece)))
 
 
+def _keyed(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """``id, body, _hash`` of every document: its body and what tells bodies apart."""
+    body = tx.content_key(F.col(text))
+    return documents.select(F.col(key).alias("id"), body.alias("body")).withColumn("_hash", F.sha2("body", 256))
+
+
+def _firsts(keyed: DataFrame) -> DataFrame:
+    """``id, body`` of the first document of each distinct body."""
+    keyed = keyed.filter(F.col("body") != "")
+    first = keyed.groupBy("_hash").agg(F.min("id").alias("id")).select("id")
+    return keyed.select("id", "body").join(first, "id", "left_semi")
+
+
+def _mapped(df: DataFrame, body: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """``df`` by ``fn``, which sees few rows and few bytes of ``body`` at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sh.pieces(batch, body):
+                yield fn(part)
+
+    return visible(df).mapInArrow(run, schema)
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    return dict(df.dtypes)[column]
+
+
+def _counted(rows: DataFrame, size: int, threshold: tuple[int, int] | None = None) -> DataFrame:
+    """``id, body`` with the length of the body and its number of shingles; with a threshold also ``n_ranked``."""
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        bodies = part.column("body").to_pylist()
+        sets = sh.shingle_hashes(bodies, size)
+        found = [part.column("id"), part.column("body"), pa.array(map(len, sets), pa.int64()), pa.array(map(len, bodies), pa.int64())]
+        if threshold is not None:
+            found.append(pa.array([_ranked_of(s, *threshold) for s in sets], pa.int64()))
+        return pa.record_batch(found, names=["id", "body", "n", "chars", "n_ranked"][: len(found)])
+
+    more = ", n_ranked long" if threshold is not None else ""
+    return _mapped(rows, "body", run, f"id {_kind(rows, 'id')}, body string, n long, chars long{more}")
+
+
 def _bodies(documents: DataFrame, key: str, text: str, size: int, threshold: tuple[int, int] | None = None) -> DataFrame:
     """One row per distinct body: id of its first document, body, its length and number of shingles.
 
     With a threshold also ``n_ranked``, the number of its shingles that are ranked by frequency.
     """
-    body = tx.content_key(F.col(text))
-    keyed = documents.select(F.col(key).alias("id"), body.alias("body")).filter(F.col("body") != "")
-    first = keyed.groupBy(F.sha2("body", 256).alias("_hash")).agg(F.min("id").alias("id")).select("id")
-    distinct = keyed.join(first, "id", "left_semi")
-    shingled = distinct.select("id", "body", _shingles(F.col("body"), size).alias("_shingles"))
-    counts = [F.size("_shingles").cast("long").alias("n"), F.length("body").cast("long").alias("chars")]
-    if threshold is not None:
-        counts.append(F.size(F.filter("_shingles", lambda token: _ranked(token, *threshold))).cast("long").alias("n_ranked"))
-    return shingled.select("id", "body", *counts)
+    return _counted(_firsts(_keyed(documents, key, text)), size, threshold)
 
 
 RANKED_PARTS = 1000
@@ -55,81 +96,228 @@ def _ranked(token: Column, numerator: int, denominator: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(RANKED_PARTS)) * denominator < 2 * RANKED_PARTS * (denominator - numerator)
 
 
-def _prefixes(bodies: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
-    """Index entries (token, id, n, chars) that every similar pair is bound to share.
+def _ranked_of(tokens: np.ndarray, numerator: int, denominator: int) -> int:
+    """How many of the tokens :func:`_ranked` chooses."""
+    part = sh.hashed_longs(tokens).view(np.int64) % RANKED_PARTS
+    return int(np.count_nonzero(part * denominator < 2 * RANKED_PARTS * (denominator - numerator)))
+
+
+MISSED_BITS = 64
+MARGIN = 0.02
+TURNS = 3
+SMALL_SET = 64
+CHANCE = 0.21
+
+
+class Bands:
+    """Keys of which two similar bodies share one, but for a chance below ``2 ** -MISSED_BITS``.
+
+    In each turn the shingles are hashed anew and dealt into bins by their leading bits. The least hashes of a bin are equal
+    in two sets with the chance of their Jaccard similarity J, or more if both bins are empty. ``rows`` bins make a key, so a
+    key is equal with a chance of ``J ** rows``, and all ``bands`` of them differ with ``(1 - J ** rows) ** bands``. So many are
+    made that this is less than the chance of two hashes of 64 bits to be equal by accident, from J = ``least`` on, which lies
+    ``MARGIN`` below the threshold. Keys of several bins tell bodies apart that only share passages.
+
+    A body inside another can have few of its shingles if one of them repeats itself, or by its own shortness: see :meth:`odd`.
+    """
+
+    def __init__(self, numerator: int, denominator: int) -> None:
+        self.numerator, self.denominator = numerator, denominator
+        threshold = numerator / denominator
+        self.least = max(threshold - MARGIN, threshold / 2)
+        self.rows = max(1, int(log(CHANCE) / log(self.least)))
+        self.turn_bands = ceil(MISSED_BITS * log(2) / -log1p(-(self.least**self.rows)) / TURNS)
+
+    def odd(self, n: int, chars: int) -> bool:
+        """May a body lie in this one, or this one in another, at a similarity of the sets below ``least``? Or are they small?
+
+        Two such bodies are compared by :func:`_prefixes` as well.
+        """
+        inside = chars * (self.denominator - self.numerator) // self.denominator
+        around = chars * self.denominator // self.numerator - chars
+        return n <= SMALL_SET or n - inside < self.least * n or n < self.least * (n + around)
+
+    def keys(self, sets: list[np.ndarray]) -> list[np.ndarray]:
+        """The keys of each set."""
+        found, made = [], []
+        for turn in range(TURNS):
+            least = sh.least_of_bins(sets, self.rows * self.turn_bands, turn).reshape(len(sets), self.turn_bands, self.rows)
+            key = np.zeros((len(sets), self.turn_bands), sh.U) + np.arange(turn * self.turn_bands, (turn + 1) * self.turn_bands, dtype=sh.U)
+            for row in range(self.rows):
+                key = sh.hashed_longs(least[:, :, row], key)
+            found.append(key.view(np.int64))
+            made.append((least != sh.NONE).any(axis=2))
+        keys, there = np.concatenate(found, axis=1), np.concatenate(made, axis=1)
+        return [k[t] for k, t in zip(keys, there, strict=True)]
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
+
+
+def _signed(rows: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
+    """``id, n, chars, n_ranked, keys, bits`` per body, and ``body, shingles`` of those that are :meth:`Bands.odd`."""
+    bands = Bands(numerator, denominator)
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        bodies = part.column("body").to_pylist()
+        sets = sh.shingle_hashes(bodies, size)
+        odd = [bands.odd(len(s), len(body)) for s, body in zip(sets, bodies, strict=True)]
+        return pa.record_batch(
+            [
+                part.column("id"), pa.array([b if o else None for b, o in zip(bodies, odd, strict=True)], pa.string()),
+                pa.array(map(len, sets), pa.int64()), pa.array(map(len, bodies), pa.int64()),
+                pa.array([_ranked_of(s, numerator, denominator) if o else 0 for s, o in zip(sets, odd, strict=True)], pa.int64()),
+                _lists(bands.keys(sets)), _lists([sh.parity(s) for s in sets]),
+                _lists([s if o else s[:0] for s, o in zip(sets, odd, strict=True)]),
+            ],
+            names=["id", "body", "n", "chars", "n_ranked", "keys", "bits", "shingles"],
+        )
+
+    return _mapped(rows, "body", run, f"id {_kind(rows, 'id')}, body string, n long, chars long, n_ranked long, keys array<long>, bits array<long>, shingles array<long>")
+
+
+def _prefixes(bodies: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Index entries (token, id, n, chars, place) that every similar pair is bound to share.
 
     Tokens are ordered: first the ranked ones, chosen by hash, by the number of bodies that hold them, rare ones
     first; then the others by hash. Only the ranked ones are counted, so only they are shuffled; a prefix rarely
     needs more than it has of them. Two sets with Jaccard >= t share a token among their first
     ``n - ceil(t n) + 1``. A text inside a longer one lacks at most ``(1 - t) chars`` of its tokens, so the longer
     text's first ``floor((1 - t) chars) + 1`` hold the shorter text's first. A ranked token of one body only takes
-    its place in the prefix but needs no entry.
+    its place in the prefix but needs no entry. ``place`` counts from 1.
     """
     needed = F.expr(f"(n * {numerator} + {denominator - 1}) div {denominator}")
     lacking = F.expr(f"(chars * {denominator - numerator}) div {denominator}")
     length = F.least(F.col("n"), F.greatest(F.col("n") - needed + 1, lacking + 1))
-    of_body = _shingles(F.col("body"), size)
-    ranked = F.filter(of_body, lambda token: _ranked(token, numerator, denominator))
-    tokens = bodies.select("id", F.explode_outer(ranked).alias("token")).filter("token IS NOT NULL")
+    ranked = F.filter("shingles", lambda token: _ranked(token, numerator, denominator))
+    bodies = bodies.withColumn("_print", F.xxhash64("body"))  # an id may name several bodies
+    tokens = bodies.select("id", "_print", F.explode_outer(ranked).alias("token")).filter("token IS NOT NULL")
     tokens = tokens.repartition("token")  # counted and joined where they are: one shuffle for both
     counts = tokens.groupBy("token").agg(F.count("id").alias("df")).filter(F.col("df") > 1)
-    common = tokens.join(counts, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
-    left = F.greatest(F.lit(0), length - (F.col("n_ranked") - F.size("common"))).cast("int")
+    common = tokens.join(counts, "token").groupBy("id", "_print").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
+    single = F.col("n_ranked") - F.size("common")
+    left = F.greatest(F.lit(0), length - single).cast("int")
     first = (
-        bodies.select("id", "n", "n_ranked", "chars").join(common, "id")
-        .select("id", "n", "chars", F.explode_outer(F.slice("common", F.lit(1), left)).alias("_token"))
-        .select("id", "n", "chars", F.col("_token.token").alias("token"))
+        bodies.select("id", "_print", "n", "n_ranked", "chars").distinct().join(common, ["id", "_print"])
+        .select("id", "n", "chars", single.alias("_single"), F.posexplode_outer(F.slice("common", F.lit(1), left)).alias("_at", "_token"))
+        .select("id", "n", "chars", F.col("_token.token").alias("token"), (F.col("_single") + F.col("_at") + 1).alias("place"))
     )
-    others = F.array_sort(F.filter(of_body, lambda token: ~_ranked(token, numerator, denominator)))
+    others = F.array_sort(F.filter("shingles", lambda token: ~_ranked(token, numerator, denominator)))
     beyond = bodies.filter(length > F.col("n_ranked")).select(
-        "id", "n", "chars", F.explode_outer(F.slice(others, F.lit(1), (length - F.col("n_ranked")).cast("int"))).alias("token")
-    )
+        "id", "n", "chars", "n_ranked", F.posexplode_outer(F.slice(others, F.lit(1), (length - F.col("n_ranked")).cast("int"))).alias("_at", "token")
+    ).select("id", "n", "chars", "token", (F.col("n_ranked") + F.col("_at") + 1).alias("place"))
     return first.unionByName(beyond).filter(F.col("token").isNotNull())
 
 
-def _similarity(pairs: DataFrame, a: str, b: str, size: int) -> DataFrame:
-    """Length ratio when the shorter body lies in the longer one, else Jaccard of the shingle
-    sets; as a fraction (top, bottom) so that thresholds compare integers.
+MEETING_ROWS = 500_000
+
+
+def _met(entries: DataFrame) -> DataFrame:
+    """The entries of the tokens of two rows or more, with the entry of least id of each as ``lead_*``."""
+    names = ["token", "id", "n", "chars", "place"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [batch for batch in batches if batch.num_rows]
+        if not found:
+            return
+        rows = pa.Table.from_batches(found)
+        token = rows.column("token").to_numpy()
+        order = np.argsort(token)
+        equal = np.append(token[order][1:] == token[order][:-1], False)
+        several = order[equal | np.append(False, equal[:-1])]
+        rows = rows.take(pa.array(several)).sort_by([(name, "ascending") for name in names])
+        token = rows.column("token").to_numpy()
+        heads = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+        lead = rows.select(names[1:]).take(pa.array(np.repeat(heads, np.diff(np.append(heads, len(token))))))
+        for name in names[1:]:
+            rows = rows.append_column(f"lead_{name}", lead.column(name))
+        yield from rows.combine_chunks().to_batches(max_chunksize=10_000)
+
+    kind = _kind(entries, "id")
+    schema = f"token long, id {kind}, n long, chars long, place long, lead_id {kind}, lead_n long, lead_chars long, lead_place long"
+    parts = max(1, entries.count() // MEETING_ROWS)
+    dealt = entries.select(*names).repartition(max(parts, entries.sparkSession.sparkContext.defaultParallelism), "token")
+    return visible(dealt).mapInArrow(run, schema)
+
+
+def _verified(pairs: DataFrame, keyed: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
+    """The similar ones of the pairs: length ratio when the shorter body lies in the longer one, else Jaccard of the
+    shingle sets; as a fraction of integers, so that it compares exactly with the threshold.
 
     Bodies travel to their pairs as text, an eighth of their shingles' bytes; the shingles are built
     where a pair is compared, and only if neither body lies in the other.
     """
-    a_chars, b_chars = F.col(f"{a}.chars"), F.col(f"{b}.chars")
-    a_body, b_body = F.col(f"{a}.body"), F.col(f"{b}.body")
-    inside = F.when(a_chars <= b_chars, b_body.contains(a_body)).otherwise(a_body.contains(b_body))
-    shared = F.size(F.array_intersect(_shingles(a_body, size), _shingles(b_body, size))).cast("long")
-    sizes = [F.least(a_chars, b_chars).alias("_low"), F.greatest(a_chars, b_chars).alias("_high")]
-    both = (F.col(f"{a}.n") + F.col(f"{b}.n")).alias("_both")
-    met = pairs.select("earlier", "later", *sizes, both, F.when(~inside, shared).alias("_shared"))
-    lengths = F.struct(F.col("_low").alias("top"), F.col("_high").alias("bottom"))
-    jaccard = F.struct(F.col("_shared").alias("top"), (F.col("_both") - F.col("_shared")).alias("bottom"))
-    return met.select("earlier", "later", F.when(F.col("_shared").isNull(), lengths).otherwise(jaccard).alias("_s"))
-
-
-def _verified(pairs: DataFrame, bodies: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
-    """The similar ones of the pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sh.pieces(batch, "a", size=1 << 20):
+                yield judged(part)
+
+    def judged(part: pa.RecordBatch) -> pa.RecordBatch:
+        met = list(zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True))
+        inside = [a in b if len(a) <= len(b) else b in a for a, b in met]
+        texts = list({text: None for pair, i in zip(met, inside, strict=True) if not i for text in pair})
+        sets = dict(zip(texts, (s for text in texts for s in sh.shingle_hashes([text], size)), strict=True))
+        at, similarity = [], []
+        for i, (a, b) in enumerate(met):
+            if inside[i]:
+                top, bottom = sorted((len(a), len(b)))
+            else:
+                top = sh.shared_count(sets[a], sets[b])
+                bottom = len(sets[a]) + len(sets[b]) - top
+            if top * denominator >= bottom * numerator:
+                at.append(i)
+                similarity.append(top / bottom)
+        at = pa.array(at, pa.int64())
+        return pa.record_batch([part.column("earlier").take(at), part.column("later").take(at), pa.array(similarity, pa.float64())], names=["earlier", "later", "similarity"])
+
     pairs = cut_lineage(pairs)
     used = pairs.select(F.explode(F.array("earlier", "later")).alias("id")).distinct()
-    sides = bodies.select("id", "body", "n", "chars").join(used, "id", "left_semi")
-    met = pairs.join(sides.alias("a"), F.col("a.id") == F.col("earlier")).join(sides.alias("b"), F.col("b.id") == F.col("later"))
-    judged = _similarity(met, "a", "b", size)
-    return judged.filter(F.col("_s.top") * denominator >= F.col("_s.bottom") * numerator).select(
-        "earlier", "later", (F.col("_s.top") / F.col("_s.bottom")).alias("similarity")
-    )
+    sides = keyed.filter(F.col("body") != "").select("id", "body").join(used, "id", "left_semi")
+    met = pairs.join(sides.toDF("earlier", "a"), "earlier").join(sides.toDF("later", "b"), "later").select("earlier", "later", "a", "b")
+    kind = _kind(pairs, "earlier")
+    return visible(met).mapInArrow(run, f"earlier {kind}, later {kind}, similarity double")
 
 
 def _side(prefix: str) -> list[Column]:
-    return [F.col(name).alias(f"{prefix}_{name}") for name in ("id", "n", "chars")]
+    return [F.col(name).alias(f"{prefix}_{name}") for name in ("id", "n", "chars", "place")]
 
 
 def _sizes_allow(numerator: int, denominator: int) -> Column:
-    """Could the pair (a, b) reach the threshold, by set sizes for Jaccard or by lengths for containment?"""
+    """Could the pair (a, b) reach the threshold, by set sizes for Jaccard or by lengths for containment?
+
+    In a list of :func:`_prefixes` a text inside a longer one has its first token, and all others but small sets have a key of
+    :class:`Bands` in common as well.
+    """
 
     def close(what: str) -> Column:
         low, high = F.least(f"a_{what}", f"b_{what}"), F.greatest(f"a_{what}", f"b_{what}")
         return low * denominator >= high * numerator
 
-    return close("n") | close("chars")
+    def inside(low: str, high: str) -> Column:
+        more = F.col(f"{high}_n") - F.col(f"{low}_n")
+        longer = F.col(f"{high}_chars") - F.col(f"{low}_chars")
+        return (longer >= 0) & (more >= 0) & (more <= longer) & (F.col(f"{low}_place") <= 1)
+
+    small = (F.greatest("a_n", "b_n") <= SMALL_SET) | (F.col("a_place") == 0)
+    return (close("n") & small) | (close("chars") & (inside("a", "b") | inside("b", "a")))
+
+
+def _near_enough(pairs: DataFrame, bodies: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
+    """The pairs without those that cannot be similar, as their sets differ in too many parity bits of the shingles."""
+
+    def side(prefix: str, name: str) -> DataFrame:
+        return bodies.select(F.col("id").alias(name), *[F.col(c).alias(f"{prefix}_{c}") for c in ("n", "chars", "bits")])
+
+    flips = F.expr(" + ".join(f"bit_count(a_bits[{i}] ^ b_bits[{i}])" for i in range(sh.PARITY_BITS // 64)))
+    jaccard = flips * (numerator + denominator) <= (F.col("a_n") + F.col("b_n")) * (denominator - numerator)
+    more = F.when(F.col("a_chars") <= F.col("b_chars"), F.col("b_n") - F.col("a_n")).otherwise(F.col("a_n") - F.col("b_n"))
+    low, high = F.least("a_chars", "b_chars"), F.greatest("a_chars", "b_chars")
+    inside = (low * denominator >= high * numerator) & ((flips <= more) | (low < size))
+    met = pairs.join(side("a", "earlier"), "earlier").join(side("b", "later"), "later")
+    return met.filter(jaccard | inside).select("earlier", "later").distinct()
 
 
 def _short_containments(bodies: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
@@ -155,6 +343,11 @@ def _short_containments(bodies: DataFrame, size: int, numerator: int, denominato
     return found.select(F.least("id", "holder").alias("earlier"), F.greatest("id", "holder").alias("later"))
 
 
+def stored_bodies(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """The bodies of the documents, made once for all steps that read them: what ``keyed`` takes."""
+    return cut_lineage(_keyed(documents, key, text))
+
+
 def similar_bodies(
     documents: DataFrame,
     *,
@@ -162,30 +355,39 @@ def similar_bodies(
     text: str,
     threshold: tuple[int, int] = lx.NEAR_DUPLICATE_THRESHOLD,
     size: int = lx.SHINGLE_SIZE,
+    keyed: DataFrame | None = None,
 ) -> DataFrame:
     """For each distinct body (by its first document) the first earlier similar body.
 
-    Rows: id, similar_id, similarity; bodies without one are left out. Exact: the
-    threshold is a fraction of integers and every candidate is verified.
+    Rows: id, similar_id, similarity; bodies without one are left out. The threshold is a fraction of integers and every
+    candidate is verified exactly. Candidates share a key of :class:`Bands`, or of :func:`_prefixes` where two bodies are small
+    or repeat themselves; a similar pair shares none with a chance below ``2 ** -64``, as two hashes are equal by accident.
 
-    In each bucket of a common token every body first meets the earliest member. A
+    In each bucket of a common key every body first meets the earliest member. A
     body that is similar to it is done with that bucket, as no earlier member exists
     there; so a large family of near copies costs one comparison per member. What is
     left meets the members between the earliest one and its best hit so far.
     """
     numerator, denominator = threshold
-    bodies = cut_lineage(_bodies(documents, key, text, size, threshold))
-    entries = _prefixes(bodies, size, numerator, denominator)
-    buckets = entries.groupBy("token").agg(F.count("*").alias("rows"), F.min(F.struct("id", "n", "chars")).alias("lead"))
-    shared = cut_lineage(entries.join(buckets.filter("rows > 1"), "token"))
-    led = shared.select("token", *_side("b"), *[F.col(f"lead.{n}").alias(f"a_{n}") for n in ("id", "n", "chars")])
+    keyed = stored_bodies(documents, key, text) if keyed is None else keyed
+    bodies = cut_lineage(_signed(_firsts(keyed), size, numerator, denominator))
+    small = cut_lineage(_prefixes(bodies.filter("body IS NOT NULL"), numerator, denominator))
+    keys = bodies.select("id", "n", "chars", F.lit(0).cast("long").alias("place"), F.explode_outer("keys").alias("token"))
+    shared = cut_lineage(_met(keys.filter("token IS NOT NULL").unionByName(small)))
+    led = shared.select("token", *_side("b"), *[F.col(f"lead_{n}").alias(f"a_{n}") for n in ("id", "n", "chars", "place")])
     led = led.filter(F.col("a_id") < F.col("b_id"))
+    short = bodies.filter("body IS NOT NULL")  # all that are shorter than a shingle are small
     candidates = (
         led.filter(_sizes_allow(numerator, denominator)).select(F.col("a_id").alias("earlier"), F.col("b_id").alias("later"))
-        .unionByName(_short_containments(bodies, size, numerator, denominator))
+        .unionByName(_short_containments(short, size, numerator, denominator))
     )
-    first = cut_lineage(_verified(candidates.distinct(), bodies, size, numerator, denominator))
-    every = first.unionByName(_leftover(shared, led, first, bodies, size, numerator, denominator))
+    sketches = bodies.select("id", "n", "chars", "bits")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _verified(_near_enough(pairs.distinct(), sketches, size, numerator, denominator), keyed, size, numerator, denominator)
+
+    first = cut_lineage(verified(candidates))
+    every = first.unionByName(verified(_leftover(shared, led, first, numerator, denominator)))
     return (
         every.groupBy(F.col("later").alias("id"))
         .agg(F.min(F.struct("earlier", "similarity")).alias("_hit"))
@@ -193,15 +395,13 @@ def similar_bodies(
     )
 
 
-def _leftover(
-    shared: DataFrame, led: DataFrame, first: DataFrame, bodies: DataFrame, size: int, numerator: int, denominator: int
-) -> DataFrame:
-    """Similar pairs that the comparison with the earliest members did not settle."""
+def _leftover(shared: DataFrame, led: DataFrame, first: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Pairs that the comparison with the earliest members did not settle."""
     best = first.groupBy(F.col("later").alias("b_id")).agg(F.min("earlier").alias("_best"))
     settled = first.select(F.col("earlier").alias("a_id"), F.col("later").alias("b_id"))
     pending = led.join(settled, ["a_id", "b_id"], "left_anti").join(best, "b_id", "left")
-    rest = (
-        pending.select("token", F.col("a_id").alias("_leader"), "_best", *[F.col(f"b_{n}") for n in ("id", "n", "chars")])
+    return (
+        pending.select("token", F.col("a_id").alias("_leader"), "_best", *[F.col(f"b_{n}") for n in ("id", "n", "chars", "place")])
         .join(shared.select("token", *_side("a")), "token")
         .filter(
             (F.col("a_id") > F.col("_leader"))
@@ -209,9 +409,7 @@ def _leftover(
             & _sizes_allow(numerator, denominator)
         )
         .select(F.col("a_id").alias("earlier"), F.col("b_id").alias("later"))
-        .distinct()
     )
-    return _verified(rest, bodies, size, numerator, denominator)
 
 
 BANDS, BAND_ROWS = 32, 4
@@ -228,19 +426,26 @@ def _band_keys(bodies: DataFrame, size: int, bands: int, rows: int) -> DataFrame
         raise ValueError("bands * rows must be a power of two")
     shift = 64 - (bins.bit_length() - 1)
 
-    def place(value: Column) -> Column:
-        return (F.shiftright(value, shift) + F.lit(bins // 2)).cast("int")
-
-    hashed = bodies.select("id", "n", "chars", F.array_sort(_shingles(F.col("body"), size)).alias("_sorted"))
-    least = F.filter("_sorted", lambda x, i: (i == 0) | (place(x) != place(F.get("_sorted", i - 1))))
-    held = hashed.select("id", "n", "chars", least.alias("_least"))
-    filled = F.transform("_least", lambda x, i: F.array_repeat(x, place(x) - F.when(i == 0, -1).otherwise(place(F.get("_least", i - 1)))))
-    after = F.array_repeat(F.get("_least", F.lit(0)), F.lit(bins - 1) - place(F.element_at("_least", -1)))
-    signed = held.select("id", "n", "chars", F.concat(F.flatten(filled), after).alias("_signature"))
-    keys = F.transform(
-        F.sequence(F.lit(0), F.lit(bands - 1)), lambda band: F.xxhash64(band, F.slice("_signature", band * rows + 1, rows))
-    )
-    return signed.select("id", "n", "chars", F.explode_outer(keys).alias("token"))
+    def signature(found: np.ndarray) -> np.ndarray:
+        place = (found >> shift) + bins // 2 if bins > 1 else np.zeros(len(found), np.int64)
+        heads = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        after = np.searchsorted(place[heads], np.arange(bins))
+        return found[heads[after % len(heads)]]
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        bodies = part.column("body").to_pylist()
+        sets = sh.shingle_hashes(bodies, size)
+        signed = np.array([signature(s) for s in sets], np.int64).reshape(len(sets), bands, rows)
+        key = np.broadcast_to(sh.hashed_ints(np.arange(bands)), (len(sets), bands))
+        for row in range(rows):
+            key = sh.hashed_longs(np.ascontiguousarray(signed[:, :, row]), key)
+        return pa.record_batch(
+            [part.column("id"), pa.array(map(len, sets), pa.int64()), pa.array(map(len, bodies), pa.int64()), _lists(list(key.view(np.int64)))],
+            names=["id", "n", "chars", "keys"],
+        )
+
+    found = _mapped(bodies.select("id", "body"), "body", run, f"id {_kind(bodies, 'id')}, n long, chars long, keys array<long>")
+    return found.select("id", "n", "chars", F.explode_outer("keys").alias("token"))
 
 
 def similar_bodies_approximate(
@@ -252,6 +457,7 @@ def similar_bodies_approximate(
     size: int = lx.SHINGLE_SIZE,
     bands: int = BANDS,
     rows: int = BAND_ROWS,
+    keyed: DataFrame | None = None,
 ) -> DataFrame:
     """Approximate form of :func:`similar_bodies`: an earlier similar body, not always the first, for most that have one.
 
@@ -260,15 +466,17 @@ def similar_bodies_approximate(
     hit is verified, so nothing is called similar that is not. Bodies shorter than a shingle are compared exactly.
     """
     numerator, denominator = threshold
-    bodies = cut_lineage(_bodies(documents, key, text, size))
+    keyed = stored_bodies(documents, key, text) if keyed is None else keyed
+    bodies = _firsts(keyed)
     entries = cut_lineage(_band_keys(bodies, size, bands, rows))
-    leads = entries.groupBy("token").agg(F.count("*").alias("rows"), F.min(F.struct("id", "n", "chars")).alias("lead")).filter("rows > 1")
-    led = entries.join(leads, "token").select(*_side("b"), *[F.col(f"lead.{n}").alias(f"a_{n}") for n in ("id", "n", "chars")])
+    short = bodies.withColumn("chars", F.length("body").cast("long"))
+    met = _met(entries.withColumn("place", F.lit(0).cast("long")))
+    led = met.select(*_side("b"), *[F.col(f"lead_{n}").alias(f"a_{n}") for n in ("id", "n", "chars", "place")])
     near = led.filter((F.col("a_id") < F.col("b_id")) & _sizes_allow(numerator, denominator))
     candidates = near.select(F.col("a_id").alias("earlier"), F.col("b_id").alias("later")).unionByName(
-        _short_containments(bodies, size, numerator, denominator)
+        _short_containments(short, size, numerator, denominator)
     )
-    hits = _verified(candidates.distinct(), bodies, size, numerator, denominator)
+    hits = _verified(candidates.distinct(), keyed, size, numerator, denominator)
     return (
         hits.groupBy(F.col("later").alias("id"))
         .agg(F.min(F.struct("earlier", "similarity")).alias("_hit"))
@@ -281,10 +489,11 @@ def near_duplicates(
     approximate: bool = False,
 ) -> DataFrame:
     """Per document: ``first_id`` of its body and the earliest similar other body (an early one in approximate mode)."""
-    hashed = documents.select(F.col(key), F.sha2(tx.content_key(F.col(text)), 256).alias("_hash"))
+    keyed = stored_bodies(documents, key, text)
+    hashed = keyed.select(F.col("id").alias(key), "_hash")
     first = hashed.groupBy("_hash").agg(F.min(key).alias("first_id"))
     find = similar_bodies_approximate if approximate else similar_bodies
-    similar = find(documents, key=key, text=text, threshold=threshold)
+    similar = find(documents, key=key, text=text, threshold=threshold, keyed=keyed)
     return (
         hashed.join(first, "_hash")
         .join(similar.withColumnRenamed("id", "first_id"), "first_id", "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,3 +74,10 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def visible(df: DataFrame) -> DataFrame:
+    """``df``, after telling Python workers where this package lies (they need not start in its folder)."""
+    root = str(Path(__file__).resolve().parents[1])
+    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", root)
+    return df
