@@ -223,8 +223,9 @@ def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 def near_duplicate_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Approximate against exact mode: bodies with an earlier near copy, whether nine in ten are found, hits that are none."""
     docs = Tables(spark, sf).spread("documents", "doc_id", "text")
-    exact = dd.similar_bodies(docs, key="doc_id", text="text", threshold=NEAR)
-    fast = dd.similar_bodies_approximate(docs, key="doc_id", text="text", threshold=NEAR)
+    keyed = dd.stored_bodies(docs, "doc_id", "text")
+    exact = dd.similar_bodies(docs, key="doc_id", text="text", threshold=NEAR, keyed=keyed)
+    fast = dd.similar_bodies_approximate(docs, key="doc_id", text="text", threshold=NEAR, keyed=keyed)
     both = exact.select("id", F.lit(1).alias("e")).join(fast.select("id", F.lit(1).alias("f")), "id", "full")
     found = F.count_if(F.col("e").isNotNull() & F.col("f").isNotNull())
     return both.agg(
