@@ -3,10 +3,10 @@
 DataFrame and SQL functions only. A text is a sequence of shingles of five words (lower-case runs of
 letters and digits); a benchmark item of n shingles is looked for in every window of n shingles.
 
-1. Shingles of all documents meet the item's shingles; a text with too few of them holds no item.
-2. In the other texts, running sums of the shingles' bits give the SimHash of any window by two look-ups.
-   A window need only start at a shingle that occurs in some item: moving it right to its first such
-   shingle loses nothing.
+1. Shingles of all documents meet the items' shingles; a text with too few of them holds no item.
+2. A window need only start at a shingle that occurs in some item: moving it right to its first such shingle loses
+   nothing. Windows with too few of these shingles are no match. Over what the others of a text cover, running sums of
+   the shingles' bits give the SimHash of any window by two look-ups.
 3. A fingerprint has four blocks of twelve bits. If two differ in at most 15 bits, some block differs in
    at most three; so an item is entered under all values within three bits of each of its blocks, and
    a window finds every item of its size within that radius.
@@ -58,10 +58,15 @@ def spread_bits(token: str, k: int) -> str:
     )
 
 
+def lane_bias(count: str) -> str:
+    """What sets the highest bit of a counter that is over half of ``count``."""
+    ones = sum(1 << (LANE_BITS * lane) for lane in range(LANES))
+    return f"({1 << (LANE_BITS - 1)}L - 1L - CAST({count} DIV 2 AS BIGINT)) * {ones}L"
+
+
 def sign_bits(sums: list[str], count: str) -> str:
     """Fingerprint from counters: a bit is set where more than half of ``count`` shingles have it."""
-    ones = sum(1 << (LANE_BITS * lane) for lane in range(LANES))
-    bias = f"({1 << (LANE_BITS - 1)}L - 1L - CAST({count} DIV 2 AS BIGINT)) * {ones}L"
+    bias = lane_bias(count)
     bits = [
         f"shiftleft(shiftright({s} + {bias}, {LANE_BITS * lane + LANE_BITS - 1}) & 1L, {LONGS * lane + k})"
         for k, s in enumerate(sums) for lane in range(LANES)
@@ -121,38 +126,43 @@ def prints_with(docs: DataFrame, items: DataFrame, sizes: list[int], key: str, t
     cut = texts.select("print", words_of(F.col("text")).alias("w")).select("print", shingles_of("w").alias("h"))
     least = min((max(1, -(-percent * (n + 1) // (100 + percent))) for n in sizes), default=1)
     # outer: else the optimizer asks for the array's size first, and computes it once more for that
-    touched = (
-        cut.select("print", F.explode_outer("h").alias("t")).join(tokens, "t").groupBy("print").count()
-        .filter(F.col("count") >= least).select("print")
+    hits = (
+        cut.select("print", F.size("h").alias("m"), F.posexplode_outer("h").alias("pos", "t")).join(tokens, "t")
+        .groupBy("print").agg(F.max("m").alias("m"), F.sort_array(F.collect_set("pos")).alias("hits"))
+        .filter(F.size("hits") >= least)
     )
-    touched = cut_lineage(touched)
-    near = texts.join(checked_broadcast(touched), "print", "left_semi").groupBy("print").agg(F.first("text").alias("text"))
-    near = cut_lineage(near.select("print", words_of(F.col("text")).alias("w")).select("print", shingles_of("w").alias("h")))
-
-    ordered = Window.partitionBy("print").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    single = near.select("print", F.posexplode("h").alias("pos", "t")).join(tokens.withColumn("hit", F.lit(1)), "t", "left")
-    sums = single.select("print", "pos", "hit", *(F.expr(spread_bits("t", k)).alias(f"b{k}") for k in range(LONGS)))
-    running = sums.select("print", "pos", "hit", F.struct(*(F.sum(f"b{k}").over(ordered).alias(f"c{k}") for k in range(LONGS))).alias("c"))
-    gathered = running.groupBy("print").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "c"))).alias("run"),
-        F.sort_array(F.collect_list(F.when(F.col("hit") == 1, F.col("pos")))).alias("hits"),
-    ).join(near, "print")
 
     # Windows: each start at a hit (or the last start), for each item size; those with too few hits are no match.
     starts = (
-        gathered.filter("size(hits) > 0")
-        .select("print", "run", "h", "hits", F.size("h").alias("m"), F.posexplode("hits").alias("i", "at"))
+        hits.select("print", "m", "hits", F.posexplode("hits").alias("i", "at"))
         .select("*", F.explode(F.lit(sizes) if sizes else F.expr("CAST(array() AS array<int>)")).alias("n"))
         .withColumn("width", F.least("n", "m"))
         .withColumn("start", F.least(F.col("at"), F.col("m") - F.col("width")))
         .withColumn("need", F.expr(needed("n", "width", percent)))
         .filter("start < at OR try_element_at(hits, i + need) < start + width")
+        .select("print", "n", "width", "start").distinct()
     )
-    inside = [f"run[start + width - 1].c.c{k} - if(start > 0, run[greatest(start - 1, 0)].c.c{k}, 0L)" for k in range(LONGS)]
-    windows = starts.select(
-        "print", "n", "width", F.expr(sign_bits([f"({s})" for s in inside], "width")).alias("seen"),
-        F.expr("slice(h, start + 1, width)").alias("part"),
+    starts = cut_lineage(starts)
+    # Only what the windows of a text cover, from the first to the last, is summed up.
+    covered = starts.groupBy("print").agg(F.min("start").alias("low"), F.max(F.col("start") + F.col("width")).alias("high"))
+    near = texts.join(checked_broadcast(covered), "print").groupBy("print", "low", "high").agg(F.first("text").alias("text"))
+    near = near.select("print", "low", "high", words_of(F.col("text")).alias("w")).select("print", "low", "high", shingles_of("w").alias("h"))
+    near = cut_lineage(near.select("print", "low", F.expr("slice(h, low + 1, high - low)").alias("h")))
+
+    ordered = Window.partitionBy("print").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    single = near.select("print", F.posexplode("h").alias("pos", "t"))
+    sums = single.select("print", "pos", *(F.expr(spread_bits("t", k)).alias(f"b{k}") for k in range(LONGS)))
+    running = sums.select("print", "pos", F.array(*(F.sum(f"b{k}").over(ordered) for k in range(LONGS))).alias("c"))
+    gathered = running.groupBy("print").agg(F.sort_array(F.collect_list(F.struct("pos", "c"))).alias("run")).join(near, "print")
+    placed = starts.join(gathered, "print").withColumn("start", F.col("start") - F.col("low"))
+    # one expression for all counters: written out for each, it is too long for the JVM to compile
+    inside = F.expr(
+        f"zip_with(run[start + width - 1].c, if(start > 0, run[greatest(start - 1, 0)].c, array_repeat(0L, {LONGS})), (x, y) -> x - y + bias)"
     )
+    signs = " | ".join(f"shiftleft(shiftright(s, {LANE_BITS * lane + LANE_BITS - 1}) & 1L, {LONGS * lane} + k)" for lane in range(LANES))
+    windows = placed.withColumn("bias", F.expr(lane_bias("width"))).select(
+        "print", "n", "width", inside.alias("inside"), F.expr("slice(h, start + 1, width)").alias("part"),
+    ).select("print", "n", "width", F.expr(f"aggregate(transform(inside, (s, k) -> {signs}), 0L, (x, y) -> x | y)").alias("seen"), "part")
     masks = F.expr(f"filter(sequence(0L, {(1 << BLOCK_BITS) - 1}L), v -> bit_count(v) <= {BLOCK_RADIUS})")
     blocks = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
     index = (
